@@ -22,6 +22,12 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """Compute ``value`` once per row and hand it to ``body``. An expression used
+    inside a lambda would otherwise be computed again for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _doubles(c) -> Column:
     return _col(c).cast("array<double>")
 
@@ -43,13 +49,12 @@ def norm(c) -> Column:
 def l2_normalize(df: DataFrame, col: str, eps: float | None = None, out: str | None = None) -> DataFrame:
     """Divide by the length. Without ``eps`` a zero vector stays as it is; with
     ``eps`` the length is clamped from below, as embedding normalization does."""
-    length = "_length"
+    vector = _doubles(col)
     if eps is None:
-        unit = F.when(F.col(length) > 0, F.transform(_doubles(col), lambda x: x / F.col(length))).otherwise(_doubles(col))
+        unit = let(norm(col), lambda n: F.when(n > 0, F.transform(vector, lambda x: x / n)).otherwise(vector))
     else:
-        clamped = F.greatest(F.col(length), F.lit(eps))
-        unit = F.transform(_doubles(col), lambda x: x / clamped)
-    return df.withColumn(length, norm(col)).withColumn(out or col, unit).drop(length)
+        unit = let(F.greatest(norm(col), F.lit(eps)), lambda n: F.transform(vector, lambda x: x / n))
+    return df.withColumn(out or col, unit)
 
 
 def wide_names(n: int) -> list[str]:
@@ -101,10 +106,9 @@ def argmax(c) -> Column:
 
 def softmax(c) -> Column:
     """Probabilities, shifted by the maximum so large logits do not overflow."""
-    top = F.array_max(_doubles(c))
-    shifted = F.transform(_doubles(c), lambda x: F.exp(x - top))
-    total = F.aggregate(shifted, F.lit(0.0), lambda acc, x: acc + x)
-    return F.transform(shifted, lambda x: x / total)
+    total = lambda values: F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x)
+    shifted = let(F.array_max(_doubles(c)), lambda top: F.transform(_doubles(c), lambda x: F.exp(x - top)))
+    return let(shifted, lambda e: let(total(e), lambda t: F.transform(e, lambda x: x / t)))
 
 
 def with_confidence(df: DataFrame, logits: str = "logits", label: str | None = "label") -> DataFrame:

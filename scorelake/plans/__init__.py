@@ -1,0 +1,16 @@
+"""All registered queries and their comparison SQL."""
+
+from __future__ import annotations
+
+from . import vectors
+from .catalog import Query
+
+_MODULES = (vectors,)
+
+
+def all_queries() -> dict[str, Query]:
+    return {name: fn for m in _MODULES for name, fn in m.catalog.queries.items()}
+
+
+def all_sql() -> dict[str, str]:
+    return {name: sql for m in _MODULES for name, sql in m.catalog.sql.items()}
