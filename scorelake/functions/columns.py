@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -110,12 +112,14 @@ def merge_dims(*maps) -> Column:
     Earlier entries whose key appears later are filtered out first, so the
     result does not depend on the session's duplicate-key setting.
     """
-    merged = F.coalesce(_col(maps[0]), F.create_map().cast("map<string,string>"))
-    for extra in maps[1:]:
-        later = F.coalesce(_col(extra), F.create_map().cast("map<string,string>"))
-        kept = F.map_filter(merged, lambda k, _v, later=later: ~F.map_contains_key(later, k))
-        merged = F.map_concat(kept, later)
-    return merged
+
+    def present(m):
+        return F.coalesce(_col(m), F.create_map().cast("map<string,string>"))
+
+    def merge(earlier, later):
+        return F.map_concat(F.map_filter(earlier, lambda k, _v: ~F.map_contains_key(later, k)), later)
+
+    return reduce(merge, map(present, maps))
 
 
 def prop(c, path: str, kind: str = "string") -> Column:

@@ -54,15 +54,16 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str, quantiles: dic
         marked = base.withColumn("_b", bounds.select("_b").scalar())
     kept = F.exists("_b", lambda b: (F.col("_v") >= b["lo"]) & (F.col("_v") <= b["hi"]))
     below = F.transform("_b", lambda b: F.col("_v") < b["lo"])
-    counted = marked.groupBy(*keys, F.when(kept, F.col("_v")).alias("_v"), below.alias("_below")).agg(
-        F.count(F.lit(1)).alias("_c"), F.first("_b").alias("_b")
-    )
+    placed = marked.select(*keys, F.when(kept, F.col("_v")).alias("_v"), below.alias("_below"), "_b")
+    counted = placed.groupBy(*keys, "_v", "_below").agg(F.count(F.lit(1)).alias("_c"), F.first("_b").alias("_b"))
     per_q = counted.select(*keys, "_v", "_c", "_below", F.posexplode("_b").alias("_i", "_q"))
     per_q = per_q.withColumn("_under", F.col("_below")[F.col("_i")])
     inside = (F.col("_v") >= F.col("_q.lo")) & (F.col("_v") <= F.col("_q.hi"))
     per_q = per_q.where(F.col("_under") | inside)
-    folded = per_q.groupBy(*keys, "_i", F.when(~F.col("_under"), F.col("_v")).alias("_v")).agg(
-        F.sum("_c").alias("_c"), F.first("_q").alias("_q")
+    folded = (
+        per_q.withColumn("_v", F.when(~F.col("_under"), F.col("_v")))
+        .groupBy(*keys, "_i", "_v")
+        .agg(F.sum("_c").alias("_c"), F.first("_q").alias("_q"))
     )
     # Nulls first: the single "below" row leads, then the bracket's values.
     w = Window.partitionBy(*keys, "_i").orderBy(F.col("_v").asc_nulls_first())

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import vectors
+from . import columns, runs, vectors
 from .catalog import Query
 
-_MODULES = (vectors,)
+_MODULES = (vectors, columns, runs)
 
 
 def all_queries() -> dict[str, Query]:
