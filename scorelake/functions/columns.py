@@ -59,8 +59,9 @@ def parse_time(c) -> Column:
 
 
 def duration_s(start, end) -> Column:
-    """Seconds between two time texts or timestamps."""
-    return _col(end).cast("double") - _col(start).cast("double")
+    """Seconds between two timestamps, exact to the microsecond."""
+    micros = lambda c: F.unix_micros(_col(c).cast("timestamp"))
+    return (micros(end) - micros(start)) / F.lit(1e6)
 
 
 def mb(c, binary: bool = False) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import safe_ratio
+from ..functions.columns import duration_s, safe_ratio
 from .quantiles import exact_percentiles
 from .segments import lag_over, null_safe_join, rank_values, running_before, with_row_index
 
@@ -65,8 +65,7 @@ def number_runs(runs: DataFrame, order: list[Column]) -> DataFrame:
 def heartbeat_gaps(beats: DataFrame, limit_s: float, key: str = "executor_id", ts: str = "ts", tie: str = "event_id") -> DataFrame:
     """Reports that came more than ``limit_s`` after the previous one."""
     out = lag_over(beats, [key], [F.col(ts), F.col(tie)], {"prev_ts": ts})
-    gap = F.col(ts).cast("timestamp").cast("double") - F.col("prev_ts").cast("timestamp").cast("double")
-    return out.withColumn("gap_s", gap).where(F.col("gap_s") > limit_s)
+    return out.withColumn("gap_s", duration_s("prev_ts", ts)).where(F.col("gap_s") > limit_s)
 
 
 def stragglers(tasks: DataFrame, by: list[str], duration: str, factor: float = 1.5) -> DataFrame:

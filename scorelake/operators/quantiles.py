@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import add, or_
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,60 +36,64 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str, quantiles: dic
     )
     # A key no larger than the sketch is kept whole: that is at most ACCURACY rows.
     small = F.col("_n") <= ACCURACY
-    brackets = []
-    for i, (name, q) in enumerate(quantiles.items()):
+    limits, ranks = [], []
+    for i, q in enumerate(quantiles.values()):
         pos = (F.col("_n") - 1) * F.lit(float(q))
-        brackets.append(
+        low = F.when(small | F.lit(cuts[2 * i] <= 0), F.col("_min")).otherwise(F.col("_cuts")[2 * i])
+        high = F.when(small | F.lit(cuts[2 * i + 1] >= 1), F.col("_max")).otherwise(F.col("_cuts")[2 * i + 1])
+        limits += [low.alias(f"_lo{i}"), high.alias(f"_hi{i}")]
+        ranks += [F.floor(pos).alias(f"_r{i}"), F.ceil(pos).alias(f"_s{i}"), (pos - F.floor(pos)).alias(f"_f{i}")]
+    span = range(len(quantiles))
+    bounds = sketch.select(*keys, *limits, *ranks)
+    marked = _attach(base, bounds.select(*keys, *[f"_{s}{i}" for i in span for s in ("lo", "hi")]), keys)
+    inside = [(F.col("_v") >= F.col(f"_lo{i}")) & (F.col("_v") <= F.col(f"_hi{i}")) for i in span]
+    under = [F.when(F.col("_v") < F.col(f"_lo{i}"), 1 << i).otherwise(0) for i in span]
+    # Scalar grouping keys keep this a hash aggregate with map-side combining.
+    coded = marked.select(
+        *keys, F.when(reduce(or_, inside), F.col("_v")).alias("_key"), reduce(add, under).cast("long").alias("_mask")
+    )
+    counted = _attach(coded.groupBy(*keys, "_key", "_mask").agg(F.count(F.lit(1)).alias("_c")), bounds, keys)
+    cells = []
+    for i in span:
+        is_under = F.col("_mask").bitwiseAND(F.lit(1 << i)) != 0
+        in_bracket = (F.col("_key") >= F.col(f"_lo{i}")) & (F.col("_key") <= F.col(f"_hi{i}"))
+        cells.append(
             F.struct(
-                F.lit(name).alias("name"),
-                F.when(small | (F.lit(cuts[2 * i]) <= 0), F.col("_min")).otherwise(F.col("_cuts")[2 * i]).alias("lo"),
-                F.when(small | (F.lit(cuts[2 * i + 1]) >= 1), F.col("_max")).otherwise(F.col("_cuts")[2 * i + 1]).alias("hi"),
-                F.floor(pos).alias("r0"),
-                F.ceil(pos).alias("r1"),
-                (pos - F.floor(pos)).alias("frac"),
+                F.lit(i).alias("_i"),
+                F.when(~is_under, F.col("_key")).alias("_x"),
+                F.col(f"_r{i}").alias("_r"),
+                F.col(f"_s{i}").alias("_s"),
+                F.col(f"_f{i}").alias("_f"),
+                (is_under | F.coalesce(in_bracket, F.lit(False))).alias("_keep"),
             )
         )
-    bounds = sketch.select(*keys, F.array(*brackets).alias("_b"))
-    if keys:
-        marked = null_safe_join(base, bounds, keys)
-    else:
-        marked = base.withColumn("_b", bounds.select("_b").scalar())
-    kept = F.exists("_b", lambda b: (F.col("_v") >= b["lo"]) & (F.col("_v") <= b["hi"]))
-    below = F.transform("_b", lambda b: F.col("_v") < b["lo"])
-    placed = marked.select(*keys, F.when(kept, F.col("_v")).alias("_v"), below.alias("_below"), "_b")
-    counted = placed.groupBy(*keys, "_v", "_below").agg(F.count(F.lit(1)).alias("_c"), F.first("_b").alias("_b"))
-    per_q = counted.select(*keys, "_v", "_c", "_below", F.posexplode("_b").alias("_i", "_q"))
-    per_q = per_q.withColumn("_under", F.col("_below")[F.col("_i")])
-    inside = (F.col("_v") >= F.col("_q.lo")) & (F.col("_v") <= F.col("_q.hi"))
-    per_q = per_q.where(F.col("_under") | inside)
-    folded = (
-        per_q.withColumn("_v", F.when(~F.col("_under"), F.col("_v")))
-        .groupBy(*keys, "_i", "_v")
-        .agg(F.sum("_c").alias("_c"), F.first("_q").alias("_q"))
-    )
+    out = counted.select(*keys, "_c", F.inline(F.array(*cells))).where("_keep")
+    folded = out.groupBy(*keys, "_i", "_x", "_r", "_s", "_f").agg(F.sum("_c").alias("_c"))
     # Nulls first: the single "below" row leads, then the bracket's values.
-    w = Window.partitionBy(*keys, "_i").orderBy(F.col("_v").asc_nulls_first())
-    upto = F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    placed = folded.withColumn("_hi", upto).withColumn("_lo", F.col("_hi") - F.col("_c"))
+    w = Window.partitionBy(*keys, "_i").orderBy(F.col("_x").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    placed = folded.withColumn("_to", F.sum("_c").over(w)).withColumn("_from", F.col("_to") - F.col("_c"))
 
-    def holds(r):
-        return (F.col(f"_q.{r}") >= F.col("_lo")) & (F.col(f"_q.{r}") < F.col("_hi"))
+    def at(rank):
+        return F.max(F.when((F.col(rank) >= F.col("_from")) & (F.col(rank) < F.col("_to")), F.col("_x")))
 
-    found = placed.groupBy(*keys, "_i").agg(
-        F.first("_q.frac").alias("_f"),
-        F.max(F.when(holds("r0"), F.col("_v"))).alias("_a"),
-        F.max(F.when(holds("r1"), F.col("_v"))).alias("_z"),
-    )
+    found = placed.groupBy(*keys, "_i", "_f").agg(at("_r").alias("_a"), at("_s").alias("_z"))
     value_at = F.when(
         F.col("_a").isNotNull() & F.col("_z").isNotNull(),
         F.col("_a") + (F.col("_z") - F.col("_a")) * F.col("_f"),
     ).otherwise(F.raise_error(F.lit("percentile rank fell outside its bracket")).cast("double"))
-    found = found.withColumn("_out", value_at)
+    found = found.select(*keys, "_i", value_at.alias("_out"))
     return found.groupBy(*keys).agg(
         *[F.max(F.when(F.col("_i") == i, F.col("_out"))).alias(n) for i, n in enumerate(quantiles)]
     )
 
 
+def _attach(df: DataFrame, bounds: DataFrame, keys: list[str]) -> DataFrame:
+    if keys:
+        return null_safe_join(df, bounds, keys)
+    row = bounds.select(F.struct(*bounds.columns)).scalar()
+    return df.withColumn("_b", row).select(*df.columns, "_b.*")
+
+
 def approx_percentiles(df: DataFrame, keys: list[str], value: str, quantiles: dict[str, float], accuracy: int = ACCURACY) -> DataFrame:
     """Sketch percentiles: one pass, mergeable, bounded state per key."""
     return df.groupBy(*keys).agg(*[F.percentile_approx(value, float(q), accuracy).alias(n) for n, q in quantiles.items()])

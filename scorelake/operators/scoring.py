@@ -264,6 +264,37 @@ def score(df: DataFrame, model: Model, input_col: str = "features", id_cols: tup
     return out.withColumnRenamed(model.name, "output")
 
 
+def score_blobs(df: DataFrame, model: Model, decode: Callable[[bytes], np.ndarray], content_col: str = "content", id_cols: tuple[str, ...] = ("path",), batch_size: int = 64, device_mode: str = "cpu_only", dtype: str = "float32") -> DataFrame:
+    """Score stored files or encoded images with one model.
+
+    ``decode`` turns a file's bytes into the model's input; it runs inside the
+    scoring batch, so only ``batch_size`` decoded inputs exist at a time.
+    """
+    handle = broadcast_weights(df.sparkSession, [model])
+    spec = {"name": model.name, "forward": model.forward, "prepare": model.prepare, "output": model.output, "width": model.width}
+    token, ids = uuid.uuid4().hex, list(id_cols)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _task_device(device_mode)
+        weights, _ = _worker_weights(handle, token, [spec], dtype)
+        for batch in batches:
+            for at in range(0, batch.num_rows, batch_size):
+                part = batch.slice(at, batch_size)
+                x = np.stack([np.asarray(decode(c.as_py()), dtype=dtype).ravel() for c in part.column(len(ids))])
+                if x.shape[1] != spec["width"]:
+                    raise ValueError(f"decoder gave {x.shape[1]} values, the model reads {spec['width']}")
+                out = spec["forward"](weights[spec["name"]], x)
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(ids)], _to_arrow(spec["output"], out)], [*ids, spec["name"]])
+
+    slim = df.select(*id_cols, content_col)
+    kinds = dict(slim.dtypes)
+    schema = ", ".join([f"`{c}` {kinds[c]}" for c in ids] + [f"`{model.name}` {_spark_type(model.output, dtype)}"])
+    scored = slim.mapInArrow(run, schema)
+    if model.output == "logits":
+        return scored.select(*id_cols, f"`{model.name}`.*")
+    return scored.withColumnRenamed(model.name, "output")
+
+
 def score_column(spark: SparkSession, model: Model, batch_size: int = 1024) -> Callable[[str | Column], Column]:
     """The column form, for use inside ``select``: logits, vector or score."""
     from pyspark.ml.functions import predict_batch_udf

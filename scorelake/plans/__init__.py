@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import columns, runs, vectors
+from . import columns, ordered, runs, scoring, telemetry, vectors
 from .catalog import Query
 
-_MODULES = (vectors, columns, runs)
+_MODULES = (vectors, columns, runs, ordered, telemetry, scoring)
 
 
 def all_queries() -> dict[str, Query]:
