@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import columns, ordered, runs, scoring, telemetry, vectors
+from . import columns, formats, ordered, runs, scoring, telemetry, vectors
 from .catalog import Query
 
-_MODULES = (vectors, columns, runs, ordered, telemetry, scoring)
+_MODULES = (vectors, columns, runs, ordered, telemetry, scoring, formats)
 
 
 def all_queries() -> dict[str, Query]:

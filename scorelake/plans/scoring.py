@@ -17,7 +17,7 @@ from ..sources.signals import stream_signals
 from ..streaming import jobs as ST
 from .catalog import Catalog, rnd, rnd_sql
 from .tables import LABELS, SIGNALS, signals, table, wide_signals
-from .weights import dense_sql, formula_weights, norm_sql
+from .weights import dense_sql, formula_weights, layer_sql, norm_sql
 
 catalog = Catalog()
 query = catalog.query
@@ -146,24 +146,39 @@ def m11_centroid(spark, sf_dir):
     return joined.select("signal_id", rnd(V.sq_error("features", "center"), 6).alias("residual"))
 
 
-# The convolution, unrolled in SQL: h(signal_id, pos, v) holds the channels at a position.
-def _conv_cte(k: int, kernel: int, pad: int, source: str) -> str:
-    from .weights import layer_sql
-
-    spots = ", ".join(f"{t} - {pad}" for t in range(kernel))
+# The convolutions in SQL: ``chan`` lists, per position, the channel values. A
+# window is a slice of the zero-padded list, so it runs position by position and
+# the weights are listed in that order too.
+def _conv_sql(k: int, kernel: int, pad: int, channels: int, source: str) -> str:
+    zeros = f"[[0.0::DOUBLE for _ in range({channels})] for _ in range({pad})]"
     act = norm_sql("rf_fingerprinter", f"bn{k}", "greatest(y, 0::DOUBLE)")
+    weights = layer_sql("rf_fingerprinter", f"conv{k}", order=f"j % {kernel}, j // {kernel}")
     return (
-        f"fw{k} AS MATERIALIZED ({layer_sql('rf_fingerprinter', f'conv{k}')}), "
-        # A window lists, channel by channel, the values around a position; zeros outside.
-        f"win{k} AS MATERIALIZED (SELECT h.signal_id, p.pos, flatten(list_transform(range(1, len(h.chan[1]) + 1), "
-        f"lambda c: list_transform([{spots}], lambda t: coalesce(h.chan[p.pos + t + 1][c], 0::DOUBLE)))) AS v "
-        f"FROM {source} h, (SELECT unnest(range(128)) AS pos) p), "
+        f"fw{k} AS MATERIALIZED ({weights}), "
+        f"pad{k} AS MATERIALIZED (SELECT signal_id, list_concat({zeros}, chan, {zeros}) AS chan FROM {source}), "
+        f"win{k} AS (SELECT signal_id, p.pos, flatten(chan[p.pos + 1:p.pos + {kernel}]) AS v FROM pad{k}, (SELECT unnest(range(128)) AS pos) p), "
         f"act{k} AS (SELECT signal_id, pos, list({act} ORDER BY i) AS v FROM (SELECT signal_id, pos, i, list_dot_product(v, w) + b AS y FROM win{k}, fw{k}) GROUP BY signal_id, pos), "
         f"h{k} AS MATERIALIZED (SELECT signal_id, list(v ORDER BY pos) AS chan FROM act{k} GROUP BY signal_id)"
     )
 
 
-@query("m10_embedding")
+FINGERPRINT_DENSE, FINGERPRINT_RAW = dense_sql("rf_fingerprinter", [("fc0", RELU), ("fc1", "{y}")], "pooled", "fp_")
+FINGERPRINT = ", ".join(
+    [
+        "h AS (SELECT signal_id, list_transform(v, lambda z: [z]) AS chan FROM x)",
+        _conv_sql(0, 7, 3, 1, "h"),
+        _conv_sql(1, 5, 2, 32, "h0"),
+        _conv_sql(2, 3, 1, 64, "h1"),
+        # Means of 16 positions; flattened channel by channel.
+        "pools AS (SELECT signal_id, c, pos // 16 AS slot, avg(z) AS z FROM (SELECT signal_id, pos, unnest(range(128)) AS c, unnest(v) AS z FROM act2) GROUP BY ALL)",
+        "pooled AS MATERIALIZED (SELECT signal_id, list(z ORDER BY c, slot) AS v FROM pools GROUP BY signal_id)",
+        FINGERPRINT_DENSE,
+        f"unit AS (SELECT signal_id, list_transform(v, lambda z: z / greatest(n, 1e-12)) AS v FROM (SELECT *, sqrt(list_dot_product(v, v)) AS n FROM {FINGERPRINT_RAW}))",
+    ]
+)
+
+
+@query("m10_embedding", f"WITH {INPUT}, {FINGERPRINT} " + _long_sql("unit"))
 def m10(spark, sf_dir):
     return _long(SC.score(wide_signals(spark, sf_dir), net("rf_fingerprinter"), dtype="float64"), "output")
 

@@ -37,12 +37,12 @@ def formula_weights(model: str) -> dict[str, np.ndarray]:
     return out
 
 
-def layer_sql(model: str, name: str) -> str:
-    """Rows (i, w, b) of an affine layer."""
+def layer_sql(model: str, name: str, order: str = "j") -> str:
+    """Rows (i, w, b) of an affine layer; ``order`` lists each unit's weights."""
     layer, shape = list(LAYERS[model]).index(name), LAYERS[model][name]
     fan_in = int(np.prod(shape[1:]))
     return (
-        f"SELECT i, list(sin(i * j * 0.37::DOUBLE + i * 1.1::DOUBLE + j * 0.7::DOUBLE + {layer}) * (1.5::DOUBLE / sqrt({fan_in}::DOUBLE)) ORDER BY j) AS w, "
+        f"SELECT i, list(sin(i * j * 0.37::DOUBLE + i * 1.1::DOUBLE + j * 0.7::DOUBLE + {layer}) * (1.5::DOUBLE / sqrt({fan_in}::DOUBLE)) ORDER BY {order}) AS w, "
         f"0.1::DOUBLE * sin(i * 0.9::DOUBLE + {layer}) AS b FROM range({shape[0]}) r(i), range({fan_in}) c(j) GROUP BY i"
     )
 

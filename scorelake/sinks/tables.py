@@ -12,10 +12,10 @@ def write_runs(df: DataFrame, path: str, mode_col: str = "device_mode") -> None:
     df.withColumn("mode_dir", F.col(mode_col)).write.mode("append").partitionBy("mode_dir").json(path)
 
 
-def archive(df: DataFrame, path: str, ts: str | Column, fmt: str = "parquet") -> None:
-    """Append under a date folder, so old data can be pruned by path."""
+def archive(df: DataFrame, path: str, ts: str | Column, fmt: str = "parquet", grain: str = "yyyyMMdd") -> None:
+    """Append under a time folder, so old data can be pruned by path."""
     when = F.col(ts) if isinstance(ts, str) else ts
-    df.withColumn("run_date", F.to_date(when)).write.mode("append").partitionBy("run_date").format(fmt).save(path)
+    df.withColumn("run_prefix", F.date_format(when, grain)).write.mode("append").partitionBy("run_prefix").format(fmt).save(path)
 
 
 def write_predictions(df: DataFrame, path: str, mode: str = "append", partition_by: tuple[str, ...] = ()) -> None:

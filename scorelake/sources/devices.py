@@ -13,9 +13,8 @@ REQUIRED = FIELDS[1:6]
 
 def parse_device_lines(lines: DataFrame, col: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
     """Typed readings. Lines with another field count are dropped, then rows whose
-    required fields are not numbers. An absent power value stays null; a power
-    text that is neither absent nor a number drops the row's power only after the
-    other metrics were already taken, so the row is kept."""
+    required fields are not numbers. A power value that is absent or not a number
+    becomes null and the row's other metrics are kept."""
     parts = lines.select(*keep, F.transform(F.split(F.trim(col), ",", -1), lambda p: F.trim(p)).alias("p"))
     fields = parts.where(F.size("p") == len(FIELDS))
     named = fields.select(*keep, *[F.col("p")[i].alias(n) for i, n in enumerate(FIELDS)])

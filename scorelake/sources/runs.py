@@ -9,31 +9,28 @@ from ..operators.filters import RESULT_MODES, ok_runs
 from ..schemas import MODE_RESULTS, RUN
 
 
-def _records(spark: SparkSession, path: str, schema: str, glob: str | None) -> DataFrame:
-    reader = spark.read.schema(schema).option("multiLine", "true").option("mode", "FAILFAST")
+def _records(spark: SparkSession, path: str, schema: str, glob: str | None, lines: bool = False) -> DataFrame:
+    """Records of whole-file JSON documents, or with ``lines`` one per line: the
+    layout to prefer at scale, since a file of lines can be split over tasks."""
+    reader = spark.read.schema(schema).option("multiLine", str(not lines).lower()).option("mode", "FAILFAST")
     if glob:
         reader = reader.option("pathGlobFilter", glob).option("recursiveFileLookup", "true")
     return reader.json(path).withColumn("_source_file", F.col("_metadata.file_name"))
 
 
-def read_runs(spark: SparkSession, path: str, glob: str | None = "cluster_benchmark_*.json") -> DataFrame:
-    """One record per file, tagged with its file name."""
-    return _records(spark, path, RUN, glob)
+def read_runs(spark: SparkSession, path: str, glob: str | None = "cluster_benchmark_*.json", lines: bool = False) -> DataFrame:
+    """Run records tagged with the name of their file."""
+    return _records(spark, path, RUN, glob, lines)
 
 
-def read_run_grid(spark: SparkSession, path: str, glob: str | None = "incremental_all_modes_*.json") -> DataFrame:
+def read_run_grid(spark: SparkSession, path: str, glob: str | None = "incremental_all_modes_*.json", lines: bool = False) -> DataFrame:
     """Files holding an array of records; failed ones are left out."""
-    return ok_runs(_records(spark, path, RUN, glob))
+    return ok_runs(_records(spark, path, RUN, glob, lines))
 
 
-def read_run_lines(spark: SparkSession, path: str) -> DataFrame:
-    """The same records as JSON lines: the splittable layout the run sink writes."""
-    return spark.read.schema(RUN).option("mode", "FAILFAST").json(path).withColumn("_source_file", F.col("_metadata.file_name"))
-
-
-def read_mode_results(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """One row per (file, mode) of the per-mode result files; absent modes drop out."""
-    wide = _records(spark, path, MODE_RESULTS, glob)
+def read_mode_results(spark: SparkSession, path: str, glob: str | None = None, lines: bool = False) -> DataFrame:
+    """One row per (record, mode) of the per-mode result files; absent modes drop out."""
+    wide = _records(spark, path, MODE_RESULTS, glob, lines)
     modes = [F.struct(F.lit(m).alias("result_mode"), F.col(m).alias("r")) for m in RESULT_MODES]
     rows = wide.select("_source_file", "config", "total_benchmark_time", F.inline(F.array(*modes)))
     return rows.where(F.col("r").isNotNull()).select("_source_file", "config", "total_benchmark_time", "result_mode", "r.*")

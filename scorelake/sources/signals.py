@@ -33,10 +33,9 @@ def read_wide_signals(spark: SparkSession, path: str, n: int = 128, fmt: str = "
     return to_array(reader.load(path), wide_names(n))
 
 
-def read_npy(spark: SparkSession, path: str, dims: int) -> DataFrame:
-    """Rows of ``.npy`` blocks: (file, row_idx, values). One file is one block, at
-    most 2 GB; its rows leave the task a slice at a time."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").load(path).select("path", "content")
+def unpack_npy(files: DataFrame, dims: int) -> DataFrame:
+    """Rows of ``.npy`` blocks held in (path, content): (file, row_idx, values).
+    One block is at most 2 GB; its rows leave the task a slice at a time."""
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -57,10 +56,15 @@ def read_npy(spark: SparkSession, path: str, dims: int) -> DataFrame:
                         ["file", "row_idx", "values"],
                     )
 
-    rows = files.mapInArrow(unpack, "file string, row_idx bigint, values array<float>")
+    rows = files.select("path", "content").mapInArrow(unpack, "file string, row_idx bigint, values array<float>")
     return rows.withColumn("file", F.element_at(F.split("file", "/"), -1))
 
 
+def read_npy(spark: SparkSession, path: str, dims: int) -> DataFrame:
+    """A folder of ``.npy`` blocks as rows."""
+    return unpack_npy(spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").load(path), dims)
+
+
 def read_blobs(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """Stored files as (path, length, content); decode in the scoring batch."""
     return spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("path", "length", "content")

@@ -8,16 +8,16 @@ from pyspark.sql import functions as F
 from ..schemas import CLUSTER_STATE, EVENT_LOG, STATUS
 
 
-def _status(spark: SparkSession, path: str, glob: str | None) -> DataFrame:
-    reader = spark.read.schema(STATUS).option("multiLine", "true")
+def _status(spark: SparkSession, path: str, glob: str | None, lines: bool) -> DataFrame:
+    reader = spark.read.schema(STATUS).option("multiLine", str(not lines).lower())
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     return reader.json(path).withColumn("_source_file", F.col("_metadata.file_name"))
 
 
-def read_status(spark: SparkSession, path: str, glob: str | None = None) -> dict[str, DataFrame]:
+def read_status(spark: SparkSession, path: str, glob: str | None = None, lines: bool = False) -> dict[str, DataFrame]:
     """Application, jobs, stages, executors, environment and storage tables."""
-    raw = _status(spark, path, glob)
+    raw = _status(spark, path, glob, lines)
     tables = {
         name: raw.select("_source_file", F.col("application.id").alias("app_id"), F.inline(name))
         for name in ("jobs", "stages", "executors", "storage")
@@ -33,15 +33,16 @@ def run_status(runs: DataFrame, part: str, keep: list[str]) -> DataFrame:
     return runs.select(*keep, F.inline(f"spark_ui_stats.{part}"))
 
 
-def read_cluster_state(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(CLUSTER_STATE).option("multiLine", "true").json(path)
+def read_cluster_state(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    return spark.read.schema(CLUSTER_STATE).option("multiLine", str(not lines).lower()).json(path)
 
 
-def cluster_figures(state: DataFrame) -> DataFrame:
+def cluster_figures(state: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Counts and sums per state record, read inside its own arrays."""
     workers = F.coalesce("workers", F.array())
     add = lambda f: F.aggregate(workers, F.lit(0).cast("long"), lambda acc, w: acc + F.coalesce(w[f], F.lit(0)))
     return state.select(
+        *keep,
         F.size(workers).alias("total_workers"),
         F.size(F.filter(workers, lambda w: w["state"] == "ALIVE")).alias("active_workers"),
         add("cores").alias("total_cores"),

@@ -65,9 +65,9 @@ def metrics_stream(src: DataFrame, spec, keep: list[str]) -> DataFrame:
     return to_metrics(src, spec, keep)
 
 
-def stream_run_files(spark: SparkSession, path: str, glob: str = "*.json", max_files: int = 1000) -> DataFrame:
+def stream_run_files(spark: SparkSession, path: str, glob: str = "*.json", max_files: int = 1000, lines: bool = False) -> DataFrame:
     """Each new result file once; the query's checkpoint remembers what was read."""
-    reader = spark.readStream.schema(RUN).option("multiLine", "true").option("pathGlobFilter", glob)
+    reader = spark.readStream.schema(RUN).option("multiLine", str(not lines).lower()).option("pathGlobFilter", glob)
     out = reader.option("recursiveFileLookup", "true").option("maxFilesPerTrigger", max_files).json(path)
     return out.withColumn("_source_file", F.col("_metadata.file_name"))
 
