@@ -92,11 +92,8 @@ def class_frame(spark, classes=SIGNAL_CLASSES) -> DataFrame:
 
 
 def decode_labels(df: DataFrame, classes: DataFrame, label: str = "label") -> DataFrame:
-    """Left join to the class dimension; unknown labels keep null names.
-
-    The class list is a fixed handful of rows, so it is always broadcast.
-    """
-    return df.join(F.broadcast(classes), df[label] == classes["class_id"], "left").drop("class_id")
+    """Left join to the class dimension; unknown labels keep null names."""
+    return df.join(classes, df[label] == classes["class_id"], "left").drop("class_id")
 
 
 def argmax(c) -> Column:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from .scoring import _matrix
-from .segments import with_row_index
+from .segments import running_before, with_row_index
 
 MAX_BROADCAST_BYTES = 64 * 1024 * 1024
 PIVOTS = 64
@@ -121,17 +121,23 @@ def _match_blocks(queries, gallery, k, query_id, gallery_id, col, width, skip_se
     asked = _nearest_pivot(queries, query_id, col, pivots, every=True)
 
     # First visit: the block of the query's own cell that its distance falls in.
-    own = shells.groupBy("cell").agg(F.array_sort(F.collect_list(F.struct("near", "block"))).alias("_starts"))
-    home = asked.join(own, "cell")
-    inside = F.filter("_starts", lambda s: s["near"] <= F.get("gap", F.col("cell")))
-    block = F.coalesce(F.element_at(F.when(F.size(inside) > 0, inside), -1)["block"], F.lit(0).cast("long"))
-    home = home.withColumn("block", block)
+    # Block numbers grow with the distance, so it is the highest block seen before
+    # the query when queries and gallery rows are put in one order.
+    asked = cut_lineage(asked.withColumn("_own", F.get("gap", F.col("cell"))))
+    line = stock.select("cell", F.col("gap").alias("_own"), F.lit(None).cast("long").alias(query_id), "block").unionByName(
+        asked.select("cell", "_own", query_id, F.lit(None).cast("long").alias("block"))
+    )
+    seen = running_before(line, ["cell"], [F.col("_own").asc(), F.col(query_id).asc_nulls_first()], "block")
+    seen = seen.where(F.col(query_id).isNotNull()).select(query_id, F.coalesce("prev_max", F.lit(0).cast("long")).alias("block"))
+    # A cell that is nearest to a query only, not to any gallery row, has no block;
+    # its queries simply start without a bound.
+    home = asked.drop("_own").join(seen, query_id)
     first = cut_lineage(_visit(home.select(query_id, col, "cell", "block"), stock, k, query_id, gallery_id, col, width, skip_self))
     bound = first.groupBy(query_id).agg(F.count(F.lit(1)).alias("_n"), F.min("similarity").alias("_worst"))
     # Unit vectors: distance^2 = 2 - 2 * similarity. Fewer than k so far: no bound.
     reach = F.when(F.col("_n") >= k, F.sqrt(F.greatest(2 - 2 * F.col("_worst"), F.lit(0.0)))).otherwise(F.lit(float("inf")))
     bound = bound.select(query_id, reach.alias("_reach"))
-    open_q = home.drop("_starts").withColumnRenamed("cell", "home_cell").withColumnRenamed("block", "home_block")
+    open_q = home.withColumnRenamed("cell", "home_cell").withColumnRenamed("block", "home_block")
     open_q = open_q.join(bound, query_id, "left").withColumn("_reach", F.coalesce("_reach", F.lit(float("inf"))))
     # One row per cell that its pivot distance cannot rule out, then its shells.
     spread = open_q.select(query_id, col, "home_cell", "home_block", "_reach", F.posexplode("gap").alias("cell", "_d"))

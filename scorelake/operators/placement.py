@@ -12,20 +12,22 @@ from ..session import cut_lineage
 STRATEGIES = ("priority", "largest_first", "greedy", "balanced")
 
 # Candidates a node looks at per round. It bounds one group's rows, not the
-# result: rounds go on until no remaining model fits anywhere.
-WINDOW = 2048
+# result: rounds go on until no remaining model fits anywhere. Up to 1000, Spark
+# keeps only that many rows per node and task before the shuffle.
+WINDOW = 1000
 
 
-def _order(strategy: str, size: str, priority: str | None, tie: str) -> list[Column]:
+def _turn(strategy: str, size: str, priority: str | None, tie: str) -> Column:
+    """A value that sorts the models of a node in the order they get their turn."""
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown strategy {strategy!r}")
     if strategy == "greedy":
-        return [F.col(tie).asc()]
+        return F.struct(F.col(tie))
     if strategy == "priority":
         # A missing priority sorts as 0, whatever is recorded for it later.
         rank = F.coalesce(F.col(priority), F.lit(0)) if priority else F.lit(0)
-        return [rank.desc(), F.col(tie).asc()]
-    return [F.col(size).desc(), F.col(tie).asc()]
+        return F.struct((-rank).alias("rank"), F.col(tie))
+    return F.struct((-F.col(size)).alias("rank"), F.col(tie))
 
 
 def _first_fit(free: list[float], sizes, emptiest_first: bool) -> list[int]:
@@ -59,10 +61,8 @@ def plan_placement(
     takes, per node, just the next few models that could still fit, and repeats
     until none can. No node's models are ever gathered whole.
     """
-    order = _order(strategy, size, priority, model)
-    keep = [node, model, size] + ([priority] if priority else [])
-    items = models.select(*keep)
-    start = F.array(*[F.lit(float(b)) for b in budgets])
+    items = models.select(node, model, size, _turn(strategy, size, priority, model).alias("_turn"))
+    start = F.array(*[F.lit(float(b)) for b in budgets]).cast("array<double>")
     emptiest = strategy == "balanced"
 
     def simulate(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -77,18 +77,23 @@ def plan_placement(
     pending = items.withColumn("_free", start)
     placed = None
     while True:
-        fits = pending.where(F.col(size) <= F.array_max("_free"))
-        numbered = fits.withColumn("_rn", F.row_number().over(Window.partitionBy(node).orderBy(*order)))
-        window = numbered.where(F.col("_rn") <= WINDOW).select(node, model, size, "_rn", "_free")
-        done = cut_lineage(window.groupBy(node).applyInPandas(simulate, schema))
+        pending = pending.where(F.col(size) <= F.array_max("_free"))
+        numbered = pending.withColumn("_rn", F.row_number().over(Window.partitionBy(node).orderBy("_turn")))
+        window = numbered.where(F.col("_rn") <= WINDOW)
+        done = cut_lineage(window.select(node, model, size, "_rn", "_free").groupBy(node).applyInPandas(simulate, schema))
         if done.isEmpty():
             break
         won = done.where(F.col("_dev") >= 0).select(node, model, "_dev")
         placed = won if placed is None else placed.unionByName(won)
-        # Every looked-at model is settled; the rest meet the node's new free space.
-        state = done.groupBy(node).agg(F.first("_free").alias("_free"))
-        rest = numbered.where(F.col("_rn") > WINDOW).drop("_rn", "_free")
-        pending = cut_lineage(rest.join(state, node, "inner"))
+        # Every looked-at model is settled. Later turns meet the node's new free
+        # space; a node that looked at fewer than a window has no later turns.
+        state = done.groupBy(node).agg(
+            F.first("_free").alias("_free"), F.max_by(model, "_rn").alias(model), F.max("_rn").alias("_seen")
+        )
+        state = state.where(F.col("_seen") == WINDOW).join(items.select(node, model, F.col("_turn").alias("_last")), [node, model])
+        state = state.select(node, "_free", "_last")
+        rest = pending.drop("_free").join(state, node, "inner").where(F.col("_turn") > F.col("_last"))
+        pending = cut_lineage(rest.drop("_last"))
     if placed is None:
         return models.withColumn("device", F.lit("cpu"))
     spot = F.concat(F.lit("cuda:"), F.col("_dev").cast("string"))

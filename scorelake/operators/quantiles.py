@@ -16,7 +16,36 @@ ACCURACY = 10_000
 
 
 def exact_percentiles(df: DataFrame, keys: list[str], value: str, quantiles: dict[str, float]) -> DataFrame:
-    """Exact linear-interpolation percentiles without gathering a key's rows.
+    """Exact linear-interpolation percentiles without gathering a large key's rows.
+
+    Keys of at most ``ACCURACY`` rows are ranked directly, all sorted together.
+    Larger keys, of which there can only be few, go through :func:`_bracketed`.
+    """
+    keys = list(keys)
+    base = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
+    if not keys:
+        return _bracketed(base, keys, quantiles)
+    large = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > ACCURACY).drop("_n")
+    few = _ranked(null_safe_join(base, large, keys, "left_anti"), keys, quantiles)
+    many = _bracketed(null_safe_join(base, large, keys, "left_semi"), keys, quantiles)
+    return few.unionByName(many)
+
+
+def _ranked(base: DataFrame, keys: list[str], quantiles: dict[str, float]) -> DataFrame:
+    """Percentiles of keys known to be small, from each row's place in its key."""
+    own = Window.partitionBy(*keys)
+    placed = base.withColumns({"_at": F.row_number().over(own.orderBy("_v")) - 1, "_last": F.count(F.lit(1)).over(own) - 1})
+    out = []
+    for name, q in quantiles.items():
+        pos = F.col("_last") * F.lit(float(q))
+        low = F.max(F.when(F.col("_at") == F.floor(pos), F.col("_v")))
+        high = F.max(F.when(F.col("_at") == F.ceil(pos), F.col("_v")))
+        out.append((low + (high - low) * F.max(pos - F.floor(pos))).alias(name))
+    return placed.groupBy(*keys).agg(*out)
+
+
+def _bracketed(base: DataFrame, keys: list[str], quantiles: dict[str, float]) -> DataFrame:
+    """Percentiles of keys of any size.
 
     Pass one brackets every wanted rank between two sketch values. The sketch's
     rank error is bounded, so the bracket provably holds the rank, and it spans
@@ -24,8 +53,6 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str, quantiles: dic
     rows below each bracket and the distinct values inside it. Only those few
     values meet in one place. A missed rank would raise, never give a wrong value.
     """
-    keys = list(keys)
-    base = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
     eps = 3.0 / ACCURACY
     cuts = [min(1.0, max(0.0, q + d)) for q in quantiles.values() for d in (-eps, eps)]
     sketch = base.groupBy(*keys).agg(

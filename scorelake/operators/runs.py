@@ -205,11 +205,12 @@ def evenness(tasks: DataFrame, by: list[str]) -> DataFrame:
 def task_quantiles(tasks: DataFrame, by: list[str], cols: list[str]) -> DataFrame:
     """Min, quartile, median and max of each column per stage."""
     wanted = {"min": 0.0, "p25": 0.25, "median": 0.5, "max": 1.0}
-    out = None
-    for c in cols:
-        part = exact_percentiles(tasks, by, c, {f"{c}_{n}": q for n, q in wanted.items()})
-        out = part if out is None else null_safe_join(out, part, by)
-    return out
+    # The columns become rows, so all of them share one pass.
+    values = F.inline(F.array(*[F.struct(F.lit(c).alias("_col"), F.col(c).cast("double").alias("_value")) for c in cols]))
+    found = exact_percentiles(tasks.select(*by, values), [*by, "_col"], "_value", wanted)
+    return found.groupBy(*by).agg(
+        *[F.max(F.when(F.col("_col") == c, F.col(n))).alias(f"{c}_{n}") for c in cols for n in wanted]
+    )
 
 
 def run_health(tasks: DataFrame, by: list[str], memory_pct: Column | None = None) -> DataFrame:

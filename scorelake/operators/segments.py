@@ -21,9 +21,12 @@ SEG, POS = "_seg", "_pos"
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Equi join on ``keys`` where null matches null; right keys are dropped."""
+    if how in ("left_semi", "left_anti"):
+        right = right.select(*keys)
     renamed = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
     on = reduce(lambda a, b: a & b, [left[k].eqNullSafe(renamed[f"_r_{k}"]) for k in keys])
-    return left.join(renamed, on, how).drop(*[f"_r_{k}" for k in keys])
+    joined = left.join(renamed, on, how)
+    return joined if how in ("left_semi", "left_anti") else joined.drop(*[f"_r_{k}" for k in keys])
 
 
 def segmented(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

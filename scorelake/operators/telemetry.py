@@ -143,9 +143,10 @@ def threshold_frame(spark, thresholds=ALERT_THRESHOLDS) -> DataFrame:
 
 def alerts(df: DataFrame, thresholds: DataFrame, metric: str = "metric", value: str = "value") -> DataFrame:
     """Rows beyond a limit of their metric. The equality on the metric carries
-    the join, the comparison filters it. A threshold list is a few configured
-    rows, so it is broadcast; this also works with a stream on the left."""
-    limits = F.broadcast(thresholds.withColumnRenamed("metric", "_metric"))
+    the join and the comparison filters it, so Spark broadcasts the limits when
+    they are small and still has a key to join on when they are not. The left
+    side may be a stream."""
+    limits = thresholds.withColumnRenamed("metric", "_metric")
     beyond = ((F.col("op") == ">") & (F.col(value) > F.col("threshold"))) | (
         (F.col("op") == "<") & (F.col(value) < F.col("threshold"))
     )

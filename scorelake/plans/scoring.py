@@ -16,7 +16,7 @@ from ..session import scratch_path
 from ..sources.signals import stream_signals
 from ..streaming import jobs as ST
 from .catalog import Catalog, rnd, rnd_sql
-from .tables import LABELS, SIGNALS, signals, table, wide_signals
+from .tables import LABELS, SIGNALS, signals, table, task_signals, wide_signals
 from .weights import dense_sql, formula_weights, layer_sql, norm_sql
 
 catalog = Catalog()
@@ -62,6 +62,23 @@ def a3_model(spark, sf_dir):
     return accuracy(centroid_preds(spark, sf_dir)).withColumn("accuracy", rnd("accuracy", 6))
 
 
+TASK_SIGNALS = (
+    "w AS (SELECT signal_id, label, list_concat(features, list_reverse(features))::DOUBLE[] AS v FROM signals), "
+    "wc AS (SELECT label AS k, pos, avg(x) AS m FROM (SELECT label, unnest(range(len(v))) AS pos, unnest(v) AS x FROM w) GROUP BY ALL), "
+    "wcl AS MATERIALIZED (SELECT k, list(m ORDER BY pos) AS center FROM wc GROUP BY k), n AS (SELECT count(*) AS n FROM embeddings), "
+    "ts AS (SELECT row_number() OVER () AS rid, l_suppkey AS executor_id, list_concat(i.embedding, q.embedding)::DOUBLE[] AS v FROM lineitem, n "
+    "JOIN embeddings i ON i.vec_id = l_partkey % n.n JOIN embeddings q ON q.vec_id = l_suppkey % n.n), "
+    "tp AS (SELECT rid, executor_id, arg_max(k, list_dot_product(v, center)) AS pred FROM ts, wcl GROUP BY rid, executor_id)"
+)
+
+
+@query("m1_score_task_signals", f"WITH {SIGNALS}, {TASK_SIGNALS} SELECT executor_id, pred, count(*) AS n FROM tp GROUP BY ALL")
+def m1_tasks(spark, sf_dir):
+    model = training.fit_centroids(wide_signals(spark, sf_dir))
+    out = SC.score(task_signals(spark, sf_dir), model, id_cols=("executor_id",), dtype="float64")
+    return out.groupBy("executor_id", "pred").agg(F.count("*").alias("n"))
+
+
 @query("u5_same_predictions", "SELECT 0::BIGINT AS differing_rows, count(*) AS rows FROM embeddings")
 def u5(spark, sf_dir):
     """Predictions must not depend on batch size or on how rows are partitioned."""

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 HALF = 32  # in-phase values per test vector; the rest is quadrature
 MODES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 BASELINE_MODE = "5-LOW"
@@ -27,7 +29,26 @@ def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def wide_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Signals of 128 values: the test vector in phase, its mirror in quadrature."""
-    return signals(spark, sf_dir).withColumn("features", F.concat("features", F.reverse("features")))
+    return spread(signals(spark, sf_dir)).withColumn("features", F.concat("features", F.reverse("features")))
+
+
+def task_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One 128-value signal per task: the vector its model maps to in phase, the
+    one its executor maps to in quadrature. AQE picks both join strategies."""
+    e = table(spark, sf_dir, "embeddings")
+    n = e.agg(F.count(F.lit(1))).scalar()
+    t = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("run_id"),
+        F.col("l_suppkey").alias("executor_id"),
+        F.pmod("l_partkey", n).alias("_i"),
+        F.pmod("l_suppkey", n).alias("_q"),
+    )
+    # Spread while rows are four numbers wide, not after the vectors are joined on.
+    t = spread(t)
+    i = e.select(F.col("vec_id").alias("_i"), F.col("embedding").alias("_iv"))
+    q = e.select(F.col("vec_id").alias("_q"), F.col("embedding").alias("_qv"))
+    joined = t.join(i, "_i").join(q, "_q")
+    return joined.select("run_id", "executor_id", F.concat("_iv", "_qv").alias("features"))
 
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -56,6 +56,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Let a table of few files use every core before heavy per-row work.
+
+    A table with at least as many files as task slots is read in parallel as it
+    is and passes through untouched, so large inputs are never shuffled here.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df if len(df.inputFiles()) >= slots else df.repartition(slots)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package's code to the executors, once per application.
 
