@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from .segments import null_safe_join
 
 # The four orderings a plan can use.
 STRATEGIES = ("priority", "largest_first", "greedy", "balanced")
@@ -90,14 +91,14 @@ def plan_placement(
         state = done.groupBy(node).agg(
             F.first("_free").alias("_free"), F.max_by(model, "_rn").alias(model), F.max("_rn").alias("_seen")
         )
-        state = state.where(F.col("_seen") == WINDOW).join(items.select(node, model, F.col("_turn").alias("_last")), [node, model])
+        state = null_safe_join(state.where(F.col("_seen") == WINDOW), items.select(node, model, F.col("_turn").alias("_last")), [node, model])
         state = state.select(node, "_free", "_last")
-        rest = pending.drop("_free").join(state, node, "inner").where(F.col("_turn") > F.col("_last"))
+        rest = null_safe_join(pending.drop("_free"), state, [node]).where(F.col("_turn") > F.col("_last"))
         pending = cut_lineage(rest.drop("_last"))
     if placed is None:
         return models.withColumn("device", F.lit("cpu"))
     spot = F.concat(F.lit("cuda:"), F.col("_dev").cast("string"))
-    return models.join(placed, [node, model], "left").withColumn("device", F.coalesce(spot, F.lit("cpu"))).drop("_dev")
+    return null_safe_join(models, placed, [node, model], "left").withColumn("device", F.coalesce(spot, F.lit("cpu"))).drop("_dev")
 
 
 def placement_totals(placed: DataFrame, by: list[str] | None = None, size: str = "memory_mb") -> DataFrame:

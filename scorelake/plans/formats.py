@@ -201,7 +201,7 @@ def s3(spark, sf_dir):
     """One stored file per page; the text writer ends each with a newline."""
     path = scratch_path(spark, "pages")
     table(spark, sf_dir, "pages").select(F.col("page_id").alias("page"), F.col("html").alias("value")).write.partitionBy("page").text(path)
-    out = SG.read_blobs(spark, f"{path}/*", "*.txt")
+    out = SG.read_blobs(spark, path, "*.txt")
     return out.select(F.regexp_extract("path", "page=(\\d+)/", 1).cast("long").alias("page_id"), F.octet_length("content").cast("long").alias("length"))
 
 

@@ -58,10 +58,10 @@ def k5(spark, sf_dir):
 
 @query("w2_cold_warm", f"{HEAD}, o AS (SELECT *, row_number() OVER (PARTITION BY executor_id ORDER BY {TASK_ORDER_SQL}) AS rn FROM tasks), "
        "c AS (SELECT executor_id, max(load_time) FILTER (WHERE rn = 1) AS cold, coalesce(avg(load_time) FILTER (WHERE rn > 1), 0) AS warm FROM o GROUP BY executor_id) "
-       f"SELECT executor_id, {rnd_sql('cold', 6)} AS cold_load, {rnd_sql('warm', 6)} AS warm_load, {rnd_sql('CASE WHEN warm > 0 THEN cold / warm ELSE 0 END', 6)} AS cold_warm_ratio FROM c")
+       f"SELECT executor_id, {rnd_sql('cold', 9)} AS cold_load, {rnd_sql('warm', 9)} AS warm_load, {rnd_sql('CASE WHEN warm > 0 THEN cold / warm ELSE 0 END', 9)} AS cold_warm_ratio FROM c")
 def w2(spark, sf_dir):
     out = O.cold_warm(tasks(spark, sf_dir), TASK_ORDER)
-    return out.withColumns({c: rnd(c, 6) for c in ("cold_load", "warm_load", "cold_warm_ratio")})
+    return out.withColumns({c: rnd(c, 9) for c in ("cold_load", "warm_load", "cold_warm_ratio")})
 
 
 TP = f"{HEAD}, {RUN_TP}"

@@ -239,11 +239,12 @@ def m6(spark, sf_dir):
 
 @query("m13_train_classifier", "SELECT count(*) AS n, true AS above_floor FROM embeddings")
 def m13(spark, sf_dir):
-    """Training is not reproducible bit by bit; accuracy must beat chance (0.1) by far."""
-    rows = signals(spark, sf_dir)
-    model = training.fit_classifier(rows, [64, 32, 10])
+    """Train on a label that the vector determines: which of its first four values
+    is largest. Weights are not reproducible bit by bit, so a floor is checked."""
+    rows = signals(spark, sf_dir).withColumn("label", V.argmax(F.slice("features", 1, 4)))
+    model = training.fit_classifier(rows, [64, 32, 4])
     out = training.classify(model, rows)
-    return accuracy(out).select("n", (F.col("accuracy") >= 0.3).alias("above_floor"))
+    return accuracy(out).select("n", (F.col("accuracy") >= 0.9).alias("above_floor"))
 
 
 @query("m8_reconstructor", "SELECT count(*) AS n, true AS keeps_most FROM embeddings")

@@ -67,7 +67,8 @@ def read_npy(spark: SparkSession, path: str, dims: int) -> DataFrame:
 
 def read_blobs(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """Stored files as (path, length, content); decode in the scoring batch."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("path", "length", "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true")
+    return files.load(path).select("path", "length", "content")
 
 
 def stream_signals(spark: SparkSession, path: str, schema: str = SIGNALS, max_files: int = 100, fmt: str = "parquet", glob: str | None = None) -> DataFrame:
