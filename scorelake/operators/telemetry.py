@@ -76,7 +76,10 @@ def with_metric_batches(df: DataFrame, order: list[Column], size: int = METRIC_B
 
 
 def publish_metrics(df: DataFrame, put, size: int = METRIC_BATCH) -> None:
-    """Hand each partition's rows to ``put(list)`` in batches of at most ``size``."""
+    """Hand each partition's rows to ``put(list)`` in batches of at most ``size``.
+
+    A retried task sends its rows again, so ``put`` should be idempotent.
+    """
 
     def send(rows):
         batch = []

@@ -349,11 +349,12 @@ def t1(spark, sf_dir):
 
 @query("t2_score_batches", f"{HEAD} SELECT pred, count(*) AS predictions, (SELECT count(*) FROM embeddings) AS scored FROM preds GROUP BY pred")
 def t2(spark, sf_dir):
-    out, side = scratch_path(spark, "out"), scratch_path(spark, "metrics")
-    writer = ST.score_batches(signal_stream(spark, sf_dir), [centroid_model(spark, sf_dir)], out, scratch_path(spark, "checkpoint"), side, dtype="float64")
+    out = scratch_path(spark, "out")
+    writer = ST.score_batches(signal_stream(spark, sf_dir), [centroid_model(spark, sf_dir)], out, scratch_path(spark, "checkpoint"), dtype="float64")
     writer.trigger(availableNow=True).start().awaitTermination()
-    preds = spark.read.parquet(out).groupBy(F.col("centroid.pred").alias("pred")).agg(F.count("*").alias("predictions"))
-    return preds.withColumn("scored", spark.read.parquet(f"{side}/tasks").agg(F.sum("samples")).scalar())
+    preds, tasks = SC.split_scored(spark.read.parquet(out))
+    counts = preds.groupBy(F.col("centroid.pred").alias("pred")).agg(F.count("*").alias("predictions"))
+    return counts.withColumn("scored", tasks.agg(F.sum("samples")).scalar())
 
 
 @query("k6_write_predictions", f"{HEAD} SELECT label, pred, count(*) AS n FROM preds GROUP BY ALL")

@@ -17,22 +17,14 @@ def score_stream(src: DataFrame, model: Model, **kwargs) -> DataFrame:
     return score(src, model, **kwargs)
 
 
-def score_batches(src: DataFrame, models: list[Model], out: str, checkpoint: str, metrics_out: str | None = None, **kwargs) -> DataStreamWriter:
+def score_batches(src: DataFrame, models: list[Model], out: str, checkpoint: str, metrics: bool = True, **kwargs) -> DataStreamWriter:
     """Score through ``foreachBatch``. Each batch overwrites its own folder, so a
-    batch that is replayed after a failure leaves no duplicates."""
+    batch that is replayed after a failure leaves no duplicates. With ``metrics``
+    the folder also holds the batch's task rows; ``split_scored`` parts them."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        target = f"{out}/batch_id={batch_id}"
-        scored = score_all(batch, models, metrics=metrics_out is not None, **kwargs)
-        if metrics_out is None:
-            scored.write.mode("overwrite").parquet(target)
-            return
-        # One pass writes both kinds of row; the split then reads storage.
-        staged = f"{metrics_out}/_staged/batch_id={batch_id}"
-        scored.write.mode("overwrite").parquet(staged)
-        back = batch.sparkSession.read.schema(scored.schema).parquet(staged)
-        back.where("task IS NULL").drop("task").write.mode("overwrite").parquet(target)
-        back.where("task IS NOT NULL").select("task.*").write.mode("overwrite").parquet(f"{metrics_out}/tasks/batch_id={batch_id}")
+        scored = score_all(batch, models, metrics=metrics, **kwargs)
+        scored.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
     return src.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
