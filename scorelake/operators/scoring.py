@@ -246,8 +246,9 @@ def score_all(
         raise ValueError("models scored together must read the same input shape")
     handle = broadcast_weights(df.sparkSession, chosen)
     specs = [{"name": m.name, "forward": m.forward, "prepare": m.prepare, "output": m.output, "width": m.width} for m in chosen]
-    element = "array<float>" if dtype == "float32" else "array<double>"
-    slim = df.select(*id_cols, F.col(input_col).cast(element).alias(input_col))
+    slim = df.select(*id_cols, input_col)
+    if dict(slim.dtypes)[input_col] not in ("array<float>", "array<double>"):
+        slim = slim.withColumn(input_col, F.col(input_col).cast("array<double>"))
     kinds = dict(slim.dtypes)
     schema = [f"`{c}` {kinds[c]}" for c in id_cols] + [f"`{m.name}` {_spark_type(m.output, dtype)}" for m in chosen]
     if metrics:

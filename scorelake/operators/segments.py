@@ -3,8 +3,9 @@
 A plain window puts every row of a key in one task. Here rows are range
 partitioned on (keys, order) instead, so one key may span many segments; each
 segment is processed locally and a small per-segment summary carries state
-across. The ordered frame is checkpointed, because segment numbers must not
-change between the two passes, even when an executor is lost.
+across. The ordered frame is written out, because segment numbers must not
+change between the two passes, even when an executor is lost. Select the columns
+you need first: everything that is passed in gets written.
 """
 
 from __future__ import annotations
@@ -35,10 +36,9 @@ def segmented(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     ranged = df.repartitionByRange(*by).sortWithinPartitions(*by)
     # monotonically_increasing_id is the partition number above bit 33 and the
     # row's place in the partition below it.
-    stable = cut_lineage(ranged.withColumn("_mid", F.monotonically_increasing_id()))
-    return stable.withColumns(
-        {SEG: F.shiftright("_mid", 33).cast("int"), POS: F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1))}
-    ).drop("_mid")
+    numbered = ranged.withColumn("_mid", F.monotonically_increasing_id())
+    place = {SEG: F.shiftright("_mid", 33).cast("int"), POS: F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1))}
+    return cut_lineage(numbered.withColumns(place).drop("_mid"))
 
 
 def _before(keys: list[str]):

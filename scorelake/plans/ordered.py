@@ -20,7 +20,7 @@ HEAD = f"WITH {RUNS}, {TASKS}, {MODELS}, {TELEMETRY}"
 @query("w1_chunks", f"{HEAD}, n AS (SELECT count(*) AS n FROM runs), i AS (SELECT run_id, row_number() OVER (ORDER BY run_ts, run_id) - 1 AS row_idx FROM runs) "
        "SELECT CAST(CASE WHEN n // 7 > 0 THEN least(row_idx // (n // 7), 6) ELSE 6 END AS INTEGER) AS chunk, count(*) AS n, min(row_idx) AS first_row, max(row_idx) AS last_row, sum(run_id)::BIGINT AS ids FROM i, n GROUP BY chunk")
 def w1(spark, sf_dir):
-    out = O.chunk(runs(spark, sf_dir), [F.col("run_ts").asc(), F.col("run_id").asc()], 7)
+    out = O.chunk(runs(spark, sf_dir).select("run_id", "run_ts"), [F.col("run_ts").asc(), F.col("run_id").asc()], 7)
     return out.groupBy("chunk").agg(
         F.count("*").alias("n"), F.min("row_idx").alias("first_row"), F.max("row_idx").alias("last_row"), F.sum("run_id").alias("ids")
     )
@@ -35,14 +35,14 @@ def w1_few(spark, sf_dir):
 @query("p25_batches", f"{HEAD}, i AS (SELECT *, row_number() OVER (ORDER BY {TASK_ORDER_SQL}) - 1 AS row_idx FROM tasks) "
        "SELECT row_idx // 256 AS batch_idx, count(*) AS n, sum(samples)::BIGINT AS samples FROM i GROUP BY 1")
 def p25(spark, sf_dir):
-    out = J.with_batches(tasks(spark, sf_dir), [F.col(c).asc() for c in TASK_ORDER], 256)
+    out = J.with_batches(tasks(spark, sf_dir).select(*TASK_ORDER), [F.col(c).asc() for c in TASK_ORDER], 256)
     return out.groupBy("batch_idx").agg(F.count("*").alias("n"), F.sum("samples").alias("samples"))
 
 
 @query("p25_batches_per_model", f"{HEAD}, i AS (SELECT *, row_number() OVER (PARTITION BY device ORDER BY {TASK_ORDER_SQL}) - 1 AS row_idx FROM tasks) "
        "SELECT device, row_idx // 256 AS batch_idx, count(*) AS n, sum(samples)::BIGINT AS samples, (SELECT CAST(ceil(count(*) / 256.0) AS BIGINT) FROM tasks t WHERE t.device = i.device) AS batches FROM i GROUP BY device, 2")
 def p25_keys(spark, sf_dir):
-    t = tasks(spark, sf_dir)
+    t = tasks(spark, sf_dir).select("device", *TASK_ORDER)
     out = J.with_batches(t, [F.col(c).asc() for c in TASK_ORDER], 256, ["device"])
     out = out.groupBy("device", "batch_idx").agg(F.count("*").alias("n"), F.sum("samples").alias("samples"))
     totals = t.groupBy("device").agg(J.batch_count(F.count("*"), 256).alias("batches"))
@@ -52,7 +52,7 @@ def p25_keys(spark, sf_dir):
 @query("k5_metric_batches", f"{HEAD}, i AS (SELECT metric, value, row_number() OVER (ORDER BY ts, event_id) - 1 AS row_idx FROM telemetry) "
        f"SELECT row_idx // 1000 AS batch_no, count(*) AS n, {rnd_sql('sum(value)')} AS total FROM i GROUP BY 1")
 def k5(spark, sf_dir):
-    out = with_metric_batches(telemetry(spark, sf_dir), [F.col("ts").asc(), F.col("event_id").asc()])
+    out = with_metric_batches(telemetry(spark, sf_dir).select("event_id", "ts", "value"), [F.col("ts").asc(), F.col("event_id").asc()])
     return out.groupBy("batch_no").agg(F.count("*").alias("n"), rnd(F.sum("value")).alias("total"))
 
 
@@ -69,7 +69,7 @@ TP = f"{HEAD}, {RUN_TP}"
 
 @query("w3_throughput_curve", f"{TP} SELECT run_id, device_mode, samples, {rnd_sql('throughput - lag(throughput) OVER (PARTITION BY device_mode ORDER BY samples, run_id)', 8)} AS change FROM run_tp")
 def w3(spark, sf_dir):
-    out = O.throughput_curve(run_tp(spark, sf_dir), ["samples", "run_id"])
+    out = O.throughput_curve(run_tp(spark, sf_dir).select("run_id", "device_mode", "samples", "throughput"), ["samples", "run_id"])
     return out.select("run_id", "device_mode", "samples", rnd("change", 8).alias("change"))
 
 
@@ -80,13 +80,13 @@ def w4(spark, sf_dir):
 
 @query("w5_number_runs", f"{HEAD} SELECT run_id, row_number() OVER (ORDER BY run_ts, run_id) AS run_number FROM runs")
 def w5(spark, sf_dir):
-    return O.number_runs(runs(spark, sf_dir), [F.col("run_ts").asc(), F.col("run_id").asc()]).select("run_id", "run_number")
+    return O.number_runs(runs(spark, sf_dir).select("run_id", "run_ts"), [F.col("run_ts").asc(), F.col("run_id").asc()]).select("run_id", "run_number")
 
 
 @query("w7_heartbeat_gaps", f"{HEAD}, g AS (SELECT event_id, executor_id, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY executor_id ORDER BY ts, event_id) AS gap FROM telemetry) "
        f"SELECT event_id, executor_id, {rnd_sql('gap / 1000000.0::DOUBLE', 3)} AS gap_s FROM g WHERE gap > 60000000")
 def w7(spark, sf_dir):
-    out = O.heartbeat_gaps(telemetry(spark, sf_dir), 60)
+    out = O.heartbeat_gaps(telemetry(spark, sf_dir).select("event_id", "executor_id", "ts"), 60)
     return out.select("event_id", "executor_id", rnd("gap_s", 3).alias("gap_s"))
 
 
@@ -99,7 +99,7 @@ def w8(spark, sf_dir):
 @query("w9_regressions", f"{TP}, b AS (SELECT *, max(throughput) OVER (PARTITION BY device_mode ORDER BY run_ts, run_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS baseline FROM run_tp) "
        f"SELECT run_id, device_mode, {rnd_sql('throughput', 8)} AS throughput, {rnd_sql('baseline', 8)} AS baseline FROM b WHERE throughput < 0.8 * baseline")
 def w9(spark, sf_dir):
-    out = O.regressions(run_tp(spark, sf_dir), [F.col("run_ts").asc(), F.col("run_id").asc()])
+    out = O.regressions(run_tp(spark, sf_dir).select("run_id", "device_mode", "run_ts", "throughput"), [F.col("run_ts").asc(), F.col("run_id").asc()])
     return out.select("run_id", "device_mode", rnd("throughput", 8).alias("throughput"), rnd("baseline", 8).alias("baseline"))
 
 
@@ -123,7 +123,7 @@ def l3(spark, sf_dir):
 # Batch numbers of the signals themselves, as the scoring loop would cut them.
 @query("p25_signal_batches", "SELECT vec_id AS signal_id, (row_number() OVER (ORDER BY vec_id) - 1) // 64 AS batch_idx FROM embeddings")
 def p25_signals(spark, sf_dir):
-    out = J.with_batches(signals(spark, sf_dir), [F.col("signal_id").asc()], 64)
+    out = J.with_batches(signals(spark, sf_dir).select("signal_id"), [F.col("signal_id").asc()], 64)
     return out.select("signal_id", "batch_idx")
 
 
