@@ -118,6 +118,8 @@ def _match_blocks(queries, gallery, k, query_id, gallery_id, col, width, skip_se
     stock = with_row_index(stock, [F.col("gap").asc(), F.col(gallery_id).asc()], ["cell"], "_at")
     stock = cut_lineage(stock.withColumn("block", F.floor(F.col("_at") / BLOCK_ROWS)).drop("_at"))
     shells = stock.groupBy("cell", "block").agg(F.min("gap").alias("near"), F.max("gap").alias("far"))
+    # Own column identities, so that shells and gallery can meet in one plan.
+    shells = shells.select(*[F.col(c).alias(c) for c in shells.columns])
     asked = _nearest_pivot(queries, query_id, col, pivots, every=True)
 
     # First visit: the block of the query's own cell that its distance falls in.
