@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..plans.catalog import Catalog
 from ..session import scratch_path
-from . import bpe, dac, packing
+from . import bpe, dac, langid, packing
 from .common import table
 
 catalog = Catalog()
@@ -36,3 +36,12 @@ def op6(spark, sf_dir):
     out = scratch_path(spark, "tokens")
     dac.write_token_files(table(spark, sf_dir, "documents"), out, vocabulary("byte_bpe_50k.json"), end_id=0)
     return dac.digest_token_files(spark, out).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+@catalog.query("op8_rank_order_profiles")
+def op8(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    profiles = langid.learn_profiles(docs.where(~langid.held_out()))
+    found = langid.predict_languages(docs.select("doc_id", "text"), profiles)
+    split = found.select("doc.doc_id", "lang_pred", "score")
+    return split.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
