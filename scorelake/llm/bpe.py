@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _SEPARATORS, WORD_PIECES, Memo, is_latin, prepare, slices, text_or_empty
+from .common import _SEPARATORS, WORD_PIECES, Memo, extend, is_latin, prepare, slices, text_or_empty
 
 ENCODED = "ids binary, n_tokens bigint, decoded string"
 #: White space as the vocabulary files have it: Python's without the information separators.
@@ -188,29 +188,19 @@ def loaded(path: str) -> PrefixBPE:
 def _apply(docs: DataFrame, id_col: str, text_col: str, path: str, schema: str, row) -> DataFrame:
     prepare(docs.sparkSession)
     narrow = docs.select(F.col(id_col), text_or_empty(text_col).alias("_text"))
-    fields = narrow.select(id_col).schema
-    for f in _parsed(schema):
-        fields = fields.add(f)
+    fields = extend(narrow.select(id_col).schema, schema)
 
     def run(batches):
         bpe = loaded(path)
-        arrow = None
         for batch in batches:
             for part in slices(batch):
                 rows = [row(bpe, t) for t in part.column(1).to_pylist()]
                 columns = [part.column(0), *[pa.array(c) for c in zip(*rows, strict=True)]]
-                arrow = arrow or [id_col, *[f.name for f in fields.fields[1:]]]
-                yield pa.RecordBatch.from_arrays(columns, names=arrow)
+                yield pa.RecordBatch.from_arrays(columns, names=fields.fieldNames())
 
     return narrow.mapInArrow(run, fields)
 
 
-def _parsed(schema: str):
-    from pyspark.sql.types import StructType
-
-    return StructType.fromDDL(schema).fields
-
-
 def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Ids (little-endian unsigned 32-bit), their number, and the decoded text of every row.
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import prepare, slices
+from .common import extend, prepare, slices
 
 UNKNOWN = "und"
 #: N-grams of a profile. A learned model has at most this many rows for each language.
@@ -151,7 +151,7 @@ def predict_languages(docs: DataFrame, profiles: DataFrame, text_col: str = "tex
     rows = [tuple(r) for r in profiles.select("lang", "gram", "rank").collect()]
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(text_col).alias("_text"))
     name, score = out
-    fields = packed.select("doc").schema.add(name, "string").add(score, "double")
+    fields = extend(packed.select("doc").schema, f"{name} string, {score} double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Profiles(rows)

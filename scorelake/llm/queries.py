@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..plans.catalog import Catalog
 from ..session import scratch_path
-from . import bpe, dac, langid, packing
+from . import bpe, dac, langid, packing, pii
 from .common import table
 
 catalog = Catalog()
@@ -45,3 +45,13 @@ def op8(spark, sf_dir):
     found = langid.predict_languages(docs.select("doc_id", "text"), profiles)
     split = found.select("doc.doc_id", "lang_pred", "score")
     return split.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
+@catalog.query("op10_disclosure_terms")
+def op10(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find_personal_data(docs, "text")
+    kinds = F.transform("base", lambda s: s["kind"])
+    counts = [(F.size("base") - F.size(F.array_remove(kinds, k))).cast("bigint").alias(f"n_{k}") for k in pii.KINDS]
+    base = F.sha2(pii.spans_text(F.col("base")).cast("binary"), 256).alias("base_sha256")
+    return found.select("doc.doc_id", *counts, base, pii.spans_text(F.concat("base", "terms")).alias("spans"))
