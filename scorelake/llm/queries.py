@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..plans.catalog import Catalog
 from ..session import scratch_path
-from . import bpe, dac, langid, packing, pii
+from . import bpe, dac, langid, packing, pii, simhash
 from .common import table
 
 catalog = Catalog()
@@ -55,3 +55,9 @@ def op10(spark, sf_dir):
     counts = [(F.size("base") - F.size(F.array_remove(kinds, k))).cast("bigint").alias(f"n_{k}") for k in pii.KINDS]
     base = F.sha2(pii.spans_text(F.col("base")).cast("binary"), 256).alias("base_sha256")
     return found.select("doc.doc_id", *counts, base, pii.spans_text(F.concat("base", "terms")).alias("spans"))
+
+
+@catalog.query("op3_golay_simhash")
+def op3(spark, sf_dir):
+    found = simhash.components(table(spark, sf_dir, "documents"), shingle=4, most=4)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
