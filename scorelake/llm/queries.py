@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..plans.catalog import Catalog
 from ..session import scratch_path
-from . import bpe, dac, langid, packing, pii, simhash
+from . import bpe, dac, langid, multiindex, packing, pii, simhash
 from .common import table
 
 catalog = Catalog()
@@ -61,3 +61,8 @@ def op10(spark, sf_dir):
 def op3(spark, sf_dir):
     found = simhash.components(table(spark, sf_dir, "documents"), shingle=4, most=4)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@catalog.query("op9_multi_index")
+def op9(spark, sf_dir):
+    return multiindex.near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.95)
