@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..plans.catalog import Catalog
 from ..session import scratch_path
-from . import bpe, dac, langid, multiindex, packing, pii, simhash
+from . import bpe, dac, langid, linedup, multiindex, packing, pii, simhash
 from .common import table
 
 catalog = Catalog()
@@ -66,3 +66,36 @@ def op3(spark, sf_dir):
 @catalog.query("op9_multi_index")
 def op9(spark, sf_dir):
     return multiindex.near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
+_LINE_RUNS_SQL = """
+WITH raw AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
+lines AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS pos FROM raw),
+solid AS (
+  SELECT doc_id, pos, line, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS k,
+         length(line) - length(replace(line, ' ', '')) + 1 AS words
+  FROM lines WHERE trim(translate(line, chr(9) || chr(13) || chr(11) || chr(12), '    ')) <> ''),
+sums AS (SELECT *, sum(words) OVER (PARTITION BY doc_id ORDER BY k) AS upto FROM solid),
+-- the shortest run of 50 words from each line forwards and backwards
+ends AS (
+  SELECT a.doc_id, a.k AS k, min(b.k) AS e FROM sums a JOIN sums b ON a.doc_id = b.doc_id AND b.k >= a.k AND b.upto - a.upto + a.words >= 50 GROUP BY ALL
+  UNION
+  SELECT a.doc_id, max(b.k) AS k, a.k AS e FROM sums a JOIN sums b ON a.doc_id = b.doc_id AND b.k <= a.k AND a.upto - b.upto + b.words >= 50 GROUP BY a.doc_id, a.k),
+runs AS (
+  SELECT r.doc_id, r.k, r.e, string_agg(s.line, chr(10) ORDER BY s.k) AS body, min(s.pos) AS first, max(s.pos) AS last
+  FROM ends r JOIN solid s ON s.doc_id = r.doc_id AND s.k BETWEEN r.k AND r.e GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY body ORDER BY doc_id, k) AS copy FROM runs),
+dead AS (SELECT DISTINCT l.doc_id, l.pos FROM ranked r JOIN lines l ON l.doc_id = r.doc_id AND l.pos BETWEEN r.first AND r.last WHERE r.copy > 1),
+kept AS (
+  SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.pos) AS text FROM lines l
+  LEFT JOIN dead x ON x.doc_id = l.doc_id AND x.pos = l.pos WHERE x.pos IS NULL GROUP BY l.doc_id),
+gone AS (SELECT doc_id, count(*) AS n FROM dead GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(k.text, '') END AS text, coalesce(g.n, 0)::BIGINT AS removed
+FROM documents d LEFT JOIN kept k ON k.doc_id = d.doc_id LEFT JOIN gone g ON g.doc_id = d.doc_id
+"""
+
+
+@catalog.query("op4_line_runs", _LINE_RUNS_SQL)
+def op4(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return linedup.delete_repeated_lines(docs, min_words=50).select("doc.doc_id", "text", "removed")
