@@ -62,7 +62,7 @@ def cut_windows(encoded: DataFrame, length: int = SEQUENCE_TOKENS, with_ids: boo
     # As many rows as the first pass had tasks, two integers each.
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_offset"))
-    placed = encoded.join(offsets, "part").withColumn("_first", F.col("local_start") + F.col("_offset"))
+    placed = encoded.join(F.broadcast(offsets), "part").withColumn("_first", F.col("local_start") + F.col("_offset"))
     size = F.lit(length)
     last = F.col("_first") + F.col("n_tokens") - 1
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..plans.catalog import Catalog
 from ..session import scratch_path
-from . import bpe, dac, langid, linedup, multiindex, packing, pii, simhash
+from . import bpe, dac, langid, linedup, multiindex, packing, pages, pii, simhash
 from .common import table
 
 catalog = Catalog()
@@ -99,3 +99,9 @@ FROM documents d LEFT JOIN kept k ON k.doc_id = d.doc_id LEFT JOIN gone g ON g.d
 def op4(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return linedup.delete_repeated_lines(docs, min_words=50).select("doc.doc_id", "text", "removed")
+
+
+@catalog.query("op7_min_cut_text")
+def op7(spark, sf_dir):
+    found = pages.extract_main_text(table(spark, sf_dir, "pages"))
+    return found.select("page.page_id", "page.url", "text", "n_chars")
