@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..plans.catalog import Catalog
 from ..session import scratch_path
-from . import bpe, dac, langid, linedup, multiindex, packing, pages, pii, simhash
+from . import bpe, dac, langid, linedup, multiindex, packing, pages, pii, simhash, spotsigs
 from .common import table
 
 catalog = Catalog()
@@ -105,3 +105,8 @@ def op4(spark, sf_dir):
 def op7(spark, sf_dir):
     found = pages.extract_main_text(table(spark, sf_dir, "pages"))
     return found.select("page.page_id", "page.url", "text", "n_chars")
+
+
+@catalog.query("op5_spotsigs")
+def op5(spark, sf_dir):
+    return spotsigs.compare_with_edited(table(spark, sf_dir, "documents"))
