@@ -242,3 +242,168 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     by_print = rooted.join(smallest, "root").select("fp", "component_id")
     # A fingerprint that a third of all rows share is a skewed side of this join, which Spark splits.
     return prints.join(by_print, "fp").select(id_col, "fp", "component_id")
+
+
+# Near-duplicates by similarity of shingle sets.
+
+#: Segments of a wide fingerprint, met in disjoint pairs; its last 64 bits are compared before shingles are.
+SEGMENTS, WORDS = 16, 6
+#: Most differing bits of those 64 for a pair to be looked at: over three standard deviations beyond what 0.8 gives.
+CHECK_BITS = 19
+SIMILARITY, SHINGLE = 0.8, 5
+
+
+def _widened(hashes: np.ndarray) -> np.ndarray:
+    """``WORDS`` independent 64-bit words from each hash."""
+    out = np.empty((len(hashes), WORDS), dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for j in range(WORDS):
+            z = hashes + np.uint64((j + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+            z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            out[:, j] = z ^ (z >> np.uint64(31))
+    return out
+
+
+def wide_prints(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """``doc_id, th, wide, shingles``: a fingerprint of 384 bits and the set of 32-bit shingle hashes."""
+    prepare(docs.sparkSession)
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    narrow = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("_text"))
+    fields = extend(narrow.select("doc_id", "th").schema, "wide binary, shingles array<int>")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for few in slices(batch):
+                wide, sets = [], []
+                for text in few.column(2).to_pylist():
+                    hashes = shingle_hashes(text, shingle)
+                    wide.append(np.packbits(majority_bits(_widened(hashes)), bitorder="little").tobytes())
+                    sets.append(np.unique(hashes.astype(np.uint32)).view(np.int32))
+                yield pa.RecordBatch.from_arrays([few.column(0), few.column(1), pa.array(wide, pa.binary()), pa.array(sets, pa.list_(pa.int32()))], names=fields.fieldNames())
+
+    return narrow.mapInArrow(run, fields)
+
+
+def _wide_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for few in slices(batch, 512):
+            nodes = few.column(0).to_numpy()
+            raw = np.frombuffer(b"".join(few.column(1).to_pylist()), dtype=np.uint8).reshape(-1, 8 * WORDS)
+            check = np.ascontiguousarray(raw[:, -8:]).view(np.int64)[:, 0]
+            bits = np.unpackbits(raw, axis=1, bitorder="little")[:, : SEGMENTS * golay.BITS].reshape(len(nodes), SEGMENTS, golay.BITS)
+            words = (bits.astype(np.uint32) << np.arange(golay.BITS, dtype=np.uint32)).sum(axis=2, dtype=np.uint32)
+            for pair in range(SEGMENTS // 2):
+                (a, n), (b, m) = golay.keys(words[:, 2 * pair]), golay.keys(words[:, 2 * pair + 1])
+                key = (np.int64(pair) << 24) | (a[:, :, None].astype(np.int64) << 12) | b[:, None, :]
+                each = np.arange(golay.KEYS)
+                at = np.nonzero((each < n[:, None])[:, :, None] & (each < m[:, None])[:, None, :])
+                yield pa.RecordBatch.from_arrays([pa.array(key[at]), pa.array(nodes[at[0]]), pa.array(check[at[0]])], names=["key", "node", "check"])
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Columns of rows sorted by the first one, in pieces that never cut a run of equal values."""
+    held: list[list[np.ndarray]] = []
+    rows = 0
+    for batch in batches:
+        held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+        rows += batch.num_rows
+        if rows >= WINDOW_ROWS:
+            columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+            begin = int(np.searchsorted(columns[0], columns[0][-1]))
+            if begin:
+                yield [c[:begin] for c in columns]
+            held, rows = [[c[begin:] for c in columns]], rows - begin
+    if rows:
+        yield [np.concatenate(c) for c in zip(*held, strict=True)]
+
+
+def _near(check: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count((check[a] ^ check[b]).view(np.uint64)) <= CHECK_BITS
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Candidate pairs (kind 0) of short runs, and of the first with each of a long run, whose rows are passed on (kind 1)."""
+    for keys, nodes, check in _runs(batches):
+        starts = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1])
+        sizes = np.diff(np.concatenate([starts, [len(keys)]]))
+        first = np.repeat(starts, sizes)
+        long_run = np.repeat(sizes > SHORT_RUN, sizes)
+        rows = np.arange(len(keys))
+        pairs = [(first[long_run], rows[long_run])]
+        short = rows[~long_run]
+        for apart in range(1, SHORT_RUN):
+            a, b = short[:-apart], short[apart:]
+            same = keys[a] == keys[b] if len(a) else np.empty(0, dtype=bool)
+            if not same.any():
+                break
+            pairs.append((a[same], b[same]))
+        a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
+        hit = _near(check, a, b) & (nodes[a] != nodes[b])
+        a, b = nodes[a[hit]], nodes[b[hit]]
+        n, on = len(a), int(long_run.sum())
+        columns = [np.repeat([0, 1], [n, on]).astype(np.int32), np.concatenate([np.minimum(a, b), keys[long_run]]), np.concatenate([np.maximum(a, b), nodes[long_run]]), np.concatenate([np.zeros(n, dtype=np.int64), check[long_run]])]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["kind", "a", "b", "check"])
+
+
+def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Candidate pairs of long runs that aren't in one group yet."""
+    for keys, nodes, check, groups in _runs(batches):
+        starts = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]])
+        for s, e in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+            largest, n = np.unique(groups[s:e], return_counts=True)
+            # Every row outside the largest group against all others.
+            for i in (np.flatnonzero(groups[s:e] != largest[n.argmax()]) + s).tolist():
+                others = np.flatnonzero(groups[s:e] != groups[i]) + s
+                others = others[_near(check, np.full(len(others), i), others)]
+                if len(others):
+                    a, b = np.minimum(nodes[others], nodes[i]), np.maximum(nodes[others], nodes[i])
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+
+def _similar(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose shingle sets have at least that Jaccard similarity."""
+    sets = nodes.select("node", "shingles")
+    joined = pairs.join(sets.withColumnsRenamed({"node": "a", "shingles": "_a"}), "a").join(sets.withColumnsRenamed({"node": "b", "shingles": "_b"}), "b")
+    both = F.size(F.array_intersect("_a", "_b"))
+    return joined.where(both >= similarity * (F.size("_a") + F.size("_b") - both)).select("a", "b")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """``doc_id, th, first_id, first_th``: each row's id and text hash beside those of the first document of its group.
+
+    A group is what links of at least ``similarity`` between sets of
+    ``shingle``-word shingles connect. Pairs are found where two of sixteen
+    23-bit segments of a wide SimHash share near codewords in one of eight
+    disjoint pairs of segments, then verified on the sets. At 0.8 such a pair is
+    found with a probability over 0.95, and nearer ones almost surely. The first
+    is the smallest id, then the smallest text hash; null ids come last.
+    """
+    prints = cut_lineage(wide_prints(docs, id_col, text_col, shingle))
+    # Equal texts, but for case and white space, are one node.
+    folded = prints.select("wide", "shingles", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th").alias("f"))
+    same = folded.groupBy("wide", F.xxhash64("shingles").alias("sh")).agg(F.min("f").alias("f"), F.first("shingles").alias("shingles"))
+    nodes = cut_lineage(same.withColumn("node", F.monotonically_increasing_id()))
+    keyed = nodes.select("node", "wide").mapInArrow(_wide_keys, "key bigint, node bigint, check bigint")
+    met = cut_lineage(keyed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_meet, "kind int, a bigint, b bigint, check bigint"))
+    stars = cut_lineage(_similar(met.where("kind = 0").select("a", "b").distinct(), nodes, similarity))
+    groups = connected_components(stars).select(F.col("node").alias("b"), "root")
+    left = met.where("kind = 1").select(F.col("a").alias("key"), "b", "check").join(groups, "b", "left")
+    left = left.select("key", "b", "check", F.coalesce("root", "b").alias("root")).repartition("key").sortWithinPartitions("key", "b")
+    rest = _similar(left.mapInArrow(_across, "a bigint, b bigint").distinct(), nodes, similarity)
+    roots = connected_components(stars.unionByName(rest))
+    grouped = nodes.select("node", "wide", "sh", "f").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    first = grouped.groupBy("root").agg(F.min("f").alias("first"))
+    heads = grouped.join(first, "root").select("wide", "sh", "first")
+    rows = prints.select("doc_id", "th", "wide", F.xxhash64("shingles").alias("sh")).join(heads, ["wide", "sh"])
+    return rows.select("doc_id", "th", F.col("first.doc_id").alias("first_id"), F.col("first.th").alias("first_th"))
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """One row of each group of :func:`near_duplicates`, all columns; of repeated rows one stays."""
+    found = near_duplicates(docs, id_col, text_col, shingle, similarity)
+    stay = found.where(F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("th") == F.col("first_th"))).select(F.col("doc_id").alias("_i"), F.col("th").alias("_t")).distinct()
+    th = F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(f"`{id_col}`").alias("_id"), th.alias("_th"))
+    kept = packed.join(stay, packed["_id"].eqNullSafe(stay["_i"]) & (packed["_th"] == stay["_t"]), "left_semi")
+    return kept.dropDuplicates(["_id", "_th"]).select(*[F.col(f"doc.`{c}`") for c in docs.columns])
