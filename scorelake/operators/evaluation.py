@@ -15,6 +15,11 @@ def label_histogram(df: DataFrame, classes: DataFrame, label: str = "label") ->
 
 
 def confusion(preds: DataFrame, labels: list[int], label: str = "label") -> DataFrame:
-    """True label x predicted label counts, one ``pred_k`` column per label."""
-    counted = preds.groupBy(label).pivot("pred", list(labels)).agg(F.count(F.lit(1)))
-    return counted.select(label, *[F.coalesce(F.col(str(k)), F.lit(0)).alias(f"pred_{k}") for k in labels])
+    """True label x predicted label counts, one ``pred_k`` column per label.
+
+    Predictions outside ``labels``, null ones too, are counted in ``pred_other``.
+    """
+    declared = F.coalesce(F.col("pred").isin(list(labels)), F.lit(False))
+    return preds.groupBy(label).agg(
+        *[F.count_if(F.col("pred") == k).alias(f"pred_{k}") for k in labels], F.count_if(~declared).alias("pred_other")
+    )

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from ..functions.columns import safe_ratio
 from .segments import lag_over, running_before, with_row_index
 
+#: Name of what no declared value covers.
+OTHER = "other"
+
 
 def bind_inputs(data_sizes: DataFrame, registry: DataFrame, on: str = "category") -> DataFrame:
     """Which models read which input: registry rows inner-joined to input sizes.
@@ -33,14 +36,23 @@ def with_registry(df: DataFrame, registry: DataFrame, on: str, defaults: dict[st
 
 
 def mode_matrix(df: DataFrame, row: str, mode: str, value: Column, modes: list[str], missing: str = "-") -> DataFrame:
-    """Row x mode table of a summed value; absent cells read ``missing``."""
-    cells = df.groupBy(row).agg(*[F.sum(F.when(F.col(mode) == m, value)).alias(m) for m in modes])
-    return cells.select(row, *[F.coalesce(F.col(m).cast("string"), F.lit(missing)).alias(m) for m in modes])
+    """Row x mode table of a summed value; absent cells read ``missing``.
+
+    Modes that aren't declared, null ones too, are summed in ``other``.
+    """
+    cells = _by_mode(df, row, mode, value, modes)
+    return cells.select(row, *[F.coalesce(F.col(m).cast("string"), F.lit(missing)).alias(m) for m in [*modes, OTHER]])
+
+
+def _by_mode(df: DataFrame, row: str, mode: str, value: Column, modes: list[str]) -> DataFrame:
+    undeclared = ~F.coalesce(F.col(mode).isin(modes), F.lit(False))
+    declared = [F.sum(F.when(F.col(mode) == m, value)).alias(m) for m in modes]
+    return df.groupBy(row).agg(*declared, F.sum(F.when(undeclared, value)).alias(OTHER))
 
 
 def pivot_modes(df: DataFrame, row: str, mode: str, value: str, modes: list[str]) -> DataFrame:
-    """The same as numbers, through a pivot over declared values."""
-    return df.groupBy(row).pivot(mode, modes).agg(F.sum(value))
+    """The same as numbers; absent cells are null."""
+    return _by_mode(df, row, mode, F.col(value), modes)
 
 
 def band_of(c: Column | str, bands: list[tuple[float | None, str]]) -> Column:
@@ -107,13 +119,16 @@ def align_batches(sizes: DataFrame, batch_size: int, rows: str = "n_rows") -> Da
 
 
 def dense_grid(facts: DataFrame, key: str, axis: str, values: list, measures: dict[str, Column]) -> DataFrame:
-    """Every key x declared axis value, with 0 where no fact exists.
+    """Every key x declared axis value and ``other``, with 0 where no fact exists.
 
-    The axis is a short declared list. Each key's facts are folded into one map
+    The axis is a short declared list of strings; facts of other values, null
+    ones too, are those of ``other``. Each key's facts are folded into one map
     of axis value to measures and read back once per listed value, so the grid
     costs one aggregation and no product of two tables.
     """
-    cells = facts.groupBy(key, axis).agg(*[m.alias(n) for n, m in measures.items()])
+    known = F.when(F.col(axis).isin(values), F.col(axis)).otherwise(F.lit(OTHER))
+    values = [*values, OTHER]
+    cells = facts.withColumn(axis, known).groupBy(key, axis).agg(*[m.alias(n) for n, m in measures.items()])
     folded = cells.groupBy(key).agg(
         *[
             F.max(F.when(F.col(axis) == v, F.struct(*measures))).alias(f"_cell{i}")

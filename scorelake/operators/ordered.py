@@ -36,7 +36,9 @@ def cold_warm(tasks: DataFrame, first_by: list[str], key: str = "executor_id") -
         F.sum("load_time").alias("_sum"),
         F.count("load_time").alias("_n"),
     )
-    warm = safe_ratio(F.col("_sum") - F.col("cold_load"), F.col("_n") - 1)
+    # A first load that wasn't measured is none of the loads that were counted.
+    measured = F.when(F.col("cold_load").isNotNull(), 1).otherwise(0)
+    warm = safe_ratio(F.col("_sum") - F.coalesce("cold_load", F.lit(0.0)), F.col("_n") - measured)
     return out.select(key, "cold_load", warm.alias("warm_load"), safe_ratio("cold_load", warm).alias("cold_warm_ratio"))
 
 

@@ -178,8 +178,9 @@ def overhead(tasks: DataFrame, runs: DataFrame) -> DataFrame:
 def bottleneck(tasks: DataFrame) -> DataFrame:
     """Slowest executor of each run by summed inference time (ties: lowest id)."""
     times = tasks.groupBy("run_id", "executor_id").agg(F.sum("inference_time").alias("inference_time"))
-    worst = F.max_by(F.struct("executor_id", "inference_time"), F.struct("inference_time", -F.col("executor_id")))
-    return times.groupBy("run_id").agg(worst.alias("_w")).select("run_id", "_w.executor_id", "_w.inference_time")
+    # Ids may be numbers or ``<host>_<pid>`` strings: only times are negated.
+    worst = F.min(F.struct((-F.col("inference_time")).alias("t"), "executor_id"))
+    return times.groupBy("run_id").agg(worst.alias("_w")).select("run_id", "_w.executor_id", (-F.col("_w.t")).alias("inference_time"))
 
 
 def scaling_efficiency(points: DataFrame, workers: str = "workers", throughput: str = "throughput", keys: list[str] | None = None) -> DataFrame:

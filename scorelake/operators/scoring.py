@@ -46,14 +46,23 @@ def weights_frame(spark: SparkSession, weights: dict[str, dict[str, np.ndarray]]
 
 
 def load_weights(table: DataFrame, version: int | None = None, max_bytes: int = MAX_WEIGHT_BYTES) -> dict[str, dict[str, np.ndarray]]:
-    """Read a weights table into arrays, after checking its size."""
+    """Read a weights table into arrays, after checking its size.
+
+    Without a ``version`` each model has its highest one. More than ``max_bytes``
+    of weights, or a layer stored twice, is an error.
+    """
     if version is not None:
         table = table.where(F.col("version") == version)
+    else:
+        latest = table.groupBy("model").agg(F.max("version").alias("version"))
+        table = table.join(latest, ["model", "version"], "left_semi")
     size = table.agg(F.coalesce(F.sum(F.size("data").cast("long")), F.lit(0))).first()[0] * 4
     if size > max_bytes:
         raise ValueError(f"weights take {size} bytes, more than the {max_bytes} allowed on one executor")
     out: dict[str, dict[str, np.ndarray]] = {}
     for row in table.select("model", "layer", "shape", "data").toLocalIterator():
+        if row["layer"] in out.get(row["model"], {}):
+            raise ValueError(f"layer {row['layer']} of {row['model']} is stored twice")
         out.setdefault(row["model"], {})[row["layer"]] = np.asarray(row["data"], dtype="float32").reshape(row["shape"])
     return out
 

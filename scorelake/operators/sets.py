@@ -44,9 +44,14 @@ def missing_models(df: DataFrame, modes: list[str], mode: str = "device_mode", n
 
 
 def prediction_differences(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Rows of either set that the other lacks, duplicates counted."""
+    """Rows of either set that the other lacks, duplicates counted.
+
+    One aggregation: each row counts up on one side and down on the other.
+    """
     cols = a.columns
-    return a.exceptAll(b.select(cols)).unionAll(b.select(cols).exceptAll(a))
+    signed = a.withColumn("_n", F.lit(1)).unionAll(b.select(cols).withColumn("_n", F.lit(-1)))
+    odd = signed.groupBy(*cols).agg(F.sum("_n").alias("_n")).where("_n <> 0")
+    return odd.select(*cols, F.explode(F.sequence(F.lit(1).cast("bigint"), F.abs("_n"))).alias("_i")).drop("_i")
 
 
 def same_predictions(a: DataFrame, b: DataFrame) -> bool:

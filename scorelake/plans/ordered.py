@@ -64,6 +64,20 @@ def w2(spark, sf_dir):
     return out.withColumns({c: rnd(c, 9) for c in ("cold_load", "warm_load", "cold_warm_ratio")})
 
 
+@query("w2_unmeasured_first", f"{HEAD}, o AS (SELECT *, row_number() OVER (PARTITION BY executor_id ORDER BY {TASK_ORDER_SQL}) AS rn FROM tasks), "
+       "c AS (SELECT executor_id, coalesce(avg(load_time) FILTER (WHERE rn > 1 AND executor_id % 2 = 0 OR rn > 1), 0) AS warm, "
+       "max(load_time) FILTER (WHERE rn = 1 AND executor_id % 2 = 1) AS cold FROM o GROUP BY executor_id) "
+       f"SELECT executor_id, {rnd_sql('cold', 9)} AS cold_load, {rnd_sql('warm', 9)} AS warm_load FROM c")
+def w2_unmeasured(spark, sf_dir):
+    """On every second executor the first load wasn't measured."""
+    t = tasks(spark, sf_dir)
+    first = t.groupBy("executor_id").agg(F.min(F.struct(*TASK_ORDER)).alias("_first"))
+    t = t.join(first, "executor_id")
+    is_first = (F.struct(*TASK_ORDER) == F.col("_first")) & (F.col("executor_id") % 2 == 0)
+    t = t.withColumn("load_time", F.when(~is_first, F.col("load_time")))
+    return O.cold_warm(t, TASK_ORDER).select("executor_id", rnd("cold_load", 9).alias("cold_load"), rnd("warm_load", 9).alias("warm_load"))
+
+
 TP = f"{HEAD}, {RUN_TP}"
 
 

@@ -52,57 +52,61 @@ def s4(spark, sf_dir):
     return J.bind_inputs(sizes, m).select("model_id", "category", "node", "n_rows", "samples")
 
 
-LOADED = "loaded AS (SELECT * FROM models WHERE memory_mb <= 40)"
+# A task of a model that no registry has, and a registered model that no task used.
+UNKNOWN, UNUSED = -1, -2
+USED = f"used AS (SELECT model_id FROM tasks UNION ALL SELECT {UNKNOWN})"
+REGISTERED = f"registered AS (SELECT model_id, name, category, memory_mb FROM models UNION ALL SELECT {UNUSED}, 'unused', 'none', 1.0)"
 
 
-def _loaded(spark, sf_dir):
-    """Models small enough to be loaded; the others are unknown to a run."""
-    return models(spark, sf_dir).where(F.col("memory_mb") <= 40)
+def _used(spark, sf_dir):
+    return tasks(spark, sf_dir).select("model_id").unionByName(spark.range(1).select(F.lit(UNKNOWN).cast("bigint").alias("model_id")))
 
 
-@query("j1_models_with_inputs", f"{HEAD}, {LOADED}, sizes AS (SELECT model_id, count(*) AS n_rows FROM tasks GROUP BY model_id) SELECT model_id, memory_mb, n_rows FROM loaded JOIN sizes USING (model_id)")
-def j1(spark, sf_dir):
-    sizes = tasks(spark, sf_dir).groupBy("model_id").agg(F.count("*").alias("n_rows"))
-    return J.bind_inputs(sizes, _loaded(spark, sf_dir), "model_id").select("model_id", "memory_mb", "n_rows")
-
-
-FAILED_TASKS = "failed_tasks AS (SELECT * FROM mode_tasks WHERE error IS NOT NULL AND device = 'R' AND cached = 'O')"
+def _registered(spark, sf_dir):
+    unused = spark.range(1).select(F.lit(UNUSED).cast("bigint").alias("model_id"), F.lit("unused").alias("name"), F.lit("none").alias("category"), F.lit(1.0).alias("memory_mb"))
+    return models(spark, sf_dir).select("model_id", "name", "category", "memory_mb").unionByName(unused)
 
 
-def _failed_tasks(spark, sf_dir):
-    return mode_tasks(spark, sf_dir).where(F.col("error").isNotNull() & (F.col("device") == "R") & (F.col("cached") == "O"))
+@query("j1_models_with_inputs", f"{HEAD}, {USED}, {REGISTERED}, sizes AS (SELECT model_id, count(*) AS n_rows FROM used GROUP BY model_id) SELECT model_id, memory_mb, n_rows FROM registered JOIN sizes USING (model_id)")
+def j1(spark, sf_dir):
+    sizes = _used(spark, sf_dir).groupBy("model_id").agg(F.count("*").alias("n_rows"))
+    return J.bind_inputs(sizes, _registered(spark, sf_dir), "model_id").select("model_id", "memory_mb", "n_rows")
 
 
-@query("j2_models_with_data", f"{HEAD}, {FAILED_TASKS} SELECT model_id, name FROM models WHERE model_id IN (SELECT model_id FROM failed_tasks)")
+@query("j2_models_with_data", f"{HEAD}, {USED}, {REGISTERED} SELECT model_id, name FROM registered WHERE model_id IN (SELECT model_id FROM used)")
 def j2(spark, sf_dir):
-    return J.models_with_data(models(spark, sf_dir), _failed_tasks(spark, sf_dir), "model_id").select("model_id", "name")
+    return J.models_with_data(_registered(spark, sf_dir), _used(spark, sf_dir), "model_id").select("model_id", "name")
 
 
-@query("j3_models_without_data", f"{HEAD}, {FAILED_TASKS} SELECT model_id, name FROM models WHERE model_id NOT IN (SELECT model_id FROM failed_tasks)")
+@query("j3_models_without_data", f"{HEAD}, {USED}, {REGISTERED} SELECT model_id, name FROM registered WHERE model_id NOT IN (SELECT model_id FROM used)")
 def j3(spark, sf_dir):
-    return J.models_without_data(models(spark, sf_dir), _failed_tasks(spark, sf_dir), "model_id").select("model_id", "name")
+    return J.models_without_data(_registered(spark, sf_dir), _used(spark, sf_dir), "model_id").select("model_id", "name")
 
 
-@query("j4_registry_lookup", f"{HEAD}, {LOADED} SELECT coalesce(category, 'other') AS category, coalesce(memory_mb, 0) AS memory_mb, count(*) AS tasks "
-       "FROM tasks LEFT JOIN loaded USING (model_id) GROUP BY 1, 2")
+@query("j4_registry_lookup", f"{HEAD}, {USED}, {REGISTERED} SELECT coalesce(category, 'other') AS category, coalesce(memory_mb, 0) AS memory_mb, count(*) AS tasks "
+       "FROM used LEFT JOIN registered USING (model_id) GROUP BY 1, 2")
 def j4(spark, sf_dir):
-    out = J.with_registry(tasks(spark, sf_dir), _loaded(spark, sf_dir), "model_id", {"category": "other", "memory_mb": 0.0})
+    out = J.with_registry(_used(spark, sf_dir), _registered(spark, sf_dir), "model_id", {"category": "other", "memory_mb": 0.0})
     return out.groupBy("category", "memory_mb").agg(F.count("*").alias("tasks"))
 
 
+# The last mode isn't declared, so its tasks are the other ones.
+DECLARED = MODES[:-1]
+
+
 def _cells(mode: str) -> str:
     return f"sum(samples) FILTER (WHERE device_mode = '{mode}')"
 
 
-@query("j5_mode_matrix", f"{HEAD} SELECT model_id, " + ", ".join(f"coalesce(CAST({_cells(m)} AS VARCHAR), '-') AS \"{m}\"" for m in MODES)
-       + " FROM mode_tasks GROUP BY model_id")
+@query("j5_mode_matrix", f"{HEAD} SELECT model_id, " + ", ".join(f"coalesce(CAST({_cells(m)} AS VARCHAR), '-') AS \"{m}\"" for m in DECLARED)
+       + f", coalesce(CAST({_cells(MODES[-1])} AS VARCHAR), '-') AS other FROM mode_tasks GROUP BY model_id")
 def j5(spark, sf_dir):
-    return J.mode_matrix(mode_tasks(spark, sf_dir), "model_id", "device_mode", F.col("samples"), MODES)
+    return J.mode_matrix(mode_tasks(spark, sf_dir), "model_id", "device_mode", F.col("samples"), DECLARED)
 
 
-@query("u6_pivot_modes", f"{HEAD} SELECT model, " + ", ".join(f"{_cells(m)}::BIGINT AS \"{m}\"" for m in MODES) + " FROM mode_tasks GROUP BY model")
+@query("u6_pivot_modes", f"{HEAD} SELECT model, " + ", ".join(f"{_cells(m)}::BIGINT AS \"{m}\"" for m in DECLARED) + f", {_cells(MODES[-1])}::BIGINT AS other FROM mode_tasks GROUP BY model")
 def u6(spark, sf_dir):
-    return J.pivot_modes(mode_tasks(spark, sf_dir), "model", "device_mode", "samples", MODES)
+    return J.pivot_modes(mode_tasks(spark, sf_dir), "model", "device_mode", "samples", DECLARED)
 
 
 BANDS = [(1000.0, "small"), (30000.0, "medium"), (60000.0, "large"), (None, "xlarge")]
@@ -122,12 +126,12 @@ def j7(spark, sf_dir):
     return J.align_batches(sizes, 16)
 
 
-@query("j8_dense_grid", f"{HEAD}, hot AS (SELECT * FROM mode_tasks WHERE samples >= 49), grid AS (SELECT DISTINCT model_id, unnest([{', '.join(repr(m) for m in MODES)}]) AS device_mode FROM hot) "
-       "SELECT grid.model_id, grid.device_mode, count(hot.samples) AS tasks, coalesce(sum(hot.samples), 0)::BIGINT AS samples "
-       "FROM grid LEFT JOIN hot ON grid.model_id = hot.model_id AND grid.device_mode = hot.device_mode GROUP BY ALL")
+@query("j8_dense_grid", f"{HEAD}, named AS (SELECT model_id, samples, CASE WHEN device_mode = '{MODES[-1]}' THEN 'other' ELSE device_mode END AS device_mode FROM mode_tasks), "
+       f"grid AS (SELECT DISTINCT model_id, unnest([{', '.join(repr(m) for m in [*MODES[:-1], 'other'])}]) AS device_mode FROM named) "
+       "SELECT grid.model_id, grid.device_mode, count(named.samples) AS tasks, coalesce(sum(named.samples), 0)::BIGINT AS samples "
+       "FROM grid LEFT JOIN named ON grid.model_id = named.model_id AND grid.device_mode = named.device_mode GROUP BY ALL")
 def j8(spark, sf_dir):
-    hot = mode_tasks(spark, sf_dir).where(F.col("samples") >= 49)
-    return J.dense_grid(hot, "model_id", "device_mode", MODES, {"tasks": F.count("*"), "samples": F.sum("samples")})
+    return J.dense_grid(mode_tasks(spark, sf_dir), "model_id", "device_mode", DECLARED, {"tasks": F.count("*"), "samples": F.sum("samples")})
 
 
 def run_tp(spark, sf_dir):
@@ -336,6 +340,15 @@ def a27(spark, sf_dir):
     return rounded(R.bottleneck(tasks(spark, sf_dir)), "inference_time", digits=2)
 
 
+@query("a27_bottleneck_host_ids", f"{HEAD}, t AS (SELECT run_id, 'host' || (executor_id % 7) || '_' || executor_id AS executor_id, sum(samples)::DOUBLE AS inference_time FROM tasks GROUP BY ALL) "
+       "SELECT run_id, executor_id, inference_time FROM t QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY inference_time DESC, executor_id) = 1")
+def a27_hosts(spark, sf_dir):
+    """Executor ids as run records have them, ``<host>_<pid>``, with many ties."""
+    host = F.concat(F.lit("host"), (F.col("executor_id") % 7).cast("string"), F.lit("_"), F.col("executor_id").cast("string"))
+    named = tasks(spark, sf_dir).select("run_id", host.alias("executor_id"), F.col("samples").cast("double").alias("inference_time"))
+    return R.bottleneck(named)
+
+
 @query("a28_scaling_efficiency", f"{HEAD}, pts AS (SELECT device, partition_idx AS workers, sum(samples) / sum(load_time) AS throughput FROM tasks GROUP BY ALL), "
        f"s AS (SELECT device, workers, throughput / (SELECT throughput FROM pts b WHERE b.device = p.device AND b.workers = 1) AS speedup FROM pts p) "
        f"SELECT device, workers, {rnd_sql('speedup', 6)} AS speedup, {rnd_sql('speedup / workers', 6)} AS efficiency FROM s")
@@ -410,21 +423,27 @@ def u3(spark, sf_dir):
 
 
 def _in_mode(m: str) -> str:
-    return f"SELECT model_id FROM hot WHERE device_mode = '{m}'"
+    return f"SELECT model_id FROM seen WHERE device_mode = '{m}'"
+
+
+# All tasks, and a model that ran in one mode only.
+SEEN = f"seen AS (SELECT model_id, device_mode FROM mode_tasks UNION ALL SELECT {UNUSED}, '{MODES[0]}')"
 
 
-HOT = "hot AS (SELECT * FROM mode_tasks WHERE samples >= 45)"
+def _seen(spark, sf_dir):
+    once = spark.range(1).select(F.lit(UNUSED).cast("bigint").alias("model_id"), F.lit(MODES[0]).alias("device_mode"))
+    return mode_tasks(spark, sf_dir).select("model_id", "device_mode").unionByName(once)
 
 
-@query("u4_common_models", f"{HEAD}, {HOT} " + " INTERSECT ".join(_in_mode(m) for m in MODES))
+@query("u4_common_models", f"{HEAD}, {SEEN} " + " INTERSECT ".join(_in_mode(m) for m in MODES))
 def u4(spark, sf_dir):
-    return S.common_models(mode_tasks(spark, sf_dir).where(F.col("samples") >= 45), MODES, name="model_id")
+    return S.common_models(_seen(spark, sf_dir), MODES, name="model_id")
 
 
-@query("u4_missing_models", f"{HEAD}, {HOT} " + " UNION ALL ".join(
-    f"SELECT '{m}' AS device_mode, model_id FROM (SELECT model_id FROM hot EXCEPT {_in_mode(m)})" for m in MODES))
+@query("u4_missing_models", f"{HEAD}, {SEEN} " + " UNION ALL ".join(
+    f"SELECT '{m}' AS device_mode, model_id FROM (SELECT model_id FROM seen EXCEPT {_in_mode(m)})" for m in MODES))
 def u4_missing(spark, sf_dir):
-    return S.missing_models(mode_tasks(spark, sf_dir).where(F.col("samples") >= 45), MODES, name="model_id")
+    return S.missing_models(_seen(spark, sf_dir), MODES, name="model_id")
 
 
 # -- placement

@@ -52,7 +52,7 @@ def m4(spark, sf_dir):
     return centroid_preds(spark, sf_dir, batch_size=1).select("signal_id", "pred", rnd("confidence", 8).alias("confidence"))
 
 
-@query("m7_centroid_confusion", f"{HEAD} SELECT label, " + ", ".join(f"count(*) FILTER (WHERE pred = {k}) AS pred_{k}" for k in LABELS) + " FROM preds GROUP BY label")
+@query("m7_centroid_confusion", f"{HEAD} SELECT label, " + ", ".join(f"count(*) FILTER (WHERE pred = {k}) AS pred_{k}" for k in LABELS) + ", 0::BIGINT AS pred_other FROM preds GROUP BY label")
 def m7_confusion(spark, sf_dir):
     return confusion(centroid_preds(spark, sf_dir), LABELS)
 
@@ -237,6 +237,17 @@ def m6(spark, sf_dir):
     return SC.score(wide_signals(spark, sf_dir), registry.models["ew_classifier"]).select("signal_id", "pred")
 
 
+@query("m6_highest_version", f"WITH {INPUT}, {CLASSIFIER} SELECT signal_id, CAST(list_position(v, list_max(v)) - 1 AS INTEGER) AS pred FROM {CLASSIFIER_OUT}")
+def m6_versions(spark, sf_dir):
+    """An older version beside the wanted one: without a version the highest counts."""
+    path = scratch_path(spark, "weights")
+    newer = formula_weights("ew_classifier")
+    older = {layer: -2 * data for layer, data in newer.items()}
+    SC.weights_frame(spark, {"ew_classifier": newer}, version=2).unionByName(SC.weights_frame(spark, {"ew_classifier": older}, version=1)).write.parquet(path)
+    registry = signal_registry(SC.load_weights(spark.read.parquet(path)))
+    return SC.score(wide_signals(spark, sf_dir), registry.models["ew_classifier"]).select("signal_id", "pred")
+
+
 @query("m13_train_classifier", "SELECT count(*) AS n, true AS above_floor FROM embeddings")
 def m13(spark, sf_dir):
     """Train on a label that the vector determines: which of its first four values

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -30,15 +33,16 @@ def get_session(app: str = "scorelake", master: str | None = None, conf: dict[st
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder: ``spark.checkpoint.dir``.
 
-    Only a local master may fall back to a temporary folder, since there the
-    driver and the executors are one machine.
+    Only a master of one process (``local[..]``) may fall back to a temporary
+    folder, removed when the program ends.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
     fallback = tempfile.mkdtemp(prefix="scorelake-")
+    atexit.register(shutil.rmtree, fallback, ignore_errors=True)
     spark.sparkContext.setCheckpointDir(fallback)
     return fallback
 
@@ -59,23 +63,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Let a table of few files use every core before heavy per-row work.
-
-    A table with at least as many files as task slots is read in parallel as it
-    is and passes through untouched, so large inputs are never shuffled here.
-    """
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    return df if len(df.inputFiles()) >= slots else df.repartition(slots)
-
-
 def ship_package(spark: SparkSession) -> None:
     """Send this package's code to the executors, once per application.
 
     The same as ``--py-files``; needless where the package is installed there.
     """
     import os
-    import shutil
 
     context = spark.sparkContext
     if getattr(context, "_scorelake_shipped", False):
