@@ -1,12 +1,12 @@
 """Emitter matching: the most similar gallery embeddings of each embedding.
 
-Similarity is the dot product of unit vectors, so the nearest gallery rows are
-the most similar ones. The answer is exact either way:
-
-* a gallery whose size is checked and small is broadcast as one matrix;
-* a larger one is cut into bounded blocks around pivots. A block is visited
-  only when the triangle inequality cannot rule it out, and each visit returns
-  at most ``k`` rows per query, never all pairs.
+Similarity is the cosine, so for unit vectors the nearest gallery rows are the
+most similar ones. The gallery is cut into bounded blocks around pivots; a block
+is visited only when the triangle inequality cannot rule it out, and each visit
+returns at most ``k`` rows per query, never all pairs. The answer is exact, and
+found the same way, at every size. A higher ``min_similarity`` lets more blocks
+be ruled out; without one, vectors of many dimensions have nothing near, and
+most blocks stay open.
 """
 
 from __future__ import annotations
@@ -16,14 +16,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from .scoring import _matrix
 from .segments import running_before, with_row_index
 
-MAX_BROADCAST_BYTES = 64 * 1024 * 1024
 PIVOTS = 64
 BLOCK_ROWS = 4096
 _STEP = 512  # queries multiplied at a time inside a task
@@ -46,46 +45,28 @@ def match_embeddings(
     gallery_id: str = "gallery_id",
     col: str = "features",
     skip_self: bool = False,
-    max_bytes: int = MAX_BROADCAST_BYTES,
+    min_similarity: float = -1.0,
 ) -> DataFrame:
-    """(query id, gallery id, similarity) of the ``k`` most similar gallery rows.
+    """(query id, gallery id, similarity) of the ``k`` most similar gallery rows of at least ``min_similarity``.
 
-    Vectors must be unit length. With ``skip_self`` a row never matches its own
-    id. Ids are integers.
+    Vectors of any length are compared by direction; zero vectors match nothing.
+    With ``skip_self`` a row never matches its own id. Ids are integers, and ties
+    go to the lowest.
     """
-    size, width = gallery.agg(F.count(F.lit(1)), F.max(F.size(col))).first()
-    if not size:
+    asked, stock = _directions(queries, query_id, col), _directions(gallery, gallery_id, col)
+    # A bounded, repeatable choice of pivots; any choice gives the exact answer.
+    chosen = stock.orderBy(F.xxhash64(gallery_id), gallery_id).limit(PIVOTS).select(col).toArrow()
+    if not len(chosen):
         return queries.select(query_id).limit(0).selectExpr(query_id, f"CAST(NULL AS BIGINT) {gallery_id}", "CAST(NULL AS DOUBLE) similarity")
-    slim = queries.select(F.col(query_id).cast("long").alias(query_id), F.col(col).cast("array<double>").alias(col))
-    stock = gallery.select(F.col(gallery_id).cast("long").alias(gallery_id), F.col(col).cast("array<double>").alias(col))
-    if size * (width + 1) * 8 <= max_bytes:
-        return _match_broadcast(slim, stock, k, query_id, gallery_id, col, width, skip_self)
-    return _match_blocks(slim, stock, k, query_id, gallery_id, col, width, skip_self)
-
+    column = chosen.column(0).combine_chunks()
+    pivots = _matrix(column, len(column[0]), "float64")
+    return _match_blocks(asked, stock, pivots, k, query_id, gallery_id, col, skip_self, min_similarity)
 
-def _match_broadcast(queries, gallery, k, query_id, gallery_id, col, width, skip_self) -> DataFrame:
-    rows = gallery.orderBy(gallery_id).toArrow()
-    ids = rows.column(0).to_numpy()
-    vectors = _matrix(rows.column(1).combine_chunks(), width, "float64")
-    shared = queries.sparkSession.sparkContext.broadcast((ids, vectors))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, matrix = shared.value
-        for batch in batches:
-            x, own = _matrix(batch.column(1), width, "float64"), batch.column(0).to_numpy()
-            for at in range(0, len(x), _STEP):
-                mine = own[at : at + _STEP]
-                sims = x[at : at + _STEP] @ matrix.T
-                if skip_self:
-                    sims[mine[:, None] == known[None, :]] = -np.inf
-                best, value = _top(sims, known, k)
-                keep = np.isfinite(value.ravel())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(mine, best.shape[1])[keep]), pa.array(best.ravel()[keep]), pa.array(value.ravel()[keep])],
-                    [query_id, gallery_id, "similarity"],
-                )
-
-    return queries.mapInArrow(run, f"{query_id} bigint, {gallery_id} bigint, similarity double")
+def _directions(df: DataFrame, id_col: str, col: str) -> DataFrame:
+    slim = df.select(F.col(id_col).cast("long").alias(id_col), F.col(col).cast("array<double>").alias(col))
+    slim = slim.withColumn("_norm", F.sqrt(F.aggregate(col, F.lit(0.0), lambda acc, v: acc + v * v))).where("_norm > 0")
+    return slim.select(id_col, F.transform(col, lambda v: v / F.col("_norm")).alias(col))
 
 
 def _nearest_pivot(df: DataFrame, id_col: str, col: str, pivots: np.ndarray, every: bool) -> DataFrame:
@@ -109,10 +90,7 @@ def _nearest_pivot(df: DataFrame, id_col: str, col: str, pivots: np.ndarray, eve
     return df.mapInArrow(run, f"{id_col} bigint, {col} array<double>, cell int, gap {kind}")
 
 
-def _match_blocks(queries, gallery, k, query_id, gallery_id, col, width, skip_self) -> DataFrame:
-    # A bounded, repeatable choice of pivots; any choice gives the exact answer.
-    chosen = gallery.orderBy(F.xxhash64(gallery_id), gallery_id).limit(PIVOTS).select(col).toArrow()
-    pivots = _matrix(chosen.column(0).combine_chunks(), width, "float64")
+def _match_blocks(queries, gallery, pivots, k, query_id, gallery_id, col, skip_self, min_similarity) -> DataFrame:
     stock = _nearest_pivot(gallery, gallery_id, col, pivots, every=False)
     # Rows of a cell by distance from its pivot, cut into blocks of bounded size.
     stock = with_row_index(stock, [F.col("gap").asc(), F.col(gallery_id).asc()], ["cell"], "_at")
@@ -134,28 +112,30 @@ def _match_blocks(queries, gallery, k, query_id, gallery_id, col, width, skip_se
     # A cell that is nearest to a query only, not to any gallery row, has no block;
     # its queries simply start without a bound.
     home = asked.drop("_own").join(seen, query_id)
-    first = cut_lineage(_visit(home.select(query_id, col, "cell", "block"), stock, k, query_id, gallery_id, col, width, skip_self))
+    first = cut_lineage(_visit(home.select(query_id, col, "cell", "block"), stock, k, query_id, gallery_id, col, skip_self))
     bound = first.groupBy(query_id).agg(F.count(F.lit(1)).alias("_n"), F.min("similarity").alias("_worst"))
     # Unit vectors: distance^2 = 2 - 2 * similarity. Fewer than k so far: no bound.
-    reach = F.when(F.col("_n") >= k, F.sqrt(F.greatest(2 - 2 * F.col("_worst"), F.lit(0.0)))).otherwise(F.lit(float("inf")))
+    widest = float(np.sqrt(max(0.0, 2 - 2 * min_similarity)))
+    reach = F.when(F.col("_n") >= k, F.least(F.sqrt(F.greatest(2 - 2 * F.col("_worst"), F.lit(0.0))), F.lit(widest))).otherwise(F.lit(widest))
     bound = bound.select(query_id, reach.alias("_reach"))
     open_q = home.withColumnRenamed("cell", "home_cell").withColumnRenamed("block", "home_block")
-    open_q = open_q.join(bound, query_id, "left").withColumn("_reach", F.coalesce("_reach", F.lit(float("inf"))))
+    open_q = open_q.join(bound, query_id, "left").withColumn("_reach", F.coalesce("_reach", F.lit(widest)))
     # One row per cell that its pivot distance cannot rule out, then its shells.
-    spread = open_q.select(query_id, col, "home_cell", "home_block", "_reach", F.posexplode("gap").alias("cell", "_d"))
-    rest = spread.join(shells, "cell").where(
+    opened = open_q.select(query_id, col, "home_cell", "home_block", "_reach", F.posexplode("gap").alias("cell", "_d"))
+    rest = opened.join(shells, "cell").where(
         (F.col("near") <= F.col("_d") + F.col("_reach") + _SLACK)
         & (F.col("far") >= F.col("_d") - F.col("_reach") - _SLACK)
         & ~((F.col("cell") == F.col("home_cell")) & (F.col("block") == F.col("home_block")))
     )
-    more = _visit(rest.select(query_id, col, "cell", "block"), stock, k, query_id, gallery_id, col, width, skip_self)
+    more = _visit(rest.select(query_id, col, "cell", "block"), stock, k, query_id, gallery_id, col, skip_self)
     merged = first.unionByName(more)
-    best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("similarity")).alias("s"), gallery_id))), 1, k)
-    top = merged.groupBy(query_id).agg(best.alias("_b")).select(query_id, F.explode("_b").alias("_m"))
-    return top.select(query_id, F.col(f"_m.{gallery_id}").alias(gallery_id), (-F.col("_m.s")).alias("similarity"))
+    # The limit on the row number is applied before the exchange as well.
+    rank = F.row_number().over(Window.partitionBy(query_id).orderBy(F.desc("similarity"), gallery_id))
+    ranked = merged.where(F.col("similarity") >= min_similarity).withColumn("_rank", rank)
+    return ranked.where(F.col("_rank") <= k).select(query_id, gallery_id, "similarity")
 
 
-def _visit(asked, stock, k, query_id, gallery_id, col, width, skip_self) -> DataFrame:
+def _visit(asked, stock, k, query_id, gallery_id, col, skip_self) -> DataFrame:
     """Best ``k`` of a block for each query sent to it. Queries of a popular block
     are spread over parts, so neither side of a group grows with the data."""
     sizes = asked.groupBy("cell", "block").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("_parts"))

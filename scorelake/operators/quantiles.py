@@ -2,130 +2,54 @@
 
 from __future__ import annotations
 
-import math
 from functools import reduce
-from operator import add, or_
+from operator import or_
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .segments import null_safe_join
+from .segments import POS, SEG, null_safe_join, segmented
 
-# Accuracy of the first-pass sketch: its rank error is at most n / ACCURACY.
+# Accuracy of the approximate form: its rank error is at most n / ACCURACY.
 ACCURACY = 10_000
 
 
 def exact_percentiles(df: DataFrame, keys: list[str], value: str, quantiles: dict[str, float]) -> DataFrame:
-    """Exact linear-interpolation percentiles without gathering a large key's rows.
+    """Exact linear-interpolation percentiles, by one method for keys of any size.
 
-    Keys of at most ``ACCURACY`` rows are ranked directly, all sorted together.
-    Larger keys, of which there can only be few, go through :func:`_bracketed`.
+    Equal values are folded into counts and sorted once into range segments, so
+    a key with most of the rows spans many of them. Counts of the segments (one
+    row for each key and segment) say which hold a wanted rank, and only those
+    are looked into; a task holds a segment at most. The table is read once.
     """
     keys = list(keys)
     base = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
-    if not keys:
-        return _bracketed(base, keys, quantiles)
-    large = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > ACCURACY).drop("_n")
-    few = _ranked(null_safe_join(base, large, keys, "left_anti"), keys, quantiles)
-    many = _bracketed(null_safe_join(base, large, keys, "left_semi"), keys, quantiles)
-    return few.unionByName(many)
+    counted = base.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    placed = segmented(counted, keys, [F.col("_v")])
+    sizes = placed.groupBy(*keys, SEG).agg(F.sum("_c").alias("_s"))
+    own = Window.partitionBy(*(keys or [F.lit(0)]))
+    before = F.coalesce(F.sum("_s").over(own.orderBy(SEG).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.withColumns({"_before": before, "_n": F.sum("_s").over(own)})
+    ranks = [(F.col("_n") - 1) * F.lit(float(q)) for q in quantiles.values()]
 
+    def holds(first: Column, after: Column) -> Column:
+        return reduce(or_, [(r >= first) & (r < after) for pos in ranks for r in (F.floor(pos), F.ceil(pos))])
 
-def _ranked(base: DataFrame, keys: list[str], quantiles: dict[str, float]) -> DataFrame:
-    """Percentiles of keys known to be small, from each row's place in its key."""
-    own = Window.partitionBy(*keys)
-    placed = base.withColumns({"_at": F.row_number().over(own.orderBy("_v")) - 1, "_last": F.count(F.lit(1)).over(own) - 1})
-    out = []
-    for name, q in quantiles.items():
-        pos = F.col("_last") * F.lit(float(q))
-        low = F.max(F.when(F.col("_at") == F.floor(pos), F.col("_v")))
-        high = F.max(F.when(F.col("_at") == F.ceil(pos), F.col("_v")))
-        out.append((low + (high - low) * F.max(pos - F.floor(pos))).alias(name))
-    return placed.groupBy(*keys).agg(*out)
+    wanted = sizes.where(holds(F.col("_before"), F.col("_before") + F.col("_s"))).drop("_s")
+    inside = Window.partitionBy(*keys, SEG).orderBy(POS).rowsBetween(Window.unboundedPreceding, 0)
+    rows = null_safe_join(placed, wanted, [*keys, SEG]).withColumn("_to", F.col("_before") + F.sum("_c").over(inside))
+    rows = rows.withColumn("_from", F.col("_to") - F.col("_c")).where(holds(F.col("_from"), F.col("_to")))
 
+    def at(rank: Column) -> Column:
+        return F.max(F.when((rank >= F.col("_from")) & (rank < F.col("_to")), F.col("_v")))
 
-def _bracketed(base: DataFrame, keys: list[str], quantiles: dict[str, float]) -> DataFrame:
-    """Percentiles of keys of any size.
-
-    Pass one brackets every wanted rank between two sketch values. The sketch's
-    rank error is bounded, so the bracket provably holds the rank, and it spans
-    about 1/1000 of the key's rows. Pass two counts, with map-side combining,
-    rows below each bracket and the distinct values inside it. Only those few
-    values meet in one place. A missed rank would raise, never give a wrong value.
-    """
-    eps = 3.0 / ACCURACY
-    cuts = [min(1.0, max(0.0, q + d)) for q in quantiles.values() for d in (-eps, eps)]
-    sketch = base.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.min("_v").alias("_min"),
-        F.max("_v").alias("_max"),
-        F.percentile_approx("_v", [float(c) for c in cuts], ACCURACY).alias("_cuts"),
-    )
-    # A key no larger than the sketch is kept whole: that is at most ACCURACY rows.
-    small = F.col("_n") <= ACCURACY
-    limits, ranks = [], []
-    for i, q in enumerate(quantiles.values()):
-        pos = (F.col("_n") - 1) * F.lit(float(q))
-        low = F.when(small | F.lit(cuts[2 * i] <= 0), F.col("_min")).otherwise(F.col("_cuts")[2 * i])
-        high = F.when(small | F.lit(cuts[2 * i + 1] >= 1), F.col("_max")).otherwise(F.col("_cuts")[2 * i + 1])
-        limits += [low.alias(f"_lo{i}"), high.alias(f"_hi{i}")]
-        ranks += [F.floor(pos).alias(f"_r{i}"), F.ceil(pos).alias(f"_s{i}"), (pos - F.floor(pos)).alias(f"_f{i}")]
-    span = range(len(quantiles))
-    bounds = sketch.select(*keys, *limits, *ranks)
-    marked = _attach(base, bounds.select(*keys, *[f"_{s}{i}" for i in span for s in ("lo", "hi")]), keys)
-    inside = [(F.col("_v") >= F.col(f"_lo{i}")) & (F.col("_v") <= F.col(f"_hi{i}")) for i in span]
-    under = [F.when(F.col("_v") < F.col(f"_lo{i}"), 1 << i).otherwise(0) for i in span]
-    # Scalar grouping keys keep this a hash aggregate with map-side combining.
-    coded = marked.select(
-        *keys, F.when(reduce(or_, inside), F.col("_v")).alias("_key"), reduce(add, under).cast("long").alias("_mask")
-    )
-    counted = _attach(coded.groupBy(*keys, "_key", "_mask").agg(F.count(F.lit(1)).alias("_c")), bounds, keys)
-    cells = []
-    for i in span:
-        is_under = F.col("_mask").bitwiseAND(F.lit(1 << i)) != 0
-        in_bracket = (F.col("_key") >= F.col(f"_lo{i}")) & (F.col("_key") <= F.col(f"_hi{i}"))
-        cells.append(
-            F.struct(
-                F.lit(i).alias("_i"),
-                F.when(~is_under, F.col("_key")).alias("_x"),
-                F.col(f"_r{i}").alias("_r"),
-                F.col(f"_s{i}").alias("_s"),
-                F.col(f"_f{i}").alias("_f"),
-                (is_under | F.coalesce(in_bracket, F.lit(False))).alias("_keep"),
-            )
-        )
-    out = counted.select(*keys, "_c", F.inline(F.array(*cells))).where("_keep")
-    folded = out.groupBy(*keys, "_i", "_x", "_r", "_s", "_f").agg(F.sum("_c").alias("_c"))
-    # Nulls first: the single "below" row leads, then the bracket's values.
-    w = Window.partitionBy(*keys, "_i").orderBy(F.col("_x").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
-    placed = folded.withColumn("_to", F.sum("_c").over(w)).withColumn("_from", F.col("_to") - F.col("_c"))
-
-    def at(rank):
-        return F.max(F.when((F.col(rank) >= F.col("_from")) & (F.col(rank) < F.col("_to")), F.col("_x")))
-
-    found = placed.groupBy(*keys, "_i", "_f").agg(at("_r").alias("_a"), at("_s").alias("_z"))
-    value_at = F.when(
-        F.col("_a").isNotNull() & F.col("_z").isNotNull(),
-        F.col("_a") + (F.col("_z") - F.col("_a")) * F.col("_f"),
-    ).otherwise(F.raise_error(F.lit("percentile rank fell outside its bracket")).cast("double"))
-    found = found.select(*keys, "_i", value_at.alias("_out"))
-    return found.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("_i") == i, F.col("_out"))).alias(n) for i, n in enumerate(quantiles)]
-    )
-
-
-def _attach(df: DataFrame, bounds: DataFrame, keys: list[str]) -> DataFrame:
-    if keys:
-        return null_safe_join(df, bounds, keys)
-    row = bounds.select(F.struct(*bounds.columns)).scalar()
-    return df.withColumn("_b", row).select(*df.columns, "_b.*")
+    out = [
+        (at(F.floor(pos)) + (at(F.ceil(pos)) - at(F.floor(pos))) * F.max(pos - F.floor(pos))).alias(name)
+        for name, pos in zip(quantiles, ranks, strict=True)
+    ]
+    return rows.groupBy(*keys).agg(*out)
 
 
 def approx_percentiles(df: DataFrame, keys: list[str], value: str, quantiles: dict[str, float], accuracy: int = ACCURACY) -> DataFrame:
     """Sketch percentiles: one pass, mergeable, bounded state per key."""
     return df.groupBy(*keys).agg(*[F.percentile_approx(value, float(q), accuracy).alias(n) for n, q in quantiles.items()])
-
-
-def rank_error(accuracy: int = ACCURACY) -> float:
-    """Largest rank error of :func:`approx_percentiles`, as a share of the rows."""
-    return 1.0 / max(1, math.floor(accuracy))

@@ -294,7 +294,7 @@ def m16(spark, sf_dir):
     return out.select("signal_id", rnd("loudness", 6).alias("score"))
 
 
-@query("m17_match_embeddings", f"WITH {SIGNALS}, d AS (SELECT a.signal_id, b.signal_id AS gallery_id, list_dot_product(a.features::DOUBLE[], b.features::DOUBLE[]) AS s FROM signals a JOIN signals b ON a.signal_id <> b.signal_id) "
+@query("m17_match_embeddings", f"WITH {SIGNALS}, d AS (SELECT a.signal_id, b.signal_id AS gallery_id, list_cosine_similarity(a.features::DOUBLE[], b.features::DOUBLE[]) AS s FROM signals a JOIN signals b ON a.signal_id <> b.signal_id) "
        f"SELECT signal_id, gallery_id, {rnd_sql('s', 8)} AS similarity FROM d QUALIFY row_number() OVER (PARTITION BY signal_id ORDER BY s DESC, gallery_id) <= 3")
 def m17(spark, sf_dir):
     q = signals(spark, sf_dir)
@@ -303,6 +303,18 @@ def m17(spark, sf_dir):
     return out.select("signal_id", "gallery_id", rnd("similarity", 8).alias("similarity"))
 
 
+@query("m17_similar_signals", f"WITH {SIGNALS}, g AS (SELECT signal_id AS gallery_id, list_transform(features::DOUBLE[], lambda v, i: CASE WHEN i = 1 THEN -v ELSE v END) AS f FROM signals), "
+       "d AS (SELECT signal_id, gallery_id, list_cosine_similarity(features::DOUBLE[], f) AS s FROM signals, g) "
+       f"SELECT signal_id, gallery_id, {rnd_sql('s', 8)} AS similarity FROM d WHERE s >= 0.8 QUALIFY row_number() OVER (PARTITION BY signal_id ORDER BY s DESC, gallery_id) <= 2")
+def m17_similar(spark, sf_dir):
+    """Vectors that aren't unit length against a gallery of altered ones, from a floor on."""
+    s = signals(spark, sf_dir)
+    q = s.withColumn("features", F.transform("features", lambda v: v.cast("double") * (F.col("signal_id") % 5 + 1)))
+    g = s.select(F.col("signal_id").alias("gallery_id"), F.transform("features", lambda v, i: F.when(i == 0, -v).otherwise(v)).alias("features"))
+    out = match_embeddings(q, g, 2, min_similarity=0.8)
+    return out.select("signal_id", "gallery_id", rnd("similarity", 8).alias("similarity"))
+
+
 # -- stored blobs: bytes are decoded inside the scoring batch
 
 MARKS = ["<", ">", "/", "=", '"', "&", ";", "."]  # characters counted by the demo decoder

@@ -1,4 +1,4 @@
-"""Nearest gallery rows: both paths against brute force, with a hot cluster."""
+"""Nearest gallery rows against brute force, with a hot cluster."""
 
 import numpy as np
 import pandas as pd
@@ -24,14 +24,13 @@ def brute(q, g, k, skip_self):
     return -best
 
 
-@pytest.mark.parametrize("limit", [M.MAX_BROADCAST_BYTES, 0])
 @pytest.mark.parametrize("k, skip_self", [(1, True), (4, False)])
-def test_equals_brute_force(spark, monkeypatch, vectors, limit, k, skip_self):
+def test_equals_brute_force(spark, monkeypatch, vectors, k, skip_self):
     monkeypatch.setattr(M, "BLOCK_ROWS", 32)
     monkeypatch.setattr(M, "PIVOTS", 6)
     q = spark.createDataFrame(pd.DataFrame({"signal_id": np.arange(600), "features": list(vectors)}))
     g = q.withColumnRenamed("signal_id", "gallery_id")
-    got = M.match_embeddings(q, g, k, skip_self=skip_self, max_bytes=limit).toPandas()
+    got = M.match_embeddings(q, g, k, skip_self=skip_self).toPandas()
     assert len(got) == 600 * k
     got = got.sort_values(["signal_id", "similarity"], ascending=[True, False])
     want = brute(vectors, vectors, k, skip_self)
@@ -43,3 +42,17 @@ def test_equals_brute_force(spark, monkeypatch, vectors, limit, k, skip_self):
 def test_empty_gallery(spark, vectors):
     q = spark.createDataFrame(pd.DataFrame({"signal_id": np.arange(5), "features": list(vectors[:5])}))
     assert M.match_embeddings(q, q.withColumnRenamed("signal_id", "gallery_id").limit(0)).count() == 0
+
+
+def test_lengths_do_not_matter_and_a_floor_holds(spark, vectors):
+    scaled = vectors * np.linspace(0.5, 9.0, len(vectors))[:, None]
+    scaled[17] = 0
+    q = spark.createDataFrame(pd.DataFrame({"signal_id": np.arange(600), "features": list(scaled)}))
+    g = q.withColumnRenamed("signal_id", "gallery_id")
+    got = M.match_embeddings(q, g, 3, skip_self=True, min_similarity=0.9).toPandas()
+    sims = vectors @ vectors.T
+    sims[17] = sims[:, 17] = -1
+    np.fill_diagonal(sims, -1)
+    want = np.minimum((sims >= 0.9).sum(axis=1), 3)
+    assert (got.groupby("signal_id").size().reindex(range(600), fill_value=0).to_numpy() == want).all()
+    assert (got["similarity"] >= 0.9).all()
