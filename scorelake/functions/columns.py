@@ -78,6 +78,9 @@ def safe_ratio(x, t) -> Column:
 
 
 def round_s(c) -> Column:
+    """Rounded by the shortest decimal text of the value, ties away from zero: 2.675
+    to two digits is 2.68. Rounding its binary value would give 2.67, so on such
+    ties, and only there, the last digit may differ by one from other tools."""
     return F.round(_col(c), 4)
 
 

@@ -48,6 +48,8 @@ class Model:
     output_desc: str = ""
     version: int = 1
     prepare: Callable[[dict[str, np.ndarray]], dict[str, np.ndarray]] | None = None
+    #: The same as ``forward`` on a device, where there is such a form.
+    forward_cuda: Callable[[dict[str, np.ndarray], np.ndarray], np.ndarray] | None = None
 
     @property
     def width(self) -> int:

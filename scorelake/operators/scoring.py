@@ -7,11 +7,12 @@ as a broadcast and are prepared once per Python worker.
 
 from __future__ import annotations
 
+import hashlib
 import os
 import socket
 import time
-import uuid
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,8 @@ from pyspark.sql import functions as F
 from ..schemas import WEIGHTS
 from .registry import Model, ModelRegistry
 
+# Prepared model sets that a worker keeps.
+KEPT_SETS = 4
 # Weights are held by the driver and every executor; larger sets are refused.
 MAX_WEIGHT_BYTES = 1 << 30
 
@@ -74,6 +77,17 @@ def broadcast_weights(spark: SparkSession, models: list[Model]):
     return spark.sparkContext.broadcast({m.name: m.weights for m in models})
 
 
+def content_token(models: list[Model]) -> str:
+    """What identifies prepared weights on a worker: names, versions and a digest of all values."""
+    digest = hashlib.sha1(usedforsecurity=False)
+    for m in models:
+        digest.update(f"{m.name}:{m.version}:{getattr(m.prepare, '__qualname__', None)}".encode())
+        for layer in sorted(m.weights):
+            digest.update(f"{layer}{m.weights[layer].shape}{m.weights[layer].dtype}".encode())
+            digest.update(np.ascontiguousarray(m.weights[layer]).tobytes())
+    return digest.hexdigest()
+
+
 # -- devices ------------------------------------------------------------------
 
 
@@ -152,8 +166,11 @@ def _worker_weights(handle, token: str, specs, dtype: str) -> tuple[dict[str, di
                 weights = spec["prepare"](weights)
             ready[spec["name"]] = {k: np.ascontiguousarray(v, dtype=dtype) for k, v in weights.items()}
             times[spec["name"]] = time.perf_counter() - begun
-        _prepared.clear()  # keep one model set per worker
+        while len(_prepared) >= KEPT_SETS:
+            _prepared.pop(next(iter(_prepared)))
         _prepared[key] = ready
+    else:
+        _prepared[key] = _prepared.pop(key)  # last used, last to go
     return _prepared[key], times
 
 
@@ -163,11 +180,17 @@ def _run_batches(spec, weights, x: np.ndarray, batch_size: int) -> np.ndarray:
 
 
 def _scorer(handle, token: str, specs, ids: list[str], batch_size: int, dtype: str, device_mode: str, metrics: bool):
-    """The function each task runs over its Arrow batches."""
+    """The function each task runs over its Arrow batches.
+
+    On a device, models that have a form for it use that; task rows name the
+    device that did each model's work.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         device = _task_device(device_mode)
         weights, load = _worker_weights(handle, token, specs, dtype)
+        on_device = {s["name"] for s in specs if device == "cuda" and s["cuda"]}
+        running = [{**s, "forward": s["cuda"]} if s["name"] in on_device else s for s in specs]
         spent = {s["name"]: [0, 0, 0.0] for s in specs}
         id_types = None
         for batch in batches:
@@ -176,7 +199,7 @@ def _scorer(handle, token: str, specs, ids: list[str], batch_size: int, dtype: s
                 continue
             x = _matrix(batch.column(len(ids)), specs[0]["width"], dtype)
             columns = []
-            for spec in specs:
+            for spec in running:
                 begun = time.perf_counter()
                 out = _run_batches(spec, weights[spec["name"]], x, batch_size)
                 tally = spent[spec["name"]]
@@ -190,7 +213,7 @@ def _scorer(handle, token: str, specs, ids: list[str], batch_size: int, dtype: s
                 names, arrays = names + ["task"], arrays + [pa.nulls(len(x), _task_type())]
             yield pa.RecordBatch.from_arrays(arrays, names)
         if metrics and id_types is not None:
-            yield _task_rows(ids, id_types, specs, dtype, device, load, spent)
+            yield _task_rows(ids, id_types, specs, dtype, on_device, load, spent)
 
     return run
 
@@ -213,13 +236,13 @@ def _arrow_type(kind: str, dtype: str) -> pa.DataType:
     return pa.struct([("pred", pa.int32()), ("confidence", pa.float64()), ("logits", pa.list_(element))])
 
 
-def _task_rows(ids, id_types, specs, dtype, device, load, spent) -> pa.RecordBatch:
+def _task_rows(ids, id_types, specs, dtype, on_device, load, spent) -> pa.RecordBatch:
     """One trailing row per model that says how this task ran."""
     context, host, pid = TaskContext.get(), socket.gethostname(), os.getpid()
     rows = [
         {
             "partition_idx": context.partitionId(), "attempt": context.attemptNumber(), "executor_id": f"{host}_{pid}",
-            "hostname": host, "pid": pid, "device": device, "model": name, "samples": samples, "batches": batches,
+            "hostname": host, "pid": pid, "device": "cuda" if name in on_device else "cpu", "model": name, "samples": samples, "batches": batches,
             "load_time": load[name], "inference_time": seconds,
         }
         for name, (samples, batches, seconds) in spent.items()
@@ -249,21 +272,70 @@ def score_all(
     the input's modality. With ``metrics`` each task adds one trailing row per
     model, ids null and ``task`` filled; see :func:`split_scored`.
     """
-    chosen = list(models.models.values()) if isinstance(models, ModelRegistry) else list(models)
-    widths = {m.width for m in chosen}
-    if len(widths) != 1:
-        raise ValueError("models scored together must read the same input shape")
-    handle = broadcast_weights(df.sparkSession, chosen)
-    specs = [{"name": m.name, "forward": m.forward, "prepare": m.prepare, "output": m.output, "width": m.width} for m in chosen]
-    slim = df.select(*id_cols, input_col)
-    if dict(slim.dtypes)[input_col] not in ("array<float>", "array<double>"):
-        slim = slim.withColumn(input_col, F.col(input_col).cast("array<double>"))
-    kinds = dict(slim.dtypes)
-    schema = [f"`{c}` {kinds[c]}" for c in id_cols] + [f"`{m.name}` {_spark_type(m.output, dtype)}" for m in chosen]
-    if metrics:
-        schema.append(f"task {TASK_SCHEMA}")
-    run = _scorer(handle, uuid.uuid4().hex, specs, list(id_cols), batch_size, dtype, device_mode, metrics)
-    return slim.mapInArrow(run, ", ".join(schema))
+    return Scorer(df.sparkSession, models, batch_size, device_mode, dtype)(df, input_col, id_cols, metrics)
+
+
+class Scorer:
+    """Models ready to score any number of tables: weights are checked and broadcast once."""
+
+    def __init__(self, spark: SparkSession, models: list[Model] | ModelRegistry, batch_size: int = 1024, device_mode: str = "cpu_only", dtype: str = "float32", profile=None) -> None:
+        """``profile``: a resource profile that asks for devices, passed on to the tasks."""
+        self.models = list(models.models.values()) if isinstance(models, ModelRegistry) else list(models)
+        if len({m.width for m in self.models}) != 1:
+            raise ValueError("models scored together must read the same input shape; score_registry takes a mixed registry")
+        self.handle = broadcast_weights(spark, self.models)
+        self.token = content_token(self.models)
+        self.batch_size, self.device_mode, self.dtype, self.profile = batch_size, device_mode, dtype, profile
+
+    def __call__(self, df: DataFrame, input_col: str = "features", id_cols: tuple[str, ...] = ("signal_id",), metrics: bool = False) -> DataFrame:
+        specs = [{"name": m.name, "forward": m.forward, "prepare": m.prepare, "output": m.output, "width": m.width, "cuda": m.forward_cuda} for m in self.models]
+        slim = df.select(*id_cols, input_col)
+        if dict(slim.dtypes)[input_col] not in ("array<float>", "array<double>"):
+            slim = slim.withColumn(input_col, F.col(input_col).cast("array<double>"))
+        kinds = dict(slim.dtypes)
+        schema = [f"`{c}` {kinds[c]}" for c in id_cols] + [f"`{m.name}` {_spark_type(m.output, self.dtype)}" for m in self.models]
+        if metrics:
+            schema.append(f"task {TASK_SCHEMA}")
+        run = _scorer(self.handle, self.token, specs, list(id_cols), self.batch_size, self.dtype, self.device_mode, metrics)
+        return slim.mapInArrow(run, ", ".join(schema), profile=self.profile)
+
+
+def score_registry(inputs: dict[str, DataFrame], registry: ModelRegistry, input_col: str = "features", id_col: str = "signal_id", **kwargs) -> tuple[DataFrame, list[str]]:
+    """Score a registry of mixed modalities: each category's table with the models of that category.
+
+    Returns one row per (category, id, model) with ``pred`` and ``confidence`` of
+    classifiers, ``vector`` or ``score`` of the others, and the names of the
+    models that have no data. Models of a category that read the same shape share
+    one pass over its table. Ids are compared as text, since tables may differ.
+    """
+    rows, without = [], []
+    for category in dict.fromkeys(m.category for m in registry.models.values()):
+        models = registry.in_category(category)
+        if category not in inputs:
+            without += [m.name for m in models]
+            continue
+        for width in dict.fromkeys(m.width for m in models):
+            group = [m for m in models if m.width == width]
+            table = inputs[category].where(F.size(input_col) == width)
+            scored = Scorer(table.sparkSession, group, **kwargs)(table, input_col, (id_col,))
+            entries = F.array(*[_model_entry(m) for m in group])
+            opened = scored.select(F.lit(category).alias("category"), F.col(id_col).cast("string").alias("id"), F.inline(entries))
+            rows.append(opened)
+    if not rows:
+        raise ValueError("no category of the registry has data")
+    return reduce(DataFrame.unionByName, rows), without
+
+
+def _model_entry(m: Model) -> Column:
+    c = F.col(f"`{m.name}`")
+    logits = m.output == "logits"
+    return F.struct(
+        F.lit(m.name).alias("model"),
+        (c["pred"] if logits else F.lit(None).cast("int")).alias("pred"),
+        (c["confidence"] if logits else F.lit(None).cast("double")).alias("confidence"),
+        (c if m.output == "vector" else F.lit(None)).cast("array<double>").alias("vector"),
+        (c if m.output == "score" else F.lit(None)).cast("double").alias("score"),
+    )
 
 
 def score(df: DataFrame, model: Model, input_col: str = "features", id_cols: tuple[str, ...] = ("signal_id",), batch_size: int = 1024, device_mode: str = "cpu_only", dtype: str = "float32") -> DataFrame:
@@ -282,7 +354,7 @@ def score_blobs(df: DataFrame, model: Model, decode: Callable[[bytes], np.ndarra
     """
     handle = broadcast_weights(df.sparkSession, [model])
     spec = {"name": model.name, "forward": model.forward, "prepare": model.prepare, "output": model.output, "width": model.width}
-    token, ids = uuid.uuid4().hex, list(id_cols)
+    token, ids = content_token([model]), list(id_cols)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _task_device(device_mode)
@@ -312,7 +384,7 @@ def score_column(spark: SparkSession, model: Model, batch_size: int = 1024) -> C
 
     handle = broadcast_weights(spark, [model])
     spec = {"name": model.name, "prepare": model.prepare}
-    forward, scalar, token = model.forward, model.output == "score", uuid.uuid4().hex
+    forward, scalar, token = model.forward, model.output == "score", content_token([model])
 
     def make():
         weights = _worker_weights(handle, token, [spec], "float32")[0][model.name]

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from ..functions.columns import mb, safe_ratio
+from ..functions.columns import mb, merge_dims, safe_ratio
+from ..schemas import METRICS
 from .segments import with_row_index
 
 # Metric name, source expression and unit per kind of record.
@@ -46,6 +48,8 @@ RUN_METRICS = [
     ("NumModelsOnCpu", "num_on_cpu", "Count", True),
 ]
 
+RECORD_METRICS = [("TotalBenchmarkTimeSec", "t", "Seconds", False)]
+
 # Metric, comparison and limit that raise an alert.
 ALERT_THRESHOLDS = [
     ("gpu_utilization", "<", 50.0),
@@ -69,6 +73,34 @@ def to_metrics(df: DataFrame, spec: list[tuple[str, str, str, bool]], keep: list
     return rows.where(F.col("value").isNotNull()) if optional_names else rows
 
 
+def datapoints(rows: DataFrame, namespace: str, *dims: Column, ts: Column | None = None) -> DataFrame:
+    """Metric rows as complete datapoints (``schemas.METRICS``).
+
+    ``dims`` are maps of dimensions, merged so that a later one wins: those of
+    the node, of the fleet, then of the metric itself. A missing unit is "None";
+    without ``ts`` a datapoint is stamped when it is made.
+    """
+    unit = F.coalesce("unit", F.lit("None"))
+    stamp = ts if ts is not None else F.current_timestamp()
+    out = rows.select(
+        F.lit(namespace).alias("namespace"), "metric_name", F.col("value").cast("double").alias("value"), unit.alias("unit"),
+        merge_dims(*dims).alias("dims"), stamp.cast("timestamp").alias("ts"),
+    )
+    return out.select(*[F.col(f.name).cast(f.dataType) for f in StructType.fromDDL(METRICS)])
+
+
+def result_metrics(results: DataFrame) -> DataFrame:
+    """Metric rows of per-mode results (one row per record and mode), ``mode`` null for those of the whole record.
+
+    Modes that failed give none. The total time of a record counts once.
+    """
+    done = results.where(F.col("error").isNull()) if "error" in results.columns else results
+    modes = to_metrics(done, RUN_METRICS, ["_source_file", F.col("result_mode").alias("mode")])
+    whole = results.where(F.col("total_benchmark_time").isNotNull()).groupBy("_source_file").agg(F.max("total_benchmark_time").alias("t"))
+    totals = to_metrics(whole, RECORD_METRICS, ["_source_file", F.lit(None).cast("string").alias("mode")])
+    return modes.unionByName(totals)
+
+
 def with_metric_batches(df: DataFrame, order: list[Column], size: int = METRIC_BATCH) -> DataFrame:
     """Number metric rows into batches of at most ``size`` for publishing."""
     indexed = with_row_index(df, order)

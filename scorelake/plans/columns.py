@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import filters as FL
-from ..operators.telemetry import RUN_METRICS, to_metrics
+from ..operators.telemetry import RUN_METRICS, datapoints, to_metrics
 from .catalog import Catalog, rnd, rnd_sql
 from .tables import EXECUTORS, MODELS, RUNS, TASKS, TELEMETRY, executors, models, runs, table, tasks, telemetry
 
@@ -118,6 +118,21 @@ def p24(spark, sf_dir):
     return to_metrics(wide, RUN_METRICS, ["run_id"])
 
 
+@query("p24_datapoints", f"""WITH {RUNS} SELECT run_id, 'bench' AS namespace, 'ElapsedTimeSec' AS metric_name, elapsed_time AS value, 'Seconds' AS unit,
+'master' AS role, device_mode AS mode, 3 AS n_dims, run_ts AS ts FROM runs""")
+def p24_points(spark, sf_dir):
+    """Complete datapoints: namespace, merged dimensions and time."""
+    wide = runs(spark, sf_dir)
+    rows = to_metrics(wide, [m for m in RUN_METRICS if m[0] == "ElapsedTimeSec"], ["run_id", "device_mode", "run_ts"])
+    node = F.create_map(F.lit("NodeRole"), F.lit("worker"), F.lit("InstanceId"), F.col("run_id").cast("string"))
+    own = F.create_map(F.lit("NodeRole"), F.lit("master"), F.lit("Mode"), F.col("device_mode"))
+    out = datapoints(rows, "bench", node, own, ts=F.col("run_ts"))
+    return out.select(
+        F.col("dims")["InstanceId"].cast("long").alias("run_id"), "namespace", "metric_name", "value", "unit", F.col("dims")["NodeRole"].alias("role"),
+        F.col("dims")["Mode"].alias("mode"), F.size("dims").alias("n_dims"), F.col("ts").cast("timestamp_ntz").alias("ts"),
+    )
+
+
 @query("p26_json_property", f"WITH {TELEMETRY} SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, CAST(NULL AS BIGINT) AS absent FROM telemetry")
 def p26(spark, sf_dir):
     e = telemetry(spark, sf_dir)

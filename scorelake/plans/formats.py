@@ -10,7 +10,7 @@ from pyspark.sql.types import StructType
 
 from ..functions.vectors import to_wide, wide_names
 from ..operators.filters import ok_runs
-from ..operators.runs import samples_from_maps, samples_per_model
+from ..operators.runs import run_health, samples_from_maps, samples_per_model
 from ..operators.telemetry import DEVICE_METRICS, to_metrics
 from ..schemas import RUN
 from ..session import scratch_path
@@ -95,12 +95,13 @@ def a1_records(spark, sf_dir):
     return samples_per_model(samples_from_maps(stored))
 
 
-@query("s7_mode_results", f"""{HEAD}, m AS (SELECT model_id, CASE device_mode WHEN '1-URGENT' THEN 'single_gpu' WHEN '2-HIGH' THEN 'hybrid_cpu_gpu' WHEN '5-LOW' THEN 'distributed_gpu' END AS result_mode, samples FROM tasks JOIN runs USING (run_id))
-SELECT model_id, result_mode, sum(samples)::BIGINT AS samples FROM m WHERE result_mode IS NOT NULL GROUP BY ALL""")
+@query("s7_mode_results", f"""{HEAD}, m AS (SELECT model_id, CASE WHEN device_mode IN ('1-URGENT', '3-MEDIUM') THEN 'single_gpu' WHEN device_mode IN ('2-HIGH', '4-NOT SPECIFIED') THEN 'hybrid_cpu_gpu' ELSE 'distributed_gpu' END AS result_mode, samples FROM tasks JOIN runs USING (run_id))
+SELECT model_id, result_mode, sum(samples)::BIGINT AS samples FROM m GROUP BY ALL""")
 def s7(spark, sf_dir):
     t = tasks(spark, sf_dir).join(runs(spark, sf_dir).select("run_id", "device_mode"), "run_id")
     per = t.groupBy("model_id").agg(*[
-        F.sum(F.when(F.col("device_mode") == m, F.col("samples"))).alias(n) for n, m in (("single_gpu", "1-URGENT"), ("hybrid_cpu_gpu", "2-HIGH"), ("distributed_gpu", "5-LOW"))
+        F.sum(F.when(F.col("device_mode").isin(m), F.col("samples"))).alias(n)
+        for n, m in (("single_gpu", ["1-URGENT", "3-MEDIUM"]), ("hybrid_cpu_gpu", ["2-HIGH", "4-NOT SPECIFIED"]), ("distributed_gpu", ["5-LOW"]))
     ])
     record = per.select(
         F.struct(F.col("model_id").cast("int").alias("partitions")).alias("config"),
@@ -172,6 +173,41 @@ def s14(spark, sf_dir):
     )
 
 
+@query("s14_log_health", f"{HEAD}, t AS (SELECT run_id, max(samples) AS mx, min(samples) AS mn, sum(samples % 7) AS gc, sum(samples) AS total, count(*) FILTER (WHERE device = 'R') AS failed, sum(samples * 6) AS sh FROM tasks GROUP BY run_id) "
+       f"SELECT run_id, {rnd_sql('CASE WHEN mn > 0 THEN mx::DOUBLE / mn ELSE 0 END', 6)} AS skew, {rnd_sql('CASE WHEN total > 0 THEN gc::DOUBLE / total ELSE 0 END', 6)} AS gc_share, failed AS failed_tasks, sh > 0 AS has_shuffle FROM t")
+def s14_health(spark, sf_dir):
+    """Run health straight from an event log, shuffle and collection times included."""
+    t = tasks(spark, sf_dir)
+    n = F.col("samples").cast("bigint")
+    info = F.struct(F.col("executor_id").cast("string").alias("Executor ID"), F.lit(1000).cast("long").alias("Launch Time"), (n + 1000).alias("Finish Time"), (F.col("device") == "R").alias("Failed"))
+    shuffled = F.struct(n.alias("Local Bytes Read"), (2 * n).alias("Remote Bytes Read")).alias("Shuffle Read Metrics")
+    metrics = F.struct((n % 7).alias("JVM GC Time"), shuffled, F.struct((3 * n).alias("Shuffle Bytes Written")).alias("Shuffle Write Metrics"))
+    path = scratch_path(spark, "eventlog")
+    t.select(F.lit("SparkListenerTaskEnd").alias("Event"), F.col("run_id").cast("int").alias("Stage ID"), info.alias("Task Info"), metrics.alias("Task Metrics")).write.json(path)
+    out = run_health(ST.read_event_log(spark, path)["tasks"], ["stage_id"])
+    return out.select(F.col("stage_id").cast("long").alias("run_id"), rnd("skew", 6).alias("skew"), rnd("gc_share", 6).alias("gc_share"), "failed_tasks", "has_shuffle")
+
+
+@query("s8_stage_tasks", f"{HEAD} SELECT run_id, executor_id, sum(samples)::BIGINT AS duration, sum(samples * 2)::BIGINT AS shuffle_bytes, count(*) FILTER (WHERE device = 'R') AS failed FROM tasks GROUP BY run_id, executor_id")
+def s8_tasks(spark, sf_dir):
+    """Tasks out of the stage details of a status capture."""
+    t = tasks(spark, sf_dir)
+    n = F.col("samples").cast("bigint")
+    metrics = F.struct(F.struct(n.alias("localBytesRead")).alias("shuffleReadMetrics"), F.struct(n.alias("bytesWritten")).alias("shuffleWriteMetrics"))
+    status = F.when(F.col("device") == "R", "FAILED").otherwise("SUCCESS")
+    task = F.struct(n.alias("duration"), F.col("executor_id").cast("string").alias("executorId"), status.alias("status"), metrics.alias("taskMetrics"))
+    # The tasks of one stage are one record in this format.
+    listed = t.groupBy("run_id").agg(F.collect_list(task).alias("l"))
+    numbered = F.map_from_arrays(F.transform("l", lambda x, i: i.cast("string")), "l")
+    path = scratch_path(spark, "status")
+    detail = F.array(F.struct(F.col("run_id").cast("int").alias("stageId"), numbered.alias("tasks")))
+    listed.select(F.struct(F.col("run_id").cast("string").alias("id")).alias("application"), detail.alias("stage_details")).write.json(path)
+    out = ST.read_status(spark, path, lines=True)["tasks"]
+    return out.groupBy(F.col("app_id").cast("long").alias("run_id"), F.col("executor_id").cast("long").alias("executor_id")).agg(
+        F.sum("duration").alias("duration"), F.sum("shuffle_bytes").alias("shuffle_bytes"), F.count_if("failed").alias("failed")
+    )
+
+
 def _pack(ids, vectors):
     """One ``.npy`` block as bytes."""
     buffer = io.BytesIO()
@@ -193,16 +229,18 @@ def s2(spark, sf_dir):
     blocks = rows.select("block", "signal_id", "features").groupBy("block").applyInPandas(pack, "path string, content binary")
     out = SG.unpack_npy(blocks, 2 * HALF)
     total = F.aggregate(F.col("values").cast("array<double>"), F.lit(0.0), lambda a, x: a + x)
-    return out.select(F.split("file", "\\.")[0].cast("long").alias("block"), "row_idx", rnd(total, 5).alias("total"))
+    return out.select(F.regexp_extract("file", "/(\\d+)\\.npy$", 1).cast("long").alias("block"), "row_idx", rnd(total, 5).alias("total"))
 
 
-@query("s3_read_blobs", "SELECT page_id, strlen(html) + 1 AS length FROM pages")
+@query("s3_read_blobs", "SELECT page_id % 8 AS shelf, sum(strlen(html) + 1)::BIGINT AS length FROM pages GROUP BY 1")
 def s3(spark, sf_dir):
-    """One stored file per page; the text writer ends each with a newline."""
+    """Files of many pages, on eight shelves; the text writer ends each page with a newline."""
     path = scratch_path(spark, "pages")
-    table(spark, sf_dir, "pages").select(F.col("page_id").alias("page"), F.col("html").alias("value")).write.partitionBy("page").text(path)
+    pages = table(spark, sf_dir, "pages").select((F.col("page_id") % 8).alias("shelf"), F.col("html").alias("value"))
+    pages.repartition("shelf").write.partitionBy("shelf").text(path)
     out = SG.read_blobs(spark, path, "*.txt")
-    return out.select(F.regexp_extract("path", "page=(\\d+)/", 1).cast("long").alias("page_id"), F.octet_length("content").cast("long").alias("length"))
+    shelf = F.regexp_extract("path", "shelf=(\\d+)/", 1).cast("long").alias("shelf")
+    return out.groupBy(shelf).agg(F.sum(F.octet_length("content").cast("long")).alias("length"))
 
 
 @query("s1_read_wide_csv", f"WITH {SIGNALS} SELECT signal_id, label::BIGINT AS label, {rnd_sql('list_sum(features::DOUBLE[])', 6)} AS total FROM signals")
@@ -231,20 +269,20 @@ def s13(spark, sf_dir):
 
 
 def _pickup(spark, sf_dir):
-    """Files land in two rounds; each is picked up once, also across restarts."""
+    """Whole records land in two rounds; each file is picked up once, also across restarts."""
     landing, out, checkpoint = (scratch_path(spark, n) for n in ("landing", "out", "checkpoint"))
-    records = run_records(spark, sf_dir).withColumn("partition_details", F.lit(None).cast("string"))
-    records = records.drop("partition_details", "per_model_processed")
+    records = run_records(spark, sf_dir)
     for late in (False, True):
         write_runs(records.where((F.col("status") == "P") == late), landing)
-        src = jobs.stream_run_files(spark, landing, lines=True).select("run_id", "status", "_source_file")
+        src = jobs.stream_run_files(spark, landing, lines=True)
+        src = src.select("run_id", "status", "_source_file", F.size("partition_details").alias("tasks"), F.size("per_model_processed").alias("models"))
         jobs.run_available(src, out, checkpoint)
     return spark.read.parquet(out)
 
 
-@query("s12_watch_results", f"{HEAD} SELECT status, count(*) AS runs FROM runs SEMI JOIN tasks USING (run_id) GROUP BY status")
+@query("s12_watch_results", f"{HEAD}, n AS (SELECT run_id, count(DISTINCT partition_idx) AS tasks FROM tasks GROUP BY run_id) SELECT status, count(*) AS runs, sum(tasks)::BIGINT AS tasks FROM runs JOIN n USING (run_id) GROUP BY status")
 def s12(spark, sf_dir):
-    return _pickup(spark, sf_dir).groupBy("status").agg(F.count("*").alias("runs"))
+    return _pickup(spark, sf_dir).groupBy("status").agg(F.count("*").alias("runs"), F.sum("tasks").alias("tasks"))
 
 
 @query("t6_exactly_once", f"{HEAD} SELECT run_id, 1::BIGINT AS times FROM runs SEMI JOIN tasks USING (run_id)")

@@ -62,11 +62,20 @@ MODE_RESULTS = (
     f"distributed_gpu struct<{_MODE_FIELDS}>, total_benchmark_time double"
 )
 
+# A task as the details of a stage list it, by task id.
+_STAGE_TASK = (
+    "struct<taskId:bigint,index:int,attempt:int,launchTime:string,duration:bigint,executorId:string,host:string,status:string,"
+    "taskMetrics:struct<executorRunTime:bigint,executorCpuTime:bigint,jvmGcTime:bigint,resultSize:bigint,peakExecutionMemory:bigint,"
+    "memoryBytesSpilled:bigint,diskBytesSpilled:bigint,inputMetrics:struct<bytesRead:bigint,recordsRead:bigint>,"
+    "shuffleReadMetrics:struct<localBytesRead:bigint,remoteBytesRead:bigint>,shuffleWriteMetrics:struct<bytesWritten:bigint>>>"
+)
+
 STATUS = (
     "application struct<id:string,name:string>, "
     + ", ".join(f"{name} array<{kind}>" for name, kind in (("jobs", _JOB), ("stages", _STAGE), ("executors", _EXECUTOR)))
     + ", environment struct<sparkProperties:array<array<string>>>"
-    + ", storage array<struct<id:int,name:string,memoryUsed:bigint,diskUsed:bigint>>"
+    + f", stage_details array<struct<stageId:int,attemptId:int,status:string,tasks:map<string,{_STAGE_TASK}>>>"
+    + ", storage_rdd array<struct<id:int,name:string,numPartitions:int,numCachedPartitions:int,storageLevel:string,memoryUsed:bigint,diskUsed:bigint>>"
 )
 
 CLUSTER_STATE = (
@@ -76,7 +85,10 @@ CLUSTER_STATE = (
 
 _TASK_METRICS = (
     "`Executor Run Time`:bigint,`Executor CPU Time`:bigint,`JVM GC Time`:bigint,`Result Size`:bigint,"
-    "`Memory Bytes Spilled`:bigint,`Disk Bytes Spilled`:bigint"
+    "`Memory Bytes Spilled`:bigint,`Disk Bytes Spilled`:bigint,`Peak Execution Memory`:bigint,"
+    "`Input Metrics`:struct<`Bytes Read`:bigint>,"
+    "`Shuffle Read Metrics`:struct<`Local Bytes Read`:bigint,`Remote Bytes Read`:bigint>,"
+    "`Shuffle Write Metrics`:struct<`Shuffle Bytes Written`:bigint>"
 )
 EVENT_LOG = (
     "Event string, Timestamp bigint, `Stage ID` int, `Executor ID` string, "

@@ -34,7 +34,7 @@ def read_wide_signals(spark: SparkSession, path: str, n: int = 128, fmt: str = "
 
 
 def unpack_npy(files: DataFrame, dims: int) -> DataFrame:
-    """Rows of ``.npy`` blocks held in (path, content): (file, row_idx, values).
+    """Rows of ``.npy`` blocks held in (path, content): (file, row_idx, values), ``file`` being the path.
     One block is at most 2 GB; its rows leave the task a slice at a time."""
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -56,13 +56,16 @@ def unpack_npy(files: DataFrame, dims: int) -> DataFrame:
                         ["file", "row_idx", "values"],
                     )
 
-    rows = files.select("path", "content").mapInArrow(unpack, "file string, row_idx bigint, values array<float>")
-    return rows.withColumn("file", F.element_at(F.split("file", "/"), -1))
+    return files.select("path", "content").mapInArrow(unpack, "file string, row_idx bigint, values array<float>")
 
 
 def read_npy(spark: SparkSession, path: str, dims: int) -> DataFrame:
-    """A folder of ``.npy`` blocks as rows."""
-    return unpack_npy(spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").load(path), dims)
+    """A folder of ``.npy`` blocks, and those below it, as rows; ``file`` is the path from the folder on."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").option("recursiveFileLookup", "true").load(path)
+    root = path.split("://", 1)[-1].removeprefix("file:").strip("/") + "/"
+    rows = unpack_npy(files, dims)
+    after = F.substring_index("file", root, -1)
+    return rows.withColumn("file", F.when(F.instr("file", root) > 0, after).otherwise(F.col("file")))
 
 
 def read_blobs(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:

@@ -16,12 +16,27 @@ def _status(spark: SparkSession, path: str, glob: str | None, lines: bool) -> Da
 
 
 def read_status(spark: SparkSession, path: str, glob: str | None = None, lines: bool = False) -> dict[str, DataFrame]:
-    """Application, jobs, stages, executors, environment and storage tables."""
+    """Application, jobs, stages, tasks of stages, executors, environment and storage tables.
+
+    ``tasks`` has the columns that run health and task quantiles read.
+    """
     raw = _status(spark, path, glob, lines)
     tables = {
         name: raw.select("_source_file", F.col("application.id").alias("app_id"), F.inline(name))
-        for name in ("jobs", "stages", "executors", "storage")
+        for name in ("jobs", "stages", "executors")
     }
+    tables["storage"] = raw.select("_source_file", F.col("application.id").alias("app_id"), F.inline("storage_rdd"))
+    details = raw.select("_source_file", F.col("application.id").alias("app_id"), F.inline("stage_details"))
+    each = details.select("_source_file", "app_id", F.col("stageId").alias("stage_id"), F.explode("tasks").alias("_key", "t"))
+    m = "t.taskMetrics"
+    zero = F.lit(0).cast("bigint")
+    read = F.coalesce(F.col(f"{m}.shuffleReadMetrics.localBytesRead"), zero) + F.coalesce(F.col(f"{m}.shuffleReadMetrics.remoteBytesRead"), zero)
+    tables["tasks"] = each.select(
+        "_source_file", "app_id", "stage_id", F.col("t.taskId").alias("task_id"), F.col("t.executorId").alias("executor_id"), F.col("t.host").alias("host"),
+        F.col("t.duration").alias("duration"), (F.col("t.status") == "FAILED").alias("failed"), F.col(f"{m}.executorRunTime").alias("run_ms"),
+        F.coalesce(F.col(f"{m}.jvmGcTime"), zero).alias("gc_time"), F.coalesce(F.col(f"{m}.inputMetrics.bytesRead"), zero).alias("input_bytes"),
+        (read + F.coalesce(F.col(f"{m}.shuffleWriteMetrics.bytesWritten"), zero)).alias("shuffle_bytes"), F.col(f"{m}.peakExecutionMemory").alias("peak_memory"),
+    )
     tables["application"] = raw.select("_source_file", "application.*")
     props = raw.select("_source_file", F.explode("environment.sparkProperties").alias("p"))
     tables["environment"] = props.select("_source_file", F.col("p")[0].alias("key"), F.col("p")[1].alias("value"))
@@ -57,6 +72,12 @@ def cluster_figures(state: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
 def read_event_log(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """Task, stage and executor tables of finished applications' event logs."""
     log = spark.read.schema(EVENT_LOG).json(path)
+
+    def bytes_of(field: str):
+        return F.coalesce(F.col(f"`Task Metrics`.{field}"), F.lit(0).cast("bigint"))
+
+    read = bytes_of("`Shuffle Read Metrics`.`Local Bytes Read`") + bytes_of("`Shuffle Read Metrics`.`Remote Bytes Read`")
+    written = bytes_of("`Shuffle Write Metrics`.`Shuffle Bytes Written`")
     tasks = log.where(F.col("Event") == "SparkListenerTaskEnd").select(
         F.col("`Stage ID`").alias("stage_id"),
         F.col("`Task Info`.`Task ID`").alias("task_id"),
@@ -68,6 +89,14 @@ def read_event_log(spark: SparkSession, path: str) -> dict[str, DataFrame]:
         F.col("`Task Metrics`.`Executor Run Time`").alias("run_ms"),
         F.col("`Task Metrics`.`JVM GC Time`").alias("gc_ms"),
         F.col("`Task Metrics`.`Result Size`").alias("result_size"),
+        bytes_of("`Input Metrics`.`Bytes Read`").alias("input_bytes"),
+        read.alias("shuffle_read_bytes"),
+        written.alias("shuffle_write_bytes"),
+        F.col("`Task Metrics`.`Peak Execution Memory`").alias("peak_memory"),
+        # As run health and task quantiles read them.
+        (F.col("`Task Info`.`Finish Time`") - F.col("`Task Info`.`Launch Time`")).alias("duration"),
+        F.coalesce(F.col("`Task Metrics`.`JVM GC Time`"), F.lit(0).cast("bigint")).alias("gc_time"),
+        (read + written).alias("shuffle_bytes"),
     )
     stages = log.where(F.col("Event") == "SparkListenerStageCompleted").select(
         F.col("`Stage Info`.`Stage ID`").alias("stage_id"),

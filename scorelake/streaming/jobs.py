@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from ..operators.registry import Model
-from ..operators.scoring import score, score_all
+from ..operators.scoring import Scorer, score
 from ..operators.telemetry import alerts, dashboard
 from ..schemas import RUN
 
@@ -22,8 +22,12 @@ def score_batches(src: DataFrame, models: list[Model], out: str, checkpoint: str
     batch that is replayed after a failure leaves no duplicates. With ``metrics``
     the folder also holds the batch's task rows; ``split_scored`` parts them."""
 
+    # Weights are broadcast once for the whole query, not once for each batch.
+    scorer = Scorer(src.sparkSession, models, **{k: v for k, v in kwargs.items() if k in ("batch_size", "device_mode", "dtype")})
+    columns = {k: v for k, v in kwargs.items() if k in ("input_col", "id_cols")}
+
     def write(batch: DataFrame, batch_id: int) -> None:
-        scored = score_all(batch, models, metrics=metrics, **kwargs)
+        scored = scorer(batch, metrics=metrics, **columns)
         scored.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
     return src.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
@@ -41,10 +45,9 @@ def alert_stream(src: DataFrame, thresholds: DataFrame, metric: str = "metric",
 def heartbeat_stream(src: DataFrame, gap: str = "60 seconds", lateness: str = "10 minutes", key: str = "executor_id", ts: str = "ts") -> DataFrame:
     """Spells of reports per executor; the end of a spell is a missed heartbeat.
 
-    Sessions merge inside each input partition first, so a busy executor does
-    not send every report to one task.
+    With the session settings of this package, sessions merge inside each input
+    partition first, so a busy executor does not send every report to one task.
     """
-    src.sparkSession.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
     spells = src.withWatermark(ts, lateness).groupBy(F.session_window(ts, gap).alias("w"), key)
     out = spells.agg(F.count(F.lit(1)).alias("beats"), F.max(ts).alias("last_seen"))
     return out.select(key, F.col("w.start").alias("spell_start"), F.col("w.end").alias("spell_end"), "beats", "last_seen")

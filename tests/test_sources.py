@@ -113,10 +113,12 @@ def test_embedded_status(stored):
 
 def test_captured_status(spark, tmp_path):
     data = {"application": {"id": "app-2", "name": "n"}, "jobs": [{"jobId": 0, "status": "SUCCEEDED", "stageIds": [3], "submissionTime": "2026-07-20T01:40:09.113GMT"}],
-            "stages": [STAGE, dict(STAGE, stageId=4)], "executors": EXECUTORS, "environment": {"sparkProperties": [["spark.a", "1"]]}, "storage": []}
+            "stages": [STAGE, dict(STAGE, stageId=4)], "executors": EXECUTORS, "environment": {"sparkProperties": [["spark.a", "1"]]}, "storage_rdd": [{"id": 1, "name": "r", "memoryUsed": 5, "diskUsed": 0}], "stage_details": [{"stageId": 3, "attemptId": 0, "status": "COMPLETE", "tasks": {"7": {"taskId": 7, "executorId": "1", "host": "h", "status": "SUCCESS", "duration": 40, "taskMetrics": {"executorRunTime": 30, "jvmGcTime": 2, "inputMetrics": {"bytesRead": 9}, "shuffleReadMetrics": {"localBytesRead": 1, "remoteBytesRead": 2}, "shuffleWriteMetrics": {"bytesWritten": 4}}}}}]}
     (tmp_path / "s.json").write_text(json.dumps(data, indent=1))
     t = ST.read_status(spark, str(tmp_path))
-    assert {n: t[n].count() for n in t} == {"jobs": 1, "stages": 2, "executors": 2, "storage": 0, "application": 1, "environment": 1}
+    assert {n: t[n].count() for n in t} == {"jobs": 1, "stages": 2, "executors": 2, "storage": 1, "tasks": 1, "application": 1, "environment": 1}
+    task = t["tasks"].first()
+    assert (task.stage_id, task.duration, task.failed, task.input_bytes, task.shuffle_bytes, task.gc_time) == (3, 40, False, 9, 7, 2)
     assert t["environment"].first()["value"] == "1" and t["stages"].first()["app_id"] == "app-2"
 
 
@@ -154,9 +156,11 @@ def test_npy_blocks(spark, tmp_path):
     a, b = np.arange(12, dtype="float32").reshape(3, 4), np.ones((2, 2, 2))
     np.save(tmp_path / "a.npy", a)
     np.save(tmp_path / "b.npy", b)
+    (tmp_path / "deep").mkdir()
+    np.save(tmp_path / "deep" / "a.npy", b)
     (tmp_path / "note.txt").write_text("x")
     got = {(r["file"], r["row_idx"]): list(r["values"]) for r in SG.read_npy(spark, str(tmp_path), 4).collect()}
-    assert got["a.npy", 2] == [8.0, 9.0, 10.0, 11.0] and got["b.npy", 1] == [1.0] * 4 and len(got) == 5
+    assert got["a.npy", 2] == [8.0, 9.0, 10.0, 11.0] and got["b.npy", 1] == [1.0] * 4 and len(got) == 5 + len(b) and got["deep/a.npy", 1] == [1.0] * 4
     with pytest.raises(Exception, match="expected 5"):
         SG.read_npy(spark, str(tmp_path), 5).count()
 
