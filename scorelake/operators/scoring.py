@@ -133,21 +133,32 @@ def _logit_columns(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return pred, 1.0 / np.exp(shifted).sum(axis=1)
 
 
-def _to_arrow(kind: str, out: np.ndarray) -> pa.Array:
+LOGIT_FIELDS = ("pred", "confidence", "logits")
+
+
+def _to_arrow(kind: str, out: np.ndarray, outputs: tuple[str, ...] = LOGIT_FIELDS) -> pa.Array:
     if kind == "score":
         return pa.array(out.reshape(len(out)).astype("float64"))
     if kind == "vector":
         return _lists(out)
-    pred, confidence = _logit_columns(out)
-    return pa.StructArray.from_arrays([pa.array(pred), pa.array(confidence), _lists(out)], ["pred", "confidence", "logits"])
-
-
-def _spark_type(kind: str, dtype: str) -> str:
+    fields = {}
+    if "confidence" in outputs:
+        pred, confidence = _logit_columns(out)
+        fields = {"pred": pa.array(pred), "confidence": pa.array(confidence)}
+    elif "pred" in outputs:
+        fields = {"pred": pa.array(out.argmax(axis=1).astype("int32"))}
+    if "logits" in outputs:
+        fields["logits"] = _lists(out)
+    return pa.StructArray.from_arrays([fields[f] for f in outputs], list(outputs))
+
+
+def _spark_type(kind: str, dtype: str, outputs: tuple[str, ...] = LOGIT_FIELDS) -> str:
     element = "float" if dtype == "float32" else "double"
+    types = {"pred": "int", "confidence": "double", "logits": f"array<{element}>"}
     return {
         "score": "double",
         "vector": f"array<{element}>",
-        "logits": f"struct<pred:int,confidence:double,logits:array<{element}>>",
+        "logits": "struct<" + ",".join(f"{f}:{types[f]}" for f in outputs) + ">",
     }[kind]
 
 
@@ -179,7 +190,7 @@ def _run_batches(spec, weights, x: np.ndarray, batch_size: int) -> np.ndarray:
     return parts[0] if len(parts) == 1 else np.concatenate(parts)
 
 
-def _scorer(handle, token: str, specs, ids: list[str], batch_size: int, dtype: str, device_mode: str, metrics: bool):
+def _scorer(handle, token: str, specs, ids: list[str], batch_size: int, dtype: str, device_mode: str, metrics: bool, outputs: tuple[str, ...]):
     """The function each task runs over its Arrow batches.
 
     On a device, models that have a form for it use that; task rows name the
@@ -206,14 +217,14 @@ def _scorer(handle, token: str, specs, ids: list[str], batch_size: int, dtype: s
                 tally[0] += len(x)
                 tally[1] += -(-len(x) // batch_size)
                 tally[2] += time.perf_counter() - begun
-                columns.append(_to_arrow(spec["output"], out))
+                columns.append(_to_arrow(spec["output"], out, outputs))
             names = ids + [s["name"] for s in specs]
             arrays = [batch.column(i) for i in range(len(ids))] + columns
             if metrics:
                 names, arrays = names + ["task"], arrays + [pa.nulls(len(x), _task_type())]
             yield pa.RecordBatch.from_arrays(arrays, names)
         if metrics and id_types is not None:
-            yield _task_rows(ids, id_types, specs, dtype, on_device, load, spent)
+            yield _task_rows(ids, id_types, specs, dtype, outputs, on_device, load, spent)
 
     return run
 
@@ -227,16 +238,17 @@ def _task_type() -> pa.DataType:
     return pa.struct(kinds)
 
 
-def _arrow_type(kind: str, dtype: str) -> pa.DataType:
+def _arrow_type(kind: str, dtype: str, outputs: tuple[str, ...]) -> pa.DataType:
     element = pa.float32() if dtype == "float32" else pa.float64()
     if kind == "score":
         return pa.float64()
     if kind == "vector":
         return pa.list_(element)
-    return pa.struct([("pred", pa.int32()), ("confidence", pa.float64()), ("logits", pa.list_(element))])
+    types = {"pred": pa.int32(), "confidence": pa.float64(), "logits": pa.list_(element)}
+    return pa.struct([(f, types[f]) for f in outputs])
 
 
-def _task_rows(ids, id_types, specs, dtype, on_device, load, spent) -> pa.RecordBatch:
+def _task_rows(ids, id_types, specs, dtype, outputs, on_device, load, spent) -> pa.RecordBatch:
     """One trailing row per model that says how this task ran."""
     context, host, pid = TaskContext.get(), socket.gethostname(), os.getpid()
     rows = [
@@ -248,7 +260,7 @@ def _task_rows(ids, id_types, specs, dtype, on_device, load, spent) -> pa.Record
         for name, (samples, batches, seconds) in spent.items()
     ]
     n = len(rows)
-    arrays = [pa.nulls(n, t) for t in id_types] + [pa.nulls(n, _arrow_type(s["output"], dtype)) for s in specs]
+    arrays = [pa.nulls(n, t) for t in id_types] + [pa.nulls(n, _arrow_type(s["output"], dtype, outputs)) for s in specs]
     return pa.RecordBatch.from_arrays([*arrays, pa.array(rows, _task_type())], [*ids, *[s["name"] for s in specs], "task"])
 
 
@@ -264,6 +276,7 @@ def score_all(
     device_mode: str = "cpu_only",
     dtype: str = "float32",
     metrics: bool = False,
+    outputs: tuple[str, ...] = LOGIT_FIELDS,
 ) -> DataFrame:
     """Score every row with every model in a single pass.
 
@@ -272,14 +285,19 @@ def score_all(
     the input's modality. With ``metrics`` each task adds one trailing row per
     model, ids null and ``task`` filled; see :func:`split_scored`.
     """
-    return Scorer(df.sparkSession, models, batch_size, device_mode, dtype)(df, input_col, id_cols, metrics)
+    return Scorer(df.sparkSession, models, batch_size, device_mode, dtype, outputs=outputs)(df, input_col, id_cols, metrics)
 
 
 class Scorer:
     """Models ready to score any number of tables: weights are checked and broadcast once."""
 
-    def __init__(self, spark: SparkSession, models: list[Model] | ModelRegistry, batch_size: int = 1024, device_mode: str = "cpu_only", dtype: str = "float32", profile=None) -> None:
-        """``profile``: a resource profile that asks for devices, passed on to the tasks."""
+    def __init__(self, spark: SparkSession, models: list[Model] | ModelRegistry, batch_size: int = 1024, device_mode: str = "cpu_only", dtype: str = "float32", profile=None, outputs: tuple[str, ...] = LOGIT_FIELDS) -> None:
+        """``profile``: a resource profile that asks for devices, passed on to the tasks.
+        ``outputs``: the fields of a classifier's struct; others are never built.
+        """
+        if not outputs or set(outputs) - set(LOGIT_FIELDS):
+            raise ValueError(f"outputs are some of {LOGIT_FIELDS}")
+        self.outputs = tuple(outputs)
         self.models = list(models.models.values()) if isinstance(models, ModelRegistry) else list(models)
         if len({m.width for m in self.models}) != 1:
             raise ValueError("models scored together must read the same input shape; score_registry takes a mixed registry")
@@ -293,10 +311,10 @@ class Scorer:
         if dict(slim.dtypes)[input_col] not in ("array<float>", "array<double>"):
             slim = slim.withColumn(input_col, F.col(input_col).cast("array<double>"))
         kinds = dict(slim.dtypes)
-        schema = [f"`{c}` {kinds[c]}" for c in id_cols] + [f"`{m.name}` {_spark_type(m.output, self.dtype)}" for m in self.models]
+        schema = [f"`{c}` {kinds[c]}" for c in id_cols] + [f"`{m.name}` {_spark_type(m.output, self.dtype, self.outputs)}" for m in self.models]
         if metrics:
             schema.append(f"task {TASK_SCHEMA}")
-        run = _scorer(self.handle, self.token, specs, list(id_cols), self.batch_size, self.dtype, self.device_mode, metrics)
+        run = _scorer(self.handle, self.token, specs, list(id_cols), self.batch_size, self.dtype, self.device_mode, metrics, self.outputs)
         return slim.mapInArrow(run, ", ".join(schema), profile=self.profile)
 
 
@@ -338,9 +356,9 @@ def _model_entry(m: Model) -> Column:
     )
 
 
-def score(df: DataFrame, model: Model, input_col: str = "features", id_cols: tuple[str, ...] = ("signal_id",), batch_size: int = 1024, device_mode: str = "cpu_only", dtype: str = "float32") -> DataFrame:
-    """Score with one model; a classifier's struct is opened into columns."""
-    out = score_all(df, [model], input_col, id_cols, batch_size, device_mode, dtype)
+def score(df: DataFrame, model: Model, input_col: str = "features", id_cols: tuple[str, ...] = ("signal_id",), batch_size: int = 1024, device_mode: str = "cpu_only", dtype: str = "float32", outputs: tuple[str, ...] = LOGIT_FIELDS) -> DataFrame:
+    """Score with one model; a classifier's struct is opened into columns (those of ``outputs``)."""
+    out = score_all(df, [model], input_col, id_cols, batch_size, device_mode, dtype, outputs=outputs)
     if model.output == "logits":
         return out.select(*id_cols, f"`{model.name}`.*")
     return out.withColumnRenamed(model.name, "output")

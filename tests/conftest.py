@@ -1,5 +1,7 @@
 import os
+import shutil
 import sys
+import tempfile
 
 import pytest
 
@@ -11,12 +13,14 @@ from scorelake.session import get_session, ship_package  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
+    shared = tempfile.mkdtemp(prefix="scorelake-tests-")
     session = get_session(
         "scorelake-tests",
         master="local[8]",
-        conf={"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "8g"},
+        conf={"spark.checkpoint.dir": shared, "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "8g"},
     )
     session.sparkContext.setLogLevel("ERROR")
     ship_package(session)
     yield session
     session.stop()
+    shutil.rmtree(shared, ignore_errors=True)
