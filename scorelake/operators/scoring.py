@@ -332,9 +332,13 @@ def score_registry(inputs: dict[str, DataFrame], registry: ModelRegistry, input_
         if category not in inputs:
             without += [m.name for m in models]
             continue
-        for width in dict.fromkeys(m.width for m in models):
+        widths = list(dict.fromkeys(m.width for m in models))
+        for width in widths:
             group = [m for m in models if m.width == width]
-            table = inputs[category].where(F.size(input_col) == width)
+            # A vector that no model of the category reads is an error of the first, not a row that vanishes.
+            others = [w for w in widths if w != width]
+            fits = ~F.coalesce(F.size(input_col).isin(others), F.lit(False)) if width == widths[0] else F.size(input_col) == width
+            table = inputs[category].where(fits) if others else inputs[category]
             scored = Scorer(table.sparkSession, group, **kwargs)(table, input_col, (id_col,))
             entries = F.array(*[_model_entry(m) for m in group])
             opened = scored.select(F.lit(category).alias("category"), F.col(id_col).cast("string").alias("id"), F.inline(entries))

@@ -58,3 +58,9 @@ def test_filters(spark):
     runs = spark.createDataFrame([(1, [1], None), (2, [], "x"), (3, None, None)], "run_id int, partition_details array<int>, error string")
     assert [r["run_id"] for r in FL.with_details(runs).collect()] == [1]
     assert [r["run_id"] for r in FL.ok_runs(runs).collect()] == [1, 3]
+
+
+def test_rounding_goes_by_decimal_text(spark):
+    df = spark.createDataFrame([(2.675, 0.25, 1.00005)], "ms double, tp double, s double")
+    row = df.select(C.round_ms("ms").alias("ms"), C.round_tp("tp").alias("tp"), C.round_s("s").alias("s")).first()
+    assert tuple(row) == (2.68, 0.3, 1.0001)

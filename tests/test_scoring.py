@@ -121,3 +121,47 @@ def test_blobs_are_decoded_in_the_task(spark):
     stub = Model("sum", lambda w, x: x.sum(axis=1), {}, (2,), "score")
     got = {r["path"]: r["output"] for r in SC.score_blobs(df, stub, lambda c: np.frombuffer(c, dtype="uint8")).collect()}
     assert got == {"a": 3.0, "b": 5.0}
+
+
+def test_mixed_registry_names_models_without_data(spark, signals, classifier):
+    registry = SC.ModelRegistry()
+    registry.register_model(classifier)
+    registry.register_model(SC.Model("wide_sum", lambda w, x: x.sum(axis=1), {}, (3,), "score", "image_classification"))
+    registry.register_model(SC.Model("lonely", lambda w, x: x, {}, (5,), "vector", "object_detection"))
+    images = spark.createDataFrame([(7, [1.0, 2.0, 3.0]), (8, [0.0, 0.0, 1.0])], "signal_id bigint, features array<double>")
+    rows, without = SC.score_registry({"signal": signals, "image_classification": images}, registry)
+    assert without == ["lonely"]
+    by_model = {r.model: r.n for r in rows.groupBy("model").agg({"*": "count"}).withColumnRenamed("count(1)", "n").collect()}
+    assert by_model == {classifier.name: signals.count(), "wide_sum": 2}
+    assert {r.id: r.score for r in rows.where("model = 'wide_sum'").collect()} == {"7": 6.0, "8": 1.0}
+
+
+def test_outputs_that_are_not_asked_for_are_not_there(signals, classifier):
+    whole = {r.signal_id: r.pred for r in SC.score(signals, classifier).collect()}
+    slim = SC.score(signals, classifier, outputs=("pred",))
+    assert slim.columns == ["signal_id", "pred"] and {r.signal_id: r.pred for r in slim.collect()} == whole
+    with pytest.raises(ValueError, match="outputs"):
+        SC.score(signals, classifier, outputs=("nothing",))
+
+
+def test_highest_version_counts_and_a_layer_twice_is_an_error(spark):
+    old, new = {"m": {"w": np.zeros((2, 2))}}, {"m": {"w": np.ones((2, 2))}}
+    table = SC.weights_frame(spark, old, version=1).unionByName(SC.weights_frame(spark, new, version=2))
+    assert SC.load_weights(table)["m"]["w"].sum() == 4 and SC.load_weights(table, version=1)["m"]["w"].sum() == 0
+    with pytest.raises(ValueError, match="stored twice"):
+        SC.load_weights(table.unionByName(table))
+
+
+def test_a_stream_broadcasts_its_weights_once(spark, signals, classifier, tmp_path, monkeypatch):
+    from scorelake.streaming import jobs
+
+    source = str(tmp_path / "in")
+    signals.repartition(20).write.parquet(source)
+    made = []
+    real = SC.broadcast_weights
+    monkeypatch.setattr(SC, "broadcast_weights", lambda *a: made.append(1) or real(*a))
+    stream = spark.readStream.schema(signals.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    query = jobs.score_batches(stream, [classifier], str(tmp_path / "out"), str(tmp_path / "mark")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert query.lastProgress["batchId"] >= 4 and made == [1]
+    assert spark.read.parquet(str(tmp_path / "out")).where("task is null").count() == signals.count()
