@@ -266,25 +266,47 @@ def _widened(hashes: np.ndarray) -> np.ndarray:
 
 
 def wide_prints(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """``doc_id, th, wide, shingles``: a fingerprint of 384 bits and the set of 32-bit shingle hashes."""
+    """``doc_id, th, wide, sh``: a hash of the text, a fingerprint of 384 bits, and a digest of the set of shingle hashes."""
     prepare(docs.sparkSession)
-    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    narrow = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("_text"))
-    fields = extend(narrow.select("doc_id", "th").schema, "wide binary, shingles array<int>")
+    narrow = _keyed_texts(docs, id_col, text_col)
+    fields = extend(narrow.select("doc_id", "th").schema, "wide binary, sh bigint")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest
+
         for batch in batches:
             for few in slices(batch):
-                wide, sets = [], []
+                wide, digests = [], []
                 for text in few.column(2).to_pylist():
                     hashes = shingle_hashes(text, shingle)
                     wide.append(np.packbits(majority_bits(_widened(hashes)), bitorder="little").tobytes())
-                    sets.append(np.unique(hashes.astype(np.uint32)).view(np.int32))
-                yield pa.RecordBatch.from_arrays([few.column(0), few.column(1), pa.array(wide, pa.binary()), pa.array(sets, pa.list_(pa.int32()))], names=fields.fieldNames())
+                    digests.append(xxh64_intdigest(np.unique(hashes).tobytes()) >> 1)
+                yield pa.RecordBatch.from_arrays([few.column(0), few.column(1), pa.array(wide, pa.binary()), pa.array(digests, pa.int64())], names=fields.fieldNames())
 
     return narrow.mapInArrow(run, fields)
 
 
+def _keyed_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    return docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("_text"))
+
+
+def _shingle_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """``node, shingles``: sets of 32-bit shingle hashes of the ``wanted`` (node, doc_id, th) only."""
+    narrow = _keyed_texts(docs, id_col, text_col)
+    keys = wanted.select("node", F.col("doc_id").alias("_i"), F.col("th").alias("_t"))
+    found = narrow.join(keys, narrow["doc_id"].eqNullSafe(keys["_i"]) & (narrow["th"] == keys["_t"])).select("node", "_text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for few in slices(batch):
+                sets = [np.unique(shingle_hashes(t, shingle).astype(np.uint32)).view(np.int32) for t in few.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([few.column(0), pa.array(sets, pa.list_(pa.int32()))], names=["node", "shingles"])
+
+    # Repeated rows are one node.
+    return found.mapInArrow(run, "node bigint, shingles array<int>").dropDuplicates(["node"])
+
+
 def _wide_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for few in slices(batch, 512):
@@ -361,9 +383,8 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
 
-def _similar(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs whose shingle sets have at least that Jaccard similarity."""
-    sets = nodes.select("node", "shingles")
     joined = pairs.join(sets.withColumnsRenamed({"node": "a", "shingles": "_a"}), "a").join(sets.withColumnsRenamed({"node": "b", "shingles": "_b"}), "b")
     both = F.size(F.array_intersect("_a", "_b"))
     return joined.where(both >= similarity * (F.size("_a") + F.size("_b") - both)).select("a", "b")
@@ -375,35 +396,49 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     A group is what links of at least ``similarity`` between sets of
     ``shingle``-word shingles connect. Pairs are found where two of sixteen
     23-bit segments of a wide SimHash share near codewords in one of eight
-    disjoint pairs of segments, then verified on the sets. At 0.8 such a pair is
-    found with a probability over 0.95, and nearer ones almost surely. The first
-    is the smallest id, then the smallest text hash; null ids come last.
+    disjoint pairs of segments, then verified on the sets, which are made for
+    documents of such pairs only. At 0.8 a pair is found with a probability over
+    0.95, and nearer ones almost surely. The first is the smallest id, then the
+    smallest text hash; null ids come last.
     """
     prints = cut_lineage(wide_prints(docs, id_col, text_col, shingle))
-    # Equal texts, but for case and white space, are one node.
-    folded = prints.select("wide", "shingles", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th").alias("f"))
-    same = folded.groupBy("wide", F.xxhash64("shingles").alias("sh")).agg(F.min("f").alias("f"), F.first("shingles").alias("shingles"))
+    # Texts with equal shingles are one node, so copies of a text are.
+    same = prints.groupBy("wide", "sh").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("f"))
     nodes = cut_lineage(same.withColumn("node", F.monotonically_increasing_id()))
     keyed = nodes.select("node", "wide").mapInArrow(_wide_keys, "key bigint, node bigint, check bigint")
     met = cut_lineage(keyed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_meet, "kind int, a bigint, b bigint, check bigint"))
-    stars = cut_lineage(_similar(met.where("kind = 0").select("a", "b").distinct(), nodes, similarity))
+    candidates = cut_lineage(met.where("kind = 0").select("a", "b").distinct())
+    paired = candidates.select(F.col("a").alias("node")).union(candidates.select("b")).union(met.where("kind = 1").select("b")).distinct()
+    # Stored first, so that Spark knows how small it is when it plans the join with the texts.
+    wanted = cut_lineage(nodes.join(paired, "node").select("node", "f.doc_id", "f.th"))
+    sets = cut_lineage(_shingle_sets(docs, wanted, id_col, text_col, shingle))
+    stars = cut_lineage(_similar(candidates, sets, similarity))
     groups = connected_components(stars).select(F.col("node").alias("b"), "root")
     left = met.where("kind = 1").select(F.col("a").alias("key"), "b", "check").join(groups, "b", "left")
     left = left.select("key", "b", "check", F.coalesce("root", "b").alias("root")).repartition("key").sortWithinPartitions("key", "b")
-    rest = _similar(left.mapInArrow(_across, "a bigint, b bigint").distinct(), nodes, similarity)
+    rest = _similar(left.mapInArrow(_across, "a bigint, b bigint").distinct(), sets, similarity)
     roots = connected_components(stars.unionByName(rest))
     grouped = nodes.select("node", "wide", "sh", "f").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     first = grouped.groupBy("root").agg(F.min("f").alias("first"))
     heads = grouped.join(first, "root").select("wide", "sh", "first")
-    rows = prints.select("doc_id", "th", "wide", F.xxhash64("shingles").alias("sh")).join(heads, ["wide", "sh"])
+    rows = prints.join(heads, ["wide", "sh"])
     return rows.select("doc_id", "th", F.col("first.doc_id").alias("first_id"), F.col("first.th").alias("first_th"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """One row of each group of :func:`near_duplicates`, all columns; of repeated rows one stays."""
+    """One row of each group of :func:`near_duplicates`, all columns; of repeated rows one stays.
+
+    What goes is stored and taken out by an anti-join, so texts are exchanged
+    only where that list is not small.
+    """
     found = near_duplicates(docs, id_col, text_col, shingle, similarity)
-    stay = found.where(F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("th") == F.col("first_th"))).select(F.col("doc_id").alias("_i"), F.col("th").alias("_t")).distinct()
+    stays = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("th") == F.col("first_th"))
+    counted = found.groupBy(F.col("doc_id").alias("_i"), F.col("th").alias("_t")).agg(F.bool_or(stays).alias("_stays"), F.count(F.lit(1)).alias("_n"))
+    odd = cut_lineage(counted.where("not _stays or _n > 1"))
     th = F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(f"`{id_col}`").alias("_id"), th.alias("_th"))
-    kept = packed.join(stay, packed["_id"].eqNullSafe(stay["_i"]) & (packed["_th"] == stay["_t"]), "left_semi")
-    return kept.dropDuplicates(["_id", "_th"]).select(*[F.col(f"doc.`{c}`") for c in docs.columns])
+    same = lambda keys: packed["_id"].eqNullSafe(keys["_i"]) & (packed["_th"] == keys["_t"])
+    repeated = odd.where("_stays")
+    single = packed.join(odd, same(odd), "left_anti")
+    once = packed.join(repeated, same(repeated), "left_semi").dropDuplicates(["_id", "_th"])
+    return single.unionByName(once).select(*[F.col(f"doc.`{c}`") for c in docs.columns])
