@@ -5,25 +5,24 @@ it. Each occurrence of one anchors a signature: the anchor and the chain of the
 next content words after it. A document's fingerprint is its bag of signatures,
 as sorted 32-bit hashes; likeness is the Jaccard similarity of two bags.
 
-Bags of similar documents have similar sizes, so comparison is partitioned by
-size, and the merge of two sorted bags is given up as soon as the wanted
-likeness is out of reach.
+Bags of similar documents have similar sizes: with a wanted likeness, a pair from
+size classes that are not neighbours is never compared, and the merge of two
+sorted bags is given up as soon as that likeness is out of reach.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
-from .common import extend, prepare, slices
-from .graph import connected_components
+from .common import prepare, slices
 
 #: Common words of four languages, the default anchors.
 ANCHORS = frozenset(
@@ -80,6 +79,11 @@ def bag_of(fingerprint_: str) -> np.ndarray:
     return np.frombuffer(bytes.fromhex(fingerprint_), dtype=">u4").astype(np.uint32)
 
 
+def size_class(size: int, at_least: float) -> int:
+    """Sizes of bags that are as alike as ``at_least`` fall into the same class or neighbouring ones."""
+    return int(math.floor(math.log(max(1, size)) / -math.log(at_least) + 1e-9)) if 0 < at_least < 1 else 0
+
+
 def likeness(a: np.ndarray, b: np.ndarray, at_least: float = 0.0) -> float:
     """Jaccard similarity of two sorted bags; 1 for two empty ones.
 
@@ -89,6 +93,8 @@ def likeness(a: np.ndarray, b: np.ndarray, at_least: float = 0.0) -> float:
     small, large = sorted((len(a), len(b)))
     if not large:
         return 1.0
+    if at_least and abs(size_class(small, at_least) - size_class(large, at_least)) > 1:
+        return 0.0
     if small < at_least * large or not small:
         return 0.0
     # Common values up to a quarter of the way bound what the rest can add.
@@ -123,7 +129,10 @@ def in_order(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     id (or have none; they come first) are ordered by a hash of their text.
     """
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    ids = rows.select("doc_id").where("doc_id is not null").repartitionByRange("doc_id")
+    # As many buckets as an exchange has partitions: a column of ids is small, and without
+    # a number adaptive execution would fold its ranges, and with them the texts, into one.
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ids = rows.select("doc_id").where("doc_id is not null").repartitionByRange(parts, "doc_id")
     firsts = sorted(r[0] for r in ids.groupBy(F.spark_partition_id()).agg(F.min("doc_id").alias("m")).select("m").collect())
     kind = rows.schema["doc_id"].dataType
     bounds = F.array(*[F.lit(x).cast(kind) for x in firsts[1:]]) if len(firsts) > 1 else F.array().cast(f"array<{kind.simpleString()}>")
@@ -137,7 +146,7 @@ def in_order(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     dealt = placed.withColumn("_c", F.explode(F.filter(copies, lambda c: c.isNotNull())))
     dealt = dealt.select(F.col("_c.b").alias("_bucket"), F.col("_c.x").alias("_extra"), "doc_id", "text", F.xxhash64("text").alias("_tie"))
     by = ["_bucket", "_extra", "doc_id", "_tie"]
-    return dealt.repartitionByRange("_bucket").sortWithinPartitions(*by).drop("_tie")
+    return dealt.repartitionByRange(parts, "_bucket").sortWithinPartitions(*by).drop("_tie")
 
 
 def compare_with_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
