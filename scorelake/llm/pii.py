@@ -196,8 +196,8 @@ def disclosing_pairs(scanned: DataFrame, docs: DataFrame, text_col: str = "text"
     pairs = contexts.where(F.col("contexts") >= min_contexts).join(together, ["entity", "term"])
     holders = scanned.select("row_id", F.explode(F.array_distinct("near.entity")).alias("entity"))
     entities = holders.groupBy("entity").agg(F.count(F.lit(1)).alias("docs"))
-    total = scanned.select(F.count(F.lit(1)).alias("total"))
-    judged = pairs.join(entities, "entity").join(document_frequencies(docs, text_col), "term").crossJoin(F.broadcast(total))  # one row
+    total = scanned.select(F.count(F.lit(1))).scalar()
+    judged = pairs.join(entities, "entity").join(document_frequencies(docs, text_col), "term").withColumn("total", total)
     joint = F.log(F.col("both") * F.col("total") / (F.col("docs") * F.col("df")))
     content = F.log(F.col("total") / F.col("docs"))
     # An entity in every document has no information to reveal.
