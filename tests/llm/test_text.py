@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
 
@@ -80,6 +81,9 @@ def test_likeness_is_jaccard_of_bags_and_pruning_only_drops():
         for least in (0.2, 0.5, 0.8):
             assert spotsigs.likeness(a, b, least) == (exact if exact >= least else 0.0)
         assert (spotsigs.bag_of(spotsigs.fingerprint(a)) == a).all()
+    for least in (0.3, 0.8, 0.95):
+        for n in range(1, 3000, 7):
+            assert abs(spotsigs.size_class(n, least) - spotsigs.size_class(math.ceil(n * least), least)) <= 1
 
 
 @pytest.mark.parametrize(
