@@ -408,15 +408,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keyed = nodes.select("node", "wide").mapInArrow(_wide_keys, "key bigint, node bigint, check bigint")
     met = cut_lineage(keyed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_meet, "kind int, a bigint, b bigint, check bigint"))
     candidates = cut_lineage(met.where("kind = 0").select("a", "b").distinct())
-    paired = candidates.select(F.col("a").alias("node")).union(candidates.select("b")).union(met.where("kind = 1").select("b")).distinct()
-    # Stored first, so that Spark knows how small it is when it plans the join with the texts.
-    wanted = cut_lineage(nodes.join(paired, "node").select("node", "f.doc_id", "f.th"))
-    sets = cut_lineage(_shingle_sets(docs, wanted, id_col, text_col, shingle))
-    stars = cut_lineage(_similar(candidates, sets, similarity))
+
+    def sets_of(pairs: DataFrame) -> DataFrame:
+        paired = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        # Stored first, so that Spark knows how small it is when it plans the join with the texts.
+        wanted = cut_lineage(nodes.join(paired, "node").select("node", "f.doc_id", "f.th"))
+        return cut_lineage(_shingle_sets(docs, wanted, id_col, text_col, shingle))
+
+    stars = cut_lineage(_similar(candidates, sets_of(candidates), similarity))
     groups = connected_components(stars).select(F.col("node").alias("b"), "root")
     left = met.where("kind = 1").select(F.col("a").alias("key"), "b", "check").join(groups, "b", "left")
     left = left.select("key", "b", "check", F.coalesce("root", "b").alias("root")).repartition("key").sortWithinPartitions("key", "b")
-    rest = _similar(left.mapInArrow(_across, "a bigint, b bigint").distinct(), sets, similarity)
+    open_pairs = cut_lineage(left.mapInArrow(_across, "a bigint, b bigint").distinct())
+    rest = _similar(open_pairs, sets_of(open_pairs), similarity)
     roots = connected_components(stars.unionByName(rest))
     grouped = nodes.select("node", "wide", "sh", "f").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     first = grouped.groupBy("root").agg(F.min("f").alias("first"))
