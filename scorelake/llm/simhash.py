@@ -278,9 +278,10 @@ def wide_prints(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> Da
             for few in slices(batch):
                 wide, digests = [], []
                 for text in few.column(2).to_pylist():
-                    hashes = shingle_hashes(text, shingle)
+                    # Of the set, as the similarity is: repeats of a shingle don't count.
+                    hashes = np.unique(shingle_hashes(text, shingle))
                     wide.append(np.packbits(majority_bits(_widened(hashes)), bitorder="little").tobytes())
-                    digests.append(xxh64_intdigest(np.unique(hashes).tobytes()) >> 1)
+                    digests.append(xxh64_intdigest(hashes.tobytes()) >> 1)
                 yield pa.RecordBatch.from_arrays([few.column(0), few.column(1), pa.array(wide, pa.binary()), pa.array(digests, pa.int64())], names=fields.fieldNames())
 
     return narrow.mapInArrow(run, fields)
@@ -403,7 +404,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     prints = cut_lineage(wide_prints(docs, id_col, text_col, shingle))
     # Texts with equal shingles are one node, so copies of a text are.
-    same = prints.groupBy("wide", "sh").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("f"))
+    same = prints.groupBy("sh").agg(F.first("wide").alias("wide"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("f"))
     nodes = cut_lineage(same.withColumn("node", F.monotonically_increasing_id()))
     keyed = nodes.select("node", "wide").mapInArrow(_wide_keys, "key bigint, node bigint, check bigint")
     met = cut_lineage(keyed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_meet, "kind int, a bigint, b bigint, check bigint"))
@@ -422,10 +423,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     open_pairs = cut_lineage(left.mapInArrow(_across, "a bigint, b bigint").distinct())
     rest = _similar(open_pairs, sets_of(open_pairs), similarity)
     roots = connected_components(stars.unionByName(rest))
-    grouped = nodes.select("node", "wide", "sh", "f").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    grouped = nodes.select("node", "sh", "f").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     first = grouped.groupBy("root").agg(F.min("f").alias("first"))
-    heads = grouped.join(first, "root").select("wide", "sh", "first")
-    rows = prints.join(heads, ["wide", "sh"])
+    heads = grouped.join(first, "root").select("sh", "first")
+    rows = prints.join(heads, "sh")
     return rows.select("doc_id", "th", F.col("first.doc_id").alias("first_id"), F.col("first.th").alias("first_th"))
 
 

@@ -140,6 +140,16 @@ def test_near_duplicates_are_dropped_and_others_stay(spark):
     assert sorted(kept) == sorted(expected)
 
 
+def test_repeats_of_a_phrase_do_not_part_near_duplicates(spark):
+    rows, phrase = [], " ".join(f"r{i}" for i in range(16))
+    for i in range(20):
+        text = prose(700 + i, 200)
+        # The sets are equal; then all but equal.
+        rows += [(10 * i, f"{text} {phrase} {phrase}", "en"), (10 * i + 1, " ".join([text, *[phrase] * 20]), "en"), (10 * i + 2, " ".join([text, *[phrase] * 20, "end"]), "en")]
+    kept = [r.doc_id for r in simhash.drop_near_duplicates(documents(spark, rows)).collect()]
+    assert sorted(kept) == [10 * i for i in range(20)]
+
+
 def test_near_duplicates_of_awkward_documents(spark):
     docs = documents(spark)
     out = simhash.drop_near_duplicates(docs)
