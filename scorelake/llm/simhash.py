@@ -246,43 +246,67 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 # Near-duplicates by similarity of shingle sets.
 
-#: Segments of a wide fingerprint, met in disjoint pairs; its last 64 bits are compared before shingles are.
-SEGMENTS, WORDS = 16, 6
-#: Most differing bits of those 64 for a pair to be looked at: over three standard deviations beyond what 0.8 gives.
-CHECK_BITS = 19
 SIMILARITY, SHINGLE = 0.8, 5
+#: Documents (about) whose shingles are counted for the order of prefixes, sightings that make one common, and most common ones kept.
+ORDER_DOCS, COMMON, MOST_COMMON = 20_000, 4, 100_000
+#: Rounds in which the rows of a key meet a few of them only, before all that are still apart do.
+PIVOT_ROUNDS = 2
 
 
-def _widened(hashes: np.ndarray) -> np.ndarray:
-    """``WORDS`` independent 64-bit words from each hash."""
-    out = np.empty((len(hashes), WORDS), dtype=np.uint64)
-    with np.errstate(over="ignore"):
-        for j in range(WORDS):
-            z = hashes + np.uint64((j + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
-            z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-            z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-            out[:, j] = z ^ (z >> np.uint64(31))
-    return out
+def shingle_set(text: str, shingle: int) -> np.ndarray:
+    """Sorted XXH64 of a text's shingles, without repeats."""
+    return np.unique(shingle_hashes(text, shingle))
 
 
-def wide_prints(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """``doc_id, th, wide, sh``: a hash of the text, a fingerprint of 384 bits, and a digest of the set of shingle hashes."""
+def common_shingles(docs: DataFrame, text_col: str, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of common shingles of a bounded sample, and in how many of its texts each stands."""
+    fraction = min(1.0, ORDER_DOCS / max(1, docs.count()))
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    some = docs.select(text.alias("_text")).where(F.pmod(F.xxhash64("_text", F.lit(SEED)), F.lit(1_000_000)) < int(fraction * 1_000_000))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for few in slices(batch):
+                sets = [shingle_set(t, shingle) for t in few.column(0).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], names=["h"])
+
+    counts = some.mapInArrow(run, "h bigint").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON)
+    found = counts.orderBy(F.desc("n"), "h").limit(MOST_COMMON).collect()
+    hashes, n = np.array([r.h for r in found], dtype=np.int64).view(np.uint64), np.array([r.n for r in found], dtype=np.int64)
+    order = np.argsort(hashes)
+    return hashes[order], n[order]
+
+
+def prefix(hashes: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+    """The rarest of a set's hashes, so many that two sets of at least that similarity share one.
+
+    Rarer ones stand before common ones, then smaller before greater. Which are
+    common is the same for all sets, and any such order finds all pairs.
+    """
+    seen = np.zeros(len(hashes), dtype=np.int64)
+    if len(common[0]) and len(hashes):
+        at = np.minimum(np.searchsorted(common[0], hashes), len(common[0]) - 1)
+        seen = np.where(common[0][at] == hashes, common[1][at], 0)
+    shared = int(np.ceil(similarity * len(hashes) - 1e-9))
+    return hashes[np.lexsort((hashes, seen))][: len(hashes) - shared + 1]
+
+
+def set_prefixes(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
+    """``doc_id, th, node, n, keys``: a hash of the text, and of its shingle set a digest, the size and the prefix."""
     prepare(docs.sparkSession)
+    common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, text_col, shingle))
     narrow = _keyed_texts(docs, id_col, text_col)
-    fields = extend(narrow.select("doc_id", "th").schema, "wide binary, sh bigint")
+    fields = extend(narrow.select("doc_id", "th").schema, "node bigint, n int, keys array<bigint>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
 
         for batch in batches:
             for few in slices(batch):
-                wide, digests = [], []
-                for text in few.column(2).to_pylist():
-                    # Of the set, as the similarity is: repeats of a shingle don't count.
-                    hashes = np.unique(shingle_hashes(text, shingle))
-                    wide.append(np.packbits(majority_bits(_widened(hashes)), bitorder="little").tobytes())
-                    digests.append(xxh64_intdigest(hashes.tobytes()) >> 1)
-                yield pa.RecordBatch.from_arrays([few.column(0), few.column(1), pa.array(wide, pa.binary()), pa.array(digests, pa.int64())], names=fields.fieldNames())
+                sets = [shingle_set(t, shingle) for t in few.column(2).to_pylist()]
+                digests = pa.array([xxh64_intdigest(s.tobytes()) >> 1 for s in sets], pa.int64())
+                keys = pa.array([prefix(s, common.value, similarity).view(np.int64) for s in sets], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([few.column(0), few.column(1), digests, pa.array([len(s) for s in sets], pa.int32()), keys], names=fields.fieldNames())
 
     return narrow.mapInArrow(run, fields)
 
@@ -293,7 +317,7 @@ def _keyed_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _shingle_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """``node, shingles``: sets of 32-bit shingle hashes of the ``wanted`` (node, doc_id, th) only."""
+    """``node, shingles``: sets of shingle hashes of the ``wanted`` (node, doc_id, th) only."""
     narrow = _keyed_texts(docs, id_col, text_col)
     keys = wanted.select("node", F.col("doc_id").alias("_i"), F.col("th").alias("_t"))
     found = narrow.join(keys, narrow["doc_id"].eqNullSafe(keys["_i"]) & (narrow["th"] == keys["_t"])).select("node", "_text")
@@ -301,133 +325,87 @@ def _shingle_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for few in slices(batch):
-                sets = [np.unique(shingle_hashes(t, shingle).astype(np.uint32)).view(np.int32) for t in few.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([few.column(0), pa.array(sets, pa.list_(pa.int32()))], names=["node", "shingles"])
+                sets = [shingle_set(t, shingle).view(np.int64) for t in few.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([few.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
 
     # Repeated rows are one node.
-    return found.mapInArrow(run, "node bigint, shingles array<int>").dropDuplicates(["node"])
+    return found.mapInArrow(run, "node bigint, shingles array<bigint>").dropDuplicates(["node"])
 
 
-def _wide_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for few in slices(batch, 512):
-            nodes = few.column(0).to_numpy()
-            raw = np.frombuffer(b"".join(few.column(1).to_pylist()), dtype=np.uint8).reshape(-1, 8 * WORDS)
-            check = np.ascontiguousarray(raw[:, -8:]).view(np.int64)[:, 0]
-            bits = np.unpackbits(raw, axis=1, bitorder="little")[:, : SEGMENTS * golay.BITS].reshape(len(nodes), SEGMENTS, golay.BITS)
-            words = (bits.astype(np.uint32) << np.arange(golay.BITS, dtype=np.uint32)).sum(axis=2, dtype=np.uint32)
-            for pair in range(SEGMENTS // 2):
-                (a, n), (b, m) = golay.keys(words[:, 2 * pair]), golay.keys(words[:, 2 * pair + 1])
-                key = (np.int64(pair) << 24) | (a[:, :, None].astype(np.int64) << 12) | b[:, None, :]
-                each = np.arange(golay.KEYS)
-                at = np.nonzero((each < n[:, None])[:, :, None] & (each < m[:, None])[:, None, :])
-                yield pa.RecordBatch.from_arrays([pa.array(key[at]), pa.array(nodes[at[0]]), pa.array(check[at[0]])], names=["key", "node", "check"])
-
-
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
-    """Columns of rows sorted by the first one, in pieces that never cut a run of equal values."""
-    held: list[list[np.ndarray]] = []
-    rows = 0
-    for batch in batches:
-        held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
-        rows += batch.num_rows
-        if rows >= WINDOW_ROWS:
-            columns = [np.concatenate(c) for c in zip(*held, strict=True)]
-            begin = int(np.searchsorted(columns[0], columns[0][-1]))
-            if begin:
-                yield [c[:begin] for c in columns]
-            held, rows = [[c[begin:] for c in columns]], rows - begin
-    if rows:
-        yield [np.concatenate(c) for c in zip(*held, strict=True)]
+def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose shingle sets have at least that Jaccard similarity."""
+    joined = pairs.join(sets.withColumnsRenamed({"node": "a", "shingles": "_a"}), "a").join(sets.withColumnsRenamed({"node": "b", "shingles": "_b"}), "b")
+    both = F.size(F.array_intersect("_a", "_b"))
+    return joined.where(both >= similarity * (F.size("_a") + F.size("_b") - both) - 1e-9).select("a", "b")
 
 
-def _near(check: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count((check[a] ^ check[b]).view(np.uint64)) <= CHECK_BITS
+def _may_link(x: str, y: str, similarity: float):
+    """Whether sizes, and what stands behind the shared key in both orders, leave room for that similarity."""
+    n, m, p, q = F.col(f"{x}.n"), F.col(f"{y}.n"), F.col(f"{x}.pos"), F.col(f"{y}.pos")
+    fit = F.least(n, m) >= similarity * F.greatest(n, m) - 1e-9
+    return fit & (F.least(n - p, m - q) >= similarity / (1 + similarity) * (n + m) - 1e-9)
 
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs (kind 0) of short runs, and of the first with each of a long run, whose rows are passed on (kind 1)."""
-    for keys, nodes, check in _runs(batches):
-        starts = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1])
-        sizes = np.diff(np.concatenate([starts, [len(keys)]]))
-        first = np.repeat(starts, sizes)
-        long_run = np.repeat(sizes > SHORT_RUN, sizes)
-        rows = np.arange(len(keys))
-        pairs = [(first[long_run], rows[long_run])]
-        short = rows[~long_run]
-        for apart in range(1, SHORT_RUN):
-            a, b = short[:-apart], short[apart:]
-            same = keys[a] == keys[b] if len(a) else np.empty(0, dtype=bool)
-            if not same.any():
-                break
-            pairs.append((a[same], b[same]))
-        a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
-        hit = _near(check, a, b) & (nodes[a] != nodes[b])
-        a, b = nodes[a[hit]], nodes[b[hit]]
-        n, on = len(a), int(long_run.sum())
-        columns = [np.repeat([0, 1], [n, on]).astype(np.int32), np.concatenate([np.minimum(a, b), keys[long_run]]), np.concatenate([np.maximum(a, b), nodes[long_run]]), np.concatenate([np.zeros(n, dtype=np.int64), check[long_run]])]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["kind", "a", "b", "check"])
-
-
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs of long runs that aren't in one group yet."""
-    for keys, nodes, check, groups in _runs(batches):
-        starts = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]])
-        for s, e in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
-            largest, n = np.unique(groups[s:e], return_counts=True)
-            # Every row outside the largest group against all others.
-            for i in (np.flatnonzero(groups[s:e] != largest[n.argmax()]) + s).tolist():
-                others = np.flatnonzero(groups[s:e] != groups[i]) + s
-                others = others[_near(check, np.full(len(others), i), others)]
-                if len(others):
-                    a, b = np.minimum(nodes[others], nodes[i]), np.maximum(nodes[others], nodes[i])
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+def _ordered(x: str, y: str) -> list:
+    return [F.least(f"{x}.node", f"{y}.node").alias("a"), F.greatest(f"{x}.node", f"{y}.node").alias("b")]
 
 
-def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs whose shingle sets have at least that Jaccard similarity."""
-    joined = pairs.join(sets.withColumnsRenamed({"node": "a", "shingles": "_a"}), "a").join(sets.withColumnsRenamed({"node": "b", "shingles": "_b"}), "b")
-    both = F.size(F.array_intersect("_a", "_b"))
-    return joined.where(both >= similarity * (F.size("_a") + F.size("_b") - both)).select("a", "b")
+def _meet_pivots(rows: DataFrame, turn: int, similarity: float) -> DataFrame:
+    """``a, b``: rows of a key beside the least and greatest of it, and one that differs from turn to turn, where roots differ."""
+    me = F.struct("node", "n", "pos", "root")
+    pivots = rows.groupBy("key").agg(F.min(me).alias("x"), F.max(me).alias("y"), F.min_by(me, F.xxhash64("node", F.lit(turn))).alias("z"))
+    met = rows.select("key", me.alias("r")).join(pivots, "key").select("r", F.explode(F.array("x", "y", "z")).alias("p"))
+    return met.where((F.col("r.root") != F.col("p.root")) & _may_link("r", "p", similarity)).select(*_ordered("r", "p")).distinct()
+
+
+def _meet_all(rows: DataFrame, similarity: float) -> DataFrame:
+    """``a, b``: all rows of a key where roots differ."""
+    me = rows.select("key", F.struct("node", "n", "pos", "root").alias("r"))
+    met = me.withColumnRenamed("r", "x").join(me.withColumnRenamed("r", "y"), "key")
+    apart = (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root"))
+    return met.where(apart & _may_link("x", "y", similarity)).select(*_ordered("x", "y")).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """``doc_id, th, first_id, first_th``: each row's id and text hash beside those of the first document of its group.
 
     A group is what links of at least ``similarity`` between sets of
-    ``shingle``-word shingles connect. Pairs are found where two of sixteen
-    23-bit segments of a wide SimHash share near codewords in one of eight
-    disjoint pairs of segments, then verified on the sets, which are made for
-    documents of such pairs only. At 0.8 a pair is found with a probability over
-    0.95, and nearer ones almost surely. The first is the smallest id, then the
-    smallest text hash; null ids come last.
+    ``shingle``-word shingles connect. No such pair is missed: both sets share a
+    hash of their prefixes, and all pairs that share one and aren't connected
+    yet are verified on the sets, which are made for documents of such pairs
+    only. The first is the smallest id, then the smallest text hash; null ids
+    come last.
     """
-    prints = cut_lineage(wide_prints(docs, id_col, text_col, shingle))
+    prints = cut_lineage(set_prefixes(docs, id_col, text_col, shingle, similarity))
     # Texts with equal shingles are one node, so copies of a text are.
-    same = prints.groupBy("sh").agg(F.first("wide").alias("wide"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("f"))
-    nodes = cut_lineage(same.withColumn("node", F.monotonically_increasing_id()))
-    keyed = nodes.select("node", "wide").mapInArrow(_wide_keys, "key bigint, node bigint, check bigint")
-    met = cut_lineage(keyed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_meet, "kind int, a bigint, b bigint, check bigint"))
-    candidates = cut_lineage(met.where("kind = 0").select("a", "b").distinct())
+    nodes = cut_lineage(prints.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("f")))
+    keyed = prints.select("node", "n", "keys").dropDuplicates(["node"]).select("node", "n", F.posexplode("keys").alias("pos", "key"))
+    keyed = cut_lineage(keyed)
+    several = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    shared = cut_lineage(keyed.join(several, "key"))
 
-    def sets_of(pairs: DataFrame) -> DataFrame:
+    def verified(pairs: DataFrame) -> DataFrame:
         paired = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
         # Stored first, so that Spark knows how small it is when it plans the join with the texts.
         wanted = cut_lineage(nodes.join(paired, "node").select("node", "f.doc_id", "f.th"))
-        return cut_lineage(_shingle_sets(docs, wanted, id_col, text_col, shingle))
-
-    stars = cut_lineage(_similar(candidates, sets_of(candidates), similarity))
-    groups = connected_components(stars).select(F.col("node").alias("b"), "root")
-    left = met.where("kind = 1").select(F.col("a").alias("key"), "b", "check").join(groups, "b", "left")
-    left = left.select("key", "b", "check", F.coalesce("root", "b").alias("root")).repartition("key").sortWithinPartitions("key", "b")
-    open_pairs = cut_lineage(left.mapInArrow(_across, "a bigint, b bigint").distinct())
-    rest = _similar(open_pairs, sets_of(open_pairs), similarity)
-    roots = connected_components(stars.unionByName(rest))
-    grouped = nodes.select("node", "sh", "f").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        sets = cut_lineage(_shingle_sets(docs, wanted, id_col, text_col, shingle))
+        return cut_lineage(_similar(pairs, sets, similarity))
+
+    left, links, roots = shared.withColumn("root", F.col("node")), None, None
+    for turn in range(PIVOT_ROUNDS + 1):
+        met = cut_lineage(_meet_pivots(left, turn, similarity) if turn < PIVOT_ROUNDS else _meet_all(left, similarity))
+        found = verified(met)
+        links = found if links is None else links.unionByName(found)
+        roots = cut_lineage(connected_components(links))
+        if turn < PIVOT_ROUNDS:
+            # Up to three rows of a key have all met.
+            left = shared.where("m > 3").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+            several = left.groupBy("key").agg(F.min("root").alias("_x"), F.max("root").alias("_y")).where("_x < _y").select("key")
+            left = cut_lineage(left.join(several, "key"))
+    grouped = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     first = grouped.groupBy("root").agg(F.min("f").alias("first"))
-    heads = grouped.join(first, "root").select("sh", "first")
-    rows = prints.join(heads, "sh")
-    return rows.select("doc_id", "th", F.col("first.doc_id").alias("first_id"), F.col("first.th").alias("first_th"))
+    heads = grouped.join(first, "root").select("node", "first")
+    return prints.join(heads, "node").select("doc_id", "th", F.col("first.doc_id").alias("first_id"), F.col("first.th").alias("first_th"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:

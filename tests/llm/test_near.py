@@ -140,6 +140,30 @@ def test_near_duplicates_are_dropped_and_others_stay(spark):
     assert sorted(kept) == sorted(expected)
 
 
+def test_sets_at_the_threshold_share_a_prefix_hash():
+    rng = np.random.default_rng(11)
+    common = np.unique(rng.integers(0, 1 << 63, 3000).astype(np.uint64))
+    counted = (common, rng.integers(4, 90, len(common)))
+    for n in [1, 2, 4, 5, 9, 10, 20, 45, 90, 450]:  # n shared, and as many more on either side as 0.8 allows
+        for _ in range(40):
+            more = n // 4
+            one = int(rng.integers(0, more + 1))
+            pool = np.unique(np.concatenate([rng.choice(common, n), rng.integers(0, 1 << 63, 2 * n + 8).astype(np.uint64)]))
+            rows = rng.permutation(pool)[: n + more]
+            a, b = np.sort(rows[: n + one]), np.sort(np.concatenate([rows[:n], rows[n + one :]]))
+            assert set(simhash.prefix(a, counted, 0.8).tolist()) & set(simhash.prefix(b, counted, 0.8).tolist())
+
+
+def test_all_pairs_of_short_texts_at_the_threshold_are_found(spark):
+    words = lambda i, n: [f"w{i}x{k}" for k in range(n)]
+    rows = []
+    for i in range(150):  # 4 of 5 shingles shared; 16 of 20
+        size = 8 if i % 2 else 20
+        rows += [(2 * i, " ".join(words(i, size)), "en"), (2 * i + 1, " ".join([*words(i, size), *[f"y{i}x{k}" for k in range(1 if i % 2 else 4)]]), "en")]
+    kept = [r.doc_id for r in simhash.drop_near_duplicates(documents(spark, rows)).collect()]
+    assert sorted(kept) == [2 * i for i in range(150)]
+
+
 def test_repeats_of_a_phrase_do_not_part_near_duplicates(spark):
     rows, phrase = [], " ".join(f"r{i}" for i in range(16))
     for i in range(20):
