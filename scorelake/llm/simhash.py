@@ -251,6 +251,8 @@ SIMILARITY, SHINGLE = 0.8, 5
 ORDER_DOCS, COMMON, MOST_COMMON = 20_000, 4, 100_000
 #: Rounds in which the rows of a key meet a few of them only, before all that are still apart do.
 PIVOT_ROUNDS = 2
+#: Rows of a key that meet each other in one task; keys with more are cut into blocks, and pairs of blocks meet.
+MEET_ROWS = 2048
 
 
 def shingle_set(text: str, shingle: int) -> np.ndarray:
@@ -358,12 +360,22 @@ def _meet_pivots(rows: DataFrame, turn: int, similarity: float) -> DataFrame:
     return met.where((F.col("r.root") != F.col("p.root")) & _may_link("r", "p", similarity)).select(*_ordered("r", "p")).distinct()
 
 
+def _in_blocks(rows: DataFrame) -> DataFrame:
+    """``key, low, high, r``: a key's rows in blocks; each pair of blocks (and each with itself) is a run of its own."""
+    blocks = rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / MEET_ROWS).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("b")
+    placed = rows.join(blocks, "key").select("key", F.struct("node", "n", "pos", "root", own).alias("r"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("c"))
+    return placed.select("key", F.least("r.b", "c").alias("low"), F.greatest("r.b", "c").alias("high"), "r")
+
+
 def _meet_all(rows: DataFrame, similarity: float) -> DataFrame:
     """``a, b``: all rows of a key where roots differ."""
-    me = rows.select("key", F.struct("node", "n", "pos", "root").alias("r"))
-    met = me.withColumnRenamed("r", "x").join(me.withColumnRenamed("r", "y"), "key")
+    dealt = _in_blocks(rows)
+    met = dealt.withColumnRenamed("r", "x").join(dealt.withColumnRenamed("r", "y"), ["key", "low", "high"])
+    # Rows of one block meet where it is beside itself only.
+    once = (F.col("x.b") != F.col("y.b")) | (F.col("low") == F.col("high"))
     apart = (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root"))
-    return met.where(apart & _may_link("x", "y", similarity)).select(*_ordered("x", "y")).distinct()
+    return met.where(once & apart & _may_link("x", "y", similarity)).select(*_ordered("x", "y")).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:

@@ -164,6 +164,13 @@ def test_all_pairs_of_short_texts_at_the_threshold_are_found(spark):
     assert sorted(kept) == [2 * i for i in range(150)]
 
 
+def test_long_runs_meet_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "MEET_ROWS", 7)
+    rows = spark.createDataFrame([(k, node, 10, 0, node % 3 if k else node) for k in range(2) for node in range(40)], "key bigint, node bigint, n int, pos int, root bigint")
+    assert sorted(map(tuple, simhash._meet_all(rows, 0.8).collect())) == [(a, b) for a in range(40) for b in range(a + 1, 40)]
+    assert max(r["count"] for r in simhash._in_blocks(rows).groupBy("key", "low", "high").count().collect()) < 30
+
+
 def test_repeats_of_a_phrase_do_not_part_near_duplicates(spark):
     rows, phrase = [], " ".join(f"r{i}" for i in range(16))
     for i in range(20):
