@@ -4,9 +4,10 @@ Both halves of the vectors get a codebook of their own, learned on a bounded
 sample; their product is a grid of cells. A vector visits cells from the nearest
 on, in the order of the sum of the squared distances to the two half cells (the
 two sorted lists are walked together), until that sum passes the value within
-which a target share of neighbours at the threshold itself was found to lie.
-Closer neighbours lie in nearer cells. Every visited vector is then compared
-exactly, in double precision.
+which a target share of neighbours was found to lie: of random ones at the
+threshold itself, and of all real ones of a bounded sample of queries. Every
+visited vector is then compared exactly, in double precision. A pair that only
+one side visits counts for both.
 
 Equal vectors are folded first. A cell with many vectors is cut into blocks of a
 fixed size, and a visit goes to each block, so no task holds a whole hot cell.
@@ -32,6 +33,8 @@ SAMPLE_ROWS = 8192
 #: Vectors of a cell on average, greatest size of a codebook, and vectors of a block.
 CELL_ROWS, MAX_CODES, BLOCK_ROWS = 128, 256, 2048
 TARGET_RECALL = 0.99
+#: Vectors whose real neighbours are all found by brute force, for the reach.
+QUERY_ROWS = 256
 
 
 def is_usable(vector: Column) -> Column:
@@ -101,6 +104,13 @@ class MultiIndex:
             out.append(np.divide(beyond, gap, out=np.zeros_like(beyond), where=gap > 0) ** 2)
         return out
 
+    def widen(self, distances: np.ndarray, pairs: np.ndarray, recall: float) -> None:
+        """Reach at least so far that queries with that share of all ``pairs`` reach their farthest neighbour."""
+        order = np.argsort(distances)
+        if len(order):
+            upto = np.cumsum(pairs[order])
+            self.reach = max(self.reach, float(distances[order][np.searchsorted(upto, recall * upto[-1])]) * (1 + 1e-9))
+
     def visits(self, first: np.ndarray, second: np.ndarray) -> list[int]:
         """Cells of one vector by the multi-sequence algorithm: a heap holds the border of what was visited."""
         a, b = np.argsort(first, kind="stable"), np.argsort(second, kind="stable")
@@ -118,32 +128,73 @@ class MultiIndex:
         return cells
 
 
-def _search(threshold: float, width: int):
-    """Over rows sorted by (cell, block, visitor): each visitor against the block's vectors."""
+def _real_pairs(nodes: DataFrame, queries: list, index: MultiIndex, threshold: float, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each of the queries with neighbours: the greatest distance to a neighbour's home cell, and the number of neighbours."""
+    asked, sizes = unit_rows(queries, width), np.array([len(q) for q in queries])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, second = index.distances(asked)
+        farthest, pairs = np.full(len(asked), -1.0), np.zeros(len(asked), dtype=np.int64)
+        for batch in batches:
+            for few in slices(batch, 256):
+                vectors = few.column(0).to_pylist()
+                rows = unit_rows(vectors, width)
+                a, b = index.home(rows)
+                likeness = asked @ rows.T
+                hits = (likeness >= threshold) & (sizes[:, None] == np.array([len(v) for v in vectors])[None])
+                farthest = np.maximum(farthest, np.where(hits, first[:, a] + second[:, b], -1.0).max(axis=1, initial=-1.0))
+                pairs += hits.sum(axis=1)
+        some = np.flatnonzero(pairs)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(farthest[some]), pa.array(pairs[some])], names=["q", "far", "pairs"])
+
+    rows = nodes.select("_v").mapInArrow(run, "q int, far double, pairs bigint").groupBy("q").agg(F.max("far"), F.sum("pairs") - 1)
+    found = [r for r in rows.collect() if r[2] > 0]  # each query is its own neighbour
+    return np.array([r[1] for r in found], dtype=np.float64), np.array([r[2] for r in found], dtype=np.int64)
+
+
+def _search(threshold: float, width: int, cells: int):
+    """Over rows sorted by (cell, block, visitor): each visitor against the block's vectors.
+
+    ``visits`` are those of a block's own vectors; ``home`` is a visitor's cell.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, parts, block = None, [], None
         for batch in batches:
             cell, part, visitor, node, weight, size = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(6))
             vectors = unit_rows([v.values.to_numpy(zero_copy_only=False) for v in batch.column(6)], width)
+            home, visits = batch.column(7).to_numpy(zero_copy_only=False), batch.column(8)
             cuts = np.flatnonzero((np.diff(cell) != 0) | (np.diff(part) != 0) | (np.diff(visitor) != 0)) + 1
             for s, e in zip([0, *cuts.tolist()], [*cuts.tolist(), len(cell)], strict=True):
                 if key != (cell[s], part[s]):
                     key, parts, block = (cell[s], part[s]), [], None
                 if not visitor[s]:
-                    parts.append((vectors[s:e], node[s:e], weight[s:e], size[s:e]))
+                    own = visits.slice(s, e - s)
+                    before = sum(len(p[1]) for p in parts)
+                    lengths = np.array([len(v) for v in own], dtype=np.int64)
+                    seen = np.repeat(np.arange(before, before + e - s), lengths) * cells + own.flatten().to_numpy(zero_copy_only=False)
+                    parts.append((vectors[s:e], node[s:e], weight[s:e], size[s:e], seen))
                     continue
                 if not parts:
                     continue
                 if block is None:
                     block = [np.concatenate(x) for x in zip(*parts, strict=True)]
                     labels = np.arange(len(block[1]))
-                rows, nodes, weights, sizes = block
+                    block[4].sort()
+                rows, nodes, weights, sizes, seen = block
                 hits = (vectors[s:e] @ rows.T >= threshold) & (nodes[None] != node[s:e, None]) & (sizes[None] == size[s:e, None])
                 found = hits.any(axis=1)
                 if not found.any():
                     continue
                 links = hits[found] @ weights
+                # A vector that doesn't visit its visitor's cell gets the link here.
+                v, u = np.nonzero(hits)
+                wanted = u * np.int64(cells) + home[s:e][v]
+                at = np.searchsorted(seen, wanted)
+                back = seen[np.minimum(at, len(seen) - 1)] == wanted if len(seen) else np.zeros(len(wanted), dtype=bool)
+                given = np.zeros(len(nodes), dtype=np.int64)
+                np.add.at(given, u[~back], weight[s:e][v[~back]])
+                got = np.flatnonzero(given)
                 edges = []
                 for v, row in zip(node[s:e][found].tolist(), hits[found], strict=True):
                     at = np.flatnonzero(row)
@@ -151,9 +202,9 @@ def _search(threshold: float, width: int):
                     edges += [(v, int(nodes[at[i]])) for i in one]
                     if len(kinds) > 1:
                         labels[np.isin(labels, kinds)] = kinds[0]
-                a = np.concatenate([node[s:e][found], [x for x, _ in edges]]).astype(np.int64)
-                b = np.concatenate([links, [y for _, y in edges]]).astype(np.int64)
-                counted = np.arange(len(a)) < len(links)
+                a = np.concatenate([node[s:e][found], nodes[got], [x for x, _ in edges]]).astype(np.int64)
+                b = np.concatenate([links, given[got], [y for _, y in edges]]).astype(np.int64)
+                counted = np.arange(len(a)) < len(links) + len(got)
                 yield pa.RecordBatch.from_arrays([pa.array(counted), pa.array(a), pa.array(b)], names=["counted", "a", "b"])
 
     return run
@@ -180,6 +231,7 @@ def near_vectors(
     sample = [r[0] for r in nodes.orderBy(F.xxhash64("_v"), "node").limit(SAMPLE_ROWS).select("_v").collect()]
     codes = int(min(MAX_CODES, max(1, np.sqrt(many / CELL_ROWS))))
     index = MultiIndex(unit_rows(sample, width), codes, threshold, recall)
+    index.widen(*_real_pairs(nodes, sample[:QUERY_ROWS], index, threshold, width), recall)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -195,11 +247,11 @@ def near_vectors(
     # One row for each cell that is used: at most MAX_CODES squared.
     blocks = F.broadcast(placed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks")))
     common = ["node", "weight", "size", "_v"]
-    at_home = placed.join(blocks, "cell").select("cell", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"), F.lit(False).alias("visitor"), *common)
-    visiting = placed.select(F.explode("visits").alias("cell"), *common).join(blocks, "cell")
-    visiting = visiting.select("cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("visitor"), *common)
+    at_home = placed.join(blocks, "cell").select("cell", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"), F.lit(False).alias("visitor"), *common, F.col("cell").alias("home"), "visits")
+    visiting = placed.select(F.explode("visits").alias("cell"), *common, F.col("cell").alias("home")).join(blocks, "cell")
+    visiting = visiting.select("cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("visitor"), *common, "home", F.array().cast("array<int>").alias("visits"))
     met = at_home.unionByName(visiting).repartition("cell", "block").sortWithinPartitions("cell", "block", "visitor")
-    found = cut_lineage(met.mapInArrow(_search(threshold, width), "counted boolean, a bigint, b bigint"))
+    found = cut_lineage(met.mapInArrow(_search(threshold, width, index.k * index.k), "counted boolean, a bigint, b bigint"))
 
     links = found.where("counted").groupBy(F.col("a").alias("node")).agg(F.sum("b").alias("links"))
     roots = connected_components(found.where("not counted").select("a", "b"))

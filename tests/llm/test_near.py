@@ -215,6 +215,30 @@ def test_multi_index_against_all_pairs(spark):
     assert nothing.count() == 0
 
 
+def test_one_sided_visits_count_for_both_vectors(spark, monkeypatch):
+    monkeypatch.setattr(multiindex, "CELL_ROWS", 2)
+    monkeypatch.setattr(multiindex.MultiIndex, "widen", lambda self, distances, pairs, recall: None, raising=False)
+    rng = np.random.default_rng(12)
+    base = np.repeat(rng.normal(size=(60, 16)), 5, axis=0)
+    rows = [(i, (v + rng.normal(size=16) * 0.15).tolist()) for i, v in enumerate(base)]
+    found = multiindex.near_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), recall=0.3).collect()
+    size = {c: sum(r.component_id == c for r in found) for c in {r.component_id for r in found}}
+    assert all((r.n_links > 0) == (size[r.component_id] > 1) for r in found)
+    assert any(n > 1 for n in size.values()) and sum(r.n_links for r in found) % 2 == 0
+
+
+def test_reach_covers_real_pairs(spark, monkeypatch):
+    monkeypatch.setattr(multiindex, "CELL_ROWS", 2)
+    rng = np.random.default_rng(13)
+    # Near vectors differ along one direction only, which the halves' codes cut.
+    base = np.repeat(rng.normal(size=(100, 16)), 4, axis=0)
+    base[:, 0] += rng.normal(size=400) * 1.2
+    unit = base / np.linalg.norm(base, axis=1)[:, None]
+    near = (unit @ unit.T >= 0.95).sum(axis=1) - 1
+    found = multiindex.near_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(base)], "vec_id bigint, embedding array<double>"), recall=0.99).collect()
+    assert sum(r.n_links for r in found) >= 0.99 * near.sum() and all(r.n_links <= near[r.vec_id] for r in found)
+
+
 def test_multi_sequence_visits_in_order():
     rng = np.random.default_rng(6)
     index = multiindex.MultiIndex(rng.normal(size=(200, 8)), 6, 0.95, 0.99)
