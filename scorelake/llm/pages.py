@@ -29,6 +29,10 @@ _NAME = re.compile(r"[a-z0-9]+")
 
 # Element names by what they do to text.
 _RAW = frozenset("script style noscript template textarea iframe svg math object canvas select title".split())
+#: Of these, the ones that nothing but their closing tag ends.
+_TO_CLOSE = frozenset("script style title textarea".split())
+_SPACED = frozenset("title select textarea svg object canvas".split())
+_SELF_CLOSED = re.compile(r"(?:^|[\s\"'])/\Z")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3"
@@ -87,10 +91,11 @@ def _opened(name: str, attributes: str, up: Element | None) -> Element:
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)} if "=" in attributes else {}
     own = set(_NAME.findall(f"{found.get('class', '')} {found.get('id', '')}".lower())) if found else set()
     hidden = found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "") or re.search(r"\shidden(?:[\s=/]|$)", attributes)
-    if own & _REMARKS or remarks:
+    whole = name in ("body", "html", "article", "main")
+    if remarks or own & _REMARKS and not whole:
         # Comments may be articles by themselves: nothing inside speaks for content.
         score, remarks = REMARK, True
-    elif hidden or name in _PAGE_PARTS or found.get("role") in _ROLES or own & _BOILERPLATE and name not in ("body", "html", "article", "main"):
+    elif hidden or name in _PAGE_PARTS or found.get("role") in _ROLES or own & _BOILERPLATE and not whole:
         score = PART
     elif name == "header":
         score = score if inside_article else PART
@@ -101,12 +106,50 @@ def _opened(name: str, attributes: str, up: Element | None) -> Element:
     return Element(name, up.depth + 1 if up else 0, score, up, remarks)
 
 
+def _raw_ends(page: str) -> dict[int, int]:
+    """By the end of its opening tag, where each closed element of ``_RAW`` ends that may hold its like.
+
+    An unclosed one isn't there, and a later one's closing tag isn't taken for its own.
+    """
+    ends: dict[int, int] = {}
+    open_: dict[str, list[int]] = {}
+    at, size, lowered = 0, len(page), page.lower()
+    where = lowered if len(lowered) == size else page
+    while found := _MARKUP.search(page, at):
+        at = found.end()
+        if found[0] == "<!--":
+            end = page.find("-->", at)
+            at = size if end < 0 else end + 3
+            continue
+        name = (found[2] or "").lower()
+        if name not in _RAW or not found[1] and _SELF_CLOSED.search(found[3]):
+            continue
+        if name in _TO_CLOSE:
+            if not found[1]:
+                end = where.find(f"</{name}", at)
+                at = size if end < 0 else end
+        elif not found[1]:
+            open_.setdefault(name, []).append(at)
+        elif open_.get(name):
+            ends[open_[name].pop()] = at
+    return ends
+
+
+def _next_block(page: str, at: int) -> int:
+    """Where the next tag of a block, opening or closing, begins."""
+    for found in _MARKUP.finditer(page, at):
+        if found[2] and found[2].lower() in _BLOCK:
+            return found.start()
+    return len(page)
+
+
 def blocks_of(page: str) -> list[Block]:
     """Text blocks of a page in order, white space within a block made single spaces; empty ones are left out."""
     stack = [Element("html", 0, 0.0)]
     out: list[Block] = []
     block: Block | None = None
-    links, at, raw_until = 0, 0, ""
+    links, at = 0, 0
+    raw_ends: dict[int, int] | None = None
 
     def text(piece: str) -> None:
         nonlocal block
@@ -143,14 +186,20 @@ def blocks_of(page: str) -> list[Block]:
             continue
         name = found[2].lower()
         if not found[1] and name in _RAW:
-            lowered = page.lower() if lowered is None else lowered
-            # Lower case may change lengths; then tags are looked for as they are.
-            where = lowered if len(lowered) == size else page
-            raw_until = f"</{name}"
-            end = where.find(raw_until, at)
-            closing = page.find(">", end) if end >= 0 else -1
-            at = size if closing < 0 else closing + 1
-            if name in ("title", "select", "textarea", "svg", "object", "canvas"):
+            if _SELF_CLOSED.search(found[3]):
+                pass  # it is empty
+            elif name in _TO_CLOSE:
+                lowered = page.lower() if lowered is None else lowered
+                # Lower case may change lengths; then tags are looked for as they are.
+                where = lowered if len(lowered) == size else page
+                end = where.find(f"</{name}", at)
+                closing = page.find(">", end) if end >= 0 else -1
+                at = size if closing < 0 else closing + 1
+            else:
+                raw_ends = _raw_ends(page) if raw_ends is None else raw_ends
+                # A missing closing tag costs no more than the rest of the block.
+                at = raw_ends[at] if at in raw_ends else _next_block(page, at)
+            if name in _SPACED:
                 text(" ")
             continue
         if name == "a":

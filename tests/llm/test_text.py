@@ -101,6 +101,26 @@ def test_main_text(page, text):
     assert pages.main_text(page) == text
 
 
+ARTICLE = "<article><h1>A head</h1><p>The first sentence stays here.</p><p>And so does the second one.</p></article>"
+KEPT = "A head\n\nThe first sentence stays here.\n\nAnd so does the second one."
+
+
+@pytest.mark.parametrize("tag", ["svg", "math", "iframe", "object", "select", "noscript", "canvas", "template"])
+def test_raw_elements_without_an_end_hold_no_article(tag):
+    for opened in (f"<{tag}>", f"<{tag} class='x' />", f"<{tag}/>"):
+        assert pages.main_text(f"<body><div>{opened}</div>{ARTICLE}</body>") == KEPT
+        assert pages.main_text(f"<body>{opened}{ARTICLE}<div><{tag}>inside</{tag}></div></body>") == KEPT
+    assert pages.main_text(f"<body><{tag}>gone <{tag}>gone</{tag}> gone.</{tag}>{ARTICLE}</body>") == KEPT
+    assert pages.main_text(f"<body><script src='x' />{ARTICLE}</body>") == KEPT
+
+
+def test_words_about_comments_do_not_empty_a_page():
+    for page in (f"<body class='single comments-open'>{ARTICLE}</body>", ARTICLE.replace("<article>", "<article class='post has-comments'>"), f"<main id='discussion'>{ARTICLE}</main>"):
+        assert pages.main_text(page) == KEPT
+    remark = "<div class='comments'><article class='comment'><p>A long remark by a reader, with many words in it.</p></article></div>"
+    assert pages.main_text(f"<body class='comments-open'>{ARTICLE}{remark}</body>") == KEPT
+
+
 def test_minimum_cut_is_least(spark):
     rng = random.Random(1)
     for _ in range(300):
