@@ -3,21 +3,24 @@
 Patterns find e-mail addresses, IP addresses, card and phone numbers. Removing
 them is not enough where the words around them point to the same person: with
 p(e), p(t) and p(e, t) the shares of documents that hold an entity, a term, and
-the term within reach of the entity, pointwise mutual information
+both, wherever they stand, pointwise mutual information
 
     PMI(e; t) = log p(e, t) / (p(e) p(t))
 
 says how much of the entity's information content -log p(e) the term reveals.
 A term is disclosing when it reveals at least a given share of it and was seen
-with the entity in several different contexts. Copies of a text are one context,
-so a copied document does not make its own words disclosing. All counts cover
-all documents.
+with the entity in several different contexts: the words around the entity and,
+where the term isn't among them, around the term. Copies of a text are one
+context, so a copied document does not make its own words disclosing. All counts
+cover all documents. A disclosing term is marked wherever it stands in a
+document that holds its entity.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -36,7 +39,6 @@ REACH = 5
 DISCLOSURE = 0.9
 #: Different contexts that must hold both.
 MIN_CONTEXTS = 3
-MIN_TERM_CHARS = 4
 #: Distinct words that a worker holds before it passes their counts on.
 HELD = 300_000
 
@@ -105,67 +107,104 @@ def base_spans(text: str) -> list[Span]:
     return found
 
 
-def context_terms(text: str, spans: list[Span], reach: int = REACH) -> list[tuple[str, str, str, int, int]]:
-    """``entity, term, context, start, end`` of the words within reach of each span on its line.
+class Words:
+    """The words of a text outside its spans, read once however many spans there are."""
 
-    ``context`` is a digest of the words around the span, so equal surroundings count once.
+    def __init__(self, text: str, spans: list[Span], reach: int = REACH) -> None:
+        self.text, self.reach = text, reach
+        taken: list[list[int]] = []
+        for start, end in sorted((a, b) for _, a, b in spans):
+            if taken and start < taken[-1][1]:
+                taken[-1][1] = max(taken[-1][1], end)
+            else:
+                taken.append([start, end])
+        starts = [a for a, _ in taken]
+        at = lambda m: bisect_left(starts, m.end()) - 1  # noqa: E731  the last span that begins before the word ends
+        self.found = list(_TERM.finditer(text))
+        self.free = [(i := at(m)) < 0 or taken[i][1] <= m.start() for m in self.found]
+        self.starts, self.ends = [m.start() for m in self.found], [m.end() for m in self.found]
+
+    def around(self, start: int, end: int) -> list[int]:
+        """Numbers of the words within reach on either side, on the same line and outside all spans."""
+        line_start, line_end = self.text.rfind("\n", 0, start) + 1, self.text.find("\n", end)
+        before, after = bisect_right(self.ends, start), bisect_left(self.starts, end)
+        low = max(bisect_left(self.starts, line_start), before - self.reach)
+        high = min(bisect_left(self.starts, line_end) if line_end >= 0 else len(self.starts), after + self.reach)
+        return [i for i in [*range(low, before), *range(after, high)] if self.free[i]]
+
+    def said(self, numbers: list[int]) -> str:
+        return "\n".join(self.found[i][0].lower() for i in numbers)
+
+
+def entity_of(text: str, span: Span) -> str:
+    return f"{span[0]}:{text[span[1] : span[2]].lower()}"
+
+
+def document_terms(text: str, spans: list[Span], entities: set[str], reach: int = REACH) -> list[tuple[str, str, str]]:
+    """``entity, term, context`` of each word of a text beside each of ``entities`` in it.
+
+    ``context`` is a digest of the words around the span, and around the term
+    where it isn't among them, so equal surroundings count once.
     """
-    rows = []
-    taken = sorted((a, b) for _, a, b in spans)
-    for kind, start, end in spans:
-        line_start, line_end = text.rfind("\n", 0, start) + 1, text.find("\n", end)
-        line_end = len(text) if line_end < 0 else line_end
-        # Far more characters than so many words need: long lines aren't read whole for each span.
-        far = reach * 64
-        before = list(_TERM.finditer(text, max(line_start, start - far), start))[-reach:]
-        after = []
-        for m in _TERM.finditer(text, end, min(line_end, end + far)):
-            if len(after) == reach:
-                break
-            after.append(m)
-        near = [m for m in [*before, *after] if not any(a < m.end() and m.start() < b for a, b in taken)]
-        context = hashlib.md5("\n".join(m[0].lower() for m in near).encode()).hexdigest()
-        entity = f"{kind}:{text[start:end].lower()}"
-        rows += [(entity, m[0].lower(), context, m.start(), m.end()) for m in near if len(m[0]) >= MIN_TERM_CHARS]
-    return rows
+    words, rows = Words(text, spans, reach), set()
+    first: dict[str, int] = {}
+    for i, m in enumerate(words.found):
+        if words.free[i]:
+            first.setdefault(m[0].lower(), i)
+    beside = {t: words.said([i, *words.around(words.starts[i], words.ends[i])]) for t, i in first.items()}
+    nearest: dict[str, set[str]] = {}
+    surroundings: dict[str, str] = {}
+    for span in spans:
+        entity = entity_of(text, span)
+        if entity not in entities:
+            continue
+        numbers = words.around(span[1], span[2])
+        said = words.said(numbers)
+        surroundings.setdefault(entity, said)
+        for i in numbers:
+            term = words.found[i][0].lower()
+            nearest.setdefault(entity, set()).add(term)
+            rows.add((entity, term, hashlib.md5(said.encode()).hexdigest()))
+    for entity, said in surroundings.items():
+        near = nearest.get(entity, ())
+        rows.update((entity, t, hashlib.md5(f"{said}\n\n{b}".encode()).hexdigest()) for t, b in beside.items() if t not in near)
+    return sorted(rows)
 
 
 _SPANS = "array<struct<kind: string, start: bigint, end: bigint>>"
-_NEAR = "array<struct<entity: string, term: string, context: string, start: bigint, end: bigint>>"
 
 
 def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``doc`` (all columns in a struct), a row id, base spans and context terms; stored in the shared folder.
+    """``doc`` (all columns in a struct), a row id, base spans and the entities they hold; stored in the shared folder.
 
     Stored so that the row ids stay what they are when an executor is lost.
     """
     prepare(docs.sparkSession)
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(text_col).alias("_text"))
-    fields = extend(packed.select("doc").schema, f"row_id bigint, base {_SPANS}, near {_NEAR}")
+    fields = extend(packed.select("doc").schema, f"row_id bigint, base {_SPANS}, entities array<struct<entity: string, n: bigint>>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         row_id = TaskContext.get().partitionId() << 40
         span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
-        words = pa.list_(pa.struct([("entity", pa.string()), ("term", pa.string()), ("context", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
+        counted = pa.list_(pa.struct([("entity", pa.string()), ("n", pa.int64())]))
         for batch in batches:
             for few in slices(batch):
-                base, near = [], []
+                base, entities = [], []
                 for text in few.column(1).to_pylist():
                     found = base_spans(text) if text else []
                     base.append([dict(zip(("kind", "start", "end"), x, strict=True)) for x in found])
-                    terms = context_terms(text, found) if found else []
-                    near.append([dict(zip(("entity", "term", "context", "start", "end"), x, strict=True)) for x in terms])
+                    entities.append([{"entity": e, "n": n} for e, n in sorted(Counter(entity_of(text, x) for x in found).items())])
                 ids = pa.array(range(row_id, row_id + few.num_rows), pa.int64())
                 row_id += few.num_rows
-                yield pa.RecordBatch.from_arrays([few.column(0), ids, pa.array(base, span), pa.array(near, words)], names=["doc", "row_id", "base", "near"])
+                yield pa.RecordBatch.from_arrays([few.column(0), ids, pa.array(base, span), pa.array(entities, counted)], names=["doc", "row_id", "base", "entities"])
 
     return cut_lineage(packed.mapInArrow(run, fields))
 
 
 def document_frequencies(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``term, df``: in how many documents each word of enough letters stands; workers pass on sums."""
+    """``term, df``: in how many documents each word stands; workers pass on sums."""
     prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,7 +218,7 @@ def document_frequencies(docs: DataFrame, text_col: str = "text") -> DataFrame:
         for batch in batches:
             for few in slices(batch):
                 for text in few.column(0).to_pylist():
-                    held.update({w for w in set(_TERM.findall(text.lower())) if len(w) >= MIN_TERM_CHARS})
+                    held.update({w.lower() for w in set(_TERM.findall(text))})
                 if len(held) > HELD:
                     yield passed_on()
         yield passed_on()
@@ -190,16 +229,36 @@ def document_frequencies(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 def disclosing_pairs(scanned: DataFrame, docs: DataFrame, text_col: str = "text", share: float = DISCLOSURE, min_contexts: int = MIN_CONTEXTS) -> DataFrame:
     """``entity, term, revealed``: pairs in enough different contexts where the term reveals at least ``share``."""
-    near = scanned.select("row_id", F.explode("near").alias("n")).select("row_id", "n.entity", "n.term", "n.context")
-    contexts = near.select("entity", "term", "context").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("contexts"))
-    together = near.select("entity", "term", "row_id").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both"))
-    pairs = contexts.where(F.col("contexts") >= min_contexts).join(together, ["entity", "term"])
-    holders = scanned.select("row_id", F.explode(F.array_distinct("near.entity")).alias("entity"))
-    entities = holders.groupBy("entity").agg(F.count(F.lit(1)).alias("docs"))
-    total = scanned.select(F.count(F.lit(1))).scalar()
-    judged = pairs.join(entities, "entity").join(document_frequencies(docs, text_col), "term").withColumn("total", total)
-    joint = F.log(F.col("both") * F.col("total") / (F.col("docs") * F.col("df")))
-    content = F.log(F.col("total") / F.col("docs"))
+    total = scanned.count()
+    holders = scanned.select("row_id", F.explode("entities").alias("e")).select("row_id", "e.entity", "e.n")
+    # Entities that stand in fewer places cannot have enough contexts.
+    entities = holders.groupBy("entity").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("places"))
+    often = cut_lineage(entities.where(F.col("places") >= min_contexts).select("entity", "docs"))
+    held = cut_lineage(holders.join(often, "entity").groupBy("row_id").agg(F.collect_set("entity").alias("wanted")))
+    texts = scanned.join(held, "row_id").select("row_id", F.col(f"doc.`{text_col}`").alias("_text"), "base", "wanted")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for few in slices(batch, 8):
+                for row, text, base, wanted in zip(*[c.to_pylist() for c in few.columns], strict=True):
+                    rows = document_terms(text, [(x["kind"], x["start"], x["end"]) for x in base], set(wanted))
+                    for at in range(0, len(rows), 10_000):
+                        entity, term, context = zip(*rows[at : at + 10_000], strict=True)
+                        yield pa.RecordBatch.from_arrays([pa.array([row] * len(term), pa.int64()), pa.array(entity), pa.array(term), pa.array(context)], names=["row_id", "entity", "term", "context"])
+
+    # A term in more than docs * (total / docs) ** (1 - share) documents cannot reveal that share.
+    most = F.col("docs") * F.pow(F.lit(total) / F.col("docs"), F.lit(1 - share)) * (1 + 1e-9)
+    largest = F.coalesce(often.select(F.max(most)).scalar(), F.lit(0.0))
+    frequencies = document_frequencies(docs, text_col).where(F.col("df") <= largest)
+    beside = texts.mapInArrow(run, "row_id bigint, entity string, term string, context string").join(frequencies, "term").join(often, "entity").where(F.col("df") <= most)
+    # Counted by context first: a term's rows of one context are one row.
+    once = beside.groupBy("entity", "term", "row_id", "docs", "df").agg(F.collect_set("context").alias("contexts"))
+    by_context = cut_lineage(once)
+    together = by_context.groupBy("entity", "term", "docs", "df").agg(F.count(F.lit(1)).alias("both"))
+    contexts = by_context.select("entity", "term", F.explode("contexts").alias("c")).distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("contexts"))
+    judged = together.join(contexts.where(F.col("contexts") >= min_contexts), ["entity", "term"])
+    joint = F.log(F.col("both") * F.lit(total) / (F.col("docs") * F.col("df")))
+    content = F.log(F.lit(total) / F.col("docs"))
     # An entity in every document has no information to reveal.
     revealed = F.when(content > 0, joint / content)
     return judged.select("entity", "term", revealed.alias("revealed")).where(F.col("revealed") >= share)
@@ -209,14 +268,25 @@ def find_personal_data(docs: DataFrame, text_col: str = "text", share: float = D
     """One row per row of ``docs``: its columns in a struct ``doc``, ``base`` spans and ``terms`` spans.
 
     A null text is an empty one. Repeated rows get the same result. A term is
-    marked where it stands within reach of the entity that it discloses.
+    marked wherever it stands in a document with the entity that it discloses.
     """
     scanned = scan(docs, text_col)
     pairs = disclosing_pairs(scanned, docs, text_col, share, min_contexts).select("entity", "term")
-    near = scanned.select("row_id", F.explode("near").alias("n")).select("row_id", "n.entity", "n.term", "n.start", "n.end")
-    marked = near.join(pairs, ["entity", "term"]).select("row_id", F.struct(F.lit(TERM).alias("kind"), "start", "end").alias("s"))
-    # At most the words within reach of one document's entities.
-    marked = marked.groupBy("row_id").agg(F.array_sort(F.collect_set("s")).alias("terms"))
+    holders = scanned.select("row_id", F.explode("entities.entity").alias("entity"))
+    wanted = holders.join(pairs, "entity").groupBy("row_id").agg(F.collect_set("term").alias("wanted"))
+    texts = scanned.join(wanted, "row_id").select("row_id", F.col(f"doc.`{text_col}`").alias("_text"), "base", "wanted")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
+        for batch in batches:
+            for few in slices(batch, 8):
+                marks = []
+                for text, base, terms in zip(*[c.to_pylist() for c in few.columns[1:]], strict=True):
+                    words, terms = Words(text, [(x["kind"], x["start"], x["end"]) for x in base]), set(terms)
+                    marks.append([{"kind": TERM, "start": m.start(), "end": m.end()} for m, free in zip(words.found, words.free, strict=True) if free and m[0].lower() in terms])
+                yield pa.RecordBatch.from_arrays([few.column(0), pa.array(marks, kind)], names=["row_id", "terms"])
+
+    marked = texts.mapInArrow(run, f"row_id bigint, terms {_SPANS}")
     joined = scanned.select("row_id", "doc", "base").join(marked, "row_id", "left")
     return joined.select("doc", "base", F.coalesce("terms", F.array().cast(_SPANS)).alias("terms"))
 

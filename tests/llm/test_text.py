@@ -220,6 +220,23 @@ def test_terms_that_disclose(spark):
     assert clean[0] == rows[0][1].replace(mail, "[EMAIL]").replace("Quillfeather", "[TERM]") and clean[100] == rows[6][1]
 
 
+def test_terms_disclose_wherever_they_stand(spark):
+    mail = "kim@mail.example.org"
+    rows = [(i, f"Lee {'abcdef'[i] * 6}\n{prose(300 + i, 30)}\nwrite to {mail} {'uvwxyz'[i] * 3}\nsoon Brightwater and Lee", "en") for i in range(6)]
+    rows += [(100 + i, prose(400 + i, 30), "en") for i in range(60)]
+    found = {r.doc_id: r for r in pii.find_personal_data(documents(spark, rows)).select("doc.doc_id", "doc.text", "terms").collect()}
+    for i in range(6):
+        marked = [found[i].text[s.start : s.end] for s in found[i].terms]
+        assert marked.count("Lee") == 2 and marked.count("Brightwater") == 1
+
+
+def test_words_around_are_read_until_enough_are_met():
+    text = "one two three four five " + "7 " * 400 + "a@b.org" + " 8" * 400 + " six seven eight nine ten eleven"
+    words = pii.Words(text, pii.base_spans(text))
+    at = text.index("a@b.org")
+    assert words.said(words.around(at, at + 7)).split() == "one two three four five six seven eight nine ten".split()
+
+
 def test_personal_data_of_awkward_documents(spark):
     docs = documents(spark)
     clean = pii.sanitise(docs)
