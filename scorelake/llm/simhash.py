@@ -236,7 +236,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     prints = cut_lineage(fingerprints(docs, id_col, text_col, shingle))
     distinct = prints.groupBy("fp").agg(F.min(id_col).alias("_first"))
-    roots = connected_components(link_fingerprints(distinct.select("fp")))
+    roots = connected_components(link_fingerprints(distinct.select("fp"), most))
     rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     smallest = rooted.groupBy("root").agg(F.min("_first").alias("component_id"))
     by_print = rooted.join(smallest, "root").select("fp", "component_id")

@@ -109,6 +109,14 @@ def test_simhash_of_awkward_documents(spark):
     assert simhash.components(documents(spark, [])).count() == 0
 
 
+def test_components_at_other_numbers_of_bits(spark, monkeypatch):
+    # Of 0, 3 bits and 4 bits: at two, nothing links; the pair at two bits does.
+    fps = [0, 0b111, 0b1111 << 40, 0b11 << 50]
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, *a: docs.select("doc_id", "fp"))
+    found = simhash.components(spark.createDataFrame(list(enumerate(fps)), "doc_id bigint, fp bigint"), most=2)
+    assert sorted((r.doc_id, r.component_id) for r in found.collect()) == [(0, 0), (1, 1), (2, 2), (3, 0)]
+
+
 def test_fingerprint_by_its_definition():
     from xxhash import xxh64_intdigest
 
