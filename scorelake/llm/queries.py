@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..plans.catalog import Catalog
 from ..session import scratch_path
-from . import bpe, dac, langid, linedup, multiindex, packing, pages, pii, simhash, spotsigs
+from . import alignment, bpe, dac, langid, linedup, multiindex, packing, pages, pii, simhash, spotsigs
 from .common import table
 
 catalog = Catalog()
@@ -110,3 +110,8 @@ def op7(spark, sf_dir):
 @catalog.query("op5_spotsigs")
 def op5(spark, sf_dir):
     return spotsigs.compare_with_edited(table(spark, sf_dir, "documents"))
+
+
+@catalog.query("op13_token_spans")
+def op13(spark, sf_dir):
+    return alignment.link_statistics(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
