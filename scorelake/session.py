@@ -61,7 +61,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     path = scratch_path(df.sparkSession, "cut")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    stored = df.sparkSession.read.schema(df.schema).parquet(path)
+    stored._stored_path = path
+    return stored
+
+
+def drop_stored(*stored: DataFrame) -> None:
+    """Delete tables of :func:`cut_lineage` that no later step reads, lazily or not."""
+    for df in stored:
+        path = df.__dict__.pop("_stored_path", None)
+        if path is None:
+            raise ValueError("not a stored table, or deleted already")
+        jvm = df.sparkSession.sparkContext._jvm
+        where = jvm.org.apache.hadoop.fs.Path(path).getParent()
+        where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
 
 
 def ship_package(spark: SparkSession) -> None:
