@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..plans.catalog import Catalog
 from ..session import scratch_path
-from . import alignment, bpe, dac, langid, linedup, multiindex, packing, pages, pii, simhash, spotsigs
+from . import alignment, bpe, dac, langid, linedup, multiindex, packing, pages, pii, simhash, spotsigs, topk
 from .common import table
 
 catalog = Catalog()
@@ -115,3 +115,21 @@ def op5(spark, sf_dir):
 @catalog.query("op13_token_spans")
 def op13(spark, sf_dir):
     return alignment.link_statistics(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+
+
+_TOP_PRODUCTS_SQL = """
+WITH v AS (
+  SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.n, q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+  FROM v q JOIN v c ON c.n <> q.n WHERE q.vec_id % 50 = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY n ORDER BY score DESC, vec_id NULLS LAST)::INTEGER AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+
+@catalog.query("op11_pivot_table", _TOP_PRODUCTS_SQL)
+def op11(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return topk.top_products(vectors.where("vec_id % 50 = 0"), vectors, k=5)
