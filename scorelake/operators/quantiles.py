@@ -8,40 +8,80 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .segments import POS, SEG, null_safe_join, segmented
+from ..session import cut_lineage, drop_stored
+from .segments import null_safe_join
 
 # Accuracy of the approximate form: its rank error is at most n / ACCURACY.
 ACCURACY = 10_000
 
+#: Bits of a double's significand, and of the middle and the low digit; the high digit has the rest and the exponent.
+_BITS, _DIGIT = 53, 22
+_LEAST_EXPONENT = -1022
+#: High digits of values without an exponent: infinite ones, and NaN, which is the greatest as in Spark's order.
+_INFINITE, _NAN = 1 << 24, 1 << 25
+
+
+def _digits(v: Column) -> list[Column]:
+    """Three whole numbers that sort like the double ``v``, the first before the second before the third.
+
+    The exponent and the first nine bits of the significand, then twice 22 bits.
+    A logarithm that is rounded up across a power of two only moves that value
+    to the next exponent with a significand below one: the order holds.
+    """
+    size, sign = F.abs(v), F.when(v < 0, -1).otherwise(1)
+    exponent = F.greatest(F.floor(F.log2(size)), F.lit(_LEAST_EXPONENT))
+    # Powers of two scale exactly.
+    bits = (size * F.pow(F.lit(2.0), -exponent) * F.lit(2.0**_BITS)).cast("bigint")
+    high = (exponent - _LEAST_EXPONENT) * (1 << (_BITS + 2 - 2 * _DIGIT)) + F.shiftright(bits, 2 * _DIGIT)
+    plain = ~F.isnan(v) & (size < float("inf")) & (v != 0)
+    others = F.when(F.isnan(v), _NAN).when(v == 0, 0).otherwise(sign * F.lit(_INFINITE))
+    mask = F.lit((1 << _DIGIT) - 1)
+    return [
+        F.when(plain, sign * high).otherwise(others).cast("int"),
+        F.when(plain, sign * F.shiftright(bits, _DIGIT).bitwiseAND(mask)).otherwise(0).cast("int"),
+        F.when(plain, sign * bits.bitwiseAND(mask)).otherwise(0).cast("int"),
+    ]
+
 
 def exact_percentiles(df: DataFrame, keys: list[str], value: str, quantiles: dict[str, float]) -> DataFrame:
-    """Exact linear-interpolation percentiles, by one method for keys of any size.
+    """Exact linear-interpolation percentiles, by radix selection for keys of any size.
 
-    Equal values are folded into counts and sorted once into range segments, so
-    a key with most of the rows spans many of them. Counts of the segments (one
-    row for each key and segment) say which hold a wanted rank, and only those
-    are looked into; a task holds a segment at most. The table is read once.
+    Histograms of three digits of the value, from the high one on, are counted on
+    the map side first. After each, only the buckets that hold a wanted rank go
+    on: one or two for each key and quantile. So the table is scanned three
+    times, but its rows are neither sorted nor stored, and what crosses the
+    network are counts: for a key at most some thousand buckets for each power of
+    two in the first round, and 2^22 in the others. The wanted buckets are stored,
+    so that Spark broadcasts them by their real size, or else joins by key.
     """
     keys = list(keys)
-    base = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
-    counted = base.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    placed = segmented(counted, keys, [F.col("_v")])
-    sizes = placed.groupBy(*keys, SEG).agg(F.sum("_c").alias("_s"))
+    base = df.where(F.col(value).isNotNull()).select(*keys, (F.col(value).cast("double") + F.lit(0.0)).alias("_v"))
+    digits = ["_high", "_mid", "_low"]
+    base = base.select("*", *[d.alias(n) for d, n in zip(_digits(F.col("_v")), digits, strict=True)])
     own = Window.partitionBy(*(keys or [F.lit(0)]))
-    before = F.coalesce(F.sum("_s").over(own.orderBy(SEG).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sizes = sizes.withColumns({"_before": before, "_n": F.sum("_s").over(own)})
+    counted = base.groupBy(*keys, "_high").agg(F.count(F.lit(1)).alias("_c"))
+    counted = counted.withColumns({"_n": F.sum("_c").over(own), "_before": F.lit(0).cast("bigint")})
     ranks = [(F.col("_n") - 1) * F.lit(float(q)) for q in quantiles.values()]
 
-    def holds(first: Column, after: Column) -> Column:
-        return reduce(or_, [(r >= first) & (r < after) for pos in ranks for r in (F.floor(pos), F.ceil(pos))])
+    def wanted(counts: DataFrame, known: list[str], digit: str) -> DataFrame:
+        """Buckets that hold a wanted rank; ``_before`` rows of the key lie before each."""
+        order = Window.partitionBy(*([*keys, *known] or [F.lit(0)])).orderBy(digit).rowsBetween(Window.unboundedPreceding, 0)
+        upto = counts.withColumn("_to", F.col("_before") + F.sum("_c").over(order)).withColumn("_before", F.col("_to") - F.col("_c"))
+        holds = [(r >= F.col("_before")) & (r < F.col("_to")) for pos in ranks for r in (F.floor(pos), F.ceil(pos))]
+        return upto.where(reduce(or_, holds))
 
-    wanted = sizes.where(holds(F.col("_before"), F.col("_before") + F.col("_s"))).drop("_s")
-    inside = Window.partitionBy(*keys, SEG).orderBy(POS).rowsBetween(Window.unboundedPreceding, 0)
-    rows = null_safe_join(placed, wanted, [*keys, SEG]).withColumn("_to", F.col("_before") + F.sum("_c").over(inside))
-    rows = rows.withColumn("_from", F.col("_to") - F.col("_c")).where(holds(F.col("_from"), F.col("_to")))
+    chosen = cut_lineage(wanted(counted, [], "_high").select(*keys, "_high", "_n", "_before"))
+    inside = null_safe_join(base, chosen, [*keys, "_high"])
+    counts = inside.groupBy(*keys, "_high", "_mid", "_n", "_before").agg(F.count(F.lit(1)).alias("_c"))
+    nearer = cut_lineage(wanted(counts, ["_high"], "_mid").select(*keys, "_high", "_mid", "_n", "_before"))
+    drop_stored(chosen)
+    inside = null_safe_join(base, nearer, [*keys, "_high", "_mid"])
+    # All three digits together are one value.
+    counts = inside.groupBy(*keys, *digits, "_n", "_before").agg(F.count(F.lit(1)).alias("_c"), F.first("_v").alias("_v"))
+    rows = wanted(counts, ["_high", "_mid"], "_low")
 
     def at(rank: Column) -> Column:
-        return F.max(F.when((rank >= F.col("_from")) & (rank < F.col("_to")), F.col("_v")))
+        return F.max(F.when((rank >= F.col("_before")) & (rank < F.col("_to")), F.col("_v")))
 
     out = [
         (at(F.floor(pos)) + (at(F.ceil(pos)) - at(F.floor(pos))) * F.max(pos - F.floor(pos))).alias(name)

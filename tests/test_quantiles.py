@@ -36,3 +36,49 @@ def test_latency_of_nothing_is_zero(spark):
     df = spark.createDataFrame([("a", None)], "k string, s double")
     row = latency(df, ["k"], "s").first()
     assert (row["n"], row["avg_ms"], row["p99_ms"]) == (0, 0.0, 0.0)
+
+
+def test_doubles_of_every_kind(spark):
+    """Random bit patterns, subnormal, infinite and neighbouring values, zeros of both signs."""
+    rng = np.random.default_rng(7)
+    groups = {
+        "bits": rng.integers(-(2**63), 2**63 - 1, 3000).view(np.float64),
+        "powers": np.array([s * np.nextafter(2.0**e, d) for e in range(-1073, 1023, 37) for d in (0, np.inf) for s in (-1, 1)]),
+        "exact": np.array([s * 2.0**e for e in range(-1074, 1024) for s in (-1, 1)]),
+        "near": 1.0 + rng.integers(0, 5000, 4000) * 2.0**-52,
+        "low": -(rng.integers(0, 300, 1000) * 5e-324),
+        "zeros": np.array([0.0, -0.0, 0.0, 5e-324, -5e-324]),
+        "ends": np.array([np.inf, -np.inf, 1.7e308, -1.7e308, 1.0, np.inf]),
+    }
+    groups["bits"] = groups["bits"][~np.isnan(groups["bits"])]
+    rows = [(k, float(v)) for k, values in groups.items() for v in values]
+    exact = {"min": 0.0, "max": 1.0}
+    for k, values in groups.items():
+        # Ranks without a fraction, so that nothing is interpolated.
+        exact |= {f"{k}_{i}": i / (len(values) - 1) for i in rng.integers(0, len(values), 6).tolist()}
+    got = {r["k"]: r for r in exact_percentiles(spark.createDataFrame(rows, "k string, v double"), ["k"], "v", exact).collect()}
+    for k, values in groups.items():
+        ordered = np.sort(values)
+        for name, q in exact.items():
+            at = q * (len(values) - 1)
+            if float(at).is_integer():
+                assert got[k][name] == ordered[int(at)] or np.isnan(got[k][name]) and np.isinf(ordered[int(at)]), (k, name)
+
+
+def test_nan_is_the_greatest_and_null_keys_are_a_key(spark):
+    rows = [(None, 1.0), (None, float("nan")), (None, None), (None, 2.0), ("a", None)]
+    got = exact_percentiles(spark.createDataFrame(rows, "k string, v double"), ["k"], "v", {"p0": 0.0, "p50": 0.5, "p100": 1.0}).collect()
+    assert len(got) == 1 and got[0]["k"] is None and (got[0]["p0"], got[0]["p50"]) == (1.0, 2.0) and np.isnan(got[0]["p100"])
+
+
+def test_a_hot_key_stays_split(spark, capfd):
+    """Five million rows of one key: counts are combined before they move, and no row is sorted by value."""
+    df = spark.range(5_000_000).selectExpr("'hot' AS k", "cast((id * 7919) % 5000011 AS double) / 3 AS v")
+    out = exact_percentiles(df, ["k"], "v", QS)
+    out.explain()
+    plan = capfd.readouterr().out
+    assert "rangepartitioning" not in plan and "partial_count" in plan and "BroadcastHashJoin" in plan
+    values = (np.arange(5_000_000, dtype=np.int64) * 7919 % 5000011) / 3
+    row = out.first()
+    for name, q in QS.items():
+        assert row[name] == pytest.approx(np.percentile(values, q * 100), abs=1e-9)

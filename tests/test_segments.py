@@ -34,9 +34,46 @@ def test_row_index(rows):
     same(S.with_row_index(rows, [F.col("value").asc(), F.col("id").asc()], ["key"]).select("id", F.col("row_idx").cast("long")), want)
 
 
-def test_row_index_is_spread_over_segments(rows):
-    seg = S.segmented(rows, ["key"], [F.col("value").asc(), F.col("id").asc()])
-    assert seg.where("key = 'hot'").select(S.SEG).distinct().count() > 1
+def test_one_range_exchange_and_no_other_of_the_table(rows, capfd):
+    """A hot key spans segments; what is shuffled after them has a row or two for each."""
+    order = [F.col("value").asc(), F.col("id").asc()]
+    walked = S._walked(rows, ["key"], order, {}, True, None)
+    assert walked.where("key = 'hot'").select(S.SEG).distinct().count() > 1
+    for out in (S.with_row_index(rows, order, ["key"]), S.lag_over(rows, ["key"], order, {"p": "value"}), S.running_before(rows, ["key"], order, "value")):
+        out.explain()
+        plan = capfd.readouterr().out
+        # Only the segments' edges meet by key, and they are what is broadcast.
+        assert plan.count("BroadcastHashJoin") == 1 and "SortMergeJoin" not in plan and "rangepartitioning" not in plan
+        assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Window") == 1
+
+
+@pytest.mark.parametrize("rows_a_batch", [1, 7, 10_000])
+def test_batches_of_any_size_and_all_kinds_of_keys(spark, rows_a_batch):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows_a_batch))
+    try:
+        key = F.when(F.col("id") % 7 == 0, F.lit(float("nan"))).when(F.col("id") % 7 < 4, F.lit(None)).otherwise((F.col("id") % 3).cast("double"))
+        few = spark.range(300).select("id", key.alias("k"), (F.col("id") % 2 == 0).alias("b"), F.when(F.col("id") % 5 > 0, (F.xxhash64("id") % 50)).alias("n"), F.date_add(F.lit("2024-01-01").cast("date"), F.col("id").cast("int")).alias("d"))
+        few = few.cache()
+        w = Window.partitionBy("k", "b").orderBy(F.desc("id"))
+        order, upto = [F.col("id").desc()], w.rowsBetween(Window.unboundedPreceding, -1)
+        want = few.select("*", (F.row_number().over(w) - 1).cast("bigint").alias("row_idx"))
+        same(S.with_row_index(few, order, ["k", "b"]), want)
+        want = few.select("*", F.lag("d").over(w).alias("day"), F.lag("k").over(w).alias("prev"))
+        same(S.lag_over(few, ["k", "b"], order, {"day": "d", "prev": "k"}), want)
+        want = few.select("*", F.count("n").over(upto).alias("prev_n"), F.sum("n").over(upto).alias("prev_sum"), F.max("n").over(upto).alias("prev_max"))
+        got = S.running_before(few, ["k", "b"], order, "n")
+        assert got.dtypes == want.dtypes
+        same(got, want)
+        same(S.with_row_index(few, order), few.select("*", (F.lit(299) - F.col("id")).alias("row_idx")))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_no_rows(spark):
+    none = spark.range(0).withColumn("k", F.lit("x"))
+    order = [F.col("id").asc()]
+    assert S.with_row_index(none, order, ["k"]).collect() == S.lag_over(none, ["k"], order, {"p": "id"}).collect() == []
+    assert S.running_before(none, ["k"], order, "id").collect() == []
 
 
 def test_lag(rows):
