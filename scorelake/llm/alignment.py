@@ -8,9 +8,10 @@ of a multibyte character, byte-fallback tokens) their spans say nothing about
 the borders between them, and the decoded bytes refine the cut.
 
 Both tokenizers always cut before a single space that follows no space and
-precedes something visible. Texts are cut there into chunks, each distinct chunk
-is aligned once and remembered in a bounded memo, and a text is the chain of its
-chunks. Chunks that are new in a slice of texts are aligned together, as one text.
+precedes something visible, and between a letter and a sign where no piece of B
+holds the two. Texts are cut there into chunks, each distinct chunk is aligned
+once and remembered in a bounded memo, and a text is the chain of its chunks.
+Chunks that are new in a slice of texts are aligned together, as one text.
 
 How often two ids are linked in the corpus is counted per block of links first.
 Each block then gets the sums of its own pairs back, so no task holds the table
@@ -41,17 +42,18 @@ MEMO_CHUNKS = 150_000
 #: A pair of ids in one number: A's id above the low bits, B's id in them.
 _ID_BITS = 32
 
-_CHUNKS = re.compile("(?<![ ▁]) (?=\\S)")
+_BEFORE_WORD = "(?<![ ▁])(?= \\S)"
 _SPACES = (" ", "▁")
+#: Letters that both sides take for letters, and the signs that may follow them.
+_LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ÿ"
+_SIGNS = [chr(c) for c in (10, *range(33, 127)) if not chr(c).isalpha()]
+#: Cut off again: what keeps a chunk without a space before it away from the chunk before.
+_AFTER_LETTER, _AFTER_LINE = "\na", "\n"
 
 
-class Chunk(NamedTuple):
-    """Alignment of a piece of text that starts and ends with a cut of both."""
+class Digest(NamedTuple):
+    """What the counts need of an aligned chunk or text."""
 
-    fits: bool
-    a: np.ndarray  # rows of (id, end), ends in bytes from the chunk's start
-    b: np.ndarray
-    cuts: np.ndarray  # ends of the groups
     n_a: int
     n_b: int
     n_groups: int
@@ -59,6 +61,13 @@ class Chunk(NamedTuple):
     links: bytes  # pairs of ids as little-endian 64-bit integers
 
 
+_NOTHING = Digest(0, 0, 0, "", b"")
+
+
+def _apart(chunk: str) -> str:
+    return _AFTER_LINE if chunk[0].isalpha() else _AFTER_LETTER
+
+
 def _byte_level() -> dict[str, int]:
     """The visible character that stands for each byte in a byte-level vocabulary, by its rule."""
     plain = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
@@ -95,10 +104,16 @@ class Aligner:
         pieces = [self.b.id_to_piece(i) for i in range(n)]
         self.b_bytes = [bytes([int(p[3:-1], 16)]) if is_byte else p.replace("▁", " ").encode() for p, is_byte in zip(pieces, self.b_is_byte, strict=True)]
         self.a_sizes, self.b_sizes = (np.array([len(t) for t in table]) for table in (self.a_bytes, self.b_bytes))
-        self.a_names, self.b_names = ([str(i) for i in range(len(table))] for table in (self.a_bytes, self.b_bytes))
+        # An id as it stands in a group: before another of its side, or as its side's last.
+        self.names = [f"{i}{end}" for table, last in ((self.a_bytes, "|"), (self.b_bytes, ";")) for end in (",", last) for i in range(len(table))]
         self.cuts_at_spaces = self._cuts_at_spaces(pieces)
-        self.young: dict[str, Chunk] = {}
-        self.old: dict[str, Chunk] = {}
+        mixed = {p[i + 1] for p in pieces for i in range(len(p) - 1) if re.match(f"[{_LETTERS}]", p[i])}
+        signs = "".join(s for s in _SIGNS if s not in mixed)
+        # A line's end is cut from the next line's first letter unless other white space stands before it.
+        lines = "" if any("\n" in p for p in pieces) else f"|(?<=\\S\n)(?=[{_LETTERS}])"
+        self.before_chunk = re.compile(f"{_BEFORE_WORD}|(?<=[{_LETTERS}])(?=[{re.escape(signs)}]){lines}" if signs else _BEFORE_WORD)
+        self.young: dict[str, Digest | None] = {}
+        self.old: dict[str, Digest | None] = {}
 
     def _cuts_at_spaces(self, pieces: list[str]) -> bool:
         """Whether both sides always cut before a space: else texts are aligned whole."""
@@ -124,81 +139,89 @@ class Aligner:
         alone[:-1] = spans[1:, 0] >= spans[:-1, 1]
         a_ends = refine_ends(upto[spans[:, 1]], self.a_sizes[a_ids], alone)
         pieces = self.b.encode(text[1:], return_type="proto").pieces
-        b_ids = np.array([p.id for p in pieces], dtype=np.int64)
-        begins, ends = (np.array([getattr(p, k) for p in pieces], dtype=np.int64) for k in ("begin", "end"))
-        # Of the bytes of one character, only the last has its span. Spans start after the added space.
-        b_ends = refine_ends(ends + 1, self.b_sizes[b_ids], ~(self.b_is_byte[b_ids] & (begins == ends)))
-        return a_ids, a_ends, b_ids, b_ends
-
-    def _chunks(self, texts: list[str]) -> list[Chunk]:
-        """Alignments of ``texts``, which may stand behind each other as one text."""
+        b_ids, ends = (np.array(x, dtype=np.int64) for x in ([p.id for p in pieces], [p.end for p in pieces]))
+        # Of the bytes of one character only the last has a span, the others end where it starts.
+        inside = self.b_is_byte[b_ids] & (ends == np.concatenate([[0], ends[:-1]]))
+        # Spans start after the added space.
+        return a_ids, a_ends, b_ids, refine_ends(ends + 1, self.b_sizes[b_ids], ~inside)
+
+    def spelled(self, raw: bytes, a_ids: np.ndarray, b_ids: np.ndarray) -> bool:
+        sides = ((self.a_bytes, a_ids), (self.b_bytes, b_ids))
+        return all(b"".join(map(table.__getitem__, ids.tolist())) == raw for table, ids in sides)
+
+    def whole(self, text: str) -> tuple[np.ndarray, ...] | None:
+        """Ids and ends of A, of B, and the ends of the groups; None where a side doesn't spell the text."""
+        text = " " + text
+        a_ids, a_ends, b_ids, b_ends = self.tokens(text)
+        if not self.spelled(text.encode(), a_ids, b_ids):
+            return None
+        return a_ids, a_ends, b_ids, b_ends, np.intersect1d(a_ends, b_ends, assume_unique=True)
+
+    def _aligned(self, texts: list[str]) -> list[Digest] | None:
+        """Digests of ``texts``, which may stand behind each other as one text; None where a side doesn't spell that."""
         whole = "".join(texts)
-        raw = whole.encode()
         a_ids, a_ends, b_ids, b_ends = self.tokens(whole)
-        ok = b"".join([self.a_bytes[i] for i in a_ids.tolist()]) == raw and b"".join([self.b_bytes[i] for i in b_ids.tolist()]) == raw
-        if not ok:
-            nothing = np.zeros((0, 2), dtype=np.int64)
-            lost = Chunk(False, nothing, nothing, nothing[:, 0], 0, 0, 0, "", b"")
-            return [lost] if len(texts) == 1 else [c for t in texts for c in self._chunks([t])]
+        if not self.spelled(whole.encode(), a_ids, b_ids):
+            return None
         cuts = np.intersect1d(a_ends, b_ends, assume_unique=True)
         # Between two neighbouring borders of either side just one token of each lies over the other.
         borders = np.union1d(a_ends, b_ends)
-        pairs = (a_ids[np.searchsorted(a_ends, borders)] << _ID_BITS) | b_ids[np.searchsorted(b_ends, borders)]
-        ends = np.cumsum([len(t.encode()) for t in texts])
-        starts = np.concatenate([[0], ends[:-1]])
-        a_group, b_group = np.searchsorted(a_ends, cuts) + 1, np.searchsorted(b_ends, cuts) + 1
-        names = [
-            ",".join([self.a_names[i] for i in a]) + "|" + ",".join([self.b_names[i] for i in b])
-            for a, b in zip(_split(a_ids, a_group), _split(b_ids, b_group), strict=True)
+        raw = ((a_ids[np.searchsorted(a_ends, borders)] << _ID_BITS) | b_ids[np.searchsorted(b_ends, borders)]).astype("<i8").tobytes()
+        # Tokens in the order of group and side, each with the sign behind it.
+        a_group, b_group = np.searchsorted(cuts, a_ends), np.searchsorted(cuts, b_ends)
+        a_names = a_ids + len(self.a_bytes) * np.isin(a_ends, cuts, assume_unique=True)
+        b_names = b_ids + len(self.b_bytes) * np.isin(b_ends, cuts, assume_unique=True) + 2 * len(self.a_bytes)
+        order = np.argsort(np.concatenate([2 * a_group, 2 * b_group + 1]), kind="stable")
+        names = list(map(self.names.__getitem__, np.concatenate([a_names, b_names])[order].tolist()))
+        ends = np.cumsum([len(t) if t.isascii() else len(t.encode()) for t in texts])
+        a, b, c, l = (np.searchsorted(x, ends) + 1 for x in (a_ends, b_ends, cuts, borders))  # noqa: E741
+        counts = [np.diff(x, prepend=0).tolist() for x in (a, b, c)]
+        upto, links = (a + b).tolist(), (8 * l).tolist()
+        return [
+            Digest(n_a, n_b, n_c, "".join(names[s:e])[:-1], raw[x:y])
+            for n_a, n_b, n_c, s, e, x, y in zip(*counts, [0, *upto[:-1]], upto, [0, *links[:-1]], links, strict=True)
         ]
-        out = []
-        at = [np.concatenate([[0], np.searchsorted(x, ends) + 1]) for x in (a_ends, b_ends, cuts, borders)]
-        for i, start in enumerate(starts.tolist()):
-            (a0, a1), (b0, b1), (c0, c1), (l0, l1) = ((int(x[i]), int(x[i + 1])) for x in at)
-            a = np.column_stack([a_ids[a0:a1], a_ends[a0:a1] - start])
-            b = np.column_stack([b_ids[b0:b1], b_ends[b0:b1] - start])
-            out.append(Chunk(True, a, b, cuts[c0:c1] - start, a1 - a0, b1 - b0, c1 - c0, ";".join(names[c0:c1]), pairs[l0:l1].astype("<i8").tobytes()))
-        return out
 
-    def align(self, texts: list[str]) -> list[list[Chunk]]:
-        """The chunks of each text; none for an empty one."""
-        cut = [self._cut(t) for t in texts]
-        known: dict[str, Chunk] = {}
-        for chunk in dict.fromkeys(c for chunks in cut for c in chunks):
-            found = self.young.get(chunk) or self.old.get(chunk)
-            if found is not None:
-                known[chunk] = found
-                self._remember(chunk, found)
-        new = [c for c in dict.fromkeys(c for chunks in cut for c in chunks) if c not in known]
+    def _alone(self, chunk: str) -> Digest | None:
+        found = self._aligned([chunk] if chunk[0] == " " else [" a", _apart(chunk), chunk])
+        return found[-1] if found else None
+
+    def digests(self, texts: list[str]) -> list[Digest]:
+        """One digest for each text: nothing for an empty one, and for one that a side doesn't spell."""
+        if len(self.young) >= MEMO_CHUNKS:
+            self.old, self.young = self.young, {}
+        known, cut = self.young, [self._cut(t) for t in texts]
+        new = list(set().union(*cut).difference(known))
+        known.update((c, self.old[c]) for c in new if c in self.old)
+        new = [c for c in new if c not in known]
         # A chunk that ends in spaces would run into the next one; whole texts stay by themselves too.
-        together = [c for c in new if self.cuts_at_spaces and not c.endswith(_SPACES)]
-        known |= zip(together, self._chunks(together), strict=True) if together else ()
-        known |= {c: self._chunks([c])[0] for c in new if c not in known}
+        apart = [c for c in new if self.cuts_at_spaces and not c.endswith(_SPACES) and "▁" not in c]
+        together = [c for c in apart if c[0] == " "]
+        if len(together) < len(apart):
+            together = together or [" a"]
+            together += [x for c in apart if c[0] != " " for x in (_apart(c), c)]
+        known.update(zip(together, self._aligned(together) or [], strict=False))
+        known.update((c, self._alone(c)) for c in new if c not in known)
+        out = [self._chained([known[c] for c in chunks]) for chunks in cut]
         for chunk in new:
-            self._remember(chunk, known[chunk])
-        return [[known[c] for c in chunks] for chunks in cut]
+            if len(chunk) > MEMO_KEY_CHARS:
+                del known[chunk]
+        return out
+
+    @staticmethod
+    def _chained(chunks: list[Digest | None]) -> Digest:
+        if not chunks or None in chunks:
+            return _NOTHING
+        n_a, n_b, n_groups, groups, links = zip(*chunks, strict=True)
+        return Digest(sum(n_a), sum(n_b), sum(n_groups), ";".join(groups), b"".join(links))
 
     def _cut(self, text: str) -> list[str]:
         if not text:
             return []
-        text = " " + text
         if not self.cuts_at_spaces:
-            return [text]
-        at = [m.start() for m in _CHUNKS.finditer(text)]
-        at = at if at and at[0] == 0 else [0, *at]
-        return [text[s:e] for s, e in zip(at, [*at[1:], len(text)], strict=True)]
-
-    def _remember(self, chunk: str, found: Chunk) -> None:
-        if len(chunk) > MEMO_KEY_CHARS or chunk in self.young:
-            return
-        if len(self.young) >= MEMO_CHUNKS:
-            self.old, self.young = self.young, {}
-        self.young[chunk] = found
-
-
-def _split(ids: np.ndarray, ends: np.ndarray) -> list[list[int]]:
-    values, cuts = ids.tolist(), [0, *ends.tolist()]
-    return [values[s:e] for s, e in zip(cuts[:-1], cuts[1:], strict=True)]
+            return [" " + text]
+        found = self.before_chunk.split(" " + text)
+        return found if found[0] else found[1:]
 
 
 _ALIGNERS: dict[tuple[str, str], Aligner] = {}
@@ -226,16 +249,15 @@ def align_documents(docs: DataFrame, a_path: str, b_path: str, text_col: str = "
     packed = docs.select(F.struct("*").alias("doc"), text_or_empty(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = aligner(a_path, b_path)
+        own, none = aligner(a_path, b_path), (np.zeros(0, dtype=np.int64),) * 5
         for batch in batches:
             for few in slices(batch, 16):
-                rows = own.align(few.column(1).to_pylist())
-                fits = [all(c.fits for c in chunks) for chunks in rows]
-                arrays = [few.column(0), pa.array(fits)]
-                for side in ("a", "b"):
-                    arrays.append(pa.array([_spans(chunks, side) if ok else [] for ok, chunks in zip(fits, rows, strict=True)], _SPANS))
-                cuts = [np.concatenate([np.zeros(0, np.int64), *_shifted([c.cuts for c in x], x)]) if ok else [] for ok, x in zip(fits, rows, strict=True)]
-                yield pa.RecordBatch.from_arrays([*arrays, pa.array(cuts, pa.list_(pa.int64()))], names=["doc", "fits", "a", "b", "cuts"])
+                found = [own.whole(t) if t else none for t in few.column(1).to_pylist()]
+                rows = [x or none for x in found]
+                arrays = [few.column(0), pa.array([x is not None for x in found])]
+                arrays += [pa.array([_spans(*x[i : i + 2]) for x in rows], _SPANS) for i in (0, 2)]
+                cuts = pa.array([x[4] for x in rows], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([*arrays, cuts], names=["doc", "fits", "a", "b", "cuts"])
 
     schema = extend(packed.select("doc").schema, f"fits boolean, a {_TOKENS}, b {_TOKENS}, cuts array<bigint>")
     return packed.mapInArrow(run, schema)
@@ -244,15 +266,9 @@ def align_documents(docs: DataFrame, a_path: str, b_path: str, text_col: str = "
 _SPANS = pa.list_(pa.struct([("id", pa.int32()), ("start", pa.int64()), ("end", pa.int64())]))
 
 
-def _shifted(ends: list[np.ndarray], chunks: list[Chunk]) -> list[np.ndarray]:
-    lengths = [int(c.cuts[-1]) for c in chunks]
-    return [e + s for e, s in zip(ends, np.concatenate([[0], np.cumsum(lengths)]), strict=False)]
-
-
-def _spans(chunks: list[Chunk], side: str) -> list[dict]:
-    ids = [i for c in chunks for i in getattr(c, side)[:, 0].tolist()]
-    ends = [e for x in _shifted([getattr(c, side)[:, 1] for c in chunks], chunks) for e in x.tolist()]
-    return [{"id": i, "start": s, "end": e} for i, s, e in zip(ids, [0, *ends[:-1]], ends, strict=False)]
+def _spans(ids: np.ndarray, ends: np.ndarray) -> list[dict]:
+    ends = ends.tolist()
+    return [{"id": i, "start": s, "end": e} for i, s, e in zip(ids.tolist(), [0, *ends[:-1]], ends, strict=False)]
 
 
 _STORED = "kind int, block bigint, id {id}, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string, links binary, times binary"
@@ -292,13 +308,10 @@ def _blocks(a_path: str, b_path: str):
         for batch in batches:
             id_type = batch.schema.field(0).type
             for few in slices(batch, 32):
-                for doc, chunks in zip(few.column(0).to_pylist(), own.align(few.column(1).to_pylist()), strict=True):
-                    if not all(c.fits for c in chunks):
-                        chunks = []
-                    sha = hashlib.sha256(";".join([c.groups for c in chunks]).encode()).hexdigest() if chunks else ""
-                    raw = b"".join([c.links for c in chunks])
-                    held.append((doc, sum(c.n_a for c in chunks), sum(c.n_b for c in chunks), sum(c.n_groups for c in chunks), sha, raw))
-                    size += len(raw) // 8
+                for doc, found in zip(few.column(0).to_pylist(), own.digests(few.column(1).to_pylist()), strict=True):
+                    sha = hashlib.sha256(found.groups.encode()).hexdigest() if found.n_groups else ""
+                    held.append((doc, found.n_a, found.n_b, found.n_groups, sha, found.links))
+                    size += len(found.links) // 8
                     if size >= BLOCK_LINKS:
                         yield from flush()
         if held:

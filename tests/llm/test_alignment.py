@@ -91,13 +91,21 @@ def own():
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet=st.one_of(st.characters(exclude_categories=["Cs"]), st.sampled_from("  \n\tab.'1é日①▁\x1c"))))
 def test_chunks_equal_whole_texts(libraries, own, text):
-    (n_a, n_b, groups, links, sha), chunks = direct(libraries, [text])[0], own.align([text])[0]
-    if not all(c.fits for c in chunks):
-        chunks = []
-    assert (n_a, n_b, groups) == (sum(c.n_a for c in chunks), sum(c.n_b for c in chunks), sum(c.n_groups for c in chunks))
-    pairs = np.frombuffer(b"".join(c.links for c in chunks), dtype="<i8")
+    (n_a, n_b, groups, links, sha), found = direct(libraries, [text])[0], own.digests([text])[0]
+    assert (n_a, n_b, groups) == found[:3]
+    pairs = np.frombuffer(found.links, dtype="<i8")
     assert sorted(links) == sorted((int(p) >> 32, int(p) & 0xFFFFFFFF) for p in pairs)
-    assert sha == (hashlib.sha256(";".join(c.groups for c in chunks).encode()).hexdigest() if chunks else "")
+    assert sha == (hashlib.sha256(found.groups.encode()).hexdigest() if found.n_groups else "")
+
+
+def test_the_memo_is_bounded(libraries, monkeypatch):
+    monkeypatch.setattr(alignment, "MEMO_CHUNKS", 50)
+    small = alignment.Aligner(A, B)
+    for i in range(30):
+        texts = [prose(i, 40), "x" * 500 + str(i), prose(i % 3, 40)]
+        for text, found in zip(texts, small.digests(texts), strict=True):
+            assert found[:3] == direct(libraries, [text])[0][:3]
+    assert len(small.old) < 50 + 120 and len(small.young) < 50 + 120 and not any(len(c) > 64 for c in small.young)
 
 
 @pytest.mark.parametrize("links", [alignment.BLOCK_LINKS, 40])
@@ -134,5 +142,5 @@ def test_other_ids_and_aligned_whole_without_safe_cuts(spark, libraries, own, mo
     monkeypatch.setattr(own, "cuts_at_spaces", False)
     for _, text, _ in [*awkward_rows(), *MORE]:
         n_a, n_b, groups, links, _ = direct(libraries, [text])[0]
-        chunks = [c for c in own.align([text or ""])[0] if c.fits]
-        assert (n_a, n_b, groups, 8 * len(links)) == (sum(c.n_a for c in chunks), sum(c.n_b for c in chunks), sum(c.n_groups for c in chunks), sum(len(c.links) for c in chunks))
+        found = own.digests([text or ""])[0]
+        assert (n_a, n_b, groups, 8 * len(links)) == (*found[:3], len(found.links))
