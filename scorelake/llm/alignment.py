@@ -200,7 +200,7 @@ class Aligner:
         if len(together) < len(apart):
             together = together or [" a"]
             together += [x for c in apart if c[0] != " " for x in (_apart(c), c)]
-        known.update(zip(together, self._aligned(together) or [], strict=False))
+        known.update(zip(together, together and self._aligned(together) or [], strict=False))
         known.update((c, self._alone(c)) for c in new if c not in known)
         out = [self._chained([known[c] for c in chunks]) for chunks in cut]
         for chunk in new:
