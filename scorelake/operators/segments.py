@@ -60,8 +60,9 @@ def _rows(batch: pa.RecordBatch, names: list[str], at: int, n: int) -> dict[str,
 class _Walk:
     """Local results of one segment, in order, with the state of the key that is open."""
 
-    def __init__(self, keys: list[str], lags: dict[str, str], count: bool, total: str | None) -> None:
-        self.keys, self.lags, self.count, self.total = keys, lags, count, total
+    def __init__(self, keys: list[str], lags: dict[str, str], count: bool, total: str | None, xors: list[str]) -> None:
+        self.keys, self.lags, self.count, self.total, self.xors = keys, lags, count, total, xors
+        self.folded = [np.int64(0)] * len(xors)
         self.previous: dict[str, pa.Array] | None = None
         self.n, self.leading = 0, True
         self.parts: tuple[int, float | int, float | int | None] = (0, 0, None)
@@ -86,6 +87,13 @@ class _Walk:
             out.append(pa.array(place))
         if self.total:
             out += self._running(batch.column(self.total), np.cumsum(new))
+        for i, c in enumerate(self.xors):
+            upto = np.concatenate([[self.folded[i]], batch.column(c).to_numpy()])
+            upto = np.bitwise_xor.accumulate(upto.astype(np.int64))
+            # What was folded before the key's first row folds away again.
+            base = np.where(opened >= 0, upto[np.maximum(opened, 0)], 0)
+            out.append(pa.array(upto[:-1] ^ base))
+            self.folded[i] = upto[-1] ^ base[-1]
         self.n, self.leading = int(place[-1]) + 1, bool(lead[-1])
         self.previous = _rows(batch, wanted, batch.num_rows - 1, 1)
         return lead, out
@@ -112,20 +120,25 @@ class _Walk:
         return [pa.array(upto[0]), pa.array(upto[1], kind, mask=none), pa.array(upto[2], kind, mask=none)]
 
 
-def _walked(df: DataFrame, keys: list[str], order: list[Column], lags: dict[str, str], count: bool, total: str | None) -> DataFrame:
+def _walked(
+    df: DataFrame, keys: list[str], order: list[Column], lags: dict[str, str], count: bool, total: str | None, xors: list[str] | None = None, keep: list[str] | None = None
+) -> DataFrame:
     """The stored segments with ``_seg``, ``_lead``, ``_edge`` and local columns ``_here_...``."""
-    by = [*[F.col(k) for k in keys], *order]
+    by, xors = [*[F.col(k) for k in keys], *order], xors or []
     ranged = df.repartitionByRange(*by).sortWithinPartitions(*by)
+    if keep is not None:
+        ranged = df = ranged.select(*keep)
     fields = [StructField(SEG, IntegerType()), StructField(LEAD, BooleanType()), StructField(EDGE, IntegerType())]
     fields += [StructField(f"_here_{n}", df.schema[c].dataType) for n, c in lags.items()]
     fields += [StructField("_here_n", LongType())] if count else []
     if total:
         value = StructType.fromDDL("x bigint" if df.schema[total].dataType.typeName() in ("byte", "short", "integer", "long") else "x double")["x"].dataType
         fields += [StructField("_here_count", LongType()), StructField("_here_sum", value), StructField("_here_max", value)]
+    fields += [StructField(f"_here_{c}", LongType()) for c in xors]
     schema = StructType([*df.schema.fields, *fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        walk, segment, pending = _Walk(keys, lags, count, total), TaskContext.get().partitionId(), None
+        walk, segment, pending = _Walk(keys, lags, count, total, xors), TaskContext.get().partitionId(), None
         names = schema.names
 
         def made(batch, edge, lead, local) -> pa.RecordBatch:
@@ -167,15 +180,24 @@ def _carried(walked: DataFrame, keys: list[str], tail: dict[str, Column], combin
     return out.withColumns({n: F.when(F.col(LEAD), F.col(n)) for n in combine})
 
 
-def with_row_index(df: DataFrame, order: list[Column], keys: list[str] | None = None, name: str = "row_idx") -> DataFrame:
+def _of(walked: DataFrame, out: DataFrame) -> DataFrame:
+    """A result that :func:`..session.drop_stored` frees together with its segments."""
+    out._stored_path = walked._stored_path
+    return out
+
+
+def with_row_index(
+    df: DataFrame, order: list[Column], keys: list[str] | None = None, name: str = "row_idx", keep: list[str] | None = None
+) -> DataFrame:
     """Dense 0-based index in ``order``, per key where keys are given.
 
-    ``order`` must be total; add tie-breakers.
+    ``order`` must be total; add tie-breakers. With ``keep``, only these columns
+    (the keys among them) are written and returned; others serve the order.
     """
     keys = keys or []
-    walked = _walked(df, keys, order, {}, True, None)
+    walked = _walked(df, keys, order, {}, True, None, keep=keep)
     out = _carried(walked, keys, {"_carry": F.col("_here_n") + 1}, {"_carry": F.sum("_carry")})
-    return out.select(*df.columns, (F.col("_here_n") + F.coalesce("_carry", F.lit(0))).alias(name))
+    return _of(walked, out.select(*(df.columns if keep is None else keep), (F.col("_here_n") + F.coalesce("_carry", F.lit(0))).alias(name)))
 
 
 def lag_over(df: DataFrame, keys: list[str], order: list[Column], cols: dict[str, str]) -> DataFrame:
@@ -186,7 +208,7 @@ def lag_over(df: DataFrame, keys: list[str], order: list[Column], cols: dict[str
     # Only the first row of the segment looks back over its border.
     first = F.col("_here_n") == 0
     here = {n: F.when(first, F.col("_carry")[n]).otherwise(F.col(f"_here_{n}")) for n in cols}
-    return out.select(*df.columns, *[v.alias(n) for n, v in here.items()])
+    return _of(walked, out.select(*df.columns, *[v.alias(n) for n, v in here.items()]))
 
 
 def running_before(df: DataFrame, keys: list[str], order: list[Column], col: str) -> DataFrame:
@@ -201,12 +223,21 @@ def running_before(df: DataFrame, keys: list[str], order: list[Column], col: str
     tail = {"_cn": F.col("_here_count") + own.isNotNull().cast("bigint"), "_cs": added, "_cm": F.greatest("_here_max", own)}
     out = _carried(walked, keys, tail, {"_cn": F.sum("_cn"), "_cs": F.sum("_cs"), "_cm": F.max("_cm")})
     total = F.when(F.col("_here_sum").isNull(), F.col("_cs")).otherwise(F.col("_here_sum") + F.coalesce("_cs", F.lit(0)))
-    return out.select(
+    return _of(walked, out.select(
         *df.columns,
         (F.col("_here_count") + F.coalesce("_cn", F.lit(0))).alias("prev_n"),
         total.alias("prev_sum"),
         F.greatest("_here_max", "_cm").alias("prev_max"),
-    )
+    ))
+
+
+def running_xor_before(df: DataFrame, keys: list[str], order: list[Column], cols: list[str]) -> DataFrame:
+    """Exclusive or of long, non-null ``cols`` over the rows before each row of its key, as ``prev_<col>``; 0 on the first row."""
+    walked = _walked(df, keys, order, {}, False, None, xors=cols)
+    tail = {f"_c_{c}": F.col(f"_here_{c}").bitwiseXOR(F.col(c)) for c in cols}
+    out = _carried(walked, keys, tail, {n: F.bit_xor(n) for n in tail})
+    before = [F.col(f"_here_{c}").bitwiseXOR(F.coalesce(f"_c_{c}", F.lit(0))).alias(f"prev_{c}") for c in cols]
+    return _of(walked, out.select(*df.columns, *before))
 
 
 def rank_values(df: DataFrame, keys: list[str], value: str, descending: bool = True) -> DataFrame:

@@ -69,6 +69,24 @@ def test_batches_of_any_size_and_all_kinds_of_keys(spark, rows_a_batch):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+@pytest.mark.parametrize("rows_a_batch", [3, 10_000])
+def test_running_xor(spark, rows, rows_a_batch):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows_a_batch))
+    try:
+        some = rows.select("id", "key", F.xxhash64("id").alias("x"), (F.col("id") * 3).alias("y"))
+        w = Window.partitionBy("key").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
+        want = some.select("*", *[F.coalesce(F.bit_xor(c).over(w), F.lit(0)).alias(f"prev_{c}") for c in ("x", "y")])
+        same(S.running_xor_before(some, ["key"], [F.col("id").asc()], ["x", "y"]), want)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_index_keeps_the_columns_asked_for(rows):
+    got = S.with_row_index(rows, [F.col("value").asc(), F.col("id").asc()], ["key"], keep=["key", "id"])
+    assert got.columns == ["key", "id", "row_idx"]
+    same(got, S.with_row_index(rows, [F.col("value").asc(), F.col("id").asc()], ["key"]).select(*got.columns))
+
+
 def test_no_rows(spark):
     none = spark.range(0).withColumn("k", F.lit("x"))
     order = [F.col("id").asc()]
