@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..plans.catalog import Catalog
 from ..session import scratch_path
-from . import alignment, bpe, dac, langid, linedup, multiindex, packing, pages, pii, simhash, spotsigs, topk
+from . import alignment, bpe, dac, langid, linedup, multiindex, packing, pages, pii, simhash, spotsigs, topk, trie
 from .common import table
 
 catalog = Catalog()
@@ -112,6 +112,46 @@ def op5(spark, sf_dir):
     return spotsigs.compare_with_edited(table(spark, sf_dir, "documents"))
 
 
+# The checksum takes each digit's code, then eight shifts.
+_PREFIX_TRIE_SQL = """
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+c AS (
+  SELECT DISTINCT conv_id, conv_id - conv_id % 5 AS base, xor(4294967295, list_reduce(
+    list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(conv_id::VARCHAR, ''), lambda x: [ascii(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384::BIGINT) ELSE a >> 1 END)) % 9 AS h
+  FROM t),
+heads AS (SELECT c.conv_id, t.pos, t.role, t.text FROM c JOIN t ON t.conv_id = c.base AND t.pos <= c.h),
+taken AS (SELECT conv_id, count(*) AS n FROM heads GROUP BY conv_id),
+rebuilt AS (
+  SELECT * FROM heads UNION ALL
+  SELECT t.conv_id, t.pos - c.h + coalesce(k.n, 0), t.role, t.text FROM t JOIN c ON c.conv_id = t.conv_id AND t.pos > c.h LEFT JOIN taken k ON k.conv_id = t.conv_id),
+paths AS (SELECT conv_id, list(md5(length(role) || ':' || role || text) ORDER BY pos) AS p, list(strlen(text) ORDER BY pos) AS sizes FROM rebuilt GROUP BY conv_id),
+whole AS (SELECT c.conv_id, coalesce(p, []) AS p, sizes FROM c LEFT JOIN paths ON paths.conv_id = c.conv_id),
+members AS (SELECT conv_id, d, array_to_string(p[1:d], ',') AS node, CASE WHEN d > 0 THEN sizes[d] ELSE 0 END AS bytes, len(p) = d AS stops FROM (SELECT *, unnest(range(len(p) + 1)) AS d FROM whole)),
+nodes AS (
+  SELECT d, node, min(conv_id) AS conv_id, count(*) AS n, (count(*) - 1) * max(bytes) AS saved,
+         string_agg(CASE WHEN stops THEN conv_id::VARCHAR END, ',' ORDER BY conv_id) AS ends FROM members GROUP BY d, node),
+up AS (SELECT n.d, n.node, p.node AS parent FROM nodes n JOIN members p ON p.conv_id = n.conv_id AND p.d = n.d - 1),
+fan AS (SELECT d - 1 AS d, parent AS node, count(*) AS children FROM up GROUP BY ALL),
+below AS (
+  SELECT a.d, a.node, sum(w.saved) AS saved, count(*) FILTER (f.children IS NULL) AS leaves
+  FROM nodes w JOIN members a ON a.conv_id = w.conv_id AND a.d <= w.d LEFT JOIN fan f ON f.d = w.d AND f.node = w.node GROUP BY a.d, a.node)
+SELECT n.conv_id, n.d::BIGINT AS depth, p.conv_id AS parent_conv_id, n.n AS n_convs, coalesce(f.children, 0)::BIGINT AS n_children,
+       b.leaves AS n_leaves, b.saved::BIGINT AS saved_tokens, sha256(coalesce(n.ends, '')) AS ends_sha256
+FROM nodes n JOIN below b ON b.d = n.d AND b.node = n.node LEFT JOIN fan f ON f.d = n.d AND f.node = n.node
+LEFT JOIN up u ON u.d = n.d AND u.node = n.node LEFT JOIN nodes p ON p.d = u.d - 1 AND p.node = u.parent
+"""
+
+
+@catalog.query("op12_vertical_bitmaps", _PREFIX_TRIE_SQL)
+def op12(spark, sf_dir):
+    turns = trie.turn_table(table(spark, sf_dir, "conversations"))
+    return trie.prefix_trie(trie.with_shared_heads(turns, every=5, heads=9), turns)
+
+
 @catalog.query("op13_token_spans")
 def op13(spark, sf_dir):
     return alignment.link_statistics(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
@@ -119,8 +159,8 @@ def op13(spark, sf_dir):
 
 _TOP_PRODUCTS_SQL = """
 WITH v AS (
-  SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS e FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+  SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 scored AS (
   SELECT q.n, q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
   FROM v q JOIN v c ON c.n <> q.n WHERE q.vec_id % 50 = 0),
