@@ -2,21 +2,17 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
+from collections.abc import Iterator
 
-from ..session import cut_lineage
-from .segments import null_safe_join
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 # The four orderings a plan can use.
 STRATEGIES = ("priority", "largest_first", "greedy", "balanced")
 
-# Candidates a node looks at per round. It bounds one group's rows, not the
-# result: rounds go on until no remaining model fits anywhere. Up to 1000, Spark
-# keeps only that many rows per node and task before the shuffle.
-WINDOW = 1000
-
 
 def _turn(strategy: str, size: str, priority: str | None, tie: str) -> Column:
     """A value that sorts the models of a node in the order they get their turn."""
@@ -31,18 +27,32 @@ def _turn(strategy: str, size: str, priority: str | None, tie: str) -> Column:
     return F.struct((-F.col(size)).alias("rank"), F.col(tie))
 
 
-def _first_fit(free: list[float], sizes, emptiest_first: bool) -> list[int]:
-    """Device per model in order, -1 where none fits; ``free`` is updated."""
-    chosen = []
-    for need in sizes:
-        devices = range(len(free))
-        if emptiest_first and len(free) > 1:
-            devices = sorted(devices, key=lambda d: -free[d])
-        spot = next((d for d in devices if free[d] >= need), -1)
-        if spot >= 0:
-            free[spot] -= need
-        chosen.append(spot)
-    return chosen
+class FreeSpace:
+    """Free memory of a node's devices: a tree in which each inner place holds the more of its two below."""
+
+    def __init__(self, budgets: list[float]) -> None:
+        self.width = 1
+        while self.width < len(budgets):
+            self.width *= 2
+        none = float("-inf")
+        self.most = [none] * self.width + [float(b) for b in budgets] + [none] * (self.width - len(budgets))
+        for i in range(self.width - 1, 0, -1):
+            self.most[i] = max(self.most[2 * i], self.most[2 * i + 1])
+
+    def take(self, need: float, emptiest: bool) -> int:
+        """The first device with room for ``need`` (or the emptiest, the first of them), -1 where none has; its space shrinks."""
+        most = self.most
+        if not most[1] >= need:
+            return -1
+        wanted, at = (most[1] if emptiest else need), 1
+        while at < self.width:
+            at = 2 * at if most[2 * at] >= wanted else 2 * at + 1
+        most[at] -= need
+        found = at - self.width
+        while at > 1:
+            at //= 2
+            most[at] = max(most[2 * at], most[2 * at + 1])
+        return found
 
 
 def plan_placement(
@@ -57,48 +67,44 @@ def plan_placement(
     """Add ``device``: ``cuda:<k>``, or ``cpu`` where no device has room.
 
     A model is placed on the first device with room (for ``balanced`` with
-    several devices: the emptiest). What is free only shrinks, so a model larger
-    than the largest free space can be set aside for good. Each round therefore
-    takes, per node, just the next few models that could still fit, and repeats
-    until none can. No node's models are ever gathered whole.
+    several devices: the emptiest, the first of equally empty ones). A model
+    without a size fits nowhere. The choice for a model needs all choices before
+    it, so a node's models pass one task in the order of their turns, as a sorted
+    stream: what is held is the node's free space, a tree over its devices, and
+    one batch of rows. Each row crosses the network once and gets its device on
+    the way; nodes run side by side.
     """
-    items = models.select(node, model, size, _turn(strategy, size, priority, model).alias("_turn"))
-    start = F.array(*[F.lit(float(b)) for b in budgets]).cast("array<double>")
-    emptiest = strategy == "balanced"
-
-    def simulate(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_rn")
-        free = list(pdf["_free"].iloc[0])
-        pdf["_dev"] = _first_fit(free, pdf[size].tolist(), emptiest)
-        pdf["_free"] = [free] * len(pdf)
-        return pdf[[node, model, "_rn", "_dev", "_free"]]
-
-    kinds = dict(items.dtypes)
-    schema = f"{node} {kinds[node]}, {model} {kinds[model]}, _rn int, _dev int, _free array<double>"
-    pending = items.withColumn("_free", start)
-    placed = None
-    while True:
-        pending = pending.where(F.col(size) <= F.array_max("_free"))
-        numbered = pending.withColumn("_rn", F.row_number().over(Window.partitionBy(node).orderBy("_turn")))
-        window = numbered.where(F.col("_rn") <= WINDOW)
-        done = cut_lineage(window.select(node, model, size, "_rn", "_free").groupBy(node).applyInPandas(simulate, schema))
-        if done.isEmpty():
-            break
-        won = done.where(F.col("_dev") >= 0).select(node, model, "_dev")
-        placed = won if placed is None else placed.unionByName(won)
-        # Every looked-at model is settled. Later turns meet the node's new free
-        # space; a node that looked at fewer than a window has no later turns.
-        state = done.groupBy(node).agg(
-            F.first("_free").alias("_free"), F.max_by(model, "_rn").alias(model), F.max("_rn").alias("_seen")
-        )
-        state = null_safe_join(state.where(F.col("_seen") == WINDOW), items.select(node, model, F.col("_turn").alias("_last")), [node, model])
-        state = state.select(node, "_free", "_last")
-        rest = null_safe_join(pending.drop("_free"), state, [node]).where(F.col("_turn") > F.col("_last"))
-        pending = cut_lineage(rest.drop("_last"))
-    if placed is None:
-        return models.withColumn("device", F.lit("cpu"))
-    spot = F.concat(F.lit("cuda:"), F.col("_dev").cast("string"))
-    return null_safe_join(models, placed, [node, model], "left").withColumn("device", F.coalesce(spot, F.lit("cpu"))).drop("_dev")
+    emptiest, turn = strategy == "balanced", _turn(strategy, size, priority, model)
+    names = models.columns
+    work = models.select("*", F.col(node).alias("_node"), F.col(size).cast("double").alias("_need"), turn.alias("_turn"))
+    line = work.repartition("_node").sortWithinPartitions("_node", "_turn").drop("_turn")
+    labels = [f"cuda:{i}" for i in range(len(budgets))] + ["cpu"]
+    at_node, at_need = len(names), len(names) + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free, last = FreeSpace(budgets), None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            nodes, needs = batch.column(at_node), batch.column(at_need).to_numpy(zero_copy_only=False)
+            runs = nodes.dictionary_encode().indices.to_pylist()
+            chosen, before = np.full(batch.num_rows, -1), None
+            for i, (now, need) in enumerate(zip(runs, needs.tolist(), strict=True)):
+                if i == 0:
+                    # The first row of a batch may go on with the last one's node.
+                    value = nodes[0].as_py()
+                    free = free if last is not None and last[0] == value else FreeSpace(budgets)
+                elif now != before:
+                    free = FreeSpace(budgets)
+                before = now
+                if free.most[1] >= need:
+                    chosen[i] = free.take(need, emptiest)
+            last = (nodes[-1].as_py(),)
+            device = pa.array([labels[c] for c in chosen.tolist()])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], device], names=[*names, "device"])
+
+    schema = StructType([*models.schema.fields, StructField("device", StringType())])
+    return line.mapInArrow(run, schema)
 
 
 def placement_totals(placed: DataFrame, by: list[str] | None = None, size: str = "memory_mb") -> DataFrame:

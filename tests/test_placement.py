@@ -29,13 +29,14 @@ def loop(items, budgets, strategy):
 
 @pytest.mark.parametrize("strategy", P.STRATEGIES)
 @pytest.mark.parametrize("budgets", [[0.0], [60.0], [40.0, 90.0, 40.0]])
-@pytest.mark.parametrize("window", [3, 2048])
-def test_equals_loop(spark, monkeypatch, strategy, budgets, window):
-    monkeypatch.setattr(P, "WINDOW", window)
+@pytest.mark.parametrize("rows_a_batch", [1, 7, 10_000])
+def test_equals_loop(spark, strategy, budgets, rows_a_batch):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows_a_batch))
     rng = random.Random(7)
     items = [("n%d" % (0 if rng.random() < 0.4 else rng.randrange(1, 4)), k, float(rng.randrange(1, 25)), rng.choice([None, 1.0, 5.0, 9.0])) for k in range(60)]
     df = spark.createDataFrame(items, "node string, model_id bigint, memory_mb double, prio double")
     got = P.plan_placement(df, budgets, strategy, priority="prio").collect()
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert {(r["node"], r["model_id"]): r["device"] for r in got} == loop(sorted(items, key=lambda m: m[1]), budgets, strategy)
     used = {}
     for r in got:
@@ -44,6 +45,32 @@ def test_equals_loop(spark, monkeypatch, strategy, budgets, window):
     assert all(mb <= budgets[int(d.split(":")[1])] for (_, d), mb in used.items())
 
 
+@pytest.mark.parametrize("strategy", P.STRATEGIES)
+def test_a_node_of_a_hundred_thousand_models(spark, strategy):
+    """One node, many devices: the sequential loop's result, in one job."""
+    rng = random.Random(11)
+    items = [("n", k, float(rng.randrange(1, 900)), rng.choice([None, 1.0, 5.0])) for k in range(100_000)]
+    budgets = [float(rng.randrange(5_000, 60_000)) for _ in range(37)]
+    df = spark.createDataFrame(items, "node string, model_id bigint, memory_mb double, prio double").repartition(8)
+    group = f"placement-{strategy}"
+    spark.sparkContext.setJobGroup(group, group)
+    got = P.plan_placement(df, budgets, strategy, priority="prio").collect()
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup(group)
+    spark.sparkContext.setJobGroup("", "")
+    # The shuffle is a job of its own for adaptive execution.
+    assert len(jobs) <= 3
+    assert {(r["node"], r["model_id"]): r["device"] for r in got} == loop(items, budgets, strategy)
+
+
+def test_null_nodes_and_sizes_and_other_columns(spark):
+    rows = [(None, 1, 5.0, "x"), (None, 2, None, "y"), ("a", 3, 5.0, None), ("a", 3, 5.0, None), ("a", 4, 1.0, "z")]
+    df = spark.createDataFrame(rows, "node string, model_id bigint, memory_mb double, device_hint string")
+    got = P.plan_placement(df, [6.0, 4.0], "greedy")
+    assert got.columns == [*df.columns, "device"]
+    found = sorted((r["node"] or "", r["model_id"], r["device"]) for r in got.collect())
+    assert found == [("", 1, "cuda:0"), ("", 2, "cpu"), ("a", 3, "cpu"), ("a", 3, "cuda:0"), ("a", 4, "cuda:0")]
+
+
 def test_no_device(spark):
     df = spark.createDataFrame([("n", 1, 5.0)], "node string, model_id bigint, memory_mb double")
     assert P.plan_placement(df, [], "greedy").first()["device"] == "cpu"
