@@ -8,7 +8,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage, drop_stored
+from ..session import cut_lineage
 from .segments import null_safe_join
 
 # Accuracy of the approximate form: its rank error is at most n / ACCURACY.
@@ -47,47 +47,69 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str, quantiles: dic
     """Exact linear-interpolation percentiles, by radix selection for keys of any size.
 
     Histograms of three digits of the value, from the high one on, are counted on
-    the map side first. After each, only the buckets that hold a wanted rank go
-    on: one or two for each key and quantile. So the table is scanned three
-    times, but its rows are neither sorted nor stored, and what crosses the
-    network are counts: for a key at most some thousand buckets for each power of
-    two in the first round, and 2^22 in the others. The wanted buckets are stored,
-    so that Spark broadcasts them by their real size, or else joins by key.
+    the map side first. The ends of a bucket are known as well, so a wanted rank
+    is found once it falls on one, or on a bucket of one value; only buckets with
+    others go on to the next digit, and it ends when there are none. So the table
+    is scanned once, twice or three times, but its rows are neither sorted nor
+    stored, and what crosses the network are counts: for a key at most some
+    thousand buckets for each power of two in the first round, and 2^22 in the
+    others. Open buckets are stored, so that Spark broadcasts them by their real
+    size, or else joins by key.
     """
     keys = list(keys)
-    base = df.where(F.col(value).isNotNull()).select(*keys, (F.col(value).cast("double") + F.lit(0.0)).alias("_v"))
-    digits = ["_high", "_mid", "_low"]
-    base = base.select("*", *[d.alias(n) for d, n in zip(_digits(F.col("_v")), digits, strict=True)])
-    own = Window.partitionBy(*(keys or [F.lit(0)]))
-    counted = base.groupBy(*keys, "_high").agg(F.count(F.lit(1)).alias("_c"))
-    counted = counted.withColumns({"_n": F.sum("_c").over(own), "_before": F.lit(0).cast("bigint")})
-    ranks = [(F.col("_n") - 1) * F.lit(float(q)) for q in quantiles.values()]
-
-    def wanted(counts: DataFrame, known: list[str], digit: str) -> DataFrame:
-        """Buckets that hold a wanted rank; ``_before`` rows of the key lie before each."""
-        order = Window.partitionBy(*([*keys, *known] or [F.lit(0)])).orderBy(digit).rowsBetween(Window.unboundedPreceding, 0)
-        upto = counts.withColumn("_to", F.col("_before") + F.sum("_c").over(order)).withColumn("_before", F.col("_to") - F.col("_c"))
-        holds = [(r >= F.col("_before")) & (r < F.col("_to")) for pos in ranks for r in (F.floor(pos), F.ceil(pos))]
-        return upto.where(reduce(or_, holds))
-
-    chosen = cut_lineage(wanted(counted, [], "_high").select(*keys, "_high", "_n", "_before"))
-    inside = null_safe_join(base, chosen, [*keys, "_high"])
-    counts = inside.groupBy(*keys, "_high", "_mid", "_n", "_before").agg(F.count(F.lit(1)).alias("_c"))
-    nearer = cut_lineage(wanted(counts, ["_high"], "_mid").select(*keys, "_high", "_mid", "_n", "_before"))
-    drop_stored(chosen)
-    inside = null_safe_join(base, nearer, [*keys, "_high", "_mid"])
-    # All three digits together are one value.
-    counts = inside.groupBy(*keys, *digits, "_n", "_before").agg(F.count(F.lit(1)).alias("_c"), F.first("_v").alias("_v"))
-    rows = wanted(counts, ["_high", "_mid"], "_low")
-
-    def at(rank: Column) -> Column:
-        return F.max(F.when((rank >= F.col("_before")) & (rank < F.col("_to")), F.col("_v")))
-
-    out = [
-        (at(F.floor(pos)) + (at(F.ceil(pos)) - at(F.floor(pos))) * F.max(pos - F.floor(pos))).alias(name)
-        for name, pos in zip(quantiles, ranks, strict=True)
-    ]
-    return rows.groupBy(*keys).agg(*out)
+    line = df.where(F.col(value).isNotNull()).select(*keys, (F.col(value).cast("double") + F.lit(0.0)).alias("_v"))
+    digits = dict(zip(("_high", "_mid", "_low"), _digits(F.col("_v")), strict=True))
+    places = [(F.col("_n") - 1) * F.lit(float(q)) for q in quantiles.values()]
+    # The ends are ranks themselves, others lie between two.
+    whole = [q in (0.0, 1.0) for q in quantiles.values()]
+    ranks = {f"_r{i}a": F.floor(p) for i, p in enumerate(places)} | {f"_r{i}b": F.ceil(p) for i, p in enumerate(places) if not whole[i]}
+    ends = [F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")]
+    first, last = F.col("_before"), F.col("_to") - 1
+
+    def settled(counts: DataFrame, known: list[str]) -> DataFrame:
+        """Per key the values at wanted ranks, and the buckets that are still open; ``_before`` rows of the key lie before each."""
+        own = Window.partitionBy(*([*keys, *known[:-1]] or [F.lit(0)]))
+        upto = F.sum("_c").over(own.orderBy(known[-1]).rowsBetween(Window.unboundedPreceding, 0))
+        counts = counts.withColumn("_to", F.col("_before") + upto).withColumn("_before", F.col("_to") - F.col("_c"))
+        # NaN equals NaN here, and a bucket of NaN holds nothing else.
+        within = reduce(or_, [(r > first) & (r < last) for r in ranks.values()])
+        counts = counts.withColumn("_open", within & (F.col("_lo") < F.col("_hi")))
+        here = F.when(~F.col("_open"), True)
+
+        def at(rank: Column) -> Column:
+            return F.max(F.when((rank >= first) & (rank <= last) & here, F.when(rank == last, F.col("_hi")).otherwise(F.col("_lo"))))
+
+        # A rank lies in one bucket, so what describes that bucket can be gathered number by number.
+        about = [*known, "_before"]
+        opened = [F.max(F.when(F.col("_open") & (r >= first) & (r <= last), F.col(c))).alias(f"{n}{c}") for n, r in ranks.items() for c in about]
+        found = counts.groupBy(*keys, "_n").agg(*[at(r).alias(n) for n, r in ranks.items()], *opened)
+        left = F.array(*[F.struct(*[F.col(f"{n}{c}").alias(c) for c in about]) for n in ranks])
+        left = F.array_distinct(F.filter(left, lambda x: x["_before"].isNotNull()))
+        return found.select(*keys, "_n", *ranks, left.alias("_left"))
+
+    line = line.withColumn("_high", digits["_high"])
+    counts = line.groupBy(*keys, "_high").agg(*ends)
+    total = F.sum("_c").over(Window.partitionBy(*(keys or [F.lit(0)])))
+    counts = counts.withColumns({"_n": total, "_before": F.lit(0).cast("bigint")})
+    rounds, known = [cut_lineage(settled(counts, ["_high"]))], ["_high"]
+    for digit in ("_mid", "_low"):
+        left = cut_lineage(rounds[-1].select(*keys, "_n", F.inline("_left")))
+        if left.isEmpty():
+            break
+        inside = null_safe_join(line, left, [*keys, *known]).withColumn(digit, digits[digit])
+        known, line = [*known, digit], line.withColumn(digit, digits[digit])
+        counts = inside.groupBy(*keys, *known, "_n", "_before").agg(*ends)
+        rounds.append(cut_lineage(settled(counts, known)))
+    rows = rounds[0].drop("_left")
+    if len(rounds) > 1:
+        later = reduce(DataFrame.unionByName, [r.drop("_left", "_n") for r in rounds[1:]])
+        later = later.groupBy(*keys).agg(*[F.max(c).alias(f"_l{c}") for c in ranks])
+        rows = null_safe_join(rows, cut_lineage(later), keys, "left") if keys else rows.crossJoin(later)
+        rows = rows.withColumns({c: F.coalesce(c, f"_l{c}") for c in ranks})
+    low = [F.col(f"_r{i}a") for i in range(len(places))]
+    high = [F.col(f"_r{i}a" if whole[i] else f"_r{i}b") for i in range(len(places))]
+    out = [(a + (b - a) * (p - F.floor(p))).alias(n) for n, a, b, p in zip(quantiles, low, high, places, strict=True)]
+    return rows.select(*keys, *out)
 
 
 def approx_percentiles(df: DataFrame, keys: list[str], value: str, quantiles: dict[str, float], accuracy: int = ACCURACY) -> DataFrame:
