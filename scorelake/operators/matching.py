@@ -7,10 +7,16 @@ returns at most ``k`` rows per query, never all pairs. The answer is exact, and
 found the same way, at every size. A higher ``min_similarity`` lets more blocks
 be ruled out; without one, vectors of many dimensions have nothing near, and
 most blocks stay open.
+
+For galleries of any size there is :func:`match_near` beside it: multi-probe
+locality-sensitive hashing with exact similarities of what it finds. What a query
+costs is set by its tables, probes and the rows of a bucket, not by the gallery.
 """
 
 from __future__ import annotations
 
+import heapq
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import safe_ratio
 from ..session import cut_lineage
 from .scoring import _matrix
 from .segments import running_before, with_row_index
@@ -160,3 +167,110 @@ def _visit(asked, stock, k, query_id, gallery_id, col, skip_self) -> DataFrame:
 
     keys = ["cell", "block", "_part"]
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(best, f"{query_id} bigint, {gallery_id} bigint, similarity double")
+
+
+#: Hash tables, buckets that a query looks into in each, and gallery rows of a bucket on average.
+TABLES, PROBES, BUCKET_ROWS = 6, 32, 256
+#: Bits of a hash at most; a table's number stands above them in a bucket's number.
+_MAX_BITS = 40
+
+
+def _planes(width: int, tables: int, bits: int) -> np.ndarray:
+    """Random directions; the sign of a vector along each is one bit of its hash."""
+    return np.random.default_rng(17).normal(size=(width, tables * bits))
+
+
+def probe_order(margins: np.ndarray, probes: int) -> list[int]:
+    """Masks of the bits to flip, least likely borders last: in the order of the sum of squared margins.
+
+    The masks are subsets of the bits sorted by margin; a heap makes them one by
+    one, as each subset's successors shift its last bit or add the next one.
+    """
+    order, cost = np.argsort(margins, kind="stable").tolist(), np.sort(margins**2).tolist()
+    masks, heap = [0], [(cost[0], 0, 1 << order[0])]
+    while heap and len(masks) < probes:
+        total, last, mask = heapq.heappop(heap)
+        masks.append(mask)
+        if last + 1 < len(order):
+            after = 1 << order[last + 1]
+            heapq.heappush(heap, (total - cost[last] + cost[last + 1], last + 1, mask ^ (1 << order[last]) | after))
+            heapq.heappush(heap, (total + cost[last + 1], last + 1, mask | after))
+    return masks
+
+
+def _hashed(df: DataFrame, id_col: str, col: str, width: int, tables: int, bits: int, probes: int) -> DataFrame:
+    """Each row once for each bucket: its own one of every table, and for more ``probes`` also the nearest others."""
+    planes = df.sparkSession.sparkContext.broadcast(_planes(width, tables, bits))
+    weights = 1 << np.arange(bits, dtype=np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = _matrix(batch.column(1), width, "float64")
+            along = (x @ planes.value).reshape(len(x), tables, bits)
+            codes = (along > 0) @ weights + (np.arange(tables, dtype=np.int64) << _MAX_BITS)
+            if probes == 1:
+                rows, cells = np.repeat(np.arange(len(x)), tables), codes.ravel()
+            else:
+                found = [[c ^ m for m in probe_order(a, probes)] for code, near in zip(codes.tolist(), np.abs(along), strict=True) for c, a in zip(code, near, strict=True)]
+                rows = np.repeat(np.repeat(np.arange(len(x)), tables), [len(f) for f in found])
+                cells = np.array([c for f in found for c in f], dtype=np.int64)
+            at = pa.array(rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(cells, pa.int64())], [id_col, col, "cell"])
+
+    return df.mapInArrow(run, f"{id_col} bigint, {col} array<double>, cell bigint")
+
+
+def match_near(
+    queries: DataFrame,
+    gallery: DataFrame,
+    k: int = 1,
+    query_id: str = "signal_id",
+    gallery_id: str = "gallery_id",
+    col: str = "features",
+    skip_self: bool = False,
+    min_similarity: float = -1.0,
+    tables: int = TABLES,
+    probes: int = PROBES,
+    bucket_rows: int = BUCKET_ROWS,
+) -> DataFrame:
+    """Like :func:`match_embeddings`, but only the buckets nearest to a query are looked into.
+
+    The hash gets a bit more each time the gallery doubles, so a bucket keeps
+    ``bucket_rows`` rows on average and a query meets ``tables * probes`` buckets,
+    whatever the gallery's size. Similarities are exact; a neighbour can be
+    missed, the farther the likelier. Equal gallery vectors are one row for the
+    search and give their lowest ids; a bucket that is large all the same is cut
+    into blocks, which are all looked into. Vectors of another length than the
+    gallery's first match nothing.
+    """
+    more = k + bool(skip_self)
+    asked, stock = _directions(queries, query_id, col), _directions(gallery, gallery_id, col)
+    lowest = F.row_number().over(Window.partitionBy(col).orderBy(gallery_id))
+    kept = stock.withColumn("_at", lowest).where(F.col("_at") <= more)
+    # The first of equal ones stands for all; it is numbered by its own id.
+    folded = cut_lineage(kept.groupBy(col).agg(F.min(gallery_id).alias(gallery_id), F.sort_array(F.collect_list(gallery_id)).alias("_ids")))
+    many, width = folded.agg(F.count(F.lit(1)), F.max(F.size(col))).first()
+    if not many:
+        return asked.select(query_id).limit(0).selectExpr(query_id, f"CAST(NULL AS BIGINT) {gallery_id}", "CAST(NULL AS DOUBLE) similarity")
+    bits = min(_MAX_BITS, max(1, math.ceil(math.log2(max(2.0, many / bucket_rows)))))
+    own = folded.where(F.size(col) == width).select(gallery_id, col)
+    line = _hashed(own, gallery_id, col, width, tables, bits, 1)
+    per_cell = line.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("_blocks"))
+    placed = line.join(per_cell, "cell").withColumn("block", F.pmod(F.xxhash64(gallery_id), F.col("_blocks")).cast("bigint")).drop("_blocks")
+    visits = _hashed(asked.where(F.size(col) == width), query_id, col, width, tables, bits, min(probes, 1 << bits))
+    visits = visits.join(per_cell, "cell").withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_blocks") - F.lit(1).cast("bigint")))).drop("_blocks")
+    # Ids of equal rows are unfolded after the visits, so a row's own id is skipped then.
+    found = _visit(visits, placed, more, query_id, gallery_id, col, False).groupBy(query_id, gallery_id).agg(F.max("similarity").alias("similarity"))
+    found = found.where(F.col("similarity") >= min_similarity).join(folded.select(gallery_id, "_ids"), gallery_id)
+    found = found.select(query_id, F.explode("_ids").alias(gallery_id), "similarity")
+    if skip_self:
+        found = found.where(F.col(query_id) != F.col(gallery_id))
+    rank = F.row_number().over(Window.partitionBy(query_id).orderBy(F.desc("similarity"), gallery_id))
+    return found.withColumn("_rank", rank).where(F.col("_rank") <= k).select(query_id, gallery_id, "similarity")
+
+
+def match_recall(found: DataFrame, exact: DataFrame, query_id: str = "signal_id", gallery_id: str = "gallery_id") -> DataFrame:
+    """How many of the ``exact`` matches were ``found``: ``n, n_found, recall``."""
+    hits = exact.select(query_id, gallery_id).join(found.select(query_id, gallery_id, F.lit(1).alias("_hit")), [query_id, gallery_id], "left")
+    out = hits.agg(F.count(F.lit(1)).alias("n"), F.count("_hit").alias("n_found"))
+    return out.withColumn("recall", safe_ratio(F.col("n_found"), F.col("n")))

@@ -9,7 +9,7 @@ from ..functions import vectors as V
 from ..operators import nets, training
 from ..operators import scoring as SC
 from ..operators.evaluation import confusion
-from ..operators.matching import match_embeddings
+from ..operators.matching import match_embeddings, match_near, match_recall
 from ..operators.registry import Model, ModelRegistry, signal_registry
 from ..operators.runs import accuracy
 from ..session import scratch_path
@@ -352,6 +352,34 @@ def m17_similar(spark, sf_dir):
     return out.select("signal_id", "gallery_id", rnd("similarity", 8).alias("similarity"))
 
 
+# A signal as it is received again: each value scaled by up to three tenths.
+RECEIVED = f"WITH {SIGNALS}, r AS (SELECT signal_id, list_transform(features::DOUBLE[], lambda v, i: v * (1 + ((signal_id * 31 + i * 17) % 7 - 3) / 10.0)) AS f FROM signals), " \
+    "near AS (SELECT r.signal_id, g.signal_id AS gallery_id, list_cosine_similarity(f, g.features::DOUBLE[]) AS s FROM r, signals g " \
+    "QUALIFY row_number() OVER (PARTITION BY r.signal_id ORDER BY s DESC, gallery_id) <= 1)"
+
+
+def received(spark, sf_dir):
+    """Signals with changed values, and the gallery of the signals as they are."""
+    s = signals(spark, sf_dir)
+    noise = lambda v, i: v.cast("double") * (1 + ((F.col("signal_id") * 31 + (i + 1) * 17) % 7 - 3) / F.lit(10.0))
+    return s.withColumn("features", F.transform("features", noise)), s.select(F.col("signal_id").alias("gallery_id"), "features")
+
+
+@query("m17_probe_match", f"{RECEIVED} SELECT signal_id, gallery_id, {rnd_sql('s', 8)} AS similarity FROM near")
+def m17_probe(spark, sf_dir):
+    """Small buckets, so that most of the gallery is not looked at."""
+    found = match_near(*received(spark, sf_dir), bucket_rows=8)
+    return found.select("signal_id", "gallery_id", rnd("similarity", 8).alias("similarity"))
+
+
+@query("m17_probe_recall", f"{RECEIVED} SELECT count(*) AS n, count(gallery_id) AS n_found, {rnd_sql('count(gallery_id) / count(*)', 4)} AS recall FROM near")
+def m17_recall(spark, sf_dir):
+    """Recall of the probed search against the exact one, as a number."""
+    q, g = received(spark, sf_dir)
+    out = match_recall(match_near(q, g, bucket_rows=8), match_embeddings(q, g, min_similarity=0.5))
+    return out.select("n", "n_found", rnd("recall").alias("recall"))
+
+
 # -- stored blobs: bytes are decoded inside the scoring batch
 
 def count_marks(content: bytes) -> np.ndarray:

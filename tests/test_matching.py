@@ -56,3 +56,63 @@ def test_lengths_do_not_matter_and_a_floor_holds(spark, vectors):
     want = np.minimum((sims >= 0.9).sum(axis=1), 3)
     assert (got.groupby("signal_id").size().reindex(range(600), fill_value=0).to_numpy() == want).all()
     assert (got["similarity"] >= 0.9).all()
+
+
+def near_frames(spark, rng, n, noise=0.6, asked=300, width=64):
+    gallery = rng.normal(size=(n, width))
+    gallery /= np.linalg.norm(gallery, axis=1, keepdims=True)
+    # Cosines of about 0.86 with the row that was received again, where unrelated rows have 0.5 at most.
+    queries = gallery[:asked] + noise * rng.normal(size=(asked, width)) / np.sqrt(width)
+    g = spark.createDataFrame(pd.DataFrame({"gallery_id": np.arange(n), "features": list(gallery)}))
+    return spark.createDataFrame(pd.DataFrame({"signal_id": np.arange(asked), "features": list(queries)})), g, queries, gallery
+
+
+def test_recall_of_the_probed_search_holds_and_its_work_does_not_grow(spark, monkeypatch):
+    rng, met = np.random.default_rng(5), {}
+    visit = M._visit
+
+    def counted(asked, stock, *rest):
+        met[size] = asked.join(stock.groupBy("cell", "block").count(), ["cell", "block"]).agg({"count": "sum"}).first()[0] / 300
+        return visit(asked, stock, *rest)
+
+    monkeypatch.setattr(M, "_visit", counted)
+    for size in (4_000, 32_000):
+        q, g, queries, gallery = near_frames(spark, rng, size)
+        found = M.match_near(q, g, bucket_rows=64).toPandas().set_index("signal_id")
+        sims = queries @ gallery.T / np.linalg.norm(queries, axis=1)[:, None]
+        best = sims.argmax(axis=1)
+        recall = np.mean([found["gallery_id"].get(i, -1) == b for i, b in enumerate(best)])
+        assert recall >= 0.9, (size, recall)
+        hit = found.index.to_numpy()
+        assert np.allclose(found["similarity"], sims[hit, found["gallery_id"]], atol=1e-9)
+    assert met[32_000] < 1.5 * met[4_000] and met[32_000] < 0.7 * 32_000 * M.TABLES
+
+
+def test_probed_search_of_equal_rows_ties_and_empty_sides(spark, vectors):
+    rows = np.concatenate([np.repeat(vectors[:1], 5000, axis=0), vectors])
+    g = spark.createDataFrame(pd.DataFrame({"gallery_id": np.arange(len(rows)), "features": list(rows)}))
+    q = g.withColumnRenamed("gallery_id", "signal_id").where("signal_id < 40 or signal_id > 5000")
+    got = M.match_near(q, g, 3, skip_self=True, min_similarity=0.9999999, bucket_rows=10_000).toPandas()
+    for i, best in got.sort_values(["signal_id", "gallery_id"]).groupby("signal_id")["gallery_id"]:
+        same = [j for j in (*range(8), 5000) if j != i] if i < 5000 else None
+        assert same is None or best.tolist() == same[:3]
+    assert set(got["signal_id"]) >= set(range(40)) and (got["signal_id"] != got["gallery_id"]).all()
+    assert M.match_near(q, g.limit(0)).count() == M.match_near(q.limit(0), g).count() == 0
+
+
+def test_probe_order_is_by_the_sum_of_squared_margins():
+    rng = np.random.default_rng(2)
+    for bits in (1, 2, 5, 9):
+        margins = rng.random(bits)
+        cost = lambda m: sum(margins[i] ** 2 for i in range(bits) if m >> i & 1)  # noqa: B023, E731
+        masks = M.probe_order(margins, 1 << bits)
+        assert sorted(masks) == list(range(1 << bits))
+        assert np.allclose([cost(m) for m in masks], sorted(cost(m) for m in range(1 << bits)))
+        assert M.probe_order(margins, 3) == masks[:3]
+
+
+def test_recall_counts_what_was_found(spark):
+    exact = spark.createDataFrame([(1, 5), (1, 6), (2, 7), (3, 8)], "signal_id bigint, gallery_id bigint")
+    row = M.match_recall(exact.where("gallery_id <> 6"), exact).first()
+    assert (row["n"], row["n_found"], row["recall"]) == (4, 3, 0.75)
+    assert M.match_recall(exact, exact.limit(0)).first()["recall"] == 0.0
