@@ -28,9 +28,10 @@ from pyspark.sql import functions as F
 from ..functions.columns import safe_ratio
 from ..session import cut_lineage
 from .scoring import _matrix
-from .segments import running_before, with_row_index
+from .segments import with_row_index
 
-PIVOTS = 64
+# Pivots for each root of the gallery's rows: so many that cells and their blocks grow alike.
+PIVOT_SHARE = 1 / 16
 BLOCK_ROWS = 4096
 _STEP = 512  # queries multiplied at a time inside a task
 # Slack for rounding when a bound decides whether a block can be skipped.
@@ -61,8 +62,9 @@ def match_embeddings(
     go to the lowest.
     """
     asked, stock = _directions(queries, query_id, col), _directions(gallery, gallery_id, col)
-    # A bounded, repeatable choice of pivots; any choice gives the exact answer.
-    chosen = stock.orderBy(F.xxhash64(gallery_id), gallery_id).limit(PIVOTS).select(col).toArrow()
+    # A repeatable choice of pivots, the root of the rows in number; any choice gives the exact answer.
+    n_pivots = max(1, round(math.sqrt(gallery.count()) * PIVOT_SHARE))
+    chosen = stock.orderBy(F.xxhash64(gallery_id), gallery_id).limit(n_pivots).select(col).toArrow()
     if not len(chosen):
         return queries.select(query_id).limit(0).selectExpr(query_id, f"CAST(NULL AS BIGINT) {gallery_id}", "CAST(NULL AS DOUBLE) similarity")
     column = chosen.column(0).combine_chunks()
@@ -102,23 +104,17 @@ def _match_blocks(queries, gallery, pivots, k, query_id, gallery_id, col, skip_s
     # Rows of a cell by distance from its pivot, cut into blocks of bounded size.
     stock = with_row_index(stock, [F.col("gap").asc(), F.col(gallery_id).asc()], ["cell"], "_at")
     stock = cut_lineage(stock.withColumn("block", F.floor(F.col("_at") / BLOCK_ROWS)).drop("_at"))
-    shells = stock.groupBy("cell", "block").agg(F.min("gap").alias("near"), F.max("gap").alias("far"))
-    # Own column identities, so that shells and gallery can meet in one plan.
-    shells = shells.select(*[F.col(c).alias(c) for c in shells.columns])
-    asked = _nearest_pivot(queries, query_id, col, pivots, every=True)
-
-    # First visit: the block of the query's own cell that its distance falls in.
-    # Block numbers grow with the distance, so it is the highest block seen before
-    # the query when queries and gallery rows are put in one order.
-    asked = cut_lineage(asked.withColumn("_own", F.get("gap", F.col("cell"))))
-    line = stock.select("cell", F.col("gap").alias("_own"), F.lit(None).cast("long").alias(query_id), "block").unionByName(
-        asked.select("cell", "_own", query_id, F.lit(None).cast("long").alias("block"))
-    )
-    seen = running_before(line, ["cell"], [F.col("_own").asc(), F.col(query_id).asc_nulls_first()], "block")
-    seen = seen.where(F.col(query_id).isNotNull()).select(query_id, F.coalesce("prev_max", F.lit(0).cast("long")).alias("block"))
+    # One row for each block; stored, so that Spark knows its size.
+    shells = cut_lineage(stock.groupBy("cell", "block").agg(F.min("gap").alias("near"), F.max("gap").alias("far")))
+    asked = cut_lineage(_nearest_pivot(queries, query_id, col, pivots, every=True))
+
+    # First visit: the block of the query's own cell that its distance falls in, the
+    # last one that starts before it. Block numbers grow with the distance.
+    own = asked.select(query_id, "cell", F.get("gap", F.col("cell")).alias("_own")).join(shells, "cell")
+    seen = own.groupBy(query_id).agg(F.max(F.when(F.col("near") <= F.col("_own"), F.col("block")).otherwise(0)).alias("block"))
     # A cell that is nearest to a query only, not to any gallery row, has no block;
     # its queries simply start without a bound.
-    home = asked.drop("_own").join(seen, query_id)
+    home = asked.join(seen, query_id, "left").withColumn("block", F.coalesce("block", F.lit(0).cast("bigint")))
     first = cut_lineage(_visit(home.select(query_id, col, "cell", "block"), stock, k, query_id, gallery_id, col, skip_self))
     bound = first.groupBy(query_id).agg(F.count(F.lit(1)).alias("_n"), F.min("similarity").alias("_worst"))
     # Unit vectors: distance^2 = 2 - 2 * similarity. Fewer than k so far: no bound.

@@ -27,7 +27,7 @@ def brute(q, g, k, skip_self):
 @pytest.mark.parametrize("k, skip_self", [(1, True), (4, False)])
 def test_equals_brute_force(spark, monkeypatch, vectors, k, skip_self):
     monkeypatch.setattr(M, "BLOCK_ROWS", 32)
-    monkeypatch.setattr(M, "PIVOTS", 6)
+    monkeypatch.setattr(M, "PIVOT_SHARE", 1 / 4)
     q = spark.createDataFrame(pd.DataFrame({"signal_id": np.arange(600), "features": list(vectors)}))
     g = q.withColumnRenamed("signal_id", "gallery_id")
     got = M.match_embeddings(q, g, k, skip_self=skip_self).toPandas()
