@@ -122,6 +122,49 @@ def t5(spark, sf_dir):
     return out.select("executor_id", "beats", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("spell_start", "spell_end", "last_seen")])
 
 
+# -- events that arrive as files, a tenth of them one file late; the stream is stopped after three files and started again
+
+FILES, HALT, LATE = 6, 3, "event_id % 10 = 3"
+ARRIVAL = f"{HEAD}, arrived AS (SELECT *, CAST(event_id * {FILES} // (SELECT max(event_id) + 1 FROM events) AS INTEGER) + CASE WHEN {LATE} THEN 1 ELSE 0 END AS batch FROM telemetry)"
+
+
+def _marks(after: str) -> str:
+    """The watermark that a batch's rows are held against: a day behind all rows of the batches up to ``after``."""
+    return f"marks AS (SELECT b.batch, date_trunc('milliseconds', max(a.ts)) - INTERVAL '1 day' AS mark FROM (SELECT DISTINCT batch FROM arrived) b LEFT JOIN arrived a ON a.batch <= {after} GROUP BY b.batch)"
+
+
+def in_files(spark, sf_dir, make):
+    """The table that ``make`` streams from the events' files: one micro-batch for each file, and a restart in between."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    most = events.agg(F.max("event_id") + 1).scalar()
+    batch = F.floor(F.col("event_id") * FILES / most).cast("int") + F.expr(LATE).cast("int")
+    events, src, out, checkpoint = events.withColumn("batch", batch), *(scratch_path(spark, n) for n in ("files", "out", "checkpoint"))
+    for at in range(FILES + 1):
+        # One file each, written one after the other: the source takes them in the order of their times.
+        events.where(F.col("batch") == at).drop("batch").coalesce(1).write.parquet(f"{src}/batch={at}")
+        if at + 1 in (HALT, FILES + 1):
+            stream = spark.readStream.schema(events.drop("batch").schema).option("maxFilesPerTrigger", 1).parquet(f"{src}/batch=*")
+            df = make(stream.select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("executor_id"), F.col("event_type").alias("metric"), "value", "props"))
+            ST.run_available(df, out, checkpoint)
+    return spark.read.schema(df.schema).parquet(out)
+
+
+# A batch's late rows are those whose window was closed before it began: by the batches up to the one before the last, or to the last one before the restart.
+@query("t3_late_dashboard_stream", f"{ARRIVAL}, {_marks(f'CASE WHEN b.batch = {HALT} THEN {HALT - 1} ELSE b.batch - 2 END')}, "
+       "kept AS (SELECT arrived.* FROM arrived JOIN marks USING (batch) WHERE mark IS NULL OR time_bucket(INTERVAL '6 hours', ts) + INTERVAL '6 hours' > mark) "
+       + "SELECT * FROM (" + DASH.format(p="6 hours").replace("FROM telemetry", "FROM kept") + ") WHERE period_end <= (SELECT max(ts) - INTERVAL '1 day' FROM telemetry)")
+def t3_late(spark, sf_dir):
+    return _dash(in_files(spark, sf_dir, lambda src: ST.dashboard_stream(src, "6 hours", ["metric"], lateness="1 day")))
+
+
+@query("t5_missed_heartbeats", f"{ARRIVAL}, {_marks('b.batch - 1')}, kept AS (SELECT arrived.* FROM arrived JOIN marks USING (batch) WHERE mark IS NULL OR ts > mark), "
+       + SPELLS.replace("telemetry", "kept").replace("60 seconds", "12 hours") + " SELECT executor_id, spell_start, last_seen, beats, spell_end AS silent_from FROM s WHERE spell_end <= (SELECT max(ts) - INTERVAL '1 day' FROM telemetry)")
+def t5_missed(spark, sf_dir):
+    """Executors without a report for twelve hours, whoever reports next."""
+    out = in_files(spark, sf_dir, lambda src: ST.missed_heartbeats(src, 12 * 3600.0, lateness="1 day"))
+    return out.select("executor_id", "beats", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("spell_start", "last_seen", "silent_from")])
+
+
 READING = [("EventValue", "value", "None", False), ("EventProperty", "CAST(get_json_object(props, '$.k') AS DOUBLE)", "Count", True)]
 
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.registry import Model
 from ..operators.scoring import Scorer, score
@@ -53,6 +57,86 @@ def heartbeat_stream(src: DataFrame, gap: str = "60 seconds", lateness: str = "1
     return out.select(key, F.col("w.start").alias("spell_start"), F.col("w.end").alias("spell_end"), "beats", "last_seen")
 
 
+#: Timers need a state store that keeps named state; Spark ships this one.
+STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+_SPELLS = "start timestamp, last timestamp, beats bigint"
+
+
+class _Silence(StatefulProcessor):
+    """Open spells of one executor, each with a timer at the moment it counts as silent."""
+
+    def __init__(self, gap_ms: int, ts: str, names: list[str]) -> None:
+        self.gap, self.ts, self.names = pd.Timedelta(milliseconds=gap_ms), ts, names
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.spells = handle.getListState("spells", _SPELLS)
+
+    def _due(self, last: pd.Timestamp) -> int:
+        """The first full millisecond at which ``last`` is a gap ago."""
+        micros = (last + self.gap).value // 1000
+        return -(-micros // 1000)
+
+    def _known(self) -> list[list]:
+        return [[pd.Timestamp(s), pd.Timestamp(e), n] for s, e, n in self.spells.get()] if self.spells.exists() else []
+
+    def _keep(self, spells: list[list]) -> None:
+        if spells:
+            self.spells.put([(s.to_pydatetime(), e.to_pydatetime(), n) for s, e, n in spells])
+        else:
+            self.spells.clear()
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        late = pd.Timestamp(timerValues.getCurrentWatermarkInMs(), unit="ms")
+        times = [t for frame in rows for t in pd.to_datetime(frame[self.ts]) if t > late]
+        spells = sorted([*self._known(), *[[t, t, 1] for t in times]], key=lambda x: x[0])
+        merged: list[list] = []
+        for start, last, beats in spells:
+            if merged and start < merged[-1][1] + self.gap:
+                merged[-1][1], merged[-1][2] = max(merged[-1][1], last), merged[-1][2] + beats
+            else:
+                merged.append([start, last, beats])
+        for timer in self.handle.listTimers():
+            self.handle.deleteTimer(timer)
+        for _, last, _ in merged:
+            self.handle.registerTimer(self._due(last))
+        self._keep(merged)
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now, at = expiredTimerInfo.getExpiryTimeInMs(), self._known()
+        silent = [x for x in at if self._due(x[1]) <= now]
+        self._keep([x for x in at if self._due(x[1]) > now])
+        if silent:
+            rows = [(key[0], start, last, beats, last + self.gap) for start, last, beats in silent]
+            yield pd.DataFrame(rows, columns=self.names)
+
+    def close(self) -> None:
+        pass
+
+
+def missed_heartbeats(src: DataFrame, gap_s: float = 60.0, lateness: str = "10 minutes", key: str = "executor_id", ts: str = "ts") -> DataFrame:
+    """Executors that fell silent, reported by a timer: no next event of theirs is needed.
+
+    Each key keeps its open spells of reports; a timer at the last report plus
+    ``gap_s`` fires once the watermark, ``lateness`` behind the latest event of
+    any key, has passed it. Columns: the key, ``spell_start``, ``last_seen``,
+    ``beats`` and ``silent_from``. A report that joins or starts a spell within
+    the lateness counts in its place; one at or before the watermark with which
+    its batch begins is dropped. State and timers survive restarts. An executor
+    that never reported has no key, so compare with the list of known ones.
+    """
+    spark = src.sparkSession
+    # Captured by the query when it starts.
+    spark.conf.set(*STATE_STORE)
+    kind = src.schema[key].dataType.simpleString()
+    names = [key, "spell_start", "last_seen", "beats", "silent_from"]
+    schema = f"`{key}` {kind}, spell_start timestamp, last_seen timestamp, beats bigint, silent_from timestamp"
+    reports = src.select(key, ts).withWatermark(ts, lateness).groupBy(key)
+    return reports.transformWithStateInPandas(_Silence(round(gap_s * 1000), ts, names), schema, outputMode="append", timeMode="eventTime")
+
+
 def metrics_stream(src: DataFrame, spec, keep: list[str]) -> DataFrame:
     """Landed device or executor readings as metric rows."""
     from ..operators.telemetry import to_metrics
