@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, drop_stored
 from .common import extend, prepare, slices
 
 KINDS = ("email", "ip", "card", "phone")
@@ -174,33 +174,36 @@ def document_terms(text: str, spans: list[Span], entities: set[str], reach: int
 _SPANS = "array<struct<kind: string, start: bigint, end: bigint>>"
 
 
-def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``doc`` (all columns in a struct), a row id, base spans and the entities they hold; stored in the shared folder.
+#: Names of a text: a 128-bit hash, so that what was found in a text finds its rows again without a copy of them.
+TEXT = ["_t1", "_t2"]
 
-    Stored so that the row ids stay what they are when an executor is lost.
-    """
+
+def _named(docs: DataFrame, text_col: str, *columns: Column) -> DataFrame:
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    return docs.select(*columns, text.alias("_text"), *[F.xxhash64(F.lit(lane), text).alias(n) for lane, n in enumerate(TEXT)])
+
+
+def _span_rows(spans: list[list[Span]]) -> pa.Array:
+    kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
+    return pa.array([[dict(zip(("kind", "start", "end"), x, strict=True)) for x in found] for found in spans], kind)
+
+
+def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """A text's name and the entities in it, for each row whose text holds any; stored in the shared folder."""
     prepare(docs.sparkSession)
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(text_col).alias("_text"))
-    fields = extend(packed.select("doc").schema, f"row_id bigint, base {_SPANS}, entities array<struct<entity: string, n: bigint>>")
+    counted = pa.list_(pa.struct([("entity", pa.string()), ("n", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        row_id = TaskContext.get().partitionId() << 40
-        span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
-        counted = pa.list_(pa.struct([("entity", pa.string()), ("n", pa.int64())]))
         for batch in batches:
             for few in slices(batch):
-                base, entities = [], []
-                for text in few.column(1).to_pylist():
-                    found = base_spans(text) if text else []
-                    base.append([dict(zip(("kind", "start", "end"), x, strict=True)) for x in found])
-                    entities.append([{"entity": e, "n": n} for e, n in sorted(Counter(entity_of(text, x) for x in found).items())])
-                ids = pa.array(range(row_id, row_id + few.num_rows), pa.int64())
-                row_id += few.num_rows
-                yield pa.RecordBatch.from_arrays([few.column(0), ids, pa.array(base, span), pa.array(entities, counted)], names=["doc", "row_id", "base", "entities"])
+                found = [base_spans(t) for t in few.column(0).to_pylist()]
+                some = [i for i, spans in enumerate(found) if spans]
+                texts = few.column(0).take(pa.array(some, pa.int32())).to_pylist()
+                entities = [[{"entity": e, "n": n} for e, n in sorted(Counter(entity_of(t, x) for x in found[i]).items())] for i, t in zip(some, texts, strict=True)]
+                names = few.select(TEXT).take(pa.array(some, pa.int32()))
+                yield pa.RecordBatch.from_arrays([*names.columns, pa.array(entities, counted)], names=[*TEXT, "entities"])
 
-    return cut_lineage(packed.mapInArrow(run, fields))
+    return cut_lineage(_named(docs, text_col).mapInArrow(run, "_t1 bigint, _t2 bigint, entities array<struct<entity: string, n: bigint>>"))
 
 
 def document_frequencies(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -229,32 +232,35 @@ def document_frequencies(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 def disclosing_pairs(scanned: DataFrame, docs: DataFrame, text_col: str = "text", share: float = DISCLOSURE, min_contexts: int = MIN_CONTEXTS) -> DataFrame:
     """``entity, term, revealed``: pairs in enough different contexts where the term reveals at least ``share``."""
-    total = scanned.count()
-    holders = scanned.select("row_id", F.explode("entities").alias("e")).select("row_id", "e.entity", "e.n")
+    total = docs.count()
+    holders = scanned.select(*TEXT, F.explode("entities").alias("e")).select(*TEXT, "e.entity", "e.n")
     # Entities that stand in fewer places cannot have enough contexts.
     entities = holders.groupBy("entity").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("places"))
     often = cut_lineage(entities.where(F.col("places") >= min_contexts).select("entity", "docs"))
-    held = cut_lineage(holders.join(often, "entity").groupBy("row_id").agg(F.collect_set("entity").alias("wanted")))
-    texts = scanned.join(held, "row_id").select("row_id", F.col(f"doc.`{text_col}`").alias("_text"), "base", "wanted")
+    # Rows of one text are looked at once and count as often as they are.
+    rows = holders.join(often, "entity").groupBy(*TEXT, "entity").agg(F.count(F.lit(1)).alias("copies"))
+    held = cut_lineage(rows.groupBy(*TEXT).agg(F.collect_set("entity").alias("wanted"), F.max("copies").alias("copies")))
+    texts = _named(docs, text_col).join(held, TEXT).dropDuplicates(TEXT).select(*TEXT, "copies", "_text", "wanted")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for few in slices(batch, 8):
-                for row, text, base, wanted in zip(*[c.to_pylist() for c in few.columns], strict=True):
-                    rows = document_terms(text, [(x["kind"], x["start"], x["end"]) for x in base], set(wanted))
+                for *name, copies, text, wanted in zip(*[c.to_pylist() for c in few.columns], strict=True):
+                    rows = document_terms(text, base_spans(text), set(wanted))
                     for at in range(0, len(rows), 10_000):
                         entity, term, context = zip(*rows[at : at + 10_000], strict=True)
-                        yield pa.RecordBatch.from_arrays([pa.array([row] * len(term), pa.int64()), pa.array(entity), pa.array(term), pa.array(context)], names=["row_id", "entity", "term", "context"])
+                        same = [pa.array([x] * len(term), pa.int64()) for x in (*name, copies)]
+                        yield pa.RecordBatch.from_arrays([*same, pa.array(entity), pa.array(term), pa.array(context)], names=[*TEXT, "copies", "entity", "term", "context"])
 
     # A term in more than docs * (total / docs) ** (1 - share) documents cannot reveal that share.
     most = F.col("docs") * F.pow(F.lit(total) / F.col("docs"), F.lit(1 - share)) * (1 + 1e-9)
     largest = F.coalesce(often.select(F.max(most)).scalar(), F.lit(0.0))
     frequencies = document_frequencies(docs, text_col).where(F.col("df") <= largest)
-    beside = texts.mapInArrow(run, "row_id bigint, entity string, term string, context string").join(frequencies, "term").join(often, "entity").where(F.col("df") <= most)
+    beside = texts.mapInArrow(run, "_t1 bigint, _t2 bigint, copies bigint, entity string, term string, context string").join(frequencies, "term").join(often, "entity").where(F.col("df") <= most)
     # Counted by context first: a term's rows of one context are one row.
-    once = beside.groupBy("entity", "term", "row_id", "docs", "df").agg(F.collect_set("context").alias("contexts"))
+    once = beside.groupBy("entity", "term", *TEXT, "copies", "docs", "df").agg(F.collect_set("context").alias("contexts"))
     by_context = cut_lineage(once)
-    together = by_context.groupBy("entity", "term", "docs", "df").agg(F.count(F.lit(1)).alias("both"))
+    together = by_context.groupBy("entity", "term", "docs", "df").agg(F.sum("copies").alias("both"))
     contexts = by_context.select("entity", "term", F.explode("contexts").alias("c")).distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("contexts"))
     judged = together.join(contexts.where(F.col("contexts") >= min_contexts), ["entity", "term"])
     joint = F.log(F.col("both") * F.lit(total) / (F.col("docs") * F.col("df")))
@@ -272,23 +278,26 @@ def find_personal_data(docs: DataFrame, text_col: str = "text", share: float = D
     """
     scanned = scan(docs, text_col)
     pairs = disclosing_pairs(scanned, docs, text_col, share, min_contexts).select("entity", "term")
-    holders = scanned.select("row_id", F.explode("entities.entity").alias("entity"))
-    wanted = holders.join(pairs, "entity").groupBy("row_id").agg(F.collect_set("term").alias("wanted"))
-    texts = scanned.join(wanted, "row_id").select("row_id", F.col(f"doc.`{text_col}`").alias("_text"), "base", "wanted")
+    holders = scanned.select(*TEXT, F.explode("entities.entity").alias("entity")).distinct()
+    # Stored, so that Spark knows its size when it meets the texts.
+    wanted = cut_lineage(holders.join(pairs, "entity").groupBy(*TEXT).agg(F.collect_set("term").alias("wanted")))
+    drop_stored(scanned)
+    packed = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
+    texts = _named(docs, text_col, packed).join(wanted, TEXT, "left").select("doc", "_text", "wanted")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
-            for few in slices(batch, 8):
-                marks = []
-                for text, base, terms in zip(*[c.to_pylist() for c in few.columns[1:]], strict=True):
-                    words, terms = Words(text, [(x["kind"], x["start"], x["end"]) for x in base]), set(terms)
-                    marks.append([{"kind": TERM, "start": m.start(), "end": m.end()} for m, free in zip(words.found, words.free, strict=True) if free and m[0].lower() in terms])
-                yield pa.RecordBatch.from_arrays([few.column(0), pa.array(marks, kind)], names=["row_id", "terms"])
-
-    marked = texts.mapInArrow(run, f"row_id bigint, terms {_SPANS}")
-    joined = scanned.select("row_id", "doc", "base").join(marked, "row_id", "left")
-    return joined.select("doc", "base", F.coalesce("terms", F.array().cast(_SPANS)).alias("terms"))
+            for few in slices(batch):
+                bases, marks = [], []
+                for text, terms in zip(*[c.to_pylist() for c in few.columns[1:]], strict=True):
+                    bases.append(base_spans(text))
+                    marks.append([])
+                    if terms:
+                        words, terms = Words(text, bases[-1]), set(terms)
+                        marks[-1] = [(TERM, m.start(), m.end()) for m, free in zip(words.found, words.free, strict=True) if free and m[0].lower() in terms]
+                yield pa.RecordBatch.from_arrays([few.column(0), _span_rows(bases), _span_rows(marks)], names=["doc", "base", "terms"])
+
+    return texts.mapInArrow(run, extend(texts.select("doc").schema, f"base {_SPANS}, terms {_SPANS}"))
 
 
 def spans_text(spans: Column) -> Column:
