@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, drop_stored
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -19,7 +19,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     both = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     links, before = cut_lineage(both), None
     while True:
-        links = cut_lineage(_small_star(_large_star(links)))
+        links, old = cut_lineage(_small_star(_large_star(links))), links
+        drop_stored(old)
         # A change makes some end smaller or an edge fewer, so equal sums of both mean the end.
         row = links.agg(F.count(F.lit(1)), F.sum(F.col("u").cast("decimal(38,0)")), F.sum(F.col("v").cast("decimal(38,0)"))).first()
         if before == tuple(row):

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, drop_stored
 from . import golay
 from .common import extend, prepare, slices
 from .graph import connected_components
@@ -395,25 +395,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keyed = cut_lineage(keyed)
     several = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     shared = cut_lineage(keyed.join(several, "key"))
+    drop_stored(keyed)
 
     def verified(pairs: DataFrame) -> DataFrame:
         paired = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
         # Stored first, so that Spark knows how small it is when it plans the join with the texts.
         wanted = cut_lineage(nodes.join(paired, "node").select("node", "f.doc_id", "f.th"))
         sets = cut_lineage(_shingle_sets(docs, wanted, id_col, text_col, shingle))
-        return cut_lineage(_similar(pairs, sets, similarity))
+        found = cut_lineage(_similar(pairs, sets, similarity))
+        drop_stored(wanted, sets)
+        return found
 
     left, links, roots = shared.withColumn("root", F.col("node")), None, None
     for turn in range(PIVOT_ROUNDS + 1):
         met = cut_lineage(_meet_pivots(left, turn, similarity) if turn < PIVOT_ROUNDS else _meet_all(left, similarity))
         found = verified(met)
+        drop_stored(met)
         links = found if links is None else links.unionByName(found)
-        roots = cut_lineage(connected_components(links))
+        roots, before = cut_lineage(connected_components(links)), roots
+        if turn:
+            drop_stored(left, before)
         if turn < PIVOT_ROUNDS:
             # Up to three rows of a key have all met.
             left = shared.where("m > 3").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
             several = left.groupBy("key").agg(F.min("root").alias("_x"), F.max("root").alias("_y")).where("_x < _y").select("key")
             left = cut_lineage(left.join(several, "key"))
+    drop_stored(shared)
     grouped = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     first = grouped.groupBy("root").agg(F.min("f").alias("first"))
     heads = grouped.join(first, "root").select("node", "first")
