@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import safe_ratio
+from ..session import cut_lineage
 from .segments import lag_over, running_before, with_row_index
 
 #: Name of what no declared value covers.
@@ -74,6 +75,48 @@ def with_band(df: DataFrame, col: str, bands: list[tuple[float | None, str]], ou
     return df.withColumn(out, band_of(col, bands))
 
 
+#: Cells of a grid are at least so small a share of the greatest number that they count exactly in a double.
+_CELL_BITS = 50
+
+
+def in_bands(df: DataFrame, col: str, bands: DataFrame, low: str = "low", high: str = "high") -> DataFrame:
+    """Rows of ``df`` beside every row of ``bands`` with ``low <= col < high``: a join with a table of intervals.
+
+    A missing limit is none; bands may overlap, and empty ones hold nothing. Each
+    band lies in the one or two cells of a grid whose cells are as wide as it, up
+    to the next power of two. A value looks into its cell of each grid that has a
+    band, so the join is by (grid, cell) with the limits checked after it, never
+    a product. Columns of both sides; null and NaN values match nothing.
+    """
+    taken = set(df.columns) & set(bands.columns)
+    if taken:
+        raise ValueError(f"columns on both sides: {sorted(taken)}")
+    value = F.col(col).cast("double")
+    rows = df.where(value.isNotNull() & ~F.isnan(value))
+    least, most = rows.agg(F.min(value), F.max(value)).first()
+    if least is None:
+        least = most = 0.0
+    # Limits beyond all values rule nothing out.
+    edges = bands.withColumn("_lo", F.greatest(F.coalesce(F.col(low).cast("double"), F.lit(least)), F.lit(least)))
+    edges = edges.withColumn("_hi", F.least(F.coalesce(F.col(high).cast("double"), F.lit(most)), F.lit(most)))
+    reach = F.lit(float(max(abs(least), abs(most), 1e-290)))
+    width = F.greatest(F.col("_hi") - F.col("_lo"), reach * F.lit(2.0**-_CELL_BITS))
+    edges = edges.where(F.col("_lo") <= F.col("_hi")).withColumn("_grid", F.ceil(F.log2(width)).cast("int"))
+
+    def cell(c: Column) -> Column:
+        return F.floor(c / F.pow(F.lit(2.0), F.col("_grid")))
+
+    # Stored, so that Spark broadcasts it by its real size or deals both sides by cell.
+    placed = cut_lineage(edges.withColumn("_cell", F.explode(F.sequence(cell(F.col("_lo")), cell(F.col("_hi"))))).drop("_lo", "_hi"))
+    # One number for each width there is, of some two thousand at most.
+    grids = sorted(r[0] for r in placed.select("_grid").distinct().collect())
+    if not grids:
+        return rows.join(bands, F.lit(False))
+    asked = rows.withColumn("_grid", F.explode(F.array(*[F.lit(g) for g in grids]))).withColumn("_cell", cell(value))
+    inside = (F.col(low).isNull() | (value >= F.col(low))) & (F.col(high).isNull() | (value < F.col(high)))
+    return asked.join(placed, ["_grid", "_cell"]).where(inside).drop("_grid", "_cell")
+
+
 def with_batches(df: DataFrame, order: list[Column], batch_size: int, keys: list[str] | None = None) -> DataFrame:
     """Add ``row_idx`` and ``batch_idx`` (rows ``[k*bs, (k+1)*bs)``)."""
     indexed = with_row_index(df, order, keys)

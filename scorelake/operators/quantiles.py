@@ -115,3 +115,28 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str, quantiles: dic
 def approx_percentiles(df: DataFrame, keys: list[str], value: str, quantiles: dict[str, float], accuracy: int = ACCURACY) -> DataFrame:
     """Sketch percentiles: one pass, mergeable, bounded state per key."""
     return df.groupBy(*keys).agg(*[F.percentile_approx(value, float(q), accuracy).alias(n) for n, q in quantiles.items()])
+
+
+#: Size of a stored sketch. Its rank error, and that of any number of them merged, is at most ``sketch_error`` of all rows in 99 of 100 cases.
+SKETCH_SIZE = 1600
+
+
+def sketch_error(size: int = SKETCH_SIZE) -> float:
+    """Published rank error of a KLL sketch of this size."""
+    return 2.296 / size**0.9723
+
+
+def sketch_values(df: DataFrame, keys: list[str], value: str, size: int = SKETCH_SIZE) -> DataFrame:
+    """``keys, sketch``: a mergeable summary of the values of each key, some kilobytes whatever their number.
+
+    Store them per day, say, and merge what a report spans; the rows themselves
+    are not read again. Null values are not counted.
+    """
+    return df.groupBy(*keys).agg(F.kll_sketch_agg_double(F.col(value).cast("double"), size).alias("sketch"))
+
+
+def merged_percentiles(sketches: DataFrame, keys: list[str], quantiles: dict[str, float], size: int = SKETCH_SIZE) -> DataFrame:
+    """Percentiles of each key over all of its stored sketches, and ``n``, the values that they stand for."""
+    merged = sketches.groupBy(*keys).agg(F.kll_merge_agg_double("sketch", size).alias("_sketch"))
+    found = [F.kll_sketch_get_quantile_double("_sketch", F.lit(float(q))).alias(n) for n, q in quantiles.items()]
+    return merged.select(*keys, F.kll_sketch_get_n_double("_sketch").alias("n"), *found)

@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import joins as J
+from ..operators import quantiles as Q
 from ..operators import registry as G
 from ..operators import runs as R
 from ..operators import sets as S
 from ..operators.placement import placement_totals, plan_placement
+from ..session import scratch_path
 from .catalog import Catalog, rnd, rnd_sql
 from .tables import (
     BASELINE_MODE, DEVICES, EXECUTORS, MODELS, MODES, RUNS, TASK_ORDER, TASK_ORDER_SQL, TASKS,
-    executors, models, runs, tasks,
+    executors, models, runs, table, tasks,
 )
 
 catalog = Catalog()
@@ -118,6 +120,16 @@ def j6(spark, sf_dir):
     return J.with_band(tasks(spark, sf_dir), "inference_time", BANDS).groupBy("band").agg(F.count("*").alias("tasks"))
 
 
+@query("j6_band_table", f"{HEAD}, bands AS (SELECT o_orderkey AS band_id, o_totalprice / 5 AS low, o_totalprice / 5 * (1 + (o_custkey % 50) / 10000.0) AS high FROM orders) "
+       f"SELECT band_id, count(*) AS tasks, {rnd_sql('sum(inference_time)', 2)} AS total_time FROM bands JOIN tasks ON inference_time >= low AND inference_time < high GROUP BY band_id")
+def j6_table(spark, sf_dir):
+    """Bands as a table, one for each order: overlapping, of many widths."""
+    low = F.col("o_totalprice") / 5
+    bands = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("band_id"), low.alias("low"), (low * (1 + (F.col("o_custkey") % 50) / F.lit(10000.0))).alias("high"))
+    found = J.in_bands(tasks(spark, sf_dir).select("inference_time"), "inference_time", bands)
+    return found.groupBy("band_id").agg(F.count("*").alias("tasks"), rnd(F.sum("inference_time"), 2).alias("total_time"))
+
+
 @query("j7_align_batches", f"""{HEAD}, sizes AS (SELECT model_id, sum(samples)::BIGINT AS n_rows FROM tasks GROUP BY model_id),
 batches AS (SELECT model_id, n_rows, unnest(range(CAST(ceil(n_rows / 16.0) AS BIGINT))) AS batch_idx FROM sizes)
 SELECT batch_idx, count(DISTINCT model_id) AS models, sum(least(16, n_rows - batch_idx * 16))::BIGINT AS rows FROM batches GROUP BY batch_idx""")
@@ -271,6 +283,22 @@ def a14(spark, sf_dir):
     return ranks.select("device", ((F.col("below") <= 0.99 * F.col("n") + slack) & (F.col("upto") >= 0.99 * F.col("n") - slack)).alias("within_bound"))
 
 
+_SKETCHED = {"p25": 0.25, "median": 0.5, "p99": 0.99}
+_DAYS = "d AS (SELECT l_returnflag AS mode, l_shipdate AS day, l_extendedprice AS v FROM lineitem)"
+
+
+@query("a14_stored_sketches", f"WITH {_DAYS}, r AS (SELECT mode, v, (row_number() OVER (PARTITION BY mode ORDER BY v) - 0.5) / count(*) OVER (PARTITION BY mode) AS rank FROM d) "
+       "SELECT mode, count(*) AS n, " + ", ".join(f"round(min(rank) FILTER (WHERE rank >= {q}), 2) AS {n}_rank" for n, q in _SKETCHED.items()) + " FROM r GROUP BY mode")
+def a14_stored(spark, sf_dir):
+    """Sketches stored per day and mode, merged per mode; the exact ranks of what they say, as numbers to two digits."""
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("mode"), F.col("l_shipdate").alias("day"), F.col("l_extendedprice").alias("v"))
+    path = scratch_path(spark, "sketches")
+    Q.sketch_values(rows, ["mode", "day"], "v").write.parquet(path)
+    said = Q.merged_percentiles(spark.read.parquet(path), ["mode"], _SKETCHED)
+    ranks = rows.join(said, "mode").groupBy("mode", "n").agg(*[(F.count_if(F.col("v") <= F.col(n)) / F.col("n")).alias(n) for n in _SKETCHED])
+    return ranks.select("mode", "n", *[F.round(n, 2).alias(f"{n}_rank") for n in _SKETCHED])
+
+
 @query("a15_extrapolated_time", f"{TP} SELECT run_id, {rnd_sql(f'elapsed_time * ' + RATIO.format('samples::DOUBLE', 'least(samples, 20)'))} AS full_time, "
        f"{rnd_sql(RATIO.format('1000.0', 'throughput'), 2)} AS amortized_ms FROM run_tp")
 def a15(spark, sf_dir):

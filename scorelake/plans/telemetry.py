@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import telemetry as T
 from ..session import scratch_path
+from ..sinks import publish as PB
 from ..streaming import jobs as ST
 from .catalog import Catalog, rnd, rnd_sql
 from .tables import EXECUTORS, RUNS, TASKS, TELEMETRY, executors, runs, tasks, telemetry
@@ -133,8 +134,11 @@ def _marks(after: str) -> str:
     return f"marks AS (SELECT b.batch, date_trunc('milliseconds', max(a.ts)) - INTERVAL '1 day' AS mark FROM (SELECT DISTINCT batch FROM arrived) b LEFT JOIN arrived a ON a.batch <= {after} GROUP BY b.batch)"
 
 
-def in_files(spark, sf_dir, make):
-    """The table that ``make`` streams from the events' files: one micro-batch for each file, and a restart in between."""
+def in_files(spark, sf_dir, make, sink=None):
+    """The table that ``make`` streams from the events' files: one micro-batch for each file, and a restart in between.
+
+    With ``sink``, called with the stream and its checkpoint, nothing is returned.
+    """
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     most = events.agg(F.max("event_id") + 1).scalar()
     batch = F.floor(F.col("event_id") * FILES / most).cast("int") + F.expr(LATE).cast("int")
@@ -145,8 +149,11 @@ def in_files(spark, sf_dir, make):
         if at + 1 in (HALT, FILES + 1):
             stream = spark.readStream.schema(events.drop("batch").schema).option("maxFilesPerTrigger", 1).parquet(f"{src}/batch=*")
             df = make(stream.select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("executor_id"), F.col("event_type").alias("metric"), "value", "props"))
-            ST.run_available(df, out, checkpoint)
-    return spark.read.schema(df.schema).parquet(out)
+            if sink:
+                sink(df, checkpoint)
+            else:
+                ST.run_available(df, out, checkpoint)
+    return None if sink else spark.read.schema(df.schema).parquet(out)
 
 
 # A batch's late rows are those whose window was closed before it began: by the batches up to the one before the last, or to the last one before the restart.
@@ -173,3 +180,17 @@ READING = [("EventValue", "value", "None", False), ("EventProperty", "CAST(get_j
 def t7(spark, sf_dir):
     rows = drained(spark, ST.metrics_stream(event_stream(spark, sf_dir), READING, ["metric"]))
     return rows.groupBy("metric_name", "metric").agg(F.count("*").alias("n"), rnd(F.sum("value")).alias("total"))
+
+
+@query("t7_publish_stream", f"{HEAD} SELECT metric_name, metric, count(*) AS n, {rnd_sql('sum(value)')} AS total FROM ("
+       "SELECT 'EventValue' AS metric_name, metric, value FROM telemetry UNION ALL SELECT 'EventProperty', metric, CAST(json_extract_string(props, '$.k') AS DOUBLE) FROM telemetry) GROUP BY ALL")
+def t7_publish(spark, sf_dir):
+    """Metric rows of seven micro-batches, staged by tasks, published once for each batch, and read back."""
+    out = scratch_path(spark, "metrics")
+
+    def publish(df, checkpoint):
+        PB.publish_stream(df, out, checkpoint, size=500).trigger(availableNow=True).start().awaitTermination()
+
+    in_files(spark, sf_dir, lambda src: ST.metrics_stream(src, READING, ["metric"]), publish)
+    rows = PB.read_published(spark, out, "metric string, metric_name string, value double, unit string")
+    return rows.groupBy("metric_name", "metric").agg(F.count("*").alias("n"), rnd(F.sum("value")).alias("total"))

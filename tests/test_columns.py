@@ -64,3 +64,37 @@ def test_rounding_goes_by_decimal_text(spark):
     df = spark.createDataFrame([(2.675, 0.25, 1.00005)], "ms double, tp double, s double")
     row = df.select(C.round_ms("ms").alias("ms"), C.round_tp("tp").alias("tp"), C.round_s("s").alias("s")).first()
     assert tuple(row) == (2.68, 0.3, 1.0001)
+
+
+def test_bands_from_a_table(spark, capfd):
+    """Overlapping, open, empty and reversed bands of all widths, with a hot value, against a direct loop."""
+    import random
+
+    from scorelake.operators.joins import in_bands
+
+    rng = random.Random(4)
+    bands = [(i, x := rng.uniform(-50, 50), x + 2.0 ** rng.randint(-40, 6)) for i in range(300)]
+    bands += [(900, None, 0.0), (901, 10.0, None), (902, None, None), (903, 5.0, 5.0), (904, 6.0, 2.0), (905, 1e300, 1e301), (906, 7.0, 7.0 + 1e-12), (907, -1e9, 1e9)]
+    values = [rng.uniform(-60, 60) for _ in range(400)] + [7.0] * 300 + [None, float("nan"), 0.0, -0.0, 10.0]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "id int, v double")
+    table = spark.createDataFrame(bands, "band int, low double, high double")
+    out = in_bands(df, "v", table)
+    want = sorted((i, b) for i, v in enumerate(values) if v is not None and v == v for b, lo, hi in bands if (lo is None or v >= lo) and (hi is None or v < hi))
+    assert sorted((r["id"], r["band"]) for r in out.collect()) == want
+    assert in_bands(df, "v", table.limit(0)).count() == in_bands(df.limit(0), "v", table).count() == 0
+
+
+def test_a_hundred_thousand_bands_meet_by_cell(spark, capfd):
+    from pyspark.sql import functions as F
+
+    from scorelake.operators.joins import in_bands
+
+    bands = spark.range(100_000).select(F.col("id").alias("band"), (F.col("id") / 7).alias("low"), ((F.col("id") + 1) / 7).alias("high"))
+    df = spark.range(200_000).select((F.col("id") % 100_000 / 7 + 0.01).alias("v"))
+    out = in_bands(df, "v", bands)
+    capfd.readouterr()
+    out.explain()
+    plan = capfd.readouterr().out
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    counts = out.groupBy("band").count()
+    assert counts.count() == 100_000 and counts.where("count <> 2").count() == 0

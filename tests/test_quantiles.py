@@ -94,3 +94,18 @@ def test_a_hot_key_stays_split(spark, monkeypatch):
     values = (np.arange(5_000_000, dtype=np.int64) * 7919 % 5000011) / 3
     for name, q in QS.items():
         assert row[name] == pytest.approx(np.percentile(values, q * 100), abs=1e-9)
+
+
+def test_stored_sketches_merge_within_their_error(spark):
+    """Two hundred sketches of unequal parts, merged; ranks against the exact ones."""
+    df = spark.range(400_000).selectExpr("id % 3 AS k", "floor(sqrt(id % 40000)) AS day", "pow(xxhash64(id) % 100000 / 100000D, 3) AS v")
+    stored = quantiles.sketch_values(df, ["k", "day"], "v")
+    assert stored.selectExpr("max(octet_length(sketch))").first()[0] < 50_000
+    said = quantiles.merged_percentiles(stored, ["k"], {"p1": 0.01, "p50": 0.5, "p999": 0.999}).collect()
+    pdf = df.toPandas()
+    for row in said:
+        values = np.sort(pdf.loc[pdf["k"] == row["k"], "v"].to_numpy())
+        assert row["n"] == len(values)
+        for name, q in (("p1", 0.01), ("p50", 0.5), ("p999", 0.999)):
+            rank = np.searchsorted(values, row[name], side="right") / len(values)
+            assert abs(rank - q) <= 2 * quantiles.sketch_error(), (name, rank)
