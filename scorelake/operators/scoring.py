@@ -372,14 +372,16 @@ def score_blobs(df: DataFrame, model: Model, decode: Callable[[bytes], np.ndarra
     """Score stored files or encoded images with one model.
 
     ``decode`` turns a file's bytes into the model's input; it runs inside the
-    scoring batch, so only ``batch_size`` decoded inputs exist at a time.
+    scoring batch, so only ``batch_size`` decoded inputs exist at a time. The
+    column ``device`` names what did the work: on a device, a model's form for it.
     """
     handle = broadcast_weights(df.sparkSession, [model])
-    spec = {"name": model.name, "forward": model.forward, "prepare": model.prepare, "output": model.output, "width": model.width}
+    spec = {"name": model.name, "forward": model.forward, "cuda": model.forward_cuda, "prepare": model.prepare, "output": model.output, "width": model.width}
     token, ids = content_token([model]), list(id_cols)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _task_device(device_mode)
+        on_device = _task_device(device_mode) == "cuda" and spec["cuda"] is not None
+        forward, device = (spec["cuda"], "cuda") if on_device else (spec["forward"], "cpu")
         weights, _ = _worker_weights(handle, token, [spec], dtype)
         for batch in batches:
             for at in range(0, batch.num_rows, batch_size):
@@ -387,15 +389,15 @@ def score_blobs(df: DataFrame, model: Model, decode: Callable[[bytes], np.ndarra
                 x = np.stack([np.asarray(decode(c.as_py()), dtype=dtype).ravel() for c in part.column(len(ids))])
                 if x.shape[1] != spec["width"]:
                     raise ValueError(f"decoder gave {x.shape[1]} values, the model reads {spec['width']}")
-                out = spec["forward"](weights[spec["name"]], x)
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(ids)], _to_arrow(spec["output"], out)], [*ids, spec["name"]])
+                out = _to_arrow(spec["output"], forward(weights[spec["name"]], x))
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(ids)], out, pa.array([device] * len(x))], [*ids, spec["name"], "device"])
 
     slim = df.select(*id_cols, content_col)
     kinds = dict(slim.dtypes)
-    schema = ", ".join([f"`{c}` {kinds[c]}" for c in ids] + [f"`{model.name}` {_spark_type(model.output, dtype)}"])
+    schema = ", ".join([f"`{c}` {kinds[c]}" for c in ids] + [f"`{model.name}` {_spark_type(model.output, dtype)}", "device string"])
     scored = slim.mapInArrow(run, schema)
     if model.output == "logits":
-        return scored.select(*id_cols, f"`{model.name}`.*")
+        return scored.select(*id_cols, f"`{model.name}`.*", "device")
     return scored.withColumnRenamed(model.name, "output")
 
 

@@ -13,7 +13,9 @@ from ..operators.matching import match_embeddings, match_near, match_recall
 from ..operators.registry import Model, ModelRegistry, signal_registry
 from ..operators.runs import accuracy
 from ..session import scratch_path
-from ..sources.signals import stream_signals
+from ..sinks.tables import write_blobs
+from ..sources import images as IM
+from ..sources.signals import read_blobs, stream_signals
 from ..streaming import jobs as ST
 from .catalog import Catalog, rnd, rnd_sql
 from .tables import LABELS, SIGNALS, signals, table, task_signals, wide_signals
@@ -395,6 +397,41 @@ def m12(spark, sf_dir):
     return out.select("page_id", "pred", rnd(F.array_max("logits"), 6).alias("top_logit"))
 
 
+# -- encoded images: eight by eight pixels made from a vector's values, every other one a PNG
+
+PIXELS = {
+    "fc.weight": np.array([[((7 * i + 3 * j) % 11 - 5) / 10 for j in range(64)] for i in range(5)]),
+    "fc.bias": np.array([0.25 * i for i in range(5)]),
+}
+PIXELS_SQL = ", ".join("list_dot_product(v, [" + ", ".join(f"{((7 * i + 3 * j) % 11 - 5) / 10}::DOUBLE" for j in range(64)) + f"]) + {0.25 * i}::DOUBLE" for i in range(5))
+
+
+def _drawn(batches):
+    """Rows of (vec_id, pixels) as (name, content)."""
+    import pyarrow as pa
+
+    for batch in batches:
+        ids, pixels = batch.column(0).to_pylist(), [np.array(p, dtype="uint8").reshape(8, 8) for p in batch.column(1).to_pylist()]
+        names = [f"{i}.{'png' if i % 2 else 'pgm'}" for i in ids]
+        content = [(IM.encode_png if i % 2 else IM.encode_pgm)(p) for i, p in zip(ids, pixels, strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(content, pa.binary())], names=["name", "content"])
+
+
+@query("m12_score_images", "WITH x AS (SELECT vec_id, list_transform(embedding, lambda e: least(255, greatest(0, floor(e::DOUBLE * 127.5 + 128))) / 255.0::DOUBLE * 2 - 1) AS v FROM embeddings), "
+       f"y AS (SELECT vec_id, [{PIXELS_SQL}] AS z FROM x) SELECT vec_id || CASE WHEN vec_id % 2 = 1 THEN '.png' ELSE '.pgm' END AS file, CAST(list_position(z, list_max(z)) - 1 AS INTEGER) AS pred, "
+       f"{rnd_sql('list_max(z)', 6)} AS top_logit, 'cpu' AS device FROM y")
+def m12_images(spark, sf_dir):
+    """Image files written by the executors, read back as binary files, decoded in the scoring batch."""
+    pixel = lambda e: F.least(F.lit(255), F.greatest(F.lit(0), F.floor(e.cast("double") * 127.5 + 128))).cast("int")
+    drawn = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", pixel).alias("pixels"))
+    path = scratch_path(spark, "images")
+    write_blobs(drawn.mapInArrow(_drawn, "name string, content binary"), path).agg(F.sum("length")).collect()
+    files = read_blobs(spark, path, "*.p[gn][mg]").withColumn("file", F.element_at(F.split("path", "/"), -1))
+    model = Model("pixel_stub", nets.linear, PIXELS, (1, 8, 8), "logits", "image_classification")
+    out = SC.score_blobs(files, model, IM.image_input, id_cols=("file",), dtype="float64", device_mode="hybrid")
+    return out.select("file", "pred", rnd(F.array_max("logits"), 6).alias("top_logit"), "device")
+
+
 # -- streams
 
 
