@@ -14,7 +14,8 @@ from ..operators.runs import run_health, samples_from_maps, samples_per_model
 from ..operators.telemetry import DEVICE_METRICS, to_metrics
 from ..schemas import RUN
 from ..session import scratch_path
-from ..sinks.tables import archive, write_runs
+from ..sinks.tables import archive, write_blobs, write_runs
+from ..sources.blocks import read_blocks
 from ..sources import devices, runs as RS, signals as SG, status as ST
 from ..streaming import jobs
 from .catalog import Catalog, rnd, rnd_sql
@@ -232,6 +233,26 @@ def s2(spark, sf_dir):
     return out.select(F.regexp_extract("file", "/(\\d+)\\.npy$", 1).cast("long").alias("block"), "row_idx", rnd(total, 5).alias("total"))
 
 
+@query("s2_read_blocks", f"WITH {SIGNALS}, r AS (SELECT signal_id // 100 AS block, row_number() OVER (PARTITION BY signal_id // 100 ORDER BY signal_id) - 1 AS row_idx, features FROM signals) "
+       f"SELECT 'shelf=' || block % 3 || '/' || block || '.npy' AS file, row_idx, {rnd_sql('list_sum(features::DOUBLE[])', 5)} AS total FROM r")
+def s2_blocks(spark, sf_dir):
+    """A folder of blocks of a hundred signals, written by the executors and read in ranges of about twenty rows."""
+    rows = signals(spark, sf_dir).withColumn("block", F.floor(F.col("signal_id") / 100))
+
+    def pack(key, pdf):
+        import pandas as pd
+
+        pdf = pdf.sort_values("signal_id")
+        return pd.DataFrame({"name": [f"shelf={key[0] % 3}/{key[0]}.npy"], "content": [_pack(pdf["signal_id"], list(pdf["features"]))]})
+
+    path = scratch_path(spark, "blocks")
+    blocks = rows.select("block", "signal_id", "features").groupBy("block").applyInPandas(pack, "name string, content binary")
+    write_blobs(blocks, path).agg(F.sum("length")).collect()
+    out = read_blocks(spark, path, 2 * HALF, range_bytes=20 * 4 * 2 * HALF)
+    total = F.aggregate(F.col("values").cast("array<double>"), F.lit(0.0), lambda a, x: a + x)
+    return out.select("file", "row_idx", rnd(total, 5).alias("total"))
+
+
 @query("s3_read_blobs", "SELECT page_id % 8 AS shelf, sum(strlen(html) + 1)::BIGINT AS length FROM pages GROUP BY 1")
 def s3(spark, sf_dir):
     """Files of many pages, on eight shelves; the text writer ends each page with a newline."""

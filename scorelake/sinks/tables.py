@@ -37,7 +37,8 @@ def write_blobs(df: DataFrame, path: str, name_col: str = "name", content_col: s
 
         store, root = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
         for batch in batches:
-            store.create_dir(root, recursive=True)
+            for folder in {f"{root}/{n}".rpartition("/")[0] for n in batch.column(0).to_pylist()}:
+                store.create_dir(folder, recursive=True)
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 with store.open_output_stream(f"{root}/{name}") as out:
                     out.write(content)
