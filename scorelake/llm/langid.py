@@ -5,15 +5,18 @@ texts; a document's is made alike from its whole text. The out-of-place measure
 sums, over the document's n-grams, how far each is from its place in the
 language's profile, and the greatest distance for those the profile lacks.
 
-N-grams are counted within words (``_word_``), so words are counted first and
-each distinct word is cut once. Equal counts share a rank, so no order of ties
-is needed and the result doesn't depend on how rows are dealt out.
+N-grams are counted within words (``_word_``). A text is an array of code points,
+with one border between words, and its n-grams are numbers made from neighbours
+in that array, so a whole text is cut and counted at once. Equal counts share a
+rank, so no order of ties is needed and the result doesn't depend on how rows are
+dealt out.
 """
 
 from __future__ import annotations
 
+import functools
 import re
-from collections import Counter
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +30,7 @@ UNKNOWN = "und"
 #: N-grams of a profile. A learned model has at most this many rows for each language.
 PROFILE_SIZE = 400
 MAX_N = 3
-#: Distinct words, or n-grams, that a worker holds at most before it passes counts on.
+#: Counts of n-grams that a worker holds at most before it sums them up, and sums before it passes them on.
 HELD = 300_000
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -42,6 +45,59 @@ def grams_of(word: str) -> list[str]:
     return [padded[i : i + n] for n in range(1, MAX_N + 1) for i in range(len(padded) - n + 1) if padded[i : i + n] != "_"]
 
 
+@functools.cache
+def _letters() -> np.ndarray:
+    """For each code point whether it is a letter of :data:`_WORD`."""
+    flags = np.zeros(sys.maxunicode + 1, dtype=bool)
+    points = [c for c in range(sys.maxunicode + 1) if not 0xD800 <= c < 0xE000]
+    flags[points] = [_WORD.match(chr(c)) is not None for c in points]
+    return flags
+
+
+#: Bits of a code point; a border is 0.
+_POINT = 21
+
+
+def gram_codes(text: str) -> np.ndarray:
+    """A number for each n-gram of :func:`grams_of` of each word of a text; see :func:`gram_of`."""
+    points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
+    line = np.zeros(len(points) + 2, dtype=np.int64)
+    line[1:-1] = np.where(_letters()[points], points, 0)
+    # Of several borders in a row one stays.
+    kept = np.ones(len(line), dtype=bool)
+    kept[1:] = (line[1:] != 0) | (line[:-1] != 0)
+    line = line[kept]
+    pairs = -1 - (line[:-1] << _POINT | line[1:])
+    inner = line[1:-1] != 0
+    triples = (line[:-2] << 2 * _POINT | line[1:-1] << _POINT | line[2:])[inner]
+    return np.concatenate([line[line != 0], pairs if len(line) > 1 else pairs[:0], triples])
+
+
+def gram_of(code: int) -> str:
+    """The n-gram of a number: pairs are negative, and a triple's middle is never a border."""
+    if code < 0:
+        points = [(-1 - code) >> _POINT, (-1 - code) & ((1 << _POINT) - 1)]
+    elif code >> _POINT:
+        points = [code >> k * _POINT & ((1 << _POINT) - 1) for k in (2, 1, 0)]
+    else:
+        points = [code]
+    return "".join(chr(p) if p else "_" for p in points)
+
+
+def code_of(gram: str) -> int:
+    points = [0 if c == "_" else ord(c) for c in gram]
+    if len(points) == 2:
+        return -1 - (points[0] << _POINT | points[1])
+    return sum(p << k * _POINT for k, p in enumerate(reversed(points)))
+
+
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    codes, place = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
+    sums = np.zeros(len(codes), dtype=np.int64)
+    np.add.at(sums, place, np.concatenate([n for _, n in parts]))
+    return codes, sums
+
+
 def learn_profiles(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", size: int = PROFILE_SIZE) -> DataFrame:
     """``lang, gram, rank`` from every row whose text and language are not null.
 
@@ -53,33 +109,31 @@ def learn_profiles(docs: DataFrame, text_col: str = "text", lang_col: str = "lan
     narrow = known.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: dict[str, Counter] = {}
-        sums: dict[str, Counter] = {}
+        held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+        size = 0
 
-        def cut() -> None:
-            for lang, counted in words.items():
-                own = sums.setdefault(lang, Counter())
-                for word, n in counted.items():
-                    for gram in grams_of(word):
-                        own[gram] += n
-            words.clear()
+        def sum_up() -> int:
+            for lang, parts in held.items():
+                held[lang] = [_summed(parts)]
+            return sum(len(parts[0][0]) for parts in held.values())
 
         def passed_on() -> Iterator[pa.RecordBatch]:
-            for lang, own in sums.items():
-                if own:
-                    arrays = [pa.array([lang] * len(own)), pa.array(own.keys(), pa.string()), pa.array(own.values(), pa.int64())]
-                    yield pa.RecordBatch.from_arrays(arrays, names=["lang", "gram", "n"])
-            sums.clear()
+            for lang, parts in held.items():
+                codes, sums = _summed(parts)
+                arrays = [pa.array([lang] * len(codes), pa.string()), pa.array(map(gram_of, codes.tolist()), pa.string()), pa.array(sums)]
+                yield pa.RecordBatch.from_arrays(arrays, names=["lang", "gram", "n"])
+            held.clear()
 
         for batch in batches:
             for few in slices(batch):
                 for lang, text in zip(few.column(0).to_pylist(), few.column(1).to_pylist(), strict=True):
-                    words.setdefault(lang, Counter()).update(words_of(text))
-                if sum(map(len, words.values())) > HELD:
-                    cut()
-                    if sum(map(len, sums.values())) > HELD:
+                    held.setdefault(lang, []).append(np.unique(gram_codes(text), return_counts=True))
+                    size += len(held[lang][-1][0])
+                if size > HELD:
+                    size = sum_up()
+                    if size > HELD // 2:
                         yield from passed_on()
-        cut()
+                        size = 0
         yield from passed_on()
 
     counts = narrow.mapInArrow(run, "lang string, gram string, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
@@ -93,25 +147,12 @@ class Profiles:
     def __init__(self, rows: list[tuple[str, str, int]], size: int = PROFILE_SIZE) -> None:
         self.size = size
         self.langs = sorted({lang for lang, _, _ in rows})
-        self.learned = {g: i for i, g in enumerate(sorted({gram for _, gram, _ in rows}))}
+        self.learned = np.unique(np.array([code_of(gram) for _, gram, _ in rows], dtype=np.int64))
         # A gram that a profile lacks stands so far off that the greatest distance is reached.
         self.ranks = np.full((len(self.langs), len(self.learned) + 1), 10 * size, dtype=np.int32)
         at = {lang: i for i, lang in enumerate(self.langs)}
         for lang, gram, rank in rows:
-            self.ranks[at[lang], self.learned[gram]] = rank
-        self.reset()
-
-    def reset(self) -> None:
-        self.ids = dict(self.learned)
-        self.cut: dict[str, np.ndarray] = {}
-
-    def grams(self, word: str) -> np.ndarray:
-        found = self.cut.get(word)
-        if found is None:
-            found = np.fromiter((self.ids.setdefault(g, len(self.ids)) for g in grams_of(word)), dtype=np.int64)
-            if len(word) <= 32:
-                self.cut[word] = found
-        return found
+            self.ranks[at[lang], np.searchsorted(self.learned, code_of(gram))] = rank
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """The nearest language and 1 less its distance as a share of the greatest possible one.
@@ -119,25 +160,20 @@ class Profiles:
         ``und`` and 0 where the text is null or has no letter, or nothing was
         learned; languages at the same distance are taken in alphabetical order.
         """
-        words = Counter(words_of(text)) if text else {}
-        if not words or not self.langs:
+        codes, own = np.unique(gram_codes(text or ""), return_counts=True)
+        if not len(codes) or not self.langs:
             return UNKNOWN, 0.0
-        if len(self.ids) > HELD or len(self.cut) > HELD:
-            self.reset()
-        cut = [self.grams(w) for w in words]
-        times = np.repeat(np.fromiter(words.values(), dtype=np.float64), [len(c) for c in cut])
-        counts = np.bincount(np.concatenate(cut), weights=times)
-        present = np.flatnonzero(counts)
-        own = counts[present]
         # Place of an n-gram: how many have a greater count.
         levels, level, many = np.unique(own, return_inverse=True, return_counts=True)
         place = (len(own) - np.cumsum(many))[level]
         top = place < self.size
-        known = np.minimum(present[top], len(self.learned))
-        apart = np.minimum(np.abs(self.ranks[:, known] - place[top]), self.size)
+        column = np.searchsorted(self.learned, codes[top])
+        lacking = self.learned[np.minimum(column, len(self.learned) - 1)] != codes[top]
+        column[lacking] = len(self.learned)
+        apart = np.minimum(np.abs(self.ranks[:, column] - place[top]), self.size)
         distance = apart.sum(axis=1)
         best = int(np.argmin(distance))
-        return self.langs[best], float(1 - distance[best] / (self.size * len(known)))
+        return self.langs[best], float(1 - distance[best] / (self.size * len(column)))
 
 
 def predict_languages(docs: DataFrame, profiles: DataFrame, text_col: str = "text", out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:

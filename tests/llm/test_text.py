@@ -5,11 +5,14 @@ import itertools
 import math
 import random
 import re
+from collections import Counter
 
 import duckdb
 import numpy as np
 import pytest
 from fixtures import awkward_rows, documents, prose
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from scorelake.llm import langid, linedup, pages, pii, spotsigs
 from scorelake.llm.queries import _LINE_RUNS_SQL
@@ -248,3 +251,36 @@ def test_personal_data_of_awkward_documents(spark):
 
 def test_replaced_spans_may_overlap():
     assert pii.replace_spans("+1 4111111111111111 x", [("card", 3, 19), ("phone", 0, 19)]) == "[CARD] x"
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=st.one_of(st.characters(exclude_categories=["Cs"]), st.sampled_from("  \n_a1éßİσς日"))))
+def test_gram_codes_are_the_grams_of_the_words(text):
+    found = Counter(langid.gram_of(c) for c in langid.gram_codes(text).tolist())
+    assert found == Counter(g for w in langid.words_of(text) for g in langid.grams_of(w))
+    assert all(langid.gram_of(langid.code_of(g)) == g for g in found)
+
+
+def out_of_place(text, profiles, size):
+    """Language and score straight from the definition, n-gram by n-gram."""
+    counts = Counter(g for w in langid.words_of(text or "") for g in langid.grams_of(w))
+    if not counts:
+        return langid.UNKNOWN, 0.0
+    places = {g: sum(m > n for m in counts.values()) for g, n in counts.items()}
+    mine = {g: p for g, p in places.items() if p < size}
+    far = {lang: sum(min(size, abs(known[g] - p)) if g in known else size for g, p in mine.items()) for lang, known in profiles.items()}
+    lang = min(sorted(far), key=far.get)
+    return lang, 1 - far[lang] / (size * len(mine))
+
+
+@pytest.mark.parametrize("size", [5, 40, 400])
+def test_out_of_place_distance_by_its_definition(size):
+    profiles = {}
+    for lang in ("en", "fr"):
+        counts = Counter(g for i in range(6) for w in langid.words_of(prose(i, 200, lang)) for g in langid.grams_of(w))
+        profiles[lang] = {g: sum(m > n for m in counts.values()) for g, n in counts.items() if sum(m > n for m in counts.values()) < size}
+    own = langid.Profiles([(lang, g, r) for lang, known in profiles.items() for g, r in known.items()], size)
+    for text in [None, "", "12 !?", "a", "é", *[t for _, t, _ in awkward_rows()], *[prose(50 + i, 30, lang) for i in range(10) for lang in ("en", "fr")]]:
+        lang, score = own.predict(text)
+        wanted = out_of_place(text, profiles, size)
+        assert (lang, pytest.approx(score, abs=1e-12)) == wanted
