@@ -7,6 +7,9 @@ batch's mark. A task that fails and runs again leaves staged files that are neve
 moved; a micro-batch that is replayed after its mark was set adds nothing; one
 whose commit was cut short starts its moves again. The driver moves names only.
 
+Tasks that are killed late can leave staged files; nothing reads them, and the
+usual retention of the folder may delete them.
+
 The folder can be on any file system that pyarrow opens by its URI.
 """
 
