@@ -320,9 +320,12 @@ def _keyed_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _shingle_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
     """``node, shingles``: sets of shingle hashes of the ``wanted`` (node, doc_id, th) only."""
-    narrow = _keyed_texts(docs, id_col, text_col)
-    keys = wanted.select("node", F.col("doc_id").alias("_i"), F.col("th").alias("_t"))
-    found = narrow.join(keys, narrow["doc_id"].eqNullSafe(keys["_i"]) & (narrow["th"] == keys["_t"])).select("node", "_text")
+    # One number for both names of a row: the rows of a node meet where they are joined, and repeated ones go there too.
+    row = F.xxhash64("doc_id", "th").alias("row")
+    narrow = _keyed_texts(docs, id_col, text_col).select(row, "doc_id", "th", "_text")
+    keys = wanted.select("node", row, F.col("doc_id").alias("_i"), F.col("th").alias("_t"))
+    found = narrow.join(keys, "row").where(F.col("doc_id").eqNullSafe(F.col("_i")) & (F.col("th") == F.col("_t")))
+    found = found.dropDuplicates(["row"]).select("node", "_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -330,8 +333,7 @@ def _shingle_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str
                 sets = [shingle_set(t, shingle).view(np.int64) for t in few.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([few.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
 
-    # Repeated rows are one node.
-    return found.mapInArrow(run, "node bigint, shingles array<bigint>").dropDuplicates(["node"])
+    return found.mapInArrow(run, "node bigint, shingles array<bigint>")
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -388,14 +390,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     only. The first is the smallest id, then the smallest text hash; null ids
     come last.
     """
-    prints = cut_lineage(set_prefixes(docs, id_col, text_col, shingle, similarity))
+    prefixes = cut_lineage(set_prefixes(docs, id_col, text_col, shingle, similarity))
+    prints = cut_lineage(prefixes.select("doc_id", "th", "node"))
     # Texts with equal shingles are one node, so copies of a text are.
     nodes = cut_lineage(prints.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("f")))
-    keyed = prints.select("node", "n", "keys").dropDuplicates(["node"]).select("node", "n", F.posexplode("keys").alias("pos", "key"))
+    keyed = prefixes.select("node", "n", "keys").dropDuplicates(["node"]).select("node", "n", F.posexplode("keys").alias("pos", "key"))
     keyed = cut_lineage(keyed)
     several = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     shared = cut_lineage(keyed.join(several, "key"))
-    drop_stored(keyed)
+    drop_stored(keyed, prefixes)
 
     def verified(pairs: DataFrame) -> DataFrame:
         paired = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
