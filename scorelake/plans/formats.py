@@ -71,6 +71,21 @@ def s5(spark, sf_dir):
                       F.col("timestamp").alias("stamp"), F.col("_source_file").endswith(".json").alias("tagged"))
 
 
+@query("s5_damaged_runs", f"{HEAD}, r AS (SELECT run_id, run_id % 7 = 3 AS cut, run_id % 7 = 5 AS mistyped FROM runs SEMI JOIN tasks USING (run_id)) "
+       "SELECT count(*) FILTER (WHERE NOT cut AND NOT mistyped) AS good, sum(run_id) FILTER (WHERE NOT cut AND NOT mistyped)::BIGINT AS ids, count(*) FILTER (WHERE cut) AS cut_short, count(*) FILTER (WHERE mistyped) AS mistyped FROM r")
+def s5_damaged(spark, sf_dir):
+    """A folder of records of which some are cut short and some hold text where a number belongs."""
+    lines = spark.read.text(stored_runs(spark, sf_dir), pathGlobFilter="*.json", recursiveFileLookup=True)
+    run_id = F.get_json_object("value", "$.run_id").cast("bigint")
+    value = F.when(run_id % 7 == 3, F.substring("value", 1, 60)).when(run_id % 7 == 5, F.regexp_replace("value", '"elapsed_time":[^,}]*', '"elapsed_time":"soon"'))
+    path = scratch_path(spark, "damaged")
+    lines.select(F.coalesce(value, "value").alias("value")).write.text(path)
+    good = RS.read_runs(spark, path, "*.txt", lines=True, damaged="skip").agg(F.count("*").alias("good"), F.sum("run_id").alias("ids"))
+    mistyped = F.col("record").contains('"soon"')
+    bad = RS.damaged_runs(spark, path, "*.txt", lines=True).agg(F.count_if(~mistyped).alias("cut_short"), F.count_if(mistyped).alias("mistyped"))
+    return good.crossJoin(bad)
+
+
 @query("k1_write_runs", f"{HEAD} SELECT device_mode, count(*) AS runs FROM runs SEMI JOIN tasks USING (run_id) GROUP BY device_mode")
 def k1(spark, sf_dir):
     # The mode folder prunes the read; the record repeats the mode.

@@ -18,9 +18,39 @@ def _records(spark: SparkSession, path: str, schema: str, glob: str | None, line
     return reader.json(path).withColumn("_source_file", F.col("_metadata.file_name"))
 
 
-def read_runs(spark: SparkSession, path: str, glob: str | None = "cluster_benchmark_*.json", lines: bool = False) -> DataFrame:
-    """Run records tagged with the name of their file."""
-    return _records(spark, path, RUN, glob, lines)
+#: Where what is no record is kept, as it stands in its file.
+_DAMAGED = "_damaged"
+
+
+def _judged(spark: SparkSession, path: str, glob: str | None, lines: bool) -> DataFrame:
+    """``_source_file`` and ``r``, a run record or else its text. Whole records are parsed, whichever fields are read later."""
+    reader = spark.read.option("wholetext", str(not lines).lower())
+    if glob:
+        reader = reader.option("pathGlobFilter", glob).option("recursiveFileLookup", "true")
+    rows = reader.text(path).where(F.trim("value") != "")
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _DAMAGED}
+    record = F.from_json("value", f"{RUN}, {_DAMAGED} string", options)
+    return rows.select(F.col("_metadata.file_name").alias("_source_file"), record.alias("r"))
+
+
+def read_runs(spark: SparkSession, path: str, glob: str | None = "cluster_benchmark_*.json", lines: bool = False, damaged: str = "fail") -> DataFrame:
+    """Run records tagged with the name of their file.
+
+    A damaged record ends the read. With ``damaged="skip"`` the good ones of a
+    folder are read (one to a file, or to a line); :func:`damaged_runs` has the others.
+    """
+    if damaged == "fail":
+        return _records(spark, path, RUN, glob, lines)
+    if damaged != "skip":
+        raise ValueError(f"damaged records fail or skip, not {damaged!r}")
+    good = _judged(spark, path, glob, lines).where(F.col(f"r.{_DAMAGED}").isNull())
+    return good.select("r.*", "_source_file").drop(_DAMAGED)
+
+
+def damaged_runs(spark: SparkSession, path: str, glob: str | None = "cluster_benchmark_*.json", lines: bool = False) -> DataFrame:
+    """``_source_file, record``: what in a folder is no run record, or has a value of another type, as its text."""
+    bad = _judged(spark, path, glob, lines).where(F.col(f"r.{_DAMAGED}").isNotNull())
+    return bad.select("_source_file", F.col(f"r.{_DAMAGED}").alias("record"))
 
 
 def read_run_grid(spark: SparkSession, path: str, glob: str | None = "incremental_all_modes_*.json", lines: bool = False) -> DataFrame:

@@ -190,3 +190,22 @@ def test_pickup_reads_each_file_once(spark, tmp_path):
         src = jobs.stream_run_files(spark, str(landing)).select("timestamp", "_source_file")
         jobs.run_available(src, out, ckpt)
     assert sorted(r["timestamp"] for r in spark.read.parquet(out).collect()) == ["t0", "t1", "t2"]
+
+
+def test_good_rows_of_a_damaged_folder(spark, tmp_path):
+    import pytest
+
+    from scorelake.sources import runs as R
+
+    (tmp_path / "a.json").write_text('{"run_id": 1, "elapsed_time": 2.0}')
+    (tmp_path / "b.json").write_text('{"run_id": 2, "elapsed_')
+    (tmp_path / "c.json").write_text('{"run_id": 3, "elapsed_time": "soon"}')
+    path = str(tmp_path)
+    good = R.read_runs(spark, path, "*.json", damaged="skip").collect()
+    assert [(r["run_id"], r["_source_file"]) for r in good] == [(1, "a.json")]
+    bad = sorted((r["_source_file"], r["record"]) for r in R.damaged_runs(spark, path, "*.json").collect())
+    assert [f for f, _ in bad] == ["b.json", "c.json"] and "soon" in bad[1][1]
+    with pytest.raises(Exception, match="MALFORMED|FAILFAST|malformed"):
+        R.read_runs(spark, path, "*.json").collect()
+    with pytest.raises(ValueError):
+        R.read_runs(spark, path, "*.json", damaged="maybe")
