@@ -48,10 +48,7 @@ def grams_of(word: str) -> list[str]:
 @functools.cache
 def _letters() -> np.ndarray:
     """For each code point whether it is a letter of :data:`_WORD`."""
-    flags = np.zeros(sys.maxunicode + 1, dtype=bool)
-    points = [c for c in range(sys.maxunicode + 1) if not 0xD800 <= c < 0xE000]
-    flags[points] = [_WORD.match(chr(c)) is not None for c in points]
-    return flags
+    return np.fromiter((_WORD.match(chr(c)) is not None for c in range(sys.maxunicode + 1)), dtype=bool, count=sys.maxunicode + 1)
 
 
 #: Bits of a code point; a border is 0.
