@@ -23,14 +23,17 @@ _DAMAGED = "_damaged"
 
 
 def _judged(spark: SparkSession, path: str, glob: str | None, lines: bool) -> DataFrame:
-    """``_source_file`` and ``r``, a run record or else its text. Whole records are parsed, whichever fields are read later."""
+    """``_source_file``, ``r`` (a run record) and ``record`` (the text of what is none). Whole records are parsed, whichever fields are read later."""
     reader = spark.read.option("wholetext", str(not lines).lower())
     if glob:
         reader = reader.option("pathGlobFilter", glob).option("recursiveFileLookup", "true")
     rows = reader.text(path).where(F.trim("value") != "")
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _DAMAGED}
     record = F.from_json("value", f"{RUN}, {_DAMAGED} string", options)
-    return rows.select(F.col("_metadata.file_name").alias("_source_file"), record.alias("r"))
+    judged = rows.select(F.col("_metadata.file_name").alias("_source_file"), "value", record.alias("r"))
+    # A JSON null is no record either.
+    damaged = F.when(F.col("r").isNull(), F.col("value")).otherwise(F.col(f"r.{_DAMAGED}"))
+    return judged.select("_source_file", "r", damaged.alias("record"))
 
 
 def read_runs(spark: SparkSession, path: str, glob: str | None = "cluster_benchmark_*.json", lines: bool = False, damaged: str = "fail") -> DataFrame:
@@ -43,14 +46,13 @@ def read_runs(spark: SparkSession, path: str, glob: str | None = "cluster_benchm
         return _records(spark, path, RUN, glob, lines)
     if damaged != "skip":
         raise ValueError(f"damaged records fail or skip, not {damaged!r}")
-    good = _judged(spark, path, glob, lines).where(F.col(f"r.{_DAMAGED}").isNull())
+    good = _judged(spark, path, glob, lines).where(F.col("record").isNull())
     return good.select("r.*", "_source_file").drop(_DAMAGED)
 
 
 def damaged_runs(spark: SparkSession, path: str, glob: str | None = "cluster_benchmark_*.json", lines: bool = False) -> DataFrame:
     """``_source_file, record``: what in a folder is no run record, or has a value of another type, as its text."""
-    bad = _judged(spark, path, glob, lines).where(F.col(f"r.{_DAMAGED}").isNotNull())
-    return bad.select("_source_file", F.col(f"r.{_DAMAGED}").alias("record"))
+    return _judged(spark, path, glob, lines).where(F.col("record").isNotNull()).select("_source_file", "record")
 
 
 def read_run_grid(spark: SparkSession, path: str, glob: str | None = "incremental_all_modes_*.json", lines: bool = False) -> DataFrame:

@@ -200,11 +200,13 @@ def test_good_rows_of_a_damaged_folder(spark, tmp_path):
     (tmp_path / "a.json").write_text('{"run_id": 1, "elapsed_time": 2.0}')
     (tmp_path / "b.json").write_text('{"run_id": 2, "elapsed_')
     (tmp_path / "c.json").write_text('{"run_id": 3, "elapsed_time": "soon"}')
+    (tmp_path / "d.json").write_text("null")
+    (tmp_path / "e.json").write_text(" \n")
     path = str(tmp_path)
     good = R.read_runs(spark, path, "*.json", damaged="skip").collect()
     assert [(r["run_id"], r["_source_file"]) for r in good] == [(1, "a.json")]
     bad = sorted((r["_source_file"], r["record"]) for r in R.damaged_runs(spark, path, "*.json").collect())
-    assert [f for f, _ in bad] == ["b.json", "c.json"] and "soon" in bad[1][1]
+    assert [f for f, _ in bad] == ["b.json", "c.json", "d.json"] and "soon" in bad[1][1] and bad[2][1] == "null"
     with pytest.raises(Exception, match="MALFORMED|FAILFAST|malformed"):
         R.read_runs(spark, path, "*.json").collect()
     with pytest.raises(ValueError):
