@@ -18,7 +18,7 @@ from ..sources import images as IM
 from ..sources.signals import read_blobs, stream_signals
 from ..streaming import jobs as ST
 from .catalog import Catalog, rnd, rnd_sql
-from .tables import LABELS, SIGNALS, signals, table, task_signals, wide_signals
+from .tables import LABELS, SIGNALS, signals, stream_path, table, task_signals, wide_signals
 from .weights import dense_sql, formula_weights, layer_sql, norm_sql
 
 catalog = Catalog()
@@ -452,15 +452,16 @@ def m12_images(spark, sf_dir):
 
 def signal_stream(spark, sf_dir, max_files: int = 1):
     schema = spark.read.parquet(f"{sf_dir}/embeddings.parquet").schema
-    src = stream_signals(spark, sf_dir, schema, max_files, glob="embeddings.parquet")
+    src = stream_signals(spark, stream_path(sf_dir, "embeddings"), schema, max_files)
     return src.select(F.col("vec_id").alias("signal_id"), F.col("embedding").alias("features"), "label")
 
 
 @query("s11_stream_signals", f"WITH {SIGNALS} SELECT signal_id, label, len(features)::INTEGER AS dims FROM signals")
 def s11(spark, sf_dir):
     out = scratch_path(spark, "out")
-    ST.run_available(signal_stream(spark, sf_dir), out, scratch_path(spark, "checkpoint"))
-    return spark.read.parquet(out).select("signal_id", "label", F.size("features").alias("dims"))
+    arrived = signal_stream(spark, sf_dir)
+    ST.run_available(arrived, out, scratch_path(spark, "checkpoint"))
+    return spark.read.schema(arrived.schema).parquet(out).select("signal_id", "label", F.size("features").alias("dims"))
 
 
 @query("t1_score_stream", f"{HEAD} SELECT signal_id, pred, {rnd_sql('confidence', 8)} AS confidence FROM preds")

@@ -21,6 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def stream_path(sf_dir: str, name: str) -> str:
+    """The same table for a stream, be it a file or a folder of files: as a pattern, since a stream takes no plain file."""
+    return f"{sf_dir}/{name}.parque[t]"
+
+
 def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
     return e.select(F.col("vec_id").alias("signal_id"), F.col("embedding").alias("features"), F.col("label").cast("int").alias("label"))

@@ -9,7 +9,7 @@ from ..session import scratch_path
 from ..sinks import publish as PB
 from ..streaming import jobs as ST
 from .catalog import Catalog, rnd, rnd_sql
-from .tables import EXECUTORS, RUNS, TASKS, TELEMETRY, executors, runs, tasks, telemetry
+from .tables import EXECUTORS, RUNS, TASKS, TELEMETRY, executors, runs, stream_path, tasks, telemetry
 
 catalog = Catalog()
 query = catalog.query
@@ -87,8 +87,9 @@ def j6(spark, sf_dir):
 
 
 def event_stream(spark, sf_dir):
+    """The table as one micro-batch, however many files it has: their order must not make rows late."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    src = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").option("maxFilesPerTrigger", 1).parquet(sf_dir)
+    src = spark.readStream.schema(schema).parquet(stream_path(sf_dir, "events"))
     return src.select(
         "event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("executor_id"), F.col("event_type").alias("metric"), "value", "props"
     )

@@ -70,3 +70,18 @@ def test_dashboard_windows_close_once(spark):
     found = [(r[2], r[3]) for r in run_files(spark, files, make, (1,))]
     # "c" came for a window that the first run had closed.
     assert sorted(found) == [("a", 2), ("b", 1)]
+
+
+def test_streams_read_tables_of_many_files(spark):
+    from scorelake.plans import scoring as SP
+
+    src = scratch_path(spark, "tables")
+    vectors = [(i, [float(i == k) for k in range(3)], i % 2) for i in range(30)]
+    spark.createDataFrame(vectors, "vec_id bigint, embedding array<float>, label int").repartition(3).write.parquet(f"{src}/embeddings.parquet")
+    events = [(i, START + dt.timedelta(hours=(i * 7) % 40), i % 3, "view", 1.0, None) for i in range(40)]
+    spark.createDataFrame(events, "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string").repartition(4).write.parquet(f"{src}/events.parquet")
+    assert sorted(r.signal_id for r in SP.s11(spark, src).collect()) == list(range(30))
+    assert SP.t1(spark, src).count() == 30
+    assert sum(r.predictions for r in SP.t2(spark, src).collect()) == 30
+    # No file makes the rows of another late.
+    assert sum(r.n for r in P.t3(spark, src).collect()) == sum(e[1] < START + dt.timedelta(hours=39) for e in events)
