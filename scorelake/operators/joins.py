@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -79,7 +81,7 @@ def with_band(df: DataFrame, col: str, bands: list[tuple[float | None, str]], ou
 _CELL_BITS = 50
 
 
-def in_bands(df: DataFrame, col: str, bands: DataFrame, low: str = "low", high: str = "high") -> DataFrame:
+def in_bands(df: DataFrame, col: str, bands: DataFrame, low: str = "low", high: str = "high", by: list[str] | None = None) -> DataFrame:
     """Rows of ``df`` beside every row of ``bands`` with ``low <= col < high``: a join with a table of intervals.
 
     A missing limit is none; bands may overlap, and empty ones hold nothing. Each
@@ -87,12 +89,18 @@ def in_bands(df: DataFrame, col: str, bands: DataFrame, low: str = "low", high:
     to the next power of two. A value looks into its cell of each grid that has a
     band, so the join is by (grid, cell) with the limits checked after it, never
     a product. Columns of both sides; null and NaN values match nothing.
+
+    Pairs are as many as values times bands that hold them. With ``by``, columns
+    of ``bands``, they are counted and summed without being built: ``by``, ``n``
+    and ``total`` (of ``col``) for each ``by`` that has a pair, at the cost of a sort.
     """
     taken = set(df.columns) & set(bands.columns)
     if taken:
         raise ValueError(f"columns on both sides: {sorted(taken)}")
     value = F.col(col).cast("double")
     rows = df.where(value.isNotNull() & ~F.isnan(value))
+    if by is not None:
+        return _band_totals(rows.select(value.alias("_at")), bands, low, high, by)
     least, most = rows.agg(F.min(value), F.max(value)).first()
     if least is None:
         least = most = 0.0
@@ -117,6 +125,30 @@ def in_bands(df: DataFrame, col: str, bands: DataFrame, low: str = "low", high:
     return asked.join(placed, ["_grid", "_cell"]).where(inside).drop("_grid", "_cell")
 
 
+def _band_totals(values: DataFrame, bands: DataFrame, low: str, high: str, by: list[str]) -> DataFrame:
+    """What stands before a band's end less what stands before its start, on one sorted line of values and limits.
+
+    Sums run from zero outwards, negative values in a pass of their own, so no
+    sum holds values greater than those of the band it is taken for.
+    """
+    lo, hi = F.col(low).cast("double"), F.col(high).cast("double")
+    limits = [F.struct(F.coalesce(lo, F.lit(float("-inf"))).alias("_at"), F.lit(-1).alias("_sign")), F.struct(F.coalesce(hi, F.lit(float("nan"))).alias("_at"), F.lit(1).alias("_sign"))]
+    # Empty and reversed bands hold nothing. A limit stands before the values that equal it.
+    held = bands.where(lo.isNull() | hi.isNull() | (lo < hi)).select(*by, F.explode(F.array(*limits)).alias("_edge"))
+    edges = held.select(*by, "_edge.*", F.lit(0).alias("_side"), F.lit(None).cast("double").alias("_value"))
+    # The last column deals a value that many rows share over several segments.
+    placed = values.select("_at", F.lit(0).alias("_sign"), F.lit(1).alias("_side"), F.col("_at").alias("_value"))
+    side, line = [F.col("_at"), F.col("_side"), F.col("_tie")], placed.unionByName(edges, allowMissingColumns=True).select(*by, "_sign", "_side", "_value", F.when(F.col("_at") == 0, F.lit(0.0)).otherwise(F.col("_at")).alias("_at"), F.monotonically_increasing_id().alias("_tie"))
+    upward = running_before(line.where("_side = 0 OR _value >= 0"), [], side, "_value")
+    parts = [upward.where("_side = 0").select(*by, "_sign", "prev_n", "prev_sum")]
+    if values.where("_at < 0").limit(1).count():
+        downward = running_before(line.where("_side = 0 OR _value < 0"), [], [c.desc() for c in side], "_value")
+        parts.append(downward.where("_side = 0").select(*by, (-F.col("_sign")).alias("_sign"), "prev_n", "prev_sum"))
+    signed = reduce(DataFrame.unionByName, parts).groupBy(*by)
+    out = signed.agg(F.sum(F.col("_sign") * F.col("prev_n")).alias("n"), F.sum(F.col("_sign") * F.coalesce("prev_sum", F.lit(0.0))).alias("total"))
+    return out.where("n > 0")
+
+
 def with_batches(df: DataFrame, order: list[Column], batch_size: int, keys: list[str] | None = None) -> DataFrame:
     """Add ``row_idx`` and ``batch_idx`` (rows ``[k*bs, (k+1)*bs)``)."""
     indexed = with_row_index(df, order, keys)

@@ -126,8 +126,8 @@ def j6_table(spark, sf_dir):
     """Bands as a table, one for each order: overlapping, of many widths."""
     low = F.col("o_totalprice") / 5
     bands = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("band_id"), low.alias("low"), (low * (1 + (F.col("o_custkey") % 50) / F.lit(10000.0))).alias("high"))
-    found = J.in_bands(tasks(spark, sf_dir).select("inference_time"), "inference_time", bands)
-    return found.groupBy("band_id").agg(F.count("*").alias("tasks"), rnd(F.sum("inference_time"), 2).alias("total_time"))
+    found = J.in_bands(tasks(spark, sf_dir).select("inference_time"), "inference_time", bands, by=["band_id"])
+    return found.select("band_id", F.col("n").alias("tasks"), rnd("total", 2).alias("total_time"))
 
 
 @query("j7_align_batches", f"""{HEAD}, sizes AS (SELECT model_id, sum(samples)::BIGINT AS n_rows FROM tasks GROUP BY model_id),

@@ -84,6 +84,29 @@ def test_bands_from_a_table(spark, capfd):
     assert in_bands(df, "v", table.limit(0)).count() == in_bands(df.limit(0), "v", table).count() == 0
 
 
+def test_bands_are_counted_without_their_pairs(spark):
+    """The same figures as those of the pairs; and bands whose pairs are too many to build."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from scorelake.operators.joins import in_bands
+
+    rng = random.Random(5)
+    bands = [(i % 250, x := rng.uniform(-50, 50), x + 2.0 ** rng.randint(-40, 6)) for i in range(300)]
+    bands += [(900, None, 0.0), (901, 10.0, None), (902, None, None), (903, 5.0, 5.0), (904, 6.0, 2.0), (905, 1e300, 1e301), (906, 7.0, 7.0 + 1e-12), (907, -1e9, 1e9), (None, 0.0, 3.0), (908, -0.0, 1.0)]
+    values = [rng.uniform(-60, 60) for _ in range(400)] + [7.0] * 300 + [None, float("nan"), 0.0, -0.0, 10.0, 1e18, -1e18]
+    df, table = spark.createDataFrame([(v,) for v in values], "v double"), spark.createDataFrame(bands, "band int, low double, high double")
+    pairs = {r["band"]: (r["n"], r["s"]) for r in in_bands(df, "v", table).groupBy("band").agg(F.count("*").alias("n"), F.sum("v").alias("s")).collect()}
+    found = {r["band"]: (r["n"], r["total"]) for r in in_bands(df, "v", table, by=["band"]).collect()}
+    assert {b: n for b, (n, _) in found.items()} == {b: n for b, (n, _) in pairs.items()}
+    # The great values are in bands 901, 902 and those without them only.
+    assert all(abs(found[b][1] - s) <= 1e-9 * max(1, abs(s)) for b, (_, s) in pairs.items() if b not in (900, 902))
+    assert in_bands(df, "v", table.limit(0), by=["band"]).count() == in_bands(df.limit(0), "v", table, by=["band"]).count() == 0
+    many = in_bands(spark.range(200_000).select((F.col("id") % 1000).cast("double").alias("v")), "v", spark.range(100_000).selectExpr("id AS band", "0.0 AS low", "1e6 AS high"), by=["band"])
+    assert many.agg(F.sum("n")).first()[0] == 20_000_000_000
+
+
 def test_a_hundred_thousand_bands_meet_by_cell(spark, capfd):
     from pyspark.sql import functions as F
 
