@@ -41,6 +41,15 @@ _SLACK = 1e-6
 def _top(sims: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids and similarities of the k best columns per row, ties to the lowest id."""
     k = min(k, sims.shape[1])
+    if k < sims.shape[1]:
+        # Only what reaches a row's k-th value is sorted: the k best, and what ties with the last of them.
+        floor = np.partition(sims, sims.shape[1] - k, axis=1)[:, -k]
+        rows, cols = np.nonzero(sims >= floor[:, None])
+        value, found = sims[rows, cols], ids[cols]
+        order = np.lexsort((found, -value, rows))
+        starts = np.searchsorted(rows, np.arange(len(sims)))
+        best = order[(starts[:, None] + np.arange(k)[None, :]).ravel()].reshape(-1, k)
+        return found[best], value[best]
     order = np.lexsort((np.broadcast_to(ids, sims.shape), -sims), axis=1)[:, :k]
     return ids[order], np.take_along_axis(sims, order, axis=1)
 
@@ -169,6 +178,8 @@ def _visit(asked, stock, k, query_id, gallery_id, col, skip_self) -> DataFrame:
 TABLES, PROBES, BUCKET_ROWS = 6, 32, 256
 #: Bits of a hash at most; a table's number stands above them in a bucket's number.
 _MAX_BITS = 40
+#: Rows hashed at a time, and rows (with their vectors) sent on at a time.
+_HASHED_ROWS, _SENT_ROWS = 256, 2048
 
 
 def _planes(width: int, tables: int, bits: int) -> np.ndarray:
@@ -200,7 +211,7 @@ def _hashed(df: DataFrame, id_col: str, col: str, width: int, tables: int, bits:
     weights = 1 << np.arange(bits, dtype=np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(at, _HASHED_ROWS) for whole in batches for at in range(0, whole.num_rows, _HASHED_ROWS)):
             x = _matrix(batch.column(1), width, "float64")
             along = (x @ planes.value).reshape(len(x), tables, bits)
             codes = (along > 0) @ weights + (np.arange(tables, dtype=np.int64) << _MAX_BITS)
@@ -210,8 +221,10 @@ def _hashed(df: DataFrame, id_col: str, col: str, width: int, tables: int, bits:
                 found = [[c ^ m for m in probe_order(a, probes)] for code, near in zip(codes.tolist(), np.abs(along), strict=True) for c, a in zip(code, near, strict=True)]
                 rows = np.repeat(np.repeat(np.arange(len(x)), tables), [len(f) for f in found])
                 cells = np.array([c for f in found for c in f], dtype=np.int64)
-            at = pa.array(rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(cells, pa.int64())], [id_col, col, "cell"])
+            # A row's vector goes out once for each of its buckets: a few of them at a time.
+            for first in range(0, len(rows), _SENT_ROWS):
+                at = pa.array(rows[first : first + _SENT_ROWS])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(cells[first : first + _SENT_ROWS], pa.int64())], [id_col, col, "cell"])
 
     return df.mapInArrow(run, f"{id_col} bigint, {col} array<double>, cell bigint")
 

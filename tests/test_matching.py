@@ -116,3 +116,29 @@ def test_recall_counts_what_was_found(spark):
     row = M.match_recall(exact.where("gallery_id <> 6"), exact).first()
     assert (row["n"], row["n_found"], row["recall"]) == (4, 3, 0.75)
     assert M.match_recall(exact, exact.limit(0)).first()["recall"] == 0.0
+
+
+def test_copies_of_a_vector_leave_the_hashing_a_few_at_a_time(spark):
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    df = spark.range(600, numPartitions=1).select(F.col("id").alias("signal_id"), F.transform(F.sequence(F.lit(1), F.lit(16)), lambda i: F.sin(F.col("id") * i)).alias("features"))
+    hashed = M._hashed(df, "signal_id", "features", 16, 6, 10, 32)
+    assert hashed.count() == 600 * 6 * 32
+    plain = type("Plain", (), {"sparkSession": spark, "mapInArrow": lambda self, run, schema: run})()
+    run = M._hashed(plain, "signal_id", "features", 16, 6, 10, 32)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(600), pa.int64()), pa.array([[float(i + k) for k in range(16)] for i in range(600)], pa.list_(pa.float64()))], names=["signal_id", "features"])
+    made = [b.num_rows for b in run([batch])]
+    assert sum(made) == 600 * 6 * 32 and max(made) <= 2048
+
+
+def test_the_best_of_a_row_with_ties_as_by_a_full_sort():
+    rng = np.random.default_rng(3)
+    ids = rng.permutation(60)
+    for k in (1, 2, 5, 59, 60, 90):
+        sims = rng.integers(0, 6, (40, 60)) / 5.0
+        sims[::3, ::4] = -np.inf
+        sims[5] = -np.inf
+        order = np.lexsort((np.broadcast_to(ids, sims.shape), -sims), axis=1)[:, :k]
+        found, value = M._top(sims, ids, k)
+        assert (found == ids[order]).all() and (value == np.take_along_axis(sims, order, axis=1)).all()
