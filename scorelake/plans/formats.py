@@ -31,35 +31,48 @@ def run_records(spark, sf_dir):
     seven) and one sample count per device class (three), so records stay small
     however many tasks a run has. Runs with status P use the nested task shape."""
     t = tasks(spark, sf_dir)
-    parts = t.groupBy("run_id", "partition_idx").agg(
-        F.sum("samples").alias("n"), F.sum("inference_time").alias("secs"), F.min("device").alias("device"), F.min("load_time").alias("load")
-    )
-    host = F.concat(F.lit("host"), F.col("partition_idx").cast("string"))
-    flat = F.struct(
-        "partition_idx", F.concat(host, F.lit("_1")).alias("executor_id"), host.alias("hostname"), "device",
-        F.col("load").alias("model_load_time_sec"), F.col("secs").alias("inference_time_sec"), F.col("n").alias("samples_processed"),
-    )
-    nested = F.struct(
-        "partition_idx", F.struct(F.concat(host, F.lit(":1")).alias("id"), host.alias("hostname"), "device").alias("executor"),
-        F.struct(F.col("load").alias("model_load_time_sec"), F.col("secs").alias("total_inference_time_sec")).alias("timing"),
-        F.col("n").alias("total_samples_processed"),
-    )
-    lists = parts.groupBy("run_id").agg(F.collect_list(flat).alias("flat"), F.collect_list(nested).alias("nested"), F.sum("n").alias("total_samples_processed"))
-    counts = t.groupBy("run_id", "device").agg(F.sum("samples").alias("n"))
-    maps = counts.groupBy("run_id").agg(F.map_from_entries(F.collect_list(F.struct("device", "n"))).alias("per_model_processed"))
-    joined = runs(spark, sf_dir).join(lists, "run_id").join(maps, "run_id")
+    # What crosses the network are bare figures; records are put together behind it.
+    cells = t.groupBy("run_id", "partition_idx", "device").agg(F.sum("samples").alias("n"), F.sum("inference_time").alias("secs"), F.min("load_time").alias("load"))
+    own = cells.groupBy("run_id").agg(F.collect_list(F.struct("partition_idx", "device", "n", "secs", "load")).alias("cells"))
+
+    def total(rows, field: str):
+        """The sum, null where there is no value."""
+        return F.aggregate(rows, F.lit(None).cast(cells.schema[field].dataType), lambda acc, c: F.coalesce(acc + c[field], acc, c[field]))
+
+    def each(key: str, fold):
+        """``fold`` of every value of ``key`` and the run's cells that have it."""
+        distinct = F.array_distinct(F.transform("cells", lambda c: c[key]))
+        return F.transform(distinct, lambda v: fold(v, F.filter("cells", lambda c: c[key].eqNullSafe(v))))
+
+    parts = each("partition_idx", lambda v, rows: F.struct(
+        v.alias("partition_idx"), total(rows, "n").alias("n"), total(rows, "secs").alias("secs"),
+        F.array_min(F.transform(rows, lambda c: c["device"])).alias("device"), F.array_min(F.transform(rows, lambda c: c["load"])).alias("load"),
+    ))
+    maps = F.map_from_entries(each("device", lambda v, rows: F.struct(v.alias("device"), total(rows, "n").alias("n"))))
+    own = own.select("run_id", parts.alias("parts"), total(F.col("cells"), "n").alias("total_samples_processed"), maps.alias("per_model_processed"))
+    host = lambda p: F.concat(F.lit("host"), p["partition_idx"].cast("string"))
+    flat = F.transform("parts", lambda p: F.struct(
+        p["partition_idx"].alias("partition_idx"), F.concat(host(p), F.lit("_1")).alias("executor_id"), host(p).alias("hostname"), p["device"].alias("device"),
+        p["load"].alias("model_load_time_sec"), p["secs"].alias("inference_time_sec"), p["n"].alias("samples_processed"),
+    ))
+    nested = F.transform("parts", lambda p: F.struct(
+        p["partition_idx"].alias("partition_idx"), F.struct(F.concat(host(p), F.lit(":1")).alias("id"), host(p).alias("hostname"), p["device"].alias("device")).alias("executor"),
+        F.struct(p["load"].alias("model_load_time_sec"), p["secs"].alias("total_inference_time_sec")).alias("timing"),
+        p["n"].alias("total_samples_processed"),
+    ))
+    joined = runs(spark, sf_dir).join(own, "run_id")
     kind = StructType.fromDDL(RUN)["partition_details"].dataType
     wide = lambda c: F.from_json(F.to_json(c), kind)
     return joined.select(
         "run_id", F.col("device_mode").alias("mode"), "device_mode", "elapsed_time", "total_samples_processed", "per_model_processed",
         F.date_format("run_ts", "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"), "status", "error",
-        F.when(F.col("status") == "P", wide("nested")).otherwise(wide("flat")).alias("partition_details"),
+        F.when(F.col("status") == "P", wide(nested)).otherwise(wide(flat)).alias("partition_details"),
     )
 
 
-def stored_runs(spark, sf_dir) -> str:
+def stored_runs(spark, sf_dir, **kwargs) -> str:
     path = scratch_path(spark, "runs")
-    write_runs(run_records(spark, sf_dir), path)
+    write_runs(run_records(spark, sf_dir), path, **kwargs)
     return path
 
 
@@ -75,14 +88,14 @@ def s5(spark, sf_dir):
        "SELECT count(*) FILTER (WHERE NOT cut AND NOT mistyped) AS good, sum(run_id) FILTER (WHERE NOT cut AND NOT mistyped)::BIGINT AS ids, count(*) FILTER (WHERE cut) AS cut_short, count(*) FILTER (WHERE mistyped) AS mistyped FROM r")
 def s5_damaged(spark, sf_dir):
     """A folder of records of which some are cut short and some hold text where a number belongs."""
-    lines = spark.read.text(stored_runs(spark, sf_dir), pathGlobFilter="*.json", recursiveFileLookup=True)
+    lines = spark.read.text(stored_runs(spark, sf_dir, compression="gzip"), pathGlobFilter="*.json.gz", recursiveFileLookup=True)
     run_id = F.get_json_object("value", "$.run_id").cast("bigint")
     value = F.when(run_id % 7 == 3, F.substring("value", 1, 60)).when(run_id % 7 == 5, F.regexp_replace("value", '"elapsed_time":[^,}]*', '"elapsed_time":"soon"'))
     path = scratch_path(spark, "damaged")
-    lines.select(F.coalesce(value, "value").alias("value")).write.text(path)
-    good = RS.read_runs(spark, path, "*.txt", lines=True, damaged="skip").agg(F.count("*").alias("good"), F.sum("run_id").alias("ids"))
+    lines.select(F.coalesce(value, "value").alias("value")).write.text(path, compression="gzip")
+    good = RS.read_runs(spark, path, "*.txt.gz", lines=True, damaged="skip").agg(F.count("*").alias("good"), F.sum("run_id").alias("ids"))
     mistyped = F.col("record").contains('"soon"')
-    bad = RS.damaged_runs(spark, path, "*.txt", lines=True).agg(F.count_if(~mistyped).alias("cut_short"), F.count_if(mistyped).alias("mistyped"))
+    bad = RS.damaged_runs(spark, path, "*.txt.gz", lines=True).agg(F.count_if(~mistyped).alias("cut_short"), F.count_if(mistyped).alias("mistyped"))
     return good.crossJoin(bad)
 
 
@@ -199,7 +212,7 @@ def s14_health(spark, sf_dir):
     shuffled = F.struct(n.alias("Local Bytes Read"), (2 * n).alias("Remote Bytes Read")).alias("Shuffle Read Metrics")
     metrics = F.struct((n % 7).alias("JVM GC Time"), shuffled, F.struct((3 * n).alias("Shuffle Bytes Written")).alias("Shuffle Write Metrics"))
     path = scratch_path(spark, "eventlog")
-    t.select(F.lit("SparkListenerTaskEnd").alias("Event"), F.col("run_id").cast("int").alias("Stage ID"), info.alias("Task Info"), metrics.alias("Task Metrics")).write.json(path)
+    t.select(F.lit("SparkListenerTaskEnd").alias("Event"), F.col("run_id").cast("int").alias("Stage ID"), info.alias("Task Info"), metrics.alias("Task Metrics")).write.json(path, compression="gzip")
     out = run_health(ST.read_event_log(spark, path)["tasks"], ["stage_id"])
     return out.select(F.col("stage_id").cast("long").alias("run_id"), rnd("skew", 6).alias("skew"), rnd("gc_share", 6).alias("gc_share"), "failed_tasks", "has_shuffle")
 
@@ -309,8 +322,8 @@ def _pickup(spark, sf_dir):
     landing, out, checkpoint = (scratch_path(spark, n) for n in ("landing", "out", "checkpoint"))
     records = run_records(spark, sf_dir)
     for late in (False, True):
-        write_runs(records.where((F.col("status") == "P") == late), landing)
-        src = jobs.stream_run_files(spark, landing, lines=True)
+        write_runs(records.where((F.col("status") == "P") == late), landing, compression="gzip")
+        src = jobs.stream_run_files(spark, landing, "*.json.gz", lines=True)
         src = src.select("run_id", "status", "_source_file", F.size("partition_details").alias("tasks"), F.size("per_model_processed").alias("models"))
         jobs.run_available(src, out, checkpoint)
     return spark.read.parquet(out)

@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def write_runs(df: DataFrame, path: str, mode_col: str = "device_mode") -> None:
+def write_runs(df: DataFrame, path: str, mode_col: str = "device_mode", compression: str = "none") -> None:
     """Append run records as JSON, one folder per mode. The mode stays in the
-    record too, so a file can be read on its own."""
-    df.withColumn("mode_dir", F.col(mode_col)).write.mode("append").partitionBy("mode_dir").json(path)
+    record too, so a file can be read on its own. Compressed files' names end
+    as their codec's do (``.json.gz``)."""
+    df.withColumn("mode_dir", F.col(mode_col)).write.mode("append").partitionBy("mode_dir").option("compression", compression).json(path)
 
 
 def archive(df: DataFrame, path: str, ts: str | Column, fmt: str = "parquet", grain: str = "yyyyMMdd") -> None:

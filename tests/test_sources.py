@@ -211,3 +211,35 @@ def test_good_rows_of_a_damaged_folder(spark, tmp_path):
         R.read_runs(spark, path, "*.json").collect()
     with pytest.raises(ValueError):
         R.read_runs(spark, path, "*.json", damaged="maybe")
+
+
+def test_run_records_cross_the_network_as_figures_and_are_stored_compressed(spark, capfd):
+    import datetime as dt
+    import os
+
+    from pyspark.sql import functions as F
+
+    from scorelake.plans import formats as P
+    from scorelake.session import scratch_path
+
+    src = scratch_path(spark, "tables")
+    lines = [(r, p, s, 1, float(q), 10.0 * q + p, 0.01, 0.02 * p, "ANR"[q % 3], "O", dt.datetime(2024, 1, 1)) for r in range(12) for p in range(1, 4) for q in range(4) for s in (1, 2) if r != 5]
+    spark.createDataFrame(lines, "l_orderkey bigint, l_linenumber int, l_suppkey bigint, l_partkey bigint, l_quantity double, l_extendedprice double, l_discount double, l_tax double, "
+                          "l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz").write.parquet(f"{src}/lineitem.parquet")
+    orders = [(r, "5-LOW", "FOP"[r % 3], 10.0, dt.datetime(2024, 1, 1)) for r in range(12)]
+    spark.createDataFrame(orders, "o_orderkey bigint, o_orderpriority string, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz").write.parquet(f"{src}/orders.parquet")
+    records = P.run_records(spark, src)
+    rows = {r.run_id: r for r in records.collect()}
+    assert sorted(rows) == [r for r in range(12) if r != 5]
+    assert rows[0].total_samples_processed == 36 and dict(rows[0].per_model_processed) == {"A": 18, "N": 6, "R": 12}
+    assert [(t.partition_idx, t.samples_processed, t.device, t.inference_time_sec) for t in sorted(rows[0].partition_details, key=lambda t: t.partition_idx)] == [(p, 12, "A", 120.0 + 8 * p) for p in (1, 2, 3)]
+    assert [(t.executor.id, t.total_samples_processed) for t in sorted(rows[2].partition_details, key=lambda t: t.partition_idx)] == [(f"host{p}:1", 12) for p in (1, 2, 3)]
+    capfd.readouterr()
+    P.run_records(spark, src).explain()
+    plan = capfd.readouterr().out
+    # Figures once by cell and once by run, beside the runs; tasks are read once.
+    assert plan.count("Exchange") <= 4 and plan.count("struct<l_orderkey") == 1
+    path = P.stored_runs(spark, src, compression="gzip")
+    files = [f for _, _, names in os.walk(path) for f in names if f.startswith("part-")]
+    assert files and all(f.endswith(".json.gz") for f in files)
+    assert tuple(P.s5_damaged(spark, src).first()) == (9, 48, 2, 0)
