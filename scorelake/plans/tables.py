@@ -5,10 +5,13 @@ Each view has a DataFrame form and an SQL form for the comparison queries.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
 HALF = 32  # in-phase values per test vector; the rest is quadrature
 MODES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 BASELINE_MODE = "5-LOW"
@@ -36,10 +39,19 @@ def wide_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signals(spark, sf_dir).withColumn("features", F.concat("features", F.reverse("features")))
 
 
+#: Blocks of vectors on either side of :func:`task_signals` at least, and vectors of a block at most (about).
+SIDE_BLOCKS, SIDE_VECTORS = 8, 65536
+
+
 def task_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One 128-value signal per task: the vector its model maps to in phase, the
-    one its executor maps to in quadrature. AQE picks both join strategies."""
-    e = table(spark, sf_dir, "embeddings")
+    one its executor maps to in quadrature.
+
+    Vectors never travel with tasks: a grid of blocks has a column for each part
+    of the models' vectors and a row for each part of the executors'. Each vector
+    goes to the blocks of its column or row, each task as bare keys to its one block.
+    """
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     n = e.agg(F.count(F.lit(1))).scalar()
     t = table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("run_id"),
@@ -47,10 +59,61 @@ def task_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.pmod("l_partkey", n).alias("_i"),
         F.pmod("l_suppkey", n).alias("_q"),
     )
-    i = e.select(F.col("vec_id").alias("_i"), F.col("embedding").alias("_iv"))
-    q = e.select(F.col("vec_id").alias("_q"), F.col("embedding").alias("_qv"))
-    joined = t.join(i, "_i").join(q, "_q")
-    return joined.select("run_id", "executor_id", F.concat("_iv", "_qv").alias("features"))
+    side = F.greatest(F.lit(SIDE_BLOCKS), F.ceil(e.agg(F.count(F.lit(1)) / SIDE_VECTORS).scalar())).cast("int")
+    part = lambda c: F.pmod(F.xxhash64(F.col(c).cast("bigint")), side).cast("int")
+    none = lambda kind: F.lit(None).cast(kind)
+    kinds = dict(t.dtypes)
+    wanted = t.where("_i IS NOT NULL AND _q IS NOT NULL").select((part("_i") * side + part("_q")).alias("_block"), F.lit(2).alias("_kind"), "run_id", "executor_id",
+                                                                 F.col("_i").cast("bigint").alias("_i"), F.col("_q").cast("bigint").alias("_q"), none("array<float>").alias("_v"))
+    other = F.explode(F.sequence(F.lit(0), side - 1)).alias("_other")
+    known = e.where("vec_id IS NOT NULL").select("vec_id", "embedding", part("vec_id").alias("_own"), other)
+    for kind, block in enumerate([F.col("_own") * side + F.col("_other"), F.col("_other") * side + F.col("_own")]):
+        wanted = wanted.unionByName(known.select(block.alias("_block"), F.lit(kind).alias("_kind"), none(kinds["run_id"]).alias("run_id"), none(kinds["executor_id"]).alias("executor_id"),
+                                                 F.col("vec_id").cast("bigint").alias("_i"), none("bigint").alias("_q"), F.col("embedding").cast("array<float>").alias("_v")))
+    dealt = wanted.repartition("_block").sortWithinPartitions("_block", "_kind")
+    met = dealt.mapInArrow(_attach, f"run_id {kinds['run_id']}, executor_id {kinds['executor_id']}, _iv array<float>, _qv array<float>")
+    return met.select("run_id", "executor_id", F.concat("_iv", "_qv").alias("features"))
+
+
+def _attach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Tasks with their vectors. Of each block, both sides' vectors (kinds 0 and 1) stand before its tasks (2)."""
+    sides: list = [[], []]
+    stock: list = [None, None]
+    at = None
+    for batch in batches:
+        block, kind = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        cuts = np.flatnonzero((block[1:] != block[:-1]) | (kind[1:] != kind[:-1])) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(block)], strict=True):
+            if a == b:
+                continue
+            if block[a] != at:
+                at, sides, stock = block[a], [[], []], [None, None]
+            rows = batch.slice(a, b - a)
+            if kind[a] < 2:
+                sides[kind[a]].append((rows.column(4), rows.column(6)))
+                continue
+            for s in range(2):
+                if stock[s] is None and sides[s]:
+                    ids = pa.concat_arrays([x for x, _ in sides[s]]).to_numpy()
+                    order = np.argsort(ids, kind="stable")
+                    stock[s] = ids[order], pa.concat_arrays([v for _, v in sides[s]]).take(pa.array(order))
+                    sides[s] = []
+            if stock[0] is None or stock[1] is None:
+                continue
+            for first in range(0, len(rows), 4096):
+                few = rows.slice(first, 4096)
+                task, found = np.arange(len(few)), []
+                # An id that several vectors have gives a row for each, as in a join.
+                for s in range(2):
+                    ids = few.column(4 + s).to_numpy()[task]
+                    low, high = (np.searchsorted(stock[s][0], ids, side=x) for x in ("left", "right"))
+                    times = high - low
+                    ends = np.cumsum(times)
+                    found = [f.repeat(times) for f in found] + [np.arange(ends[-1] if len(ends) else 0) - (ends - times).repeat(times) + low.repeat(times)]
+                    task = task.repeat(times)
+                if len(task):
+                    own = pa.array(task)
+                    yield pa.RecordBatch.from_arrays([few.column(2).take(own), few.column(3).take(own), *[stock[s][1].take(pa.array(found[s])) for s in range(2)]], names=["run_id", "executor_id", "_iv", "_qv"])
 
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -165,3 +165,26 @@ def test_a_stream_broadcasts_its_weights_once(spark, signals, classifier, tmp_pa
     query.awaitTermination()
     assert query.lastProgress["batchId"] >= 4 and made == [1]
     assert spark.read.parquet(str(tmp_path / "out")).where("task is null").count() == signals.count()
+
+
+def test_task_signals_are_those_of_two_joins(spark, capfd):
+    """Repeated, missing and null ids and vectors; vectors don't travel with the tasks."""
+    from pyspark.sql import functions as F
+
+    from scorelake.plans import tables as T
+    from scorelake.session import scratch_path
+
+    src = scratch_path(spark, "tables")
+    vectors = [(i, [float(i), 0.5]) for i in range(30)] + [(3, [9.0, 9.0]), (7, None), (None, [1.0, 1.0]), (90, [None, 2.0])]
+    spark.createDataFrame(vectors, "vec_id bigint, embedding array<float>").write.parquet(f"{src}/embeddings.parquet")
+    tasks = [(r, r % 11, r % 37) for r in range(400)] + [(1, None, 2), (2, 2, None), (None, 3, 3)]
+    spark.createDataFrame(tasks, "l_orderkey bigint, l_suppkey bigint, l_partkey bigint").repartition(5).write.parquet(f"{src}/lineitem.parquet")
+    e, n = T.table(spark, src, "embeddings"), len(vectors)
+    t = T.table(spark, src, "lineitem").select(F.col("l_orderkey").alias("run_id"), F.col("l_suppkey").alias("executor_id"), F.pmod("l_partkey", F.lit(n)).alias("_i"), F.pmod("l_suppkey", F.lit(n)).alias("_q"))
+    joined = t.join(e.selectExpr("vec_id _i", "embedding a"), "_i").join(e.selectExpr("vec_id _q", "embedding b"), "_q").select("run_id", "executor_id", F.concat("a", "b").alias("features"))
+    rows = lambda df: sorted(map(repr, df.collect()))
+    found = T.task_signals(spark, src)
+    assert rows(found) == rows(joined) and found.schema["features"].dataType == joined.schema["features"].dataType
+    capfd.readouterr()
+    T.task_signals(spark, src).explain()
+    assert "Join" not in capfd.readouterr().out
