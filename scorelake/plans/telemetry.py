@@ -146,7 +146,8 @@ def in_files(spark, sf_dir, make, sink=None):
     events, src, out, checkpoint = events.withColumn("batch", batch), *(scratch_path(spark, n) for n in ("files", "out", "checkpoint"))
     for at in range(FILES + 1):
         # One file each, written one after the other: the source takes them in the order of their times.
-        events.where(F.col("batch") == at).drop("batch").coalesce(1).write.parquet(f"{src}/batch={at}")
+        # Rows are picked by many tasks, and short row groups let many tasks read a file.
+        events.where(F.col("batch") == at).drop("batch").repartition(1).write.option("parquet.block.size", 2 << 20).parquet(f"{src}/batch={at}")
         if at + 1 in (HALT, FILES + 1):
             stream = spark.readStream.schema(events.drop("batch").schema).option("maxFilesPerTrigger", 1).parquet(f"{src}/batch=*")
             df = make(stream.select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("executor_id"), F.col("event_type").alias("metric"), "value", "props"))

@@ -64,7 +64,10 @@ _SPELLS = "start timestamp, last timestamp, beats bigint"
 
 
 class _Silence(StatefulProcessor):
-    """Open spells of one executor, each with a timer at the moment it counts as silent."""
+    """Open spells of one executor, and one timer at the moment the first of them counts as silent.
+
+    Every call of the state store or of a timer costs a trip to the JVM, so each is made once for a key.
+    """
 
     def __init__(self, gap_ms: int, ts: str, names: list[str]) -> None:
         self.gap, self.ts, self.names = pd.Timedelta(milliseconds=gap_ms), ts, names
@@ -79,7 +82,10 @@ class _Silence(StatefulProcessor):
         return -(-micros // 1000)
 
     def _known(self) -> list[list]:
-        return [[pd.Timestamp(s), pd.Timestamp(e), n] for s, e, n in self.spells.get()] if self.spells.exists() else []
+        return [[pd.Timestamp(s), pd.Timestamp(e), n] for s, e, n in self.spells.get()]
+
+    def _first(self, spells: list[list]) -> int | None:
+        return min((self._due(last) for _, last, _ in spells), default=None)
 
     def _keep(self, spells: list[list]) -> None:
         if spells:
@@ -90,24 +96,30 @@ class _Silence(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         late = pd.Timestamp(timerValues.getCurrentWatermarkInMs(), unit="ms")
         times = [t for frame in rows for t in pd.to_datetime(frame[self.ts]) if t > late]
-        spells = sorted([*self._known(), *[[t, t, 1] for t in times]], key=lambda x: x[0])
+        known = self._known()
+        spells = sorted([*known, *[[t, t, 1] for t in times]], key=lambda x: x[0])
         merged: list[list] = []
         for start, last, beats in spells:
             if merged and start < merged[-1][1] + self.gap:
                 merged[-1][1], merged[-1][2] = max(merged[-1][1], last), merged[-1][2] + beats
             else:
                 merged.append([start, last, beats])
-        for timer in self.handle.listTimers():
-            self.handle.deleteTimer(timer)
-        for _, last, _ in merged:
-            self.handle.registerTimer(self._due(last))
-        self._keep(merged)
+        if times:
+            before, first = self._first(known), self._first(merged)
+            if before != first:
+                if before is not None:
+                    self.handle.deleteTimer(before)
+                self.handle.registerTimer(first)
+            self._keep(merged)
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now, at = expiredTimerInfo.getExpiryTimeInMs(), self._known()
+        now, at = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs()), self._known()
         silent = [x for x in at if self._due(x[1]) <= now]
-        self._keep([x for x in at if self._due(x[1]) > now])
+        waiting = [x for x in at if self._due(x[1]) > now]
+        if waiting:
+            self.handle.registerTimer(self._first(waiting))
+        self._keep(waiting)
         if silent:
             rows = [(key[0], start, last, beats, last + self.gap) for start, last, beats in silent]
             yield pd.DataFrame(rows, columns=self.names)
