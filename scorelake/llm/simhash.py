@@ -68,8 +68,12 @@ def majority_bits(hashes: np.ndarray) -> np.ndarray:
 
 def fingerprint(text: str, shingle: int = 4) -> int:
     """The 64-bit SimHash; zero for a text without words."""
-    bits = majority_bits(shingle_hashes(text, shingle)[:, None])
-    return int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+    return print_of(shingle_hashes(text, shingle))
+
+
+def print_of(hashes: np.ndarray) -> int:
+    """The SimHash of a text's shingle hashes."""
+    return int.from_bytes(np.packbits(majority_bits(hashes[:, None]), bitorder="little").tobytes(), "little")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
@@ -294,21 +298,23 @@ def prefix(hashes: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity
 
 
 def set_prefixes(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
-    """``doc_id, th, node, n, keys``: a hash of the text, and of its shingle set a digest, the size and the prefix."""
+    """``doc_id, th, fp, node, n, keys``: a hash of the text, its SimHash, and of its shingle set a digest, the size and the prefix."""
     prepare(docs.sparkSession)
     common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, text_col, shingle))
     narrow = _keyed_texts(docs, id_col, text_col)
-    fields = extend(narrow.select("doc_id", "th").schema, "node bigint, n int, keys array<bigint>")
+    fields = extend(narrow.select("doc_id", "th").schema, "fp bigint, node bigint, n int, keys array<bigint>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
 
         for batch in batches:
             for few in slices(batch):
-                sets = [shingle_set(t, shingle) for t in few.column(2).to_pylist()]
+                every = [shingle_hashes(t, shingle) for t in few.column(2).to_pylist()]
+                fps = np.array([print_of(h) for h in every], dtype=np.uint64).view(np.int64)
+                sets = [np.unique(h) for h in every]
                 digests = pa.array([xxh64_intdigest(s.tobytes()) >> 1 for s in sets], pa.int64())
                 keys = pa.array([prefix(s, common.value, similarity).view(np.int64) for s in sets], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([few.column(0), few.column(1), digests, pa.array([len(s) for s in sets], pa.int32()), keys], names=fields.fieldNames())
+                yield pa.RecordBatch.from_arrays([few.column(0), few.column(1), pa.array(fps), digests, pa.array([len(s) for s in sets], pa.int32()), keys], names=fields.fieldNames())
 
     return narrow.mapInArrow(run, fields)
 
@@ -378,19 +384,29 @@ def _meet_all(rows: DataFrame, similarity: float) -> DataFrame:
     return met.where(once & apart & _may_link("x", "y", similarity)).select(*_ordered("x", "y")).distinct()
 
 
+def _near_prints(nodes: DataFrame) -> DataFrame:
+    """``a, b``: nodes of equal fingerprints beside the least of them, and such least ones whose fingerprints :func:`link_fingerprints` links."""
+    heads = nodes.groupBy("fp").agg(F.min("node").alias("head"))
+    equal = nodes.join(heads, "fp").where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
+    linked = link_fingerprints(heads.select("fp"))
+    linked = linked.join(heads.select(F.col("fp").alias("a"), F.col("head").alias("_x")), "a").join(heads.select(F.col("fp").alias("b"), F.col("head").alias("_y")), "b")
+    return equal.unionByName(linked.select(F.least("_x", "_y").alias("a"), F.greatest("_x", "_y").alias("b")))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """``doc_id, th, first_id, first_th``: each row's id and text hash beside those of the first document of its group.
 
     A group is what links of at least ``similarity`` between sets of
-    ``shingle``-word shingles connect. No such pair is missed: both sets share a
-    hash of their prefixes, and all pairs that share one and aren't connected
-    yet are verified on the sets, which are made for documents of such pairs
-    only. The first is the smallest id, then the smallest text hash; null ids
+    ``shingle``-word shingles connect. Fingerprints within four bits are found
+    by their Golay keys first, and their documents' sets verified. No pair that
+    they leave is missed: both sets share a hash of their prefixes, and all
+    pairs that share one and aren't connected yet are verified on the sets,
+    which are made for documents of such pairs only. The first is the smallest id, then the smallest text hash; null ids
     come last.
     """
     prints = cut_lineage(set_prefixes(docs, id_col, text_col, shingle, similarity))
     # Texts with equal shingles are one node, so copies of a text are.
-    nodes = cut_lineage(prints.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("f")))
+    nodes = cut_lineage(prints.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "fp")).alias("f")))
     keyed = prints.select("node", "n", "keys").dropDuplicates(["node"]).select("node", "n", F.posexplode("keys").alias("pos", "key"))
     keyed = cut_lineage(keyed)
     several = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
@@ -406,20 +422,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         drop_stored(wanted, sets)
         return found
 
-    left, links, roots = shared.withColumn("root", F.col("node")), None, None
+    def still_apart(rows: DataFrame) -> DataFrame:
+        """The rows with their roots, of keys whose rows aren't all connected."""
+        rooted = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        several = rooted.groupBy("key").agg(F.min("root").alias("_x"), F.max("root").alias("_y")).where("_x < _y").select("key")
+        return cut_lineage(rooted.join(several, "key"))
+
+    near = cut_lineage(_near_prints(nodes.select("node", "f.fp")))
+    links = verified(near)
+    drop_stored(near)
+    roots = cut_lineage(connected_components(links))
+    left = still_apart(shared)
     for turn in range(PIVOT_ROUNDS + 1):
         met = cut_lineage(_meet_pivots(left, turn, similarity) if turn < PIVOT_ROUNDS else _meet_all(left, similarity))
         found = verified(met)
         drop_stored(met)
-        links = found if links is None else links.unionByName(found)
+        links = links.unionByName(found)
         roots, before = cut_lineage(connected_components(links)), roots
-        if turn:
-            drop_stored(left, before)
+        drop_stored(left, before)
         if turn < PIVOT_ROUNDS:
             # Up to three rows of a key have all met.
-            left = shared.where("m > 3").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-            several = left.groupBy("key").agg(F.min("root").alias("_x"), F.max("root").alias("_y")).where("_x < _y").select("key")
-            left = cut_lineage(left.join(several, "key"))
+            left = still_apart(shared.where("m > 3"))
     drop_stored(shared)
     grouped = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     first = grouped.groupBy("root").agg(F.min("f").alias("first"))

@@ -255,3 +255,15 @@ def test_multi_sequence_visits_in_order():
     cells = index.visits(first, second)
     sums = [first[c // index.k] + second[c % index.k] for c in cells]
     assert sums == sorted(sums) and len(cells) == len(set(cells)) == sum(a + b <= 0.9 for a in first for b in second)
+
+
+def test_near_duplicates_meet_by_golay_keys_first(spark, monkeypatch):
+    rows = [(i, prose(900 + i // 2, 400) + (" x" if i % 2 else ""), "en") for i in range(12)]
+    # Without the prefixes' rounds, only fingerprints within four bits bring documents together.
+    for meet in ("_meet_pivots", "_meet_all"):
+        monkeypatch.setattr(simhash, meet, lambda rows, *_: spark.createDataFrame([], "a bigint, b bigint"))
+    prints = [simhash.fingerprint(r[1], 5) for r in rows]
+    near = [i for i in range(0, 12, 2) if (prints[i] ^ prints[i + 1]).bit_count() <= 4]
+    assert near
+    kept = [r.doc_id for r in simhash.drop_near_duplicates(documents(spark, rows)).collect()]
+    assert sorted(kept) == sorted({r[0] for r in rows} - {i + 1 for i in near})
