@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from codecs import charmap_decode
 from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -75,6 +76,13 @@ _SUFFIXES = "'s|'t|'re|'ve|'m|'ll|'d"
 WORD_PIECES = re.compile(f"{_SUFFIXES}|[{_LETTERS}]+|[{_NUMBERS}]|[^{_BLANKS}{_LETTERS}{_NUMBERS}]+")
 SPACED_PIECES = re.compile(f"{_SUFFIXES}| ?[{_LETTERS}]+| ?[{_NUMBERS}]+| ?[^{_BLANKS}{_LETTERS}{_NUMBERS}]+|[{_BLANKS}]+(?![^{_BLANKS}])|[{_BLANKS}]+")
 
+#: The letter that spells each byte in byte-level vocabularies: itself where it is printable, else one from 256 on.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_OTHERS = sorted({*range(256)} - {*_PRINTABLE})
+_BYTE_LETTERS = "".join(chr(256 + _OTHERS.index(b) if b in _OTHERS else b) for b in range(256))
+#: Whether all characters but spaces spell themselves.
+_PLAIN = re.compile("[ -~]*").fullmatch
+
 
 def is_latin(text: str) -> bool:
     """Whether all code points are below 256: composed already, and lowered one by one."""
@@ -93,8 +101,9 @@ class TextEncoder:
     A text is cut only where the tokenizer's own pre-tokeniser always cuts: into
     its pieces where all code points are below 256, else at white space for
     vocabularies that drop it and before " x" for byte-level ones. Each distinct
-    piece is encoded by the library once and remembered in a bounded memo. A
-    tokenizer of any other shape gets whole texts.
+    piece is encoded by the library once and remembered in a bounded memo; one
+    below 256 by its BPE model alone, as it needs no more cutting. A tokenizer of
+    any other shape gets whole texts.
     """
 
     def __init__(self, path: str) -> None:
@@ -106,6 +115,7 @@ class TextEncoder:
             spec = json.load(f)
         self.cut = self._rule(spec)
         self.special = [t["content"] for t in spec["added_tokens"]]
+        self.model = self.library.model if self.cut != "whole" and self._bytes_last(spec) else None
         self.memo = Memo(self._encode)
 
     @staticmethod
@@ -121,17 +131,29 @@ class TextEncoder:
             return "spaces"
         return "whole"
 
+    @staticmethod
+    def _bytes_last(spec: dict) -> bool:
+        """Whether the pre-tokeniser's last step spells bytes, without a space before, and a BPE model follows."""
+        last = spec["pre_tokenizer"].get("pretokenizers", [spec["pre_tokenizer"]])[-1]
+        return last.get("type") == "ByteLevel" and not last.get("add_prefix_space") and spec["model"].get("type") == "BPE"
+
+    def _encode_piece(self, piece: str) -> bytes:
+        spelled = piece.replace(" ", _BYTE_LETTERS[32]) if _PLAIN(piece) else charmap_decode(piece.encode(), "strict", _BYTE_LETTERS)[0]
+        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(spelled)])
+
     def _encode(self, chunk: str) -> bytes:
         return b"".join(i.to_bytes(4, "little") for i in self.library.encode(chunk, add_special_tokens=False).ids)
 
     def encode(self, text: str) -> bytes:
         if self.cut != "whole" and is_latin(text) and not any(t in text for t in self.special):
             chunks: Iterable[str] = WORD_PIECES.findall(text.lower()) if self.cut == "words" else SPACED_PIECES.findall(text)
+            # A chunk that is also a piece has the same ids either way, so both share the memo.
+            self.memo.compute = self._encode_piece if self.model else self._encode
         elif self.cut == "words" and not _SEPARATORS.search(text):
-            chunks = text.split()
+            chunks, self.memo.compute = text.split(), self._encode
         elif self.cut == "spaces":
             first, *rest = _BEFORE_WORD.split(text)
-            chunks = [first, *[" " + x for x in rest]]
+            chunks, self.memo.compute = [first, *[" " + x for x in rest]], self._encode
         else:
             return self._encode(text)
         return b"".join(map(self.memo.__getitem__, chunks))

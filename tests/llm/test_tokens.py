@@ -53,6 +53,24 @@ def test_special_tokens_are_found_inside_text(word, byte):
         assert byte[0].encode(text) == packed(byte[1].encode(text, add_special_tokens=False).ids)
 
 
+def test_pieces_are_encoded_by_the_model_alone(word, byte):
+    texts = ["It's ONE día,  <|ENDOFTEXT|> a\x1c\xa0\xad¿ not \t12 's ''re\n\n", "naïve ­ÿ×!", "日 Abc's, 日"]
+    for path, whole in ((WORD, word[2]), (BYTE, byte[1])):
+        encoder = TextEncoder(path)
+        seen = []
+
+        class Counted:
+            def encode(self, chunk, whole=whole, seen=seen, **options):
+                seen.append(chunk)
+                return whole.encode(chunk, **options)
+
+        encoder.library = Counted()
+        for text in texts:
+            assert encoder.encode(text) == packed(whole.encode(text, add_special_tokens=False).ids)
+        # Only of the last text, which has letters beyond.
+        assert seen and all(chunk.strip() in texts[2].split() for chunk in seen)
+
+
 def test_random_letter_strings(word):
     rng = random.Random(5)
     for _ in range(3000):
