@@ -283,26 +283,31 @@ def common_shingles(docs: DataFrame, text_col: str, shingle: int) -> tuple[np.nd
     return hashes[order], n[order]
 
 
+def sightings(hashes: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """In how many texts of the sample each hash stands; 0 for those that aren't common."""
+    if not len(common[0]) or not len(hashes):
+        return np.zeros(len(hashes), dtype=np.int64)
+    at = np.minimum(np.searchsorted(common[0], hashes), len(common[0]) - 1)
+    return np.where(common[0][at] == hashes, common[1][at], 0)
+
+
 def prefix(hashes: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
     """The rarest of a set's hashes, so many that two sets of at least that similarity share one.
 
     Rarer ones stand before common ones, then smaller before greater. Which are
     common is the same for all sets, and any such order finds all pairs.
     """
-    seen = np.zeros(len(hashes), dtype=np.int64)
-    if len(common[0]) and len(hashes):
-        at = np.minimum(np.searchsorted(common[0], hashes), len(common[0]) - 1)
-        seen = np.where(common[0][at] == hashes, common[1][at], 0)
+    seen = sightings(hashes, common)
     shared = int(np.ceil(similarity * len(hashes) - 1e-9))
     return hashes[np.lexsort((hashes, seen))][: len(hashes) - shared + 1]
 
 
 def set_prefixes(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
-    """``doc_id, th, fp, node, n, keys``: a hash of the text, its SimHash, and of its shingle set a digest, the size and the prefix."""
+    """``doc_id, th, fp, node, n, seen, keys``: a hash of the text, its SimHash, and of its shingle set a digest, the size and the prefix, with the sightings of its last hash."""
     prepare(docs.sparkSession)
     common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, text_col, shingle))
     narrow = _keyed_texts(docs, id_col, text_col)
-    fields = extend(narrow.select("doc_id", "th").schema, "fp bigint, node bigint, n int, keys array<bigint>")
+    fields = extend(narrow.select("doc_id", "th").schema, "fp bigint, node bigint, n int, seen bigint, keys array<bigint>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
@@ -313,8 +318,10 @@ def set_prefixes(docs: DataFrame, id_col: str, text_col: str, shingle: int, simi
                 fps = np.array([print_of(h) for h in every], dtype=np.uint64).view(np.int64)
                 sets = [np.unique(h) for h in every]
                 digests = pa.array([xxh64_intdigest(s.tobytes()) >> 1 for s in sets], pa.int64())
-                keys = pa.array([prefix(s, common.value, similarity).view(np.int64) for s in sets], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([few.column(0), few.column(1), pa.array(fps), digests, pa.array([len(s) for s in sets], pa.int32()), keys], names=fields.fieldNames())
+                prefixes = [prefix(s, common.value, similarity) for s in sets]
+                seen = pa.array([int(sightings(p[-1:], common.value).sum()) for p in prefixes], pa.int64())
+                keys = pa.array([p.view(np.int64) for p in prefixes], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([few.column(0), few.column(1), pa.array(fps), digests, pa.array([len(s) for s in sets], pa.int32()), seen, keys], names=fields.fieldNames())
 
     return narrow.mapInArrow(run, fields)
 
@@ -340,6 +347,23 @@ def _shingle_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str
     return found.mapInArrow(run, "node bigint, shingles array<bigint>").dropDuplicates(["node"])
 
 
+def _may_be_similar(pairs: DataFrame, prefixes: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose prefixes leave room for that similarity.
+
+    What the prefix that ends first in the order has in common with the other
+    set stands in the other prefix too. So two sets share no more than their
+    prefixes do and what is behind that end; no similar pair is ruled out.
+    """
+    side = lambda x: pairs.join(prefixes.select(F.col("node").alias(x), F.struct("n", "seen", "keys").alias(f"_{x}")), x)
+    # Few prefixes are wanted, so each side meets the pairs first.
+    joined = side("a").join(side("b"), ["a", "b"])
+    # Hashes are ordered as unsigned numbers.
+    end = lambda x: F.struct(F.col(f"{x}.seen"), F.try_element_at(f"{x}.keys", F.lit(-1)).bitwiseXOR(F.lit(-(1 << 63))))
+    behind = lambda x: F.col(f"{x}.n") - F.size(f"{x}.keys")
+    most = F.size(F.array_intersect("_a.keys", "_b.keys")) + F.when(end("_a") <= end("_b"), behind("_a")).otherwise(behind("_b"))
+    return joined.where(most >= similarity / (1 + similarity) * (F.col("_a.n") + F.col("_b.n")) - 1e-9).select("a", "b")
+
+
 def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs whose shingle sets have at least that Jaccard similarity."""
     joined = pairs.join(sets.withColumnsRenamed({"node": "a", "shingles": "_a"}), "a").join(sets.withColumnsRenamed({"node": "b", "shingles": "_b"}), "b")
@@ -401,25 +425,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     by their Golay keys first, and their documents' sets verified. No pair that
     they leave is missed: both sets share a hash of their prefixes, and all
     pairs that share one and aren't connected yet are verified on the sets,
-    which are made for documents of such pairs only. The first is the smallest id, then the smallest text hash; null ids
-    come last.
+    which are made for documents of pairs that their prefixes don't rule out.
+    The first is the smallest id, then the smallest text hash; null ids come last.
     """
     prints = cut_lineage(set_prefixes(docs, id_col, text_col, shingle, similarity))
     # Texts with equal shingles are one node, so copies of a text are.
     nodes = cut_lineage(prints.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "fp")).alias("f")))
-    keyed = prints.select("node", "n", "keys").dropDuplicates(["node"]).select("node", "n", F.posexplode("keys").alias("pos", "key"))
-    keyed = cut_lineage(keyed)
+    prefixes = cut_lineage(prints.select("node", "n", "seen", "keys").dropDuplicates(["node"]))
+    prints, whole = cut_lineage(prints.select("doc_id", "th", "node")), prints
+    drop_stored(whole)
+    keyed = prefixes.select("node", "n", F.posexplode("keys").alias("pos", "key"))
     several = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     shared = cut_lineage(keyed.join(several, "key"))
-    drop_stored(keyed)
 
-    def verified(pairs: DataFrame) -> DataFrame:
+    def verified(met: DataFrame) -> DataFrame:
+        pairs = cut_lineage(_may_be_similar(met, prefixes, similarity))
         paired = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
         # Stored first, so that Spark knows how small it is when it plans the join with the texts.
         wanted = cut_lineage(nodes.join(paired, "node").select("node", "f.doc_id", "f.th"))
         sets = cut_lineage(_shingle_sets(docs, wanted, id_col, text_col, shingle))
         found = cut_lineage(_similar(pairs, sets, similarity))
-        drop_stored(wanted, sets)
+        drop_stored(pairs, wanted, sets)
         return found
 
     def still_apart(rows: DataFrame) -> DataFrame:
@@ -443,7 +469,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if turn < PIVOT_ROUNDS:
             # Up to three rows of a key have all met.
             left = still_apart(shared.where("m > 3"))
-    drop_stored(shared)
+    drop_stored(shared, prefixes)
     grouped = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     first = grouped.groupBy("root").agg(F.min("f").alias("first"))
     heads = grouped.join(first, "root").select("node", "first")

@@ -7,6 +7,8 @@ import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,6 +22,8 @@ SESSION_CONF = {
     "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
 }
 
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def get_session(app: str = "scorelake", master: str | None = None, conf: dict[str, str] | None = None) -> SparkSession:
     """Build (or reuse) a session with the settings the operators expect."""
@@ -53,15 +57,32 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/scorelake/{uuid.uuid4().hex}/{name}"
 
 
+@contextmanager
+def _shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Have Spark delete shuffle files at the end of each query run inside, not when the driver's memory fills up."""
+    before = spark.conf.get(FREE_SHUFFLES, None)
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(FREE_SHUFFLES)
+        else:
+            spark.conf.set(FREE_SHUFFLES, before)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and go on from the stored table.
 
     Later stages never recompute it, whichever executors are lost, and as a
-    columnar table it is still pruned and sized like any other input.
+    columnar table it is still pruned and sized like any other input. What was
+    shuffled to make it is deleted as soon as it is stored.
     """
-    path = scratch_path(df.sparkSession, "cut")
-    df.write.parquet(path)
-    stored = df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = scratch_path(spark, "cut")
+    with _shuffles_freed(spark):
+        df.write.parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
     stored._stored_path = path
     return stored
 

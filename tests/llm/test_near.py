@@ -162,6 +162,44 @@ def test_sets_at_the_threshold_share_a_prefix_hash():
             assert set(simhash.prefix(a, counted, 0.8).tolist()) & set(simhash.prefix(b, counted, 0.8).tolist())
 
 
+def test_prefixes_rule_out_pairs_that_share_a_hash_only(spark):
+    rng = np.random.default_rng(14)
+    common = np.unique(rng.integers(0, 1 << 64, 300, dtype=np.uint64))
+    counted = (common, rng.integers(4, 90, len(common)))
+    sets = [np.empty(0, dtype=np.uint64)]
+    for n in [1, 2, 4, 5, 9, 10, 20, 45, 90, 300]:
+        for turn in range(30):
+            pool = np.unique(np.concatenate([rng.choice(common, n // 2, replace=False), rng.integers(0, 1 << 64, 3 * n + 8, dtype=np.uint64)]))
+            rows, one, more = rng.permutation(pool), int(rng.integers(0, n // 4 + 1)), n // 4
+            # Of 0.8 at least; every third pair shares one hash only.
+            both = rows[:n] if turn % 3 else rows[:1]
+            sets += [np.sort(np.concatenate([both, rows[len(both) : n + one]])), np.sort(np.concatenate([both, rows[n + one : 2 * n + more - len(both)]]))]
+    nodes = []
+    for node, s in enumerate(sets):
+        keys = simhash.prefix(s, counted, 0.8)
+        nodes.append((node, len(s), int(simhash.sightings(keys[-1:], counted).sum()), keys.view(np.int64).tolist()))
+    pairs = [(0, 1)] + [(i, i + 1) for i in range(1, len(sets), 2)]
+    similar = {(a, b) for a, b in pairs if len(np.intersect1d(sets[a], sets[b])) >= 0.8 * len(np.union1d(sets[a], sets[b])) - 1e-9}
+    prefixes = spark.createDataFrame(nodes, "node bigint, n int, seen bigint, keys array<bigint>")
+    found = {(r.a, r.b) for r in simhash._may_be_similar(spark.createDataFrame(pairs, "a bigint, b bigint"), prefixes, 0.8).collect()}
+    assert len(similar) > 180 and similar <= found
+    far = {p for p in pairs if len(sets[p[0]]) >= 20} - similar
+    assert len(far) > 30 and len(far & found) < len(far) / 5
+
+
+def test_shuffle_files_go_once_a_table_is_stored(spark):
+    from scorelake.session import FREE_SHUFFLES, cut_lineage
+
+    set_before = spark.conf.get(FREE_SHUFFLES, None)
+    tracker = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker()
+    before = tracker.shuffleStatuses().size()
+    spark.range(100).repartition(3, "id").write.format("noop").mode("overwrite").save()
+    plain = tracker.shuffleStatuses().size()
+    stored = cut_lineage(spark.range(100).repartition(3, "id"))
+    assert plain <= before + 1 and tracker.shuffleStatuses().size() <= plain
+    assert stored.count() == 100 and spark.conf.get(FREE_SHUFFLES, None) == set_before
+
+
 def test_all_pairs_of_short_texts_at_the_threshold_are_found(spark):
     words = lambda i, n: [f"w{i}x{k}" for k in range(n)]
     rows = []
