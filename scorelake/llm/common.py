@@ -20,6 +20,8 @@ BATCH_ROWS = 512
 MEMO_ENTRIES = 300_000
 #: Longer keys are computed anew, so that a memo's bytes are bounded too.
 MEMO_KEY_CHARS = 64
+#: Longs of the bitmap of :func:`marked`: 4 MB of bits, 8 as rows.
+MARK_LONGS = 1 << 19
 
 
 def prepare(spark: SparkSession) -> None:
@@ -38,6 +40,22 @@ def extend(schema: StructType, ddl: str) -> StructType:
     return StructType([*schema.fields, *StructType.fromDDL(ddl).fields])
 
 
+def marked(rows: DataFrame, key: str, wanted: DataFrame, others: bool = False) -> DataFrame:
+    """The rows whose 64-bit hash ``key`` is marked in a bitmap of the hashes in ``wanted`` (one column); with ``others`` all the rest.
+
+    Every row with a wanted hash is marked, and some without one, so an exact
+    join must follow. The bitmap is bounded and goes to the rows, which don't
+    cross the network for this: wide rows, few of them wanted, are thinned out
+    before they are exchanged. Beyond about as many hashes as bits it thins no more.
+    """
+    bits = lambda x: F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col(x).bitwiseAND(F.lit(63)).cast("int"))
+    place = lambda x: F.shiftrightunsigned(x, 6).bitwiseAND(F.lit(MARK_LONGS - 1))
+    hashes = wanted.toDF("_hash")
+    bitmap = hashes.select(place("_hash").alias("_place"), bits("_hash").alias("_bit")).groupBy("_place").agg(F.bit_or("_bit").alias("_bits"))
+    hit = (place(key) == F.col("_place")) & (F.col("_bits").bitwiseAND(bits(key)) != 0)
+    return rows.join(F.broadcast(bitmap), hit, "left_anti" if others else "left_semi")
+
+
 def text_or_empty(col: str = "text"):
     return F.coalesce(F.col(col), F.lit(""))
 

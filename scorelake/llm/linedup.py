@@ -27,7 +27,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, drop_stored
+from .common import marked
 
 MIN_WORDS = 50
 #: Tasks that share the copies of one run.
@@ -80,7 +81,7 @@ def _stretches(lines: DataFrame, min_words: int) -> DataFrame:
 
 
 def repeated_runs(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``d, first, last``: line numbers of each later copy of a repeated run.
+    """``d, first, last``: line numbers of each later copy of a repeated run, a stored table.
 
     ``lines`` has a document number ``d`` in document order, the place ``k``
     among its lines that aren't blank, the line number ``pos``, ``words``, and
@@ -92,8 +93,10 @@ def repeated_runs(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     forwards = places.where("until is not null").select("d", "k", (F.col("until.k") - F.col("k")).alias("m"), F.col("pos").alias("first"), F.col("until.prev_pos").alias("last"))
     backwards = places.where("since is not null").select("d", F.col("since.k").alias("k"), (F.col("k") - F.col("since.k")).alias("m"), F.col("since.pos").alias("first"), F.col("prev_pos").alias("last"))
     runs = cut_lineage(forwards.unionByName(backwards).distinct())
+    drop_stored(ids)
     longest = runs.agg(F.max("m")).first()[0] or 0
 
+    stored = [places, runs]
     ranks, h, met = places.where("rank is not null").select("d", "k", "rank"), 1, []
     while h <= longest:
         # Runs of h up to 2h - 1 lines: the ranks at both ends tell them apart.
@@ -105,18 +108,26 @@ def repeated_runs(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             in_doc = Window.partitionBy("d").orderBy("k")
             on = F.when(F.lead("k", h).over(in_doc) == F.col("k") + h, F.lead("rank", h).over(in_doc))
             pairs = cut_lineage(ranks.withColumn("on", on).where("on is not null"))
-            ranks = cut_lineage(pairs.join(_repeated(pairs, ["rank", "on"], "next"), ["rank", "on"]).select("d", "k", F.col("next").alias("rank")))
+            following = _repeated(pairs, ["rank", "on"], "next")
+            ranks = cut_lineage(pairs.join(following, ["rank", "on"]).select("d", "k", F.col("next").alias("rank")))
+            drop_stored(pairs, following)
+            stored.append(ranks)
         h *= 2
     if not met:
-        return runs.select("d", "first", "last")
+        later = cut_lineage(runs.select("d", "first", "last"))
+        drop_stored(*stored)
+        return later
     occurrences = cut_lineage(reduce(DataFrame.unionByName, met))
+    drop_stored(*stored)
     interval = ["m", "a", "b"]
     least = occurrences.groupBy(*interval).agg(F.min(F.struct("d", "k")).alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
     # A run that a third of all documents share is met in as many tasks as there are salts.
     least = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     dealt = occurrences.withColumn("salt", F.pmod(F.xxhash64("d", "k"), F.lit(SALTS)).cast("int"))
     later = dealt.join(least, [*interval, "salt"]).where(F.struct("d", "k") > F.col("least"))
-    return later.select("d", "first", "last")
+    later = cut_lineage(later.select("d", "first", "last"))
+    drop_stored(occurrences)
+    return later
 
 
 def _merged(ranges: DataFrame) -> DataFrame:
@@ -137,7 +148,8 @@ def delete_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     then by place. Rows with the same id and text are one document, as often as
     it stands there. Words are what single spaces separate. Blank lines are kept,
     but for those inside a deleted run. A null text stays null with nothing
-    removed; a text of which nothing stays is empty.
+    removed; a text of which nothing stays is empty. Texts are exchanged only
+    where a bitmap of those with deleted lines doesn't tell that all of it stays.
     """
     text = F.col(f"`{text_col}`")
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(f"`{id_col}`").alias("_id"), text.alias("_text"))
@@ -148,9 +160,13 @@ def delete_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     sequences = packed.where("_text is not null").select("_id", "_th", F.filter(noted, lambda x: x.isNotNull()).alias("lines"))
     sequences = _numbered(sequences.dropDuplicates(["_id", "_th"]), ["_id", "_th"], "d")
     flat = sequences.select("d", F.posexplode("lines").alias("k", "l")).select("d", "k", "l.pos", "l.words", "l.key")
-    gone = _merged(repeated_runs(flat, min_words))
-    gone = sequences.select("d", F.col("_id").alias("_gid"), F.col("_th").alias("_gth")).join(gone, "d").drop("d")
-    matched = packed.join(gone, packed["_id"].eqNullSafe(gone["_gid"]) & (packed["_th"] == gone["_gth"]), "left")
+    runs = repeated_runs(flat, min_words)
+    gone = cut_lineage(sequences.select("d", F.col("_id").alias("_gid"), F.col("_th").alias("_gth")).join(_merged(runs), "d").drop("d"))
+    drop_stored(sequences, runs)
+    listed = gone.select("_gth")
+    some = marked(packed, "_th", listed)
+    matched = some.join(gone, some["_id"].eqNullSafe(gone["_gid"]) & (some["_th"] == gone["_gth"]), "left")
+    matched = matched.unionByName(marked(packed, "_th", listed, others=True), allowMissingColumns=True)
     starts = F.concat(F.array(F.lit(0)), F.transform("gone", lambda g: g["last"] + 1))
     ends = F.concat(F.transform("gone", lambda g: g["first"]), F.array(F.size(lines)))
     kept = F.transform(F.arrays_zip(starts.alias("s"), ends.alias("e")), lambda z: F.slice(lines, z["s"] + 1, z["e"] - z["s"]))

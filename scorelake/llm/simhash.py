@@ -25,9 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage, drop_stored
+from ..session import cut_lineage, drop_stored, shuffles_freed
 from . import golay
-from .common import extend, prepare, slices
+from .common import extend, marked, prepare, slices
 from .graph import connected_components
 
 SEED = 42
@@ -277,7 +277,8 @@ def common_shingles(docs: DataFrame, text_col: str, shingle: int) -> tuple[np.nd
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], names=["h"])
 
     counts = some.mapInArrow(run, "h bigint").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON)
-    found = counts.orderBy(F.desc("n"), "h").limit(MOST_COMMON).collect()
+    with shuffles_freed(docs.sparkSession):
+        found = counts.orderBy(F.desc("n"), "h").limit(MOST_COMMON).collect()
     hashes, n = np.array([r.h for r in found], dtype=np.int64).view(np.uint64), np.array([r.n for r in found], dtype=np.int64)
     order = np.argsort(hashes)
     return hashes[order], n[order]
@@ -332,8 +333,8 @@ def _keyed_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _shingle_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """``node, shingles``: sets of shingle hashes of the ``wanted`` (node, doc_id, th) only."""
-    narrow = _keyed_texts(docs, id_col, text_col)
+    """``node, shingles``: sets of shingle hashes of the ``wanted`` (node, doc_id, th) only, a stored table."""
+    narrow = marked(_keyed_texts(docs, id_col, text_col), "th", wanted.select("th"))
     keys = wanted.select("node", F.col("doc_id").alias("_i"), F.col("th").alias("_t"))
     found = narrow.join(keys, narrow["doc_id"].eqNullSafe(keys["_i"]) & (narrow["th"] == keys["_t"])).select("node", "_text")
 
@@ -353,10 +354,11 @@ def _may_be_similar(pairs: DataFrame, prefixes: DataFrame, similarity: float) ->
     What the prefix that ends first in the order has in common with the other
     set stands in the other prefix too. So two sets share no more than their
     prefixes do and what is behind that end; no similar pair is ruled out.
+    Both inputs are stored tables.
     """
-    side = lambda x: pairs.join(prefixes.select(F.col("node").alias(x), F.struct("n", "seen", "keys").alias(f"_{x}")), x)
-    # Few prefixes are wanted, so each side meets the pairs first.
-    joined = side("a").join(side("b"), ["a", "b"])
+    few = marked(prefixes, "node", pairs.select("a").union(pairs.select("b")))
+    side = lambda x: few.select(F.col("node").alias(x), F.struct("n", "seen", "keys").alias(f"_{x}"))
+    joined = pairs.join(side("a"), "a").join(side("b"), "b")
     # Hashes are ordered as unsigned numbers.
     end = lambda x: F.struct(F.col(f"{x}.seen"), F.try_element_at(f"{x}.keys", F.lit(-1)).bitwiseXOR(F.lit(-(1 << 63))))
     behind = lambda x: F.col(f"{x}.n") - F.size(f"{x}.keys")
@@ -435,8 +437,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     prints, whole = cut_lineage(prints.select("doc_id", "th", "node")), prints
     drop_stored(whole)
     keyed = prefixes.select("node", "n", F.posexplode("keys").alias("pos", "key"))
-    several = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    shared = cut_lineage(keyed.join(several, "key"))
+    several = cut_lineage(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1"))
+    shared = cut_lineage(marked(keyed, "key", several.select("key")).join(several, "key"))
+    drop_stored(several)
 
     def verified(met: DataFrame) -> DataFrame:
         pairs = cut_lineage(_may_be_similar(met, prefixes, similarity))
@@ -479,8 +482,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """One row of each group of :func:`near_duplicates`, all columns; of repeated rows one stays.
 
-    What goes is stored and taken out by an anti-join, so texts are exchanged
-    only where that list is not small.
+    What goes is stored and taken out by an anti-join; texts are exchanged for
+    it only where a bitmap of that list doesn't tell that they stay.
     """
     found = near_duplicates(docs, id_col, text_col, shingle, similarity)
     stays = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("th") == F.col("first_th"))
@@ -490,6 +493,8 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(f"`{id_col}`").alias("_id"), th.alias("_th"))
     same = lambda keys: packed["_id"].eqNullSafe(keys["_i"]) & (packed["_th"] == keys["_t"])
     repeated = odd.where("_stays")
-    single = packed.join(odd, same(odd), "left_anti")
-    once = packed.join(repeated, same(repeated), "left_semi").dropDuplicates(["_id", "_th"])
+    listed = odd.select("_t")
+    some = marked(packed, "_th", listed)
+    single = marked(packed, "_th", listed, others=True).unionByName(some.join(odd, same(odd), "left_anti"))
+    once = some.join(repeated, same(repeated), "left_semi").dropDuplicates(["_id", "_th"])
     return single.unionByName(once).select(*[F.col(f"doc.`{c}`") for c in docs.columns])

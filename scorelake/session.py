@@ -58,7 +58,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 @contextmanager
-def _shuffles_freed(spark: SparkSession) -> Iterator[None]:
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
     """Have Spark delete shuffle files at the end of each query run inside, not when the driver's memory fills up."""
     before = spark.conf.get(FREE_SHUFFLES, None)
     spark.conf.set(FREE_SHUFFLES, "true")
@@ -80,7 +80,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, "cut")
-    with _shuffles_freed(spark):
+    with shuffles_freed(spark):
         df.write.parquet(path)
     stored = spark.read.schema(df.schema).parquet(path)
     stored._stored_path = path

@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from fixtures import awkward_rows, documents, prose
 
-from scorelake.llm import golay, graph, multiindex, simhash
+from scorelake.llm import common, golay, graph, linedup, multiindex, simhash
+from scorelake.session import shared_dir
 
 
 def roots(nodes, links):
@@ -200,6 +201,59 @@ def test_shuffle_files_go_once_a_table_is_stored(spark):
     assert stored.count() == 100 and spark.conf.get(FREE_SHUFFLES, None) == set_before
 
 
+def test_marked_rows_hold_all_that_are_wanted(spark, monkeypatch):
+    monkeypatch.setattr(common, "MARK_LONGS", 64)
+    hashes = [x - (1 << 64) if x >> 63 else x for x in np.random.default_rng(21).integers(0, 1 << 64, 3000, dtype=np.uint64).tolist()] + [0, -1, -(1 << 63), 63, 64]
+    rows = spark.createDataFrame([(h,) for h in hashes + hashes[:50]], "h bigint")
+    for wanted in (hashes[:40] + hashes[-5:], []):
+        some = common.marked(rows, "h", spark.createDataFrame([(h,) for h in wanted * 2], "w bigint"))
+        rest = common.marked(rows, "h", spark.createDataFrame([(h,) for h in wanted], "w bigint"), others=True)
+        found, left = [r.h for r in some.collect()], [r.h for r in rest.collect()]
+        assert sorted(found + left) == sorted(r.h for r in rows.collect())
+        assert set(wanted) <= set(found) and not set(found) & set(left)
+        # 45 of 4096 bits: about one other row in ninety.
+        assert len(set(found) - set(wanted)) < 100
+
+
+def test_texts_that_stay_whole_are_not_exchanged(spark, monkeypatch):
+    texts = [prose(2000 + i, 200) for i in range(300)]
+    shared = " ".join(f"s{i}" for i in range(60))
+    rows = [(i, t + (f"\n{shared}" if i < 3 else ""), "en") for i, t in enumerate(texts)] + [(1000 + i, t + " end", "en") for i, t in enumerate(texts[10:14])]
+    sent = {}
+
+    def recorded(given, key, wanted, others=False):
+        out = common.marked(given, key, wanted, others)
+        if not others:
+            sent.setdefault(key, []).append((given.count(), out.count()))
+        return out
+
+    monkeypatch.setattr(simhash, "marked", recorded)
+    monkeypatch.setattr(linedup, "marked", recorded)
+    kept = linedup.delete_repeated_lines(documents(spark, rows, clashing=False)).where("removed > 0").select("doc.doc_id").collect()
+    assert {1, 2} <= {r.doc_id for r in kept} and sent["_th"][0][0] == len(rows)
+    near = [r.doc_id for r in simhash.drop_near_duplicates(documents(spark, rows)).collect()]
+    assert sorted(near) == list(range(300))
+    # Texts, prefixes and shingles: few go on to the exact joins.
+    assert {"_th", "th", "node", "key"} <= set(sent)
+    assert all(some <= 20 for pairs in sent.values() for given, some in pairs if given <= len(rows))
+    assert all(some <= given / 10 for given, some in sent["key"])
+
+
+def test_tables_between_go_once_they_are_read(spark):
+    import os
+
+    def folders():
+        at = f"{shared_dir(spark)}/scorelake"
+        return {d for d in os.listdir(at) if os.listdir(f"{at}/{d}")} if os.path.isdir(at) else set()
+
+    run = "\n".join(" ".join(f"w{i}x{j}" for j in range(10)) for i in range(12))
+    rows = [(i, f"{prose(3000 + i, 60)}\n{run}", "en") for i in range(6)]
+    before = folders()
+    out = linedup.delete_repeated_lines(documents(spark, rows, clashing=False))
+    assert len(folders() - before) == 1
+    assert sorted(r.removed for r in out.collect()) == [0] + [12] * 5
+
+
 def test_all_pairs_of_short_texts_at_the_threshold_are_found(spark):
     words = lambda i, n: [f"w{i}x{k}" for k in range(n)]
     rows = []
