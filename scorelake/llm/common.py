@@ -20,8 +20,8 @@ BATCH_ROWS = 512
 MEMO_ENTRIES = 300_000
 #: Longer keys are computed anew, so that a memo's bytes are bounded too.
 MEMO_KEY_CHARS = 64
-#: Longs of the bitmap of :func:`marked`: 4 MB of bits, 8 as rows.
-MARK_LONGS = 1 << 19
+#: Longs of the bitmap of :func:`marked`: 4 million bits, 1 MB as rows. Executors hold many of these at a time.
+MARK_LONGS = 1 << 16
 
 
 def prepare(spark: SparkSession) -> None:
