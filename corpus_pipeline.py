@@ -35,6 +35,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of runs of lines of 50 words or more go, and documents of which nothing stays."""
+    prepare(spark)
     found = linedup.delete_repeated_lines(docs, min_words=50)
     emptied = (F.col("removed") > 0) & (F.trim(F.translate("text", "\t\r\n", "   ")) == "")
     return _with_text(found.where(~F.coalesce(emptied, F.lit(False))), docs.columns)

@@ -14,7 +14,7 @@ from pyspark.sql.types import StructType
 
 from ..session import ship_package
 
-#: Rows of one Arrow batch. Texts may be very long, so batches are kept short.
+#: Rows of one Arrow batch, and of one batch read from Parquet. Texts may be very long, so batches are kept short.
 BATCH_ROWS = 512
 #: Entries of a memo's young generation; the old generation holds as many again.
 MEMO_ENTRIES = 300_000
@@ -25,10 +25,15 @@ MARK_LONGS = 1 << 16
 
 
 def prepare(spark: SparkSession) -> None:
-    """Ship the package and keep Arrow batches short (a larger setting of the user is lowered)."""
+    """Ship the package and keep batches short, Arrow's and Parquet's (larger settings of the user are lowered).
+
+    Spark's default of 4096 rows takes arrays of many MB for a column of texts or
+    shingles, anew for each file, and an executor's heap grows with them.
+    """
     ship_package(spark)
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    for rows in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize"):
+        if int(spark.conf.get(rows)) > BATCH_ROWS:
+            spark.conf.set(rows, str(BATCH_ROWS))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -5,6 +5,7 @@ import struct
 from fixtures import documents, prose
 
 import corpus_pipeline as pipeline
+from scorelake.llm import common
 from scorelake.llm.queries import vocabulary
 
 
@@ -45,3 +46,19 @@ def test_stages_of_nothing(spark):
     for _, stage in pipeline.STAGES[:-1]:
         docs = pipeline.cut_lineage(stage(spark, docs, ""))
     assert pipeline.STAGES[-1][1](spark, docs, "").count() == 0
+
+
+def test_stages_read_texts_in_short_batches(spark):
+    key = "spark.sql.parquet.columnarReaderBatchSize"
+    docs = documents(spark, [(1, prose(1, 80), "en"), (2, prose(2, 80), "en")], clashing=False).selectExpr("*", "'s' as source", "cast(length(text) as bigint) as n_chars")
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "4096")
+        assert pipeline.repeated_lines(spark, docs, "").count() == 2
+        assert int(spark.conf.get(key)) == common.BATCH_ROWS
+        # A smaller setting of the user stays.
+        spark.conf.set(key, "100")
+        common.prepare(spark)
+        assert spark.conf.get(key) == "100"
+    finally:
+        spark.conf.set(key, before)
