@@ -142,3 +142,85 @@ def test_the_best_of_a_row_with_ties_as_by_a_full_sort():
         order = np.lexsort((np.broadcast_to(ids, sims.shape), -sims), axis=1)[:, :k]
         found, value = M._top(sims, ids, k)
         assert (found == ids[order]).all() and (value == np.take_along_axis(sims, order, axis=1)).all()
+
+
+def stored_by(monkeypatch):
+    """What cut_lineage is asked to store: (plan, stored table), in order."""
+    seen, cut = [], M.cut_lineage
+
+    def noted(df):
+        seen.append((df._jdf.queryExecution().executedPlan().toString(), cut(df)))
+        return seen[-1][1]
+
+    monkeypatch.setattr(M, "cut_lineage", noted)
+    return seen
+
+
+def kept_paths(seen):
+    import os
+
+    return [df.__dict__["_stored_path"] for _, df in seen if os.path.isdir(df.__dict__.get("_stored_path", ""))]
+
+
+def test_exact_search_exchanges_no_vectors_and_leaves_only_its_result(spark, monkeypatch):
+    monkeypatch.setattr(M, "BLOCK_ROWS", 64)
+    rng = np.random.default_rng(11)
+    rows = rng.normal(size=(900, 16))
+    seen = stored_by(monkeypatch)
+    q = spark.createDataFrame(pd.DataFrame({"signal_id": np.arange(900), "features": list(rows)}))
+    got = M.match_embeddings(q, q.withColumnRenamed("signal_id", "gallery_id"), 2, skip_self=True)
+    exchanges = [line for plan, _ in seen for line in plan.splitlines() if "Exchange" in line]
+    assert exchanges and all("hashpartitioning(signal_id" in line for line in exchanges)
+    assert not any("CoGroups" in plan for plan, _ in seen)
+    assert kept_paths(seen) == [seen[-1][1]._stored_path]
+    unit = rows / np.linalg.norm(rows, axis=1, keepdims=True)
+    found = got.toPandas().sort_values(["signal_id", "similarity"], ascending=[True, False])
+    assert np.allclose(found["similarity"].to_numpy().reshape(900, 2), brute(unit, unit, 2, True), atol=1e-12)
+
+
+def test_probed_search_sends_vectors_a_few_times_and_leaves_only_its_result(spark, monkeypatch):
+    sent, visit = [], M._visit
+
+    def counted(asked, stock, *rest):
+        sent.append(asked.where("features IS NOT NULL").count())
+        return visit(asked, stock, *rest)
+
+    monkeypatch.setattr(M, "_visit", counted)
+    seen = stored_by(monkeypatch)
+    q, g, queries, gallery = near_frames(spark, np.random.default_rng(8), 16_000)
+    found = M.match_near(q, g, bucket_rows=8).toPandas().set_index("signal_id")
+    assert 300 * M.TABLES <= sum(sent) < 300 * 40
+    assert kept_paths(seen) == [seen[-1][1]._stored_path]
+    best = (queries @ gallery.T).argmax(axis=1)
+    assert np.mean([found["gallery_id"].get(i, -1) == b for i, b in enumerate(best)]) >= 0.9
+
+
+@pytest.mark.parametrize("copies", [1 << 18, 1])
+def test_probed_search_of_all_buckets_is_exact_in_blocks_and_rounds(spark, monkeypatch, vectors, copies):
+    monkeypatch.setattr(M, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(M, "_COPIES", copies)
+    monkeypatch.setattr(M, "_PAIRS", 100)
+    q = spark.createDataFrame(pd.DataFrame({"signal_id": np.arange(600), "features": list(vectors)}))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        got = M.match_near(q, q.withColumnRenamed("signal_id", "gallery_id"), 3, skip_self=True, tables=2, bucket_rows=100).toPandas()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = got.sort_values(["signal_id", "similarity"], ascending=[True, False])
+    assert np.allclose(got["similarity"].to_numpy().reshape(600, 3), brute(vectors, vectors, 3, True), atol=1e-9)
+
+
+@pytest.mark.parametrize("skip_self", [True, False])
+def test_exact_search_of_equal_rows_repeated_and_missing_ids(spark, monkeypatch, vectors, skip_self):
+    monkeypatch.setattr(M, "BLOCK_ROWS", 32)
+    rows = [(i % 40 if i < 300 else i, vectors[0] if i < 300 else vectors[i % 600]) for i in range(500)]
+    rows += [(7, vectors[0])] * 30 + [(None, vectors[0])] * 2 + [(900, np.zeros(8)), (901, None), (902, np.full(8, np.nan)), (903, [1.0, None] * 4)]
+    g = spark.createDataFrame([(i, None if v is None else [None if x is None else float(x) for x in v]) for i, v in rows], "gallery_id bigint, features array<double>")
+    q = spark.createDataFrame([(7, vectors[0].tolist()), (450, vectors[450].tolist()), (None, vectors[0].tolist()), (2000, [0.0] * 8)], "signal_id bigint, features array<double>")
+    got = M.match_embeddings(q, g, 5, skip_self=skip_self).toPandas()
+    whole = [(i, v) for i, v in rows[:532]]
+    for asked, vector in ((7, vectors[0]), (450, vectors[450]), (None, vectors[0])):
+        there = [(-round(float(v @ vector), 9), -1 if i is None else i) for i, v in whole if not (skip_self and i is not None and i == asked)]
+        mine = got[got["signal_id"].isna() if asked is None else got["signal_id"] == asked]
+        assert sorted((-round(s, 9), -1 if pd.isna(i) else int(i)) for i, s in zip(mine["gallery_id"], mine["similarity"])) == sorted(there)[:5]
+    assert len(got) == 15
