@@ -105,7 +105,7 @@ def match_embeddings(
     blocks = cut_lineage(_packed(gallery, gallery_id, col, pivots, BLOCK_ROWS, k, k * (1 + bool(skip_self))))
     n_tiles = tiles.count()
     # Queries of few files are dealt out; where even their tiles are few, so is the gallery.
-    left = tiles if tiles.rdd.getNumPartitions() >= 2 * cores else tiles.repartitionByRange(max(1, min(n_tiles, 3 * cores)), "tile")
+    left = tiles if tiles.rdd.getNumPartitions() >= 2 * cores else tiles.repartitionByRange(max(1, n_tiles), "tile")
     splits = -(-2 * cores // max(1, n_tiles))
     if splits > 1:
         right = blocks.withColumn("runs_of", F.lit(_ALL))
@@ -289,7 +289,8 @@ class _Tile:
         if len(new) and self.k < sims.shape[1]:
             place = sims.shape[1] - self.k
             least[new] = np.maximum(least[new], np.partition(sims[new], place, axis=1)[:, place] - 2 * self.off)
-        q, g = np.nonzero((sims >= least.astype("float32")[:, None]) & (sims > -np.inf))
+        least = np.maximum(least, -2).astype("float32")
+        q, g = np.divmod(np.flatnonzero(sims >= least[:, None]), sims.shape[1])
         if not len(q):
             return
         value = _products(self.x, rows[q], matrix, g)
